@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import langid, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op4_tokens": tokens.op4_tokens,
+        "op10_langid": langid.op10_langid,
     }
 
 
