@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, tokens
+from . import langid, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op4_tokens": tokens.op4_tokens,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_langid": langid.op10_langid,
     }
 
