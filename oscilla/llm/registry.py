@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, tokens, toxicity
+from . import langid, pii, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_simhash": simhash.op2_simhash,
         "op4_tokens": tokens.op4_tokens,
         "op8_toxicity": toxicity.op8_toxicity,
