@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pii, simhash, tokens, toxicity
+from . import decontam, langid, mixing, pii, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
         "op1_pii": pii.op1_pii,
         "op2_simhash": simhash.op2_simhash,
         "op4_tokens": tokens.op4_tokens,
+        "op7_mixing": mixing.op7_mixing,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_decontam": decontam.op9_decontam,
         "op10_langid": langid.op10_langid,
     }
 

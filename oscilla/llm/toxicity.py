@@ -276,6 +276,26 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns kept; edge cases as in score_documents()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in it:
+            texts, keep, at = b.column(b.schema.get_field_index("text")).to_pylist(), [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < SLICE:
+                    size += len(texts[end] or "")
+                    end += 1
+                keep += (scorer.score(texts[at:end])[0] < 0.5).tolist()
+                at = end
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(training_rows(docs, labels, SAMPLE))
 
