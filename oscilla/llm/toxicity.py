@@ -10,8 +10,8 @@ scoring reads whole texts in lock-step over the documents of a slice.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read_table
 
-SAMPLE = {1: 1200, 0: 2400}  # expected labelled documents by class that the model is fitted on
+SAMPLE = {1: 1000, 0: 3000}  # expected labelled documents by class that the model is fitted on
 BUCKETS = 1 << 17
 SLICE = 8 << 20
 MEMO = 1 << 19
@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans stri
 
 
 def forms(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (3, 4, 5, 6) if len(word) > n)]
+    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
 
 
 def bucket(text: str) -> int:
@@ -42,9 +42,9 @@ def bucket(text: str) -> int:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of the word itself, its leading letters, its ending; always seven."""
+    """Buckets of the word itself, its leading letters, its ending; always five."""
     found = [bucket(f) for f in forms(word)]
-    return (found + [bucket("*" + word[-3:])] + [BUCKETS] * 6)[:7]
+    return (found + [bucket("*" + word[-3:])] + [BUCKETS] * 4)[:5]
 
 
 def chain(e: np.ndarray, start: np.ndarray, n: np.ndarray, m: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,27 +104,50 @@ def summary(marginal: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarr
     return x
 
 
-def toxic_words(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words with a form that is far more frequent in toxic documents."""
-    seen = [Counter(), Counter()]
-    for words, y in zip(docs, toxic):
-        seen[int(y)].update({f for w in set(words) for f in forms(w)})
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+def originals(docs: list[np.ndarray]) -> list[bool]:
+    """False for a document that shares one of two min-hashes of word pairs with an earlier one: likely a copy."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for ids in docs:
+        pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
+        marks = {(i, int((pairs * np.uint64(m) ^ (pairs >> np.uint64(29))).min())) for i, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))} if len(pairs) else set()
+        out.append(not (marks & seen))
+        seen |= marks
+    return out
+
 
-    def strong(f: str) -> bool:
-        k = seen[1][f]
-        return k >= 3 and np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1)) >= ODDS
+def toxic_words(docs: list[np.ndarray], toxic: np.ndarray, vocab: list[str]) -> np.ndarray:
+    """1 for each word with a form that is far more frequent in toxic documents, else 0; docs hold word numbers.
 
-    marks = {f for f in seen[1] if strong(f)}
-    return {w for words, y in zip(docs, toxic) if y for w in set(words) if marks.intersection(forms(w))}
+    Copies count once, so that the words of a much-copied toxic text do not stand out.
+    """
+    first_of = originals(docs)
+    docs, toxic = [d for d, ok in zip(docs, first_of) if ok], toxic[np.array(first_of)]
+    owner = [i for i, w in enumerate(vocab) for _ in forms(w)]
+    names = np.array([hash(f) for w in vocab for f in forms(w)], dtype=np.int64)
+    distinct, form = np.unique(names, return_inverse=True)
+    owner = np.array(owner, dtype=np.int32)
+    first = np.searchsorted(owner, np.arange(len(vocab) + 1))
+    seen = np.zeros((2, len(distinct)))
+    for ids, y in zip(docs, toxic):
+        own = [form[first[w] : first[w + 1]] for w in np.unique(ids)]
+        if own:
+            seen[int(y), np.unique(np.concatenate(own))] += 1
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    strong = (seen[1] >= 3) & (odds >= ODDS)
+    marks = np.zeros(len(vocab))
+    marks[owner[strong[form]]] = 1
+    return marks
 
 
 def fit(rows: list[tuple[str | None, int, float]]) -> Model:
     """rows: (text, toxic, weight); weight undoes the sampling of a class."""
     model = Model()
-    docs = [[w.lower() for w in WORD.findall(t or "")] for t, _, _ in rows]
+    vocab: dict[str, int] = {}
+    docs = [np.array([vocab.setdefault(w.lower(), len(vocab)) for w in WORD.findall(t or "")], dtype=np.int32) for t, _, _ in rows]
     toxic, weight = np.array([y for _, y, _ in rows], dtype=int), np.array([w for _, _, w in rows], dtype=float)
-    if not len(rows) or not any(docs) or toxic.min() == toxic.max():
+    if not len(rows) or not vocab or toxic.min() == toxic.max():
         share = np.clip(np.average(toxic, weights=weight) if len(rows) else 0.0, 1e-6, 1 - 1e-6)
         model.document = np.array([np.log(share / (1 - share)), 0.0, 0.0])
         return model
@@ -132,11 +155,8 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
     docs, toxic, weight = [docs[i] for i in order], toxic[order], weight[order]
     n = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    vocab: dict[str, int] = {}
-    ids = np.array([vocab.setdefault(w, len(vocab)) for d in docs for w in d], dtype=np.int64)
-    marks = np.zeros(len(vocab))
-    marks[[vocab[w] for w in toxic_words(docs, toxic)]] = 1
-    y = marks[ids] * np.repeat(toxic, n)
+    ids = np.concatenate(docs)
+    y = toxic_words(docs, toxic, list(vocab))[ids] * np.repeat(toxic, n)
     feats = np.array([features(w) for w in vocab], dtype=np.int64)
     # the chain is fitted on parts of 64 tokens, longest first
     cuts = np.concatenate([s + np.arange(0, k, 64) for s, k in zip(starts, n) if k] or [np.zeros(0, dtype=int)]).astype(int)
@@ -150,6 +170,8 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
     params = np.zeros(3 * size + 6)
     params[-1] = model.bias
     moment, square = np.zeros_like(params), np.zeros_like(params)
+    rate = np.full_like(params, 0.3)
+    rate[size : 3 * size] = 0.03  # neighbours only tilt a token
 
     def load(p: np.ndarray) -> None:
         model.own, model.before, model.after = p[:size], p[size : 2 * size], p[2 * size : 3 * size]
@@ -178,7 +200,7 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
         g[[size - 1, 2 * size - 1, 3 * size - 1]] = 0  # the bucket that pads short words
         moment = 0.9 * moment + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
-        params = params + 0.3 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+        params = params + rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
     load(params.copy())
     e = model.emissions(ids, starts[n > 0], *scores())
     *_, p = chain(e, starts, n, np.exp(model.trans), np.exp(model.first))
@@ -231,17 +253,17 @@ class Scorer:
         return score, spans
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> list[tuple[str, int, float]]:
-    """(text, toxic, weight) of labelled documents that do not count as held out, about sample[y] of each class."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> DataFrame:
+    """(doc_id, text, y, weight) of labelled documents that do not count as held out, about sample[y] of each class."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
     marks = marks.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     rate = {y: min(1.0, k / max(1, counts.get(y, 0))) for y, k in sample.items()}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
-    marks = marks.where(drawn < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [(r["text"], r["y"], 1 / rate[r["y"]]) for r in rows]
+    of_class = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
+    marks = marks.where(drawn < of_class).withColumn("weight", 1 / of_class)
+    # the drawn labels are about sum(sample.values()) rows however long the table is
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(marks), "doc_id")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,7 +319,16 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(training_rows(docs, labels, SAMPLE))
+    """Fit on the bounded sample, in one executor task; only the model reaches the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in it for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"] or ""))
+        model = fit([(r["text"], r["y"], r["weight"]) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    sample = training_rows(docs, labels, SAMPLE).repartition(1)
+    models = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else Model()
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
