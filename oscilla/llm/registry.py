@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, simhash, tokens, toxicity
+from . import decontam, langid, mixing, pii, simhash, tokens, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_pii": pii.op1_pii,
         "op2_simhash": simhash.op2_simhash,
         "op4_tokens": tokens.op4_tokens,
+        "op5_topk": topk.op5_topk,
         "op7_mixing": mixing.op7_mixing,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontam": decontam.op9_decontam,
@@ -24,4 +25,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_topk": topk.ORACLE,
+    }
