@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, simhash, tokens, topk, toxicity
+from . import decontam, langid, mixing, pii, simhash, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": simhash.op2_simhash,
         "op4_tokens": tokens.op4_tokens,
         "op5_topk": topk.op5_topk,
+        "op6_warc": warc.op6_warc,
         "op7_mixing": mixing.op7_mixing,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontam": decontam.op9_decontam,
@@ -27,4 +28,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_topk": topk.ORACLE,
+        "op6_warc": warc.ORACLE,
     }
