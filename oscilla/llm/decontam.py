@@ -117,7 +117,7 @@ class Matcher:
                 whole &= ids[i : len(words) - k + 1 + i] > 0
             at = np.flatnonzero(whole)
             code = self.codes(ids, at, k)
-            hit = np.isin(code, known)
+            hit = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
             by_length = defaultdict(list)
             for p, c in zip(at[hit].tolist(), code[hit].tolist()):
                 for n in self.owners[k][c]:
