@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, simhash, tokens, topk, toxicity, warc
+from . import decontam, langid, mixing, pii, simhash, suffix, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": pii.op1_pii,
         "op2_simhash": simhash.op2_simhash,
+        "op3_suffix": suffix.op3_suffix,
         "op4_tokens": tokens.op4_tokens,
         "op5_topk": topk.op5_topk,
         "op6_warc": warc.op6_warc,
