@@ -96,14 +96,14 @@ def sleep_metrics(stages: DataFrame, epoch_sec: float = 30) -> DataFrame:
     x = stages.join(F.broadcast(first), "recording_id")
     a = x.groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(asleep).alias("tst"), F.first("onset").alias("onset"), F.min("epoch").alias("e0"),
-        F.count_if(~asleep & (F.col("epoch") > F.col("onset"))).alias("waso"), F.min(F.when(F.col("stage") == "REM", F.col("epoch"))).alias("rem"),
+        F.count_if(~asleep & (F.col("epoch") > F.col("onset"))).alias("waso"), F.min(F.when(F.col("stage") == "REM", F.col("epoch"))).alias("rem_at"),
         *[F.count_if(F.col("stage") == s).alias(s) for s in ("N1", "N2", "N3", "REM", "W")],
     )
     pct = lambda c, of: F.when(F.col(of) > 0, 100.0 * F.col(c) / F.greatest(F.col(of), F.lit(1))).otherwise(0.0)
     rows = [
         ("total_sleep_time", F.col("tst") * m, "min"), ("sleep_efficiency", pct("tst", "n"), "%"),
         ("sleep_latency", F.coalesce(F.col("onset") - F.col("e0"), F.col("n")) * m, "min"), ("waso", F.col("waso") * m, "min"),
-        ("rem_latency", (F.col("rem") - F.col("onset")) * m, "min"), *[(f"pct_{s}", pct(s, "tst"), "%") for s in ("N1", "N2", "N3", "REM")], ("pct_W", pct("W", "n"), "%"),
+        ("rem_latency", (F.col("rem_at") - F.col("onset")) * m, "min"), *[(f"pct_{s}", pct(s, "tst"), "%") for s in ("N1", "N2", "N3", "REM")], ("pct_W", pct("W", "n"), "%"),
     ]
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for k, v, u in rows])).alias("x")
     return a.select("recording_id", made).select("recording_id", "x.metric", "x.value", "x.unit")

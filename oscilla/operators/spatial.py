@@ -45,11 +45,9 @@ def rereference(samples: DataFrame, ref_type: str = "average", refs: list[str] |
         w = distance_weights(positions, positions, floor=None)
         mixed = samples.alias("x").join(F.broadcast(w), F.col("x.label") == F.col("src"))
         ref = mixed.groupBy(*INSTANT, F.col("dst")).agg(F.sum(F.col("v") * F.col("w")).alias("ref"))
-        ref = ref.withColumnRenamed("dst", "label")
-        keys = [samples[c].eqNullSafe(ref[c]) for c in [*INSTANT, "label"]]
-        return samples.join(ref, [samples["s"] == ref["s"], samples["label"] == ref["label"], *keys[:2]]).select(
-            *[samples[c] for c in samples.columns if c != "v"], (samples["v"] - ref["ref"]).alias("v")
-        )
+        ref = ref.select(*[F.col(c).alias(f"_{c}") for c in INSTANT], F.col("dst").alias("_label"), F.col("ref").alias("_ref"))
+        on = (F.col("s") == F.col("_s")) & (F.col("label") == F.col("_label")) & F.col("recording_id").eqNullSafe(F.col("_recording_id")) & F.col("epoch").eqNullSafe(F.col("_epoch"))
+        return samples.join(ref, on).withColumn("v", F.col("v") - F.col("_ref")).drop("_recording_id", "_epoch", "_s", "_label", "_ref")
     if ref_type == "mastoids":
         present = {r[0] for r in samples.select("label").distinct().collect()}  # the channels of the montage
         refs = next((list(p) for p in (("M1", "M2"), ("A1", "A2"), ("TP9", "TP10")) if set(p) <= present), None)

@@ -22,8 +22,9 @@ def _labels(n: int) -> Column:
 
 def _grid(spark: SparkSession, n_time: int, n_channels: int, epochs: int | None = None) -> DataFrame:
     x = spark.range(1, n_time + 1).withColumnRenamed("id", "s")
-    x = x.withColumn("ch", F.explode(F.sequence(F.lit(1), F.lit(n_channels))).cast("int"))
-    x = x.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))).cast("int") if epochs else F.lit(None).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    x = x.withColumn("ch", upto(n_channels))
+    x = x.withColumn("epoch", upto(epochs) if epochs else F.lit(None).cast("int"))
     return x.withColumns({"recording_id": F.lit("r1"), "label": _labels(n_channels)})
 
 
@@ -105,7 +106,7 @@ def make_spikes(spark: SparkSession, n_time: int = 30_000, n_channels: int = 19,
     chans = F.array_distinct(F.transform(F.sequence(F.lit(0), (h(2) % 3).cast("int")), lambda i: ((first + i * 5 - 1) % n_channels + 1).cast("int")))
     spikes = spark.range(n_spikes).select((F.col("id") + 1).cast("int").alias("spike_id"), at.alias("sample"), ((at - 1) / sr).alias("time_sec"), chans.alias("channels"), (80 + 70 * h(3) / 1_000_003.0).alias("amp"))
     off = F.explode(F.sequence(F.lit(-rise), F.lit(fall)))
-    shape = spikes.select("sample", "amp", F.explode("channels").alias("ch"), off.alias("o"))
+    shape = spikes.select("sample", "amp", F.explode("channels").alias("ch")).select("sample", "amp", "ch", off.alias("o"))
     up = F.when(F.col("o") <= 0, F.pow(1 + F.col("o") / rise, 2)).otherwise(0.0)
     down = F.when(F.col("o") >= 0, F.exp(-3.0 * F.col("o") / fall)).otherwise(0.0)
     shape = shape.groupBy((F.col("sample") + F.col("o")).alias("s"), "ch").agg(F.sum(F.col("amp") * (up + down)).alias("add"))
