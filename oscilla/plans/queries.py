@@ -392,7 +392,7 @@ query("shrinkage_lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "ba
 query("signal_stack_frame", f"""WITH {SIGNAL_SQL}, o AS (SELECT label, row_number() OVER (ORDER BY min(ch)) AS i, count(*) OVER () AS k, stddev_samp(v) AS sd FROM sig GROUP BY label)
 SELECT label, {r(f'(s - 1) / {SR}')} AS time_sec, {r('v')} AS v, {r('v + (k - i) * 3 * sd')} AS shown FROM sig JOIN o USING (label) WHERE (s - 1) / {SR} BETWEEN 1 AND 4""")(lambda s, d: plots.signal_frame(signal(s, d), SR, time_range=(1, 4)))
 query("erp_ci_frame", f"""WITH {EPOCHED_SQL}, c AS (SELECT epoch, condition, s, avg(v) AS v FROM ep GROUP BY ALL), g AS (SELECT condition, s, avg(v) AS m, 1.959963984540054 * stddev_samp(v) / sqrt(count(*)) AS h FROM c GROUP BY ALL)
-SELECT condition, s, {r('m', 2)} AS mean, {r('m - h', 2)} AS low, {r('m + h', 2)} AS high FROM g""", 2)(lambda s, d: plots.erp_frame(epoched(s, d).drop("condition"), epoched(s, d).select("recording_id", "epoch", "condition").distinct()))
+SELECT condition, s, {r('m', 1)} AS mean, {r('m - h', 1)} AS low, {r('m + h', 1)} AS high FROM g""", 1)(lambda s, d: plots.erp_frame(epoched(s, d).drop("condition"), epoched(s, d).select("recording_id", "epoch", "condition").distinct()))
 _flat = ", ".join(f"('{k}', {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in FLAT_1020.items())
 query("topomap_grid", f"""WITH {TOPO_SQL}, fl(label, x, y) AS (VALUES {_flat}), va AS (SELECT x, y, avg(v) AS value FROM topo JOIN fl USING (label) GROUP BY x, y),
 ax AS (SELECT -1.0::DOUBLE + i * (2.0::DOUBLE / 39) AS g FROM (SELECT unnest(range(40)) AS i)), gr AS (SELECT a.g AS gx, b.g AS gy FROM ax a, ax b WHERE a.g * a.g + b.g * b.g <= 1),
