@@ -2,8 +2,8 @@
 
 Candidates are dealt into shards of bounded size by a hash of the id; a shard's task
 builds a ball tree over them. A node at centre c with radius r bounds a query's score
-by q.c + |q| r; nodes are visited in order of that bound and left out once it is below
-the query's current k-th score. Queries first search one shard; the k-th score found
+by q.c + |q| r; the queries of a block go down the tree together, nodes in order of that
+bound, and each leaves out the nodes whose bound is below its current k-th score. Queries first search one shard; the k-th score found
 there starts the search of all the others, so that most nodes fall at once. Queries
 are the stated set (ids divisible by `every`) and meet each shard in blocks; per query
 and shard at most k rows come back.
@@ -11,8 +11,6 @@ and shard at most k rows come back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,7 +40,7 @@ class BallTree:
         self.ids, self.x, self.real = ids, x, x.astype(np.float64)
         self.rows: list[np.ndarray] = []
         self.kids: list[tuple[int, int] | None] = []
-        centres, radii, least = [], [], []
+        centres, radii = [], []
         todo, parent = [(np.arange(len(ids)), -1, 0)], []
         while todo:
             rows, up, side = todo.pop()
@@ -56,7 +54,6 @@ class BallTree:
             self.kids.append(None)
             centres.append(centre)
             radii.append(away.max())
-            least.append(ids[rows].min())
             if len(rows) > LEAF and away.max() > 0:
                 far = own[away.argmax()]
                 line = own @ (far - own[((own - far) ** 2).sum(axis=1).argmax()])
@@ -66,54 +63,68 @@ class BallTree:
         for up, side, at in parent:
             a, b = self.kids[up]
             self.kids[up] = (at, b) if side == 0 else (a, at)
-        self.centres, self.radii, self.least = np.array(centres), np.array(radii), np.array(least)
+        self.centres, self.radii = np.array(centres), np.array(radii)
         self.peak = float(np.abs(self.real).max())
 
-    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.peak * float(np.abs(q).max()) * len(q) < EXACT:
-            return (self.real[rows] @ q.astype(np.float64)).astype(np.int64)  # exact in doubles
-        return self.x[rows] @ q
+    def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact inner products (query, row)."""
+        if self.peak * float(np.abs(q).max()) * q.shape[1] < EXACT:
+            return (q.astype(np.float64) @ self.real[rows].T).astype(np.int64)  # exact in doubles
+        return q @ self.x[rows].T
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vec_id, score) of each query's k best, ties to the smaller id, never its own.
 
-    def search(self, qid: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, vec_id) of the k best, ties to the smaller id, never the query's own; floor: a k-th score known already."""
+        The queries go down the tree together; a node is entered for those whose bound
+        still reaches their k-th score, which starts from floor.
+        """
         real = q.astype(np.float64)
-        norm = float(np.sqrt(real @ real))
-        dots = self.centres @ real
-        bound = dots + norm * self.radii
-        bound += 1e-9 * (np.abs(dots) + norm * (self.radii + np.sqrt((self.centres**2).sum(axis=1)))) + 1e-6
-        best_s, best_i = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        kth, last = floor, np.iinfo(np.int64).max
+        norm = np.sqrt((real**2).sum(axis=1))[:, None]
+        dots = real @ self.centres.T
+        size = np.sqrt((self.centres**2).sum(axis=1))[None]
+        bound = dots + norm * self.radii[None] + 1e-9 * (np.abs(dots) + norm * (self.radii[None] + size)) + 1e-6
+        best = np.tile(floor[:, None], (1, k))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         stack = [0]
         while stack:
             at = stack.pop()
-            # a node that can only tie with the k-th is of use if it holds a smaller id
-            if bound[at] < kth or (len(best_s) >= k and self.least[at] > last and np.floor(bound[at]) <= kth):
+            live = np.flatnonzero(bound[:, at] >= best[:, 0])
+            if not len(live):
                 continue
-            kids = self.kids[at]
-            if kids:
-                stack += sorted(kids, key=lambda c: bound[c])  # the larger bound is taken first
+            if self.kids[at]:
+                stack += sorted(self.kids[at], key=lambda c: bound[live, c].mean())  # the larger bound is taken first
                 continue
             rows = self.rows[at]
-            s, i = self.scores(rows, q), self.ids[rows]
-            use = (i != qid) & (s >= kth)
-            best_s, best_i = np.concatenate([best_s, s[use]]), np.concatenate([best_i, i[use]])
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[top], best_i[top]
-            if len(best_s) >= k and best_s[-1] >= kth:
-                kth, last = int(best_s[-1]), int(best_i[-1])
-        return list(zip(best_s.tolist(), best_i.tolist()))
+            s = self.scores(q[live], rows)
+            use = (s >= best[live, :1]) & (self.ids[rows][None] != qids[live][:, None])
+            i, j = np.nonzero(use)
+            if len(i):
+                found.append((live[i], self.ids[rows[j]], s[i, j]))
+                hit = np.unique(i)
+                own = np.where(use[hit], s[hit].astype(np.float64), -np.inf)
+                best[live[hit]] = np.partition(np.concatenate([best[live[hit]], own], axis=1), -k, axis=1)[:, -k:]
+                best[live[hit]] = np.sort(best[live[hit]], axis=1)
+        if not found:
+            z = np.zeros(0, dtype=np.int64)
+            return z, z, z
+        i, v, s = (np.concatenate(x) for x in zip(*found))
+        keep = s >= best[i, 0]
+        i, v, s = i[keep], v[keep], s[keep]
+        order = np.lexsort((v, -s, i))
+        i, v, s = i[order], v[order], s[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return qids[i[rank < k]], v[rank < k], s[rank < k]
 
 
 def in_shards(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
     """Best k of each query (query_id, q, n, floor, shard) in its shard (vec_id, v, n, shard)."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            tree = BallTree(right.vec_id.to_numpy(), np.stack(right.v.to_numpy()))
-            for qid, q, floor in zip(left.query_id, left.q, left["floor"]):
-                out += [(qid, i, s) for s, i in tree.search(qid, np.asarray(q, dtype=np.int64), k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "vec_id", "score")})
+        tree = BallTree(right.vec_id.to_numpy(), np.stack(right.v.to_numpy()))
+        got = tree.search(left.query_id.to_numpy(), np.stack(left.q.to_numpy()).astype(np.int64), k, left["floor"].to_numpy())
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
 
     held = shards.select("vec_id", "v", F.col("n").alias("rn"), F.col("shard").alias("rs"), F.col("block").alias("rb"))
     return queries.groupBy("n", "shard", "block").cogroup(held.groupBy("rn", "rs", "rb")).applyInPandas(run, OUT)
