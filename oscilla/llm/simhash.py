@@ -159,8 +159,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 def deduplicate(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component.
 
-    Repeated rows of one doc_id are all kept or all dropped. Rows with null doc_id stay
-    unless a row with an id is near them.
+    Repeated rows of one doc_id are all kept or all dropped; rows with null doc_id stay.
     """
     near = near_duplicates(docs.select("doc_id", "text"), radius)
     losers = near.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()

@@ -34,6 +34,28 @@ def test_stages_take_effect(spark):
     assert 0 < len(after) < len(before)
 
 
+def test_messy_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, h long, y int, weight array<int>"
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "a", 5, "x", 1, 1, [1]), (1, words, "en", "a", 5, "x", 1, 1, [1]), (2, None, None, None, None, None, None, None, None), (3, "", "en", None, 0, "", 0, 0, [])]
+    rows += [(None, words + " more", None, "b", 1, None, None, None, None), (4, words, "en", "b", 5, "x", 1, 1, [1]), (5, "z " * 100_000, "en", "a", 1, "x", 1, 1, [1]), (6, "call +1 (988) 555-2485 now", "en", "a", 1, "x", 1, 1, [1])]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, 0), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema.names == schema_names(schema), name
+        kept = docs.collect()
+        assert any(r["doc_id"] == 5 for r in kept) and any(r["doc_id"] is None for r in kept), name
+    assert not any(r["doc_id"] == 4 for r in kept) and [r["text"] for r in kept if r["doc_id"] == 6] == ["call [PHONE] now"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(kept)
+
+
+def schema_names(schema):
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def test_empty(spark):
     docs = read_table(spark, DATA, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
