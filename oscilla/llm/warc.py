@@ -11,6 +11,11 @@ split, then over the splits of a file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,28 +59,31 @@ def records(pages: DataFrame) -> DataFrame:
     return p.select(F.concat(head, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", compression).text(path)
+
+
+def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `local`, the bytes of the pieces before this one in its file split; pieces arrive in order."""
+    last, at = None, 0
+    for b in it:
+        if not b.num_rows:
+            continue
+        f, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+        size = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + len(MAGIC)
+        before = np.cumsum(size) - size
+        new = np.concatenate([[(f[0], part[0]) != last], (f[1:] != f[:-1]) | (part[1:] != part[:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(f)), -1))
+        local = np.where(first < 0, at + before, before - before[np.maximum(first, 0)])
+        last, at = (f[-1], part[-1]), int(local[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(local), b.column(2)], ["f", "part", "local", "body"])
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, off, body): what follows each magic at byte `off` of an archive."""
+    """(f, part, local, body): what follows each magic, by file, file split and place in the split."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body")
-    )
-    lines = materialize(lines, "pieces")
-    size = (F.octet_length("body") + len(MAGIC)).cast("long")
-    parts = lines.groupBy("file", "part").agg(F.sum(size).alias("size"))
-    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(size).over(within), F.lit(0))
-    placed = lines.withColumn("local", local).join(materialize(parts, "parts"), ["file", "part"])
-    placed = placed.select("file", (F.col("base") + F.col("local") - len(MAGIC)).alias("off"), "body")
-    out = materialize(placed.where("off >= 0"), "placed")
-    discard(lines)
-    return out
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("part"), F.col("value").alias("body"))
+    return materialize(lines.mapInArrow(place, "f long, part long, local long, body string"), "pieces", compression="zstd")
 
 
 def header(name: str) -> Column:
@@ -83,16 +91,16 @@ def header(name: str) -> Column:
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """(file, off) of the candidates on the chain from offset 0; nodes: (file, off, next)."""
-    jump = materialize(nodes.select("file", "off", "next"), "jump")
-    live = nodes.select("file", "off")
+    """(f, off) of the candidates on the chain from offset 0; nodes: (f, off, next)."""
+    jump = materialize(nodes.select("f", "off", "next"), "jump")
+    live = nodes.select("f", "off")
     found = materialize(live.where("off = 0"), "reach")
     size = found.count()
     while size:
-        step = found.join(jump, ["file", "off"]).select("file", F.col("next").alias("off"))
-        grown = materialize(found.union(step.join(live, ["file", "off"], "left_semi")).distinct(), "reach")
-        then = jump.select("file", F.col("off").alias("next"), F.col("next").alias("later"))
-        longer = materialize(jump.join(then, ["file", "next"]).select("file", "off", F.col("later").alias("next")), "jump")
+        step = found.join(jump, ["f", "off"]).select("f", F.col("next").alias("off"))
+        grown = materialize(found.union(step.join(live, ["f", "off"], "left_semi")).distinct(), "reach")
+        then = jump.select("f", F.col("off").alias("next"), F.col("next").alias("later"))
+        longer = materialize(jump.join(then, ["f", "next"]).select("f", "off", F.col("later").alias("next")), "jump")
         discard(found)
         n = grown.count()
         found, jump = grown, longer
@@ -103,26 +111,37 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, type, refers_to, digest, payload) of the true records of the archives under path."""
+    """(page_id, type, refers_to, digest, payload) of the true records of the archives under path.
+
+    Offsets, successors and chains are worked out on rows without bodies; bodies are
+    joined only with the pieces that are not whole records, which Spark broadcasts while
+    they are few and shuffles otherwise.
+    """
     every = pieces(spark, path)
+    key = ["f", "part", "local"]
     split = F.split("body", END, 2)
-    nodes = every.select("file", "off", split[0].alias("head"), F.size(split).alias("parts"))
+    thin = every.select(*key, F.octet_length("body").cast("long").alias("n"), split[0].alias("head"), F.size(split).alias("parts"))
     length = header("Content-Length")
     length = F.when((F.col("parts") == 2) & length.rlike(r"^\d{1,18}$"), length.cast("long"))
-    follow = F.col("off") + len(MAGIC) + F.octet_length("head") + len(END) + length + len(END)
-    nodes = materialize(nodes.select("file", "off", follow.alias("next")), "nodes")
+    thin = materialize(thin.select(*key, "n", (len(MAGIC) + F.octet_length("head") + len(END) + length + len(END)).alias("span")), "thin")
+    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = thin.groupBy("f", "part").agg(F.sum(F.col("n") + len(MAGIC)).alias("size"))
+    parts = materialize(parts.select("f", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "parts")
+    # what stands before a file's first magic is no candidate
+    off = F.col("base") + F.col("local") - len(MAGIC)
+    nodes = materialize(thin.join(parts, ["f", "part"]).select(*key, off.alias("off"), (off + F.col("span")).alias("next")).where("off >= 0"), "nodes")
     chain = reachable(nodes)
-    mark = nodes.select("file", "off").join(chain.withColumn("true", F.lit(True)), ["file", "off"], "left")
-    upto = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    mark = nodes.join(chain.withColumn("true", F.lit(True)), ["f", "off"], "left")
+    upto = Window.partitionBy("f").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("true"), F.col("off")), ignorenulls=True).over(upto)
-    mark = mark.select("file", "off", owner.alias("owner")).where("owner is not null")
-    mark = materialize(mark.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file", "owner"))), "owners")
-    owned = every.join(mark, ["file", "off"])
-    single = owned.where("n = 1").select("body")
+    mark = mark.select(*key, "off", owner.alias("owner"))
+    mark = mark.withColumn("n", F.when(F.col("owner").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("f", "owner"))).otherwise(0))
+    odd = materialize(mark.where("n <> 1"), "odd")
+    blank = thin.join(parts, ["f", "part"]).where((F.col("base") == 0) & (F.col("local") == 0)).select(*key)
+    single = every.join(odd.select(*key).union(blank), key, "left_anti").select("body")
     joined = F.concat_ws(MAGIC, F.transform(F.array_sort(F.collect_list(F.struct("off", "body"))), lambda x: x["body"]))
-    several = owned.where("n > 1").groupBy("file", "owner").agg(joined.alias("body")).select("body")
-    whole = single.union(several)
-    rows = whole.select(F.split("body", END, 2)[0].alias("head"), "body")
+    several = every.join(odd.where("n > 1"), key).groupBy("f", "owner").agg(joined.alias("body")).select("body")
+    rows = single.union(several).select(F.split("body", END, 2)[0].alias("head"), "body")
     start = F.octet_length("head") + len(END) + 1
     content = F.substring(F.col("body").cast("binary"), start, header("Content-Length").cast("int"))
     out = rows.select(header("WARC-Type").alias("type"), header("WARC-Payload-Digest").alias("d"), header("WARC-Record-ID").alias("i"), header("WARC-Refers-To").alias("r"), content.alias("payload"))
@@ -130,7 +149,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return out.select(number("i").alias("page_id"), "type", number("r").alias("refers_to"), F.regexp_replace("d", "^sha1:", "").alias("digest"), "payload")
 
 
-def round_trip(pages: DataFrame, path: str) -> DataFrame:
+def round_trip(pages: DataFrame, path: str, compression: str = "gzip") -> DataFrame:
     """Write pages to archives under path, read them back, one row for each page.
 
     Returns page_id, payload_bytes, payload_digest (SHA-1 of the full payload, lower-case
@@ -139,7 +158,7 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     a revisit of an equal payload that has an id; rows of one page_id each give a row, all responses where they tie for
     the largest; further columns are ignored; an empty table gives no rows.
     """
-    write_archives(pages, path)
+    write_archives(pages, path, compression)
     back = materialize(
         read_archives(pages.sparkSession, path).select(
             "page_id", "type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("own")

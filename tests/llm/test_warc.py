@@ -1,4 +1,5 @@
 import glob
+import gzip
 import hashlib
 
 import pytest
@@ -40,11 +41,12 @@ def test_round_trip(spark, tmp_path, split):
     try:
         if split:
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-        got = sorted((str(r[0]), r[1], r[2], r[3], str(r[4])) for r in warc.round_trip(pages, path).collect())
+        got = sorted((str(r[0]), r[1], r[2], r[3], str(r[4])) for r in warc.round_trip(pages, path, "none" if split else "gzip").collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == brute(rows())
-    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/out/part-*")))
+    files = sorted(glob.glob(f"{tmp_path}/out/part-*"))
+    data = b"".join((open if split else gzip.open)(f, "rb").read() for f in files)
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
