@@ -6,7 +6,7 @@ stand. Only minimisers that two different texts share are followed up: the run o
 50-byte windows around such a minimiser is a segment of at most 2 * 50 - k bytes.
 Equal segments are merged before they are dealt to shards by minimiser, so a passage
 repeated without end is one row. A shard's suffixes are sorted by induction: types
-and LMS suffixes, LMS order by refining ranks word by word to 50 bytes, then the two inducing
+and LMS suffixes, LMS order by their first 50 values, then the two inducing
 sweeps through one queue per leading byte, whose arrays go to the task's own disk
 beyond QUEUE_BYTES. Neighbours in that order that agree on 50 bytes form a class; its
 smallest doc_id decides which windows each segment, and so each document, loses.
@@ -171,25 +171,10 @@ def suffix_order(text: np.ndarray, folder: str) -> np.ndarray:
 
 
 def lms_order(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Order of LMS suffixes by at least LENGTH values: ranks refined by words of seven values."""
-    padded = np.concatenate([text, np.zeros(LENGTH + 8, dtype=text.dtype)]).astype(np.uint64)
-    names = np.zeros(len(lms), dtype=np.uint64)
-    for i in range(7):  # values are below 257: seven make a word
-        names = names * np.uint64(257) + padded[lms + i]
-    depth = 7
-    rank = np.unique(names, return_inverse=True)[1]
-    while depth < LENGTH:  # further words refine the rank
-        more = np.zeros(len(lms), dtype=np.uint64)
-        for i in range(7):
-            more = more * np.uint64(257) + padded[np.minimum(lms + depth + i, len(padded) - 1)]
-        pair = np.lexsort((more, rank))
-        new = np.concatenate([[False], (rank[pair][1:] != rank[pair][:-1]) | (more[pair][1:] != more[pair][:-1])])
-        rank = np.empty(len(lms), dtype=np.int64)
-        rank[pair] = np.cumsum(new)
-        depth += 7
-        if rank.max() == len(lms) - 1:
-            break
-    return np.argsort(rank, kind="stable")
+    """Order of LMS suffixes by their first LENGTH values, read as big-endian strings."""
+    wide = np.concatenate([text, np.zeros(LENGTH, dtype=text.dtype)]).astype(">u2")
+    rows = np.lib.stride_tricks.as_strided(wide, (len(text), LENGTH), (2, 2))[lms]
+    return np.argsort(np.ascontiguousarray(rows).view(f"S{2 * LENGTH}").ravel(), kind="stable")
 
 
 def least_owners(segs: list[bytes], least: np.ndarray, folder: str) -> list[np.ndarray]:
