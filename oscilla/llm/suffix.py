@@ -8,7 +8,8 @@ Equal segments are merged before they are dealt to shards by minimiser, so a pas
 repeated without end is one row. A shard's suffixes are sorted by induction: types
 and LMS suffixes, LMS order by their first 50 values, then the two inducing
 sweeps through one queue per leading byte, whose arrays go to the task's own disk
-beyond QUEUE_BYTES. Neighbours in that order that agree on 50 bytes form a class; its
+beyond QUEUE_BYTES. Segments that agree with no other on the bytes beside the minimiser
+that any shared 50-byte string would hold need no sorting. Neighbours in that order that agree on 50 bytes form a class; its
 smallest doc_id decides which windows each segment, and so each document, loses.
 """
 
@@ -24,31 +25,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import discard, materialize, read_table
 
 LENGTH = 50
 K = 20
 WINDOW = LENGTH - K + 1  # k-byte strings in a 50-byte string
-SHARD_BYTES = 4 << 20  # segment bytes of a shard, on average
+EDGE = 15  # half of the bytes beside the minimiser in a 50-byte string
+SHARD_BYTES = 1 << 20  # segment bytes of a shard, on average
 QUEUE_BYTES = 256 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id: larger than any
 SLICE = 1 << 20
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end) as one number."""
+    words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data), 8), (1, 1))
+    return np.ascontiguousarray(words).view("<u8").ravel()
+
+
+def gram_hashes(w: np.ndarray) -> np.ndarray:
+    """Hash of the K bytes from each place on; w: words_at() of at least K bytes."""
+    m = len(w) - K + 1
+    h = (w[:m] ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32)) ^ w[8 : 8 + m]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29)) ^ w[K - 8 : K - 8 + m]) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
+
 def minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, windows) of each maximal run of 50-byte windows with one minimiser.
 
     The leftmost of equal least hashes is taken. data: uint8, at least LENGTH long.
     """
-    n = len(data)
-    words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (n, 8), (1, 1))
-    w = np.ascontiguousarray(words).view("<u8").ravel()
-    m = n - K + 1
-    h = (w[:m] ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(32)) ^ w[8 : 8 + m]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(29)) ^ w[K - 8 : K - 8 + m]) * np.uint64(0x165667B19E3779F9)
-    h ^= h >> np.uint64(32)
-    least, width = h, 1
+    least, width = gram_hashes(words_at(data)), 1
     while width < WINDOW:  # doubling: minimum of `width` hashes from each place
         step = min(width, WINDOW - width)
         least = np.minimum(least[:-step], least[step:])
@@ -177,6 +186,32 @@ def lms_order(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(rows).view(f"S{2 * LENGTH}").ravel(), kind="stable")
 
 
+def contested(h: np.ndarray, segs: list[bytes]) -> np.ndarray:
+    """Whether each segment may share a 50-byte window with another of its minimiser; never misses one.
+
+    Such a window holds EDGE bytes or more before the minimiser, or as many after it, so
+    both segments agree there. Where a minimiser stands more than once in a segment, all
+    of its segments count.
+    """
+    sizes = np.array([len(s) for s in segs])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    raw = np.frombuffer(b"\0".join(segs) + b"\0", dtype=np.uint8)
+    w = words_at(raw)
+    own = np.repeat(np.arange(len(segs)), sizes + 1)
+    at = np.flatnonzero(gram_hashes(w) == h.view(np.uint64)[own[: len(raw) - K + 1]])
+    at = at[at + K <= (starts + sizes)[own[at]]]
+    times = np.bincount(own[at], minlength=len(segs))
+    odd = np.isin(h, h[times != 1])
+    keep = odd & (pd.Series(h).duplicated(keep=False).to_numpy())
+    at = at[~odd[own[at]]]
+    for inside, first in ((at - starts[own[at]] >= EDGE, at - EDGE), (at + K + EDGE <= (starts + sizes)[own[at]], at + K)):
+        who, x = own[at[inside]], first[inside]
+        near = (w[x] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[x + EDGE - 8] * np.uint64(0xC2B2AE3D27D4EB4F))
+        key = (near ^ (near >> np.uint64(32))) * np.uint64(0x165667B19E3779F9) ^ h[who].view(np.uint64)
+        keep[who[pd.Series(key).duplicated(keep=False).to_numpy()]] = True
+    return keep
+
+
 def least_owners(segs: list[bytes], least: np.ndarray, folder: str) -> list[np.ndarray]:
     """For each segment, the smallest owner of each of its 50-byte windows among all segments."""
     sizes = np.array([len(s) for s in segs])
@@ -190,10 +225,10 @@ def least_owners(segs: list[bytes], least: np.ndarray, folder: str) -> list[np.n
     seg = np.repeat(np.arange(len(segs)), sizes + 1)
     room = np.repeat(starts + sizes, sizes + 1) - np.arange(len(text))
     order = order[room[order] >= LENGTH]
-    words = np.lib.stride_tricks.as_strided(np.concatenate([raw, np.zeros(8, np.uint8)]), (len(raw), 8), (1, 1))
+    words = words_at(raw)
     same = np.ones(max(0, len(order) - 1), dtype=bool)
     for off in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        w = np.ascontiguousarray(words[order + off]).view("<u8").ravel()
+        w = words[order + off]
         same &= w[1:] == w[:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, dtype=int)
     owner = np.full(len(text), LAST)
@@ -244,27 +279,41 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     shared = occurrences(rows, True).groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b"))
     shared = materialize(shared.where("a <> b").select("h"), "shared")
-    hits = materialize(occurrences(rows, False).join(shared, "h"), "hits")
-    wanted = hits.groupBy("key", "content").agg(F.collect_list(F.struct("h", "s", "c")).alias("at"))
-    cut = F.explode("at").alias("x")
+    hits = materialize(occurrences(rows, False).join(shared, "h"), "hits", compression="zstd")
+    wanted = materialize(hits.groupBy("key", "content").agg(F.collect_list(F.struct("h", "s", "c")).alias("at")), "wanted", compression="zstd")
+    discard(shared)
+    discard(hits)
     # one of several rows with one id and text is enough
-    segs = rows.join(materialize(wanted, "wanted"), ["key", "content"]).select("key", "content", "text", cut)
+    segs = rows.join(wanted, ["key", "content"]).select("key", "content", "text", F.explode("at").alias("x"))
     blob = F.encode("text", "UTF-8")
     segs = segs.select("key", "content", F.col("x.h").alias("h"), F.col("x.s").alias("s"), F.substring(blob, (F.col("x.s") + 1).cast("int"), (F.col("x.c") + (LENGTH - 1)).cast("int")).alias("seg"))
-    segs = materialize(segs, "segments")
-    owned = materialize(segs.groupBy("h", "seg").agg(F.min("key").alias("least")), "owned")
+    segs = materialize(segs, "segments", compression="zstd")
+    discard(wanted)
+    owned = segs.groupBy("h", "seg").agg(F.min("key").alias("least"), (F.max("key") > F.min("key")).alias("many"))
+    owned = materialize(owned, "owned", compression="zstd")
     total = owned.agg(F.sum(F.octet_length("seg"))).first()[0] or 0
     shards = max(1, round(total / SHARD_BYTES))
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
-        with tempfile.TemporaryDirectory() as folder:
-            mins = least_owners(group.seg.tolist(), group.least.to_numpy(), folder)
-        return pd.DataFrame({"h": group.h, "seg": group.seg, "mins": mins})
+        """Segments that lose bytes somewhere; mins is null where the segment's own least document owns all windows."""
+        segs, least, many = group.seg.tolist(), group.least.to_numpy(), group.many.to_numpy()
+        mins: list[np.ndarray | None] = [None] * len(segs)
+        if len(at := np.flatnonzero(contested(group.h.to_numpy(), segs))):
+            with tempfile.TemporaryDirectory() as folder:
+                for i, found in zip(at, least_owners([segs[i] for i in at], least[at], folder)):
+                    if found.min() < least[i]:
+                        mins[i] = found
+        some = many | np.array([m is not None for m in mins], dtype=bool)
+        out = group.loc[some, ["h", "seg", "least"]]
+        return out.assign(mins=[m for m, use in zip(mins, some) if use])
 
     dealt = owned.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    sorted_ = materialize(dealt.groupBy("shard").applyInPandas(sort, "h long, seg binary, mins array<long>"), "sorted")
-    pair = segs.join(sorted_, ["h", "seg"])
-    flags = F.transform("mins", lambda x: (x < F.col("key")).cast("int"))
+    sorted_ = dealt.groupBy("shard").applyInPandas(sort, "h long, seg binary, least long, mins array<long>")
+    sorted_ = materialize(sorted_, "sorted", compression="zstd")
+    discard(owned)
+    pair = segs.join(sorted_, ["h", "seg"]).where((F.col("least") < F.col("key")) | F.col("mins").isNotNull())
+    mins = F.coalesce("mins", F.array_repeat("least", F.octet_length("seg") - (LENGTH - 1)))
+    flags = F.transform(mins, lambda x: (x < F.col("key")).cast("int"))
     return pair.select("key", "content", "s", flags.alias("flags")).where(F.exists("flags", lambda x: x == 1))
 
 

@@ -79,3 +79,18 @@ def test_runs_in_slices(monkeypatch):
     h, s, c = suffix.runs(text)
     by_window = lambda h, c: np.repeat(h, c).tolist()
     assert by_window(h, c) == by_window(whole[0], whole[2])
+
+
+def test_contested_misses_nothing():
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randint(50, 400))) for _ in range(60)]
+    texts += [t[: rng.randint(20, 200)] + texts[i - 1][30:140] + t[-40:] for i, t in enumerate(texts)] + [b"ab" * 90, b"a" * 120 + texts[0]]
+    rows = sorted({(int(np.int64(np.uint64(h))) if h < 2**63 else int(h) - 2**64, t[s : s + c + 49]) for t in texts for h, s, c in zip(*(x.tolist() for x in suffix.runs(t)))})
+    h, segs = np.array([r[0] for r in rows]), [r[1] for r in rows]
+    held = {}
+    for i, s in enumerate(segs):
+        for j in range(len(s) - 49):
+            held.setdefault((h[i], s[j : j + 50]), set()).add(i)
+    want = {i for found in held.values() if len(found) > 1 for i in found}
+    keep = set(np.flatnonzero(suffix.contested(h, segs)).tolist())
+    assert want and want <= keep and len(keep) < len(segs)
