@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,7 +276,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, content, s, flags): flag i says that the window at s + i also starts in a smaller document."""
+    """(key, content, s, bits): bit i says that the window at s + i also starts in a smaller document."""
     rows = keyed(docs)
     shared = occurrences(rows, True).groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b"))
     shared = materialize(shared.where("a <> b").select("h"), "shared")
@@ -312,25 +313,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     sorted_ = materialize(sorted_, "sorted", compression="zstd")
     discard(owned)
     pair = segs.join(sorted_, ["h", "seg"]).where((F.col("least") < F.col("key")) | F.col("mins").isNotNull())
-    mins = F.coalesce("mins", F.array_repeat("least", F.octet_length("seg") - (LENGTH - 1)))
-    flags = F.transform(mins, lambda x: (x < F.col("key")).cast("int"))
-    return pair.select("key", "content", "s", flags.alias("flags")).where(F.exists("flags", lambda x: x == 1))
+    each = F.expr("aggregate(transform(mins, (x, i) -> if(x < key, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    every = F.expr(f"shiftleft(1L, octet_length(seg) - {LENGTH - 1}) - 1L")  # a segment has at most WINDOW windows
+    return pair.select("key", "content", "s", F.coalesce(each, every).alias("bits")).where("bits <> 0")
 
 
-def kept(text: str | None, at: list[tuple[int, list[int]]] | None, copy: bool) -> tuple[int, int, int, str]:
-    """n_bytes, n_removed, n_spans and kept_sha256 of a text whose windows in `at` repeat; a copy loses all."""
+def kept(text: str | None, s: np.ndarray, bits: np.ndarray, copy: bool) -> tuple[int, int, int, str]:
+    """n_bytes, n_removed, n_spans and kept_sha256 of a text; windows s + i with bit i set repeat; a copy loses all."""
     data = _utf8(text)
     n = len(data)
     if copy and n >= LENGTH:
         return n, n, 1, hashlib.sha256(b"").hexdigest()
-    if copy or not at:
+    if copy or not len(s):
         return n, 0, 0, hashlib.sha256(data).hexdigest()
-    edge = np.zeros(n + 1, dtype=np.int32)
-    for s, flags in at:
-        w = s + np.flatnonzero(flags)
-        np.add.at(edge, w, 1)
-        np.add.at(edge, w + LENGTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    row, i = np.nonzero(bits[:, None] >> np.arange(WINDOW) & 1)
+    first = np.zeros(n + 1, dtype=np.int32)
+    first[s[row] + i] = 1  # each window stands in one run
+    first[LENGTH:] -= first[:-LENGTH].copy()
+    gone = np.cumsum(first[:-1]) > 0
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return n, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()).hexdigest()
 
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     firsts = rows.groupBy("content").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", "first")
     firsts = materialize(firsts, "firsts")
-    lists = repeats(docs).groupBy("key", "content").agg(F.collect_list(F.struct("s", "flags")).alias("at"))
+    lists = repeats(docs).groupBy("key", "content").agg(F.collect_list(F.struct("s", "bits")).alias("at"))
     lists = materialize(lists, "lists")
     copies = rows.select("key", "content").join(firsts, "content").where(F.col("first") < F.col("key")).select("key", "content").distinct()
     marks = materialize(copies.withColumn("copy", F.lit(True)).join(lists, ["key", "content"], "full"), "marks")
@@ -356,8 +356,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys, texts, copy, at = (b.column(i).to_pylist() for i in range(4))
-            found = [kept(t, [(x["s"], x["flags"]) for x in a] if a else None, bool(c)) for t, c, a in zip(texts, copy, at)]
+            keys, texts, copy = (b.column(i).to_pylist() for i in range(3))
+            at = b.column(3)
+            flat = at.flatten()
+            s, bits = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "bits"))
+            ends = np.cumsum(pc.list_value_length(at).fill_null(0).to_numpy(zero_copy_only=False))
+            begins = np.concatenate([[0], ends[:-1]])
+            found = [kept(t, s[x:y], bits[x:y], bool(c)) for t, c, x, y in zip(texts, copy, begins, ends)]
             cols = [[None if k == LAST else k for k in keys], *([f[i] for f in found] for i in range(4))]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
