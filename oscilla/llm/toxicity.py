@@ -29,6 +29,7 @@ SLICE = 8 << 20
 MEMO = 1 << 19
 ODDS = 3.5  # log ratio of document frequencies from which a form marks toxic tokens
 STEPS = 40
+BLOCK = 1 << 18  # tokens whose arrays are held at once while fitting
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans string"
 
@@ -141,6 +142,27 @@ def toxic_words(docs: list[np.ndarray], toxic: np.ndarray, vocab: list[str]) ->
     return marks
 
 
+def gradient(model: Model, ids: np.ndarray, y: np.ndarray, cuts: np.ndarray, sizes: np.ndarray, m: np.ndarray, words: tuple, word: np.ndarray, g: np.ndarray) -> None:
+    """Add the log-likelihood's slopes over the sequences at `cuts` to word (role, word) and to g's last six."""
+    by = np.argsort(-sizes, kind="stable")
+    e = model.emissions(ids, cuts, *words)
+    a, b, p = chain(e, cuts[by], sizes[by], m, np.exp(model.first))
+    gap = y - p
+    inner = np.ones(len(ids), dtype=bool)
+    inner[cuts] = False
+    pairs = np.flatnonzero(inner)
+    for k, (at, who) in enumerate(((ids, gap), (ids[pairs - 1], gap[pairs]), (ids[pairs], gap[pairs - 1]))):
+        word[k] += np.bincount(at, weights=who, minlength=word.shape[1])
+    y0, y1 = y[pairs - 1].astype(float), y[pairs].astype(float)
+    x, z = a[pairs - 1], e[pairs] * b[pairs]
+    joint = np.stack([np.full(len(pairs), m[0, 0]), m[0, 1] * z, x * m[1, 0], x * m[1, 1] * z])
+    joint /= joint.sum(axis=0)
+    real = np.stack([(1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1])
+    g[-6:-2] += (real - joint).sum(axis=1)
+    g[-2] += gap[cuts].sum()
+    g[-1] += gap.sum()
+
+
 def fit(rows: list[tuple[str | None, int, float]]) -> Model:
     """rows: (text, toxic, weight); weight undoes the sampling of a class."""
     model = Model()
@@ -156,16 +178,13 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
     n = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     ids = np.concatenate(docs)
-    y = toxic_words(docs, toxic, list(vocab))[ids] * np.repeat(toxic, n)
+    y = (toxic_words(docs, toxic, list(vocab))[ids] * np.repeat(toxic, n)).astype(np.int8)
     feats = np.array([features(w) for w in vocab], dtype=np.int64)
     # the chain is fitted on parts of 64 tokens, longest first
     cuts = np.concatenate([s + np.arange(0, k, 64) for s, k in zip(starts, n) if k] or [np.zeros(0, dtype=int)]).astype(int)
     sizes = np.diff(np.append(cuts, len(ids)))
-    by = np.argsort(-sizes, kind="stable")
-    inner = np.ones(len(ids), dtype=bool)
-    inner[cuts] = False
-    pairs = np.flatnonzero(inner)
-    y0, y1 = y[pairs - 1], y[pairs]
+    edges = np.searchsorted(cuts, np.arange(0, len(ids), BLOCK)).tolist() + [len(cuts)]
+    blocks = [(x, z) for x, z in zip(edges, edges[1:]) if x < z]
     size = BUCKETS + 1
     params = np.zeros(3 * size + 6)
     params[-1] = model.bias
@@ -182,29 +201,28 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
 
     for step in range(1, STEPS + 1):
         load(params)
-        m = np.exp(model.trans)
-        e = model.emissions(ids, cuts, *scores())
-        a, b, p = chain(e, cuts[by], sizes[by], m, np.exp(model.first))
-        g = np.zeros_like(params)
-        gap = y - p
-        for k, (at, who) in enumerate(((ids, gap), (ids[pairs - 1], gap[pairs]), (ids[pairs], gap[pairs - 1]))):
-            word = np.bincount(at, weights=who, minlength=len(vocab))
-            g[k * size : (k + 1) * size] = np.bincount(feats.ravel(), weights=np.repeat(word, feats.shape[1]), minlength=size)
-        x, z = a[pairs - 1], e[pairs] * b[pairs]
-        joint = np.stack([np.full(len(pairs), m[0, 0]), m[0, 1] * z, x * m[1, 0], x * m[1, 1] * z])
-        joint /= joint.sum(axis=0)
-        real = np.stack([(1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1])
-        g[-6:-2] = (real - joint).sum(axis=1)
-        g[-2], g[-1] = gap[cuts].sum(), gap.sum()
+        m, words = np.exp(model.trans), scores()
+        g, word = np.zeros_like(params), np.zeros((3, len(vocab)))
+        for x, z in blocks:
+            low, high = cuts[x], cuts[z] if z < len(cuts) else len(ids)
+            gradient(model, ids[low:high], y[low:high], cuts[x:z] - low, sizes[x:z], m, words, word, g)
+        for k in range(3):
+            g[k * size : (k + 1) * size] = np.bincount(feats.ravel(), weights=np.repeat(word[k], feats.shape[1]), minlength=size)
         g = g / max(1.0, y.sum()) - 1e-4 * params
         g[[size - 1, 2 * size - 1, 3 * size - 1]] = 0  # the bucket that pads short words
         moment = 0.9 * moment + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         params = params + rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
     load(params.copy())
-    e = model.emissions(ids, starts[n > 0], *scores())
-    *_, p = chain(e, starts, n, np.exp(model.trans), np.exp(model.first))
-    x = summary(p, starts, n)
+    m, words, first, parts = np.exp(model.trans), scores(), np.exp(model.first), []
+    edges = np.searchsorted(starts, np.arange(0, len(ids), BLOCK)).tolist() + [len(n)]
+    for i, j in zip(edges, edges[1:]):
+        if i < j:
+            low, k = starts[i], n[i:j]
+            own = starts[i:j] - low
+            e = model.emissions(ids[low : low + k.sum()], own[k > 0], *words)
+            parts.append(summary(chain(e, own, k, m, first)[2], own, k))
+    x = np.concatenate(parts)
     w = np.array([-3.0, 0.0, 0.0])
     for _ in range(25):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
