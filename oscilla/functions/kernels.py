@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 EPS = 2.220446049250313e-16
+DENSE = 1024  # samples up to which tapers come from the whole matrix
 
 
 # --- finite impulse response -------------------------------------------------
@@ -139,12 +140,26 @@ def morlet(x: np.ndarray, sr: float, freqs: list[float], n_cycles: float, align:
 
 
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
-    """k Slepian tapers (taper, n), first element not negative."""
+    """k Slepian tapers (taper, n), first element not negative.
+
+    Long tapers are smooth, so they are solved for in the span of orthonormal polynomials:
+    less a constant, the tridiagonal matrix is minus the weighted differences of neighbours
+    and minus a parabola, which keeps full precision.
+    """
     w = nw / n
     i = np.arange(n)
-    diag = ((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * w)
     off = i[1:] * (n - i[1:]) / 2
-    values, vectors = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
+    terms = 64 + 8 * math.ceil(nw)
+    if n <= max(DENSE, 4 * terms):
+        diag = ((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * w)
+        values, vectors = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
+    else:
+        x = (2 * i - (n - 1)) / (n - 1)
+        base, _ = np.linalg.qr(np.polynomial.legendre.legvander(x, terms - 1))
+        steps = np.diff(base, axis=0)
+        well = 2 * math.sin(math.pi * w) ** 2 * ((n - 1 - 2 * i) / 2) ** 2
+        values, vectors = np.linalg.eigh(-(steps.T * off) @ steps - (base.T * well) @ base)
+        vectors = base @ vectors
     top = vectors[:, np.argsort(-values)[:k]].T
     return np.where(top[:, :1] < 0, -top, top)
 

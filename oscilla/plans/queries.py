@@ -225,7 +225,7 @@ _bands = ", ".join(f"('{b}', {x}, {y})" for b, (x, y) in clinical.BANDS.items())
 query("qeeg", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', N_W, N_W // 2, N_W // 2)}, psd AS (SELECT ch, label, freq, avg(re * re + im * im) / ({SR} * {timefreq.window_energy('hanning', N_W)!r}) AS p FROM sp GROUP BY ALL),
 bd(band, low, high) AS (VALUES {_bands}), a AS (SELECT ch, label, band, sum(CASE WHEN freq BETWEEN low AND high THEN p ELSE 0 END) AS p FROM psd, bd GROUP BY ALL)
 SELECT ch, label, band, {r('p', 3)} AS absolute_power, {r('p / sum(p) OVER (PARTITION BY ch)', 3)} AS relative_power FROM a""", 3)(lambda s, d: clinical.qeeg(signal(s, d), SR))
-# whole-signal spectra are compared on the first 512 samples, where a plain DFT is quick
+# whole-signal spectra with oracle SQL are compared on the first 512 samples, where a plain DFT is quick
 SHORT = f"WITH {SIGNAL_SQL}, sh AS (SELECT * FROM sig WHERE s <= 512), {_dft_sql('sh', 'ch, label', 512, 512, 257, '1.0')}, pg AS (SELECT ch, label, freq, (re * re + im * im) / 512 AS p FROM sp)"
 
 
@@ -247,8 +247,8 @@ query("slowing_dtar", f"""{SHORT}, b AS (SELECT ch, ({_sum(1, 4)} + {_sum(4, 8)}
 SELECT ch AS channel, 'dtar' AS metric, {r('v')} AS value, CASE WHEN v < 1 THEN 'normal' WHEN v < 2 THEN 'mild_slowing' WHEN v < 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(_short(s, d), SR, "dtar"))
 query("slowing_peak", f"""{SHORT}, b AS (SELECT ch, arg_max(freq, p) AS v FROM pg WHERE freq BETWEEN 1 AND 30 GROUP BY ch)
 SELECT ch AS channel, 'peak_frequency' AS metric, {r('v')} AS value, CASE WHEN v >= 8 THEN 'normal' WHEN v >= 6 THEN 'mild_slowing' WHEN v >= 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(_short(s, d), SR, "peak_frequency"))
-query("multitaper")(lambda s, d: timefreq.multitaper(_short(s, d), SR))
-query("morlet")(lambda s, d: timefreq.wavelet(_short(s, d), SR, [4, 10, 20]))
+query("multitaper")(lambda s, d: timefreq.multitaper(signal(s, d), SR))
+query("morlet")(lambda s, d: timefreq.wavelet(signal(s, d), SR, [4, 10, 20]))
 query("ersp")(lambda s, d: timefreq.ersp(epoched(s, d), SR, [8, 16]))
 query("itc")(lambda s, d: timefreq.itc(epoched(s, d), SR, [8, 16]))
 

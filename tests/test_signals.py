@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from oscilla.functions import kernels
 from oscilla.functions.columns import SAMPLES
 from oscilla.operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
+from oscilla.plans import queries
 from oscilla.plans.pipeline import preprocess
 from oscilla.sources import generators
 from oscilla.sources.electrodes import SYSTEM_1020, electrodes
+from oscilla.sources.views import SR, signal
 
 
 def samples(spark, data, labels=None, epoch=False):
@@ -177,6 +179,39 @@ def test_tapers_and_multitaper(spark):
     assert abs(psd.orderBy(F.desc("psd")).first()["freq"] - 20) <= 1.5
 
 
+def test_long_tapers():
+    def dense(n, nw, k):
+        i = np.arange(n)
+        off = i[1:] * (n - i[1:]) / 2
+        m = np.diag(((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * nw / n)) + np.diag(off, 1) + np.diag(off, -1)
+        return np.linalg.eigh(m)[1][:, ::-1][:, :k].T
+
+    for n, nw, k in ((1500, 4, 7), (1501, 2.5, 4), (1500, 12, 23)):
+        w = kernels.dpss(n, nw, k)
+        assert np.allclose(np.abs((w * dense(n, nw, k)).sum(axis=1)), 1, atol=1e-12) and np.allclose(w @ w.T, np.eye(k), atol=1e-9)
+    n, w = 20_000, kernels.dpss(20_000, 4, 7)
+    i = np.arange(n)
+    off, v = i[1:] * (n - i[1:]) / 2, ((n - 1 - 2 * i) / 2) ** 2 * math.cos(8 * math.pi / n)
+    for row in w:
+        out = v * row
+        out[1:] += off * row[:-1]
+        out[:-1] += off * row[1:]
+        assert np.abs(out - (row @ out) * row).max() < 1e-11 * n * n
+
+
+def test_spectra_without_an_oracle_take_the_whole_signal(spark):
+    """multitaper and morlet against NumPy on every sample of every channel."""
+    d = "/root/testdata/sf0.01"
+    x = signal(spark, d).toPandas().sort_values("s")
+    psd, power = (queries.QUERIES[q](spark, d).toPandas() for q in ("multitaper", "morlet"))
+    for label, one in x.groupby("label"):
+        v = one.v.to_numpy()
+        got = psd[psd.label == label].sort_values("freq").psd.to_numpy()
+        assert np.allclose(got, (np.abs(np.fft.rfft(kernels.dpss(len(v), 4, 7) * v, axis=1)) ** 2).mean(axis=0) / SR, atol=1e-3)
+        got = power[(power.label == label) & (power.freq == 10)].sort_values("s").power.to_numpy()
+        assert len(got) == len(v) > 512 and np.allclose(got, np.abs(kernels.morlet(v, SR, [10.0], 7)[0]) ** 2, atol=1e-3)
+
+
 def test_coupling(spark):
     n, t = 2500, np.arange(2500) / 250
     wave, noise = np.sin(2 * np.pi * 10 * t), RNG.normal(size=(n, 2))
