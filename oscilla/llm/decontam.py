@@ -2,7 +2,8 @@
 
 A document holds an item if some window of as many words as the item has a weighted
 five-word-shingle similarity (sum of smaller over sum of larger multiplicities) of
-0.8 or more with it. Such a window shares a shingle with the item, so only windows
+0.8 or more with it; a document with fewer words than the item is one window as a whole,
+fingerprinted at its own length. Such a window shares a shingle with the item, so only windows
 over shared shingles are fingerprinted, from prefix sums of the shingles' bits. A
 multi-index over eight blocks of the fingerprint returns every item within the
 radius (one of eight blocks holds at most an eighth of the differing bits), and the
@@ -106,8 +107,8 @@ class Matcher:
             code = (code ^ (ids[at + i] * WEIGHTS[i])) * WEIGHTS[0] + np.uint64(i)
         return code
 
-    def part(self, words: list[str]) -> Iterator[tuple[int, float, int, int]]:
-        """(item_id, similarity, hamming, start) of windows that hold an item."""
+    def part(self, words: list[str], whole_text: bool) -> Iterator[tuple[int, float, int, int]]:
+        """(item_id, similarity, hamming, start) of windows that hold an item; a whole text is a window for longer items too."""
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), dtype=np.uint64, count=len(words))
         for k, known in self.known.items():
             if len(words) < k:
@@ -124,12 +125,15 @@ class Matcher:
                     by_length[n].append(p)
             for n, anchors in by_length.items():
                 if len(words) < n:
+                    if whole_text and (len(words) - k + 1) / (n - k + 1) >= SIMILARITY:
+                        yield from self.windows(words, k, n, np.array([0]))
                     continue
                 starts = np.unique(np.clip(np.array(anchors)[:, None] - np.arange(n - k + 1), 0, len(words) - n))
                 yield from self.windows(words, k, n, starts)
 
     def windows(self, words: list[str], k: int, n: int, starts: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         index, group = self.groups[k, n]
+        n = min(n, len(words))
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
             low = int(run[0])
             hashes = shingle_hashes(words[low : int(run[-1]) + n], k)
@@ -147,7 +151,7 @@ class Matcher:
         best: dict[int, tuple[int, float, int, int]] = {}
         step = max(SLICE, 2 * self.longest)
         for at in range(0, max(1, len(words)), step):
-            for item, like, far, s in self.part(words[at : at + step + self.longest]):
+            for item, like, far, s in self.part(words[at : at + step + self.longest], len(words) <= step):
                 new = (item, like, far, at + s)
                 if item not in best or (-new[1], new[3]) < (-best[item][1], best[item][3]):
                     best[item] = new
@@ -167,6 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, similarity, hamming, start_word): each item a document holds.
 
     One row per document row and item, for its best window; clean documents give none.
+    A document with fewer words than the item is compared as a whole (start_word 0).
     Words are runs of letters, digits and underscores in lower case. Items with fewer
     than five words match as their whole sequence; items without words, null items and
     null ids match nothing; null and empty texts hold nothing; items of one id are taken

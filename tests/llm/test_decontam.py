@@ -84,3 +84,39 @@ def test_index_returns_all_within_the_radius():
             fp ^= np.uint64(1) << np.uint64(b)
         want = [(int(i), int(x)) for i, x in enumerate(np.bitwise_count(prints ^ fp)) if x <= decontam.RADIUS]
         assert index.lookup(fp) == want
+
+
+def brute_whole(text, items):
+    """brute(), and texts shorter than an item as one window."""
+    words, out = decontam.words_of(text), brute(text, items)
+    for item_id, t in items:
+        item = decontam.words_of(t)
+        k = min(5, len(item))
+        if k <= len(words) < len(item):
+            own, w = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (item, words))
+            if (like := (own & w).total() / (own | w).total()) >= 0.8:
+                out.append((item_id, like, 0))
+    return sorted(out)
+
+
+def test_documents_shorter_than_the_item(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice([f"w{j}" for j in range(300)]) for _ in range(10 + 2 * i))) for i in range(40)] + [(90, "a b c"), (91, "x " * 30)]
+    docs = []
+    for i, t in items:
+        words = t.split()
+        for cut in (1, 2, 4, 9):
+            docs += [(i, " ".join(words[cut:])), (i, " ".join(words[:-cut]))]
+        docs.append((i, " ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :])))
+    fifty = [f"u{j}" for j in range(50)]
+    items, docs = [*items, (99, " ".join(fifty))], [*docs, (99, " ".join(fifty[:-1])), (98, " ".join(fifty[1:]))]
+    want = sorted((i, item, round(like, 9), s) for i, t in docs for item, like, s in brute_whole(t, items))
+    assert (99, 99, round(45 / 46, 9), 0) in want and not brute(docs[-1][1], items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r[0], r[1], round(r[2], 9), r[4]) for r in decontam.contaminated(d, b).collect()) == want
+    kept = sorted(map(tuple, decontam.decontaminate(d, b).collect()))
+    assert kept == sorted(x for x in docs if not brute_whole(x[1], items))
+    # the end of a long text is no whole text
+    monkeypatch.setattr(decontam, "SLICE", 8)
+    m, long = decontam.Matcher([(99, " ".join(fifty))]), " ".join(["z"] * 100 + fifty[:-1])
+    assert [h[3] for h in m.find(long)] == [99]
