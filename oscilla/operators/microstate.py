@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from ..functions.columns import islands
 from .ica import covariance
 
 BY = ["recording_id"]
-PEAKS = 20_000  # topographies at peaks that maps are clustered from (a bounded sample, by hash of the sample)
+ROUNDS = 100
 
 
 def field_power(samples: DataFrame) -> DataFrame:
@@ -30,41 +34,91 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(axis=-1, keepdims=True)), 1e-10)
 
 
-def kmeans_maps(topos: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    x = _unit(topos)
-    maps = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-    own = None
-    for _ in range(100):
-        new = np.abs(x @ maps.T).argmax(axis=1)
-        if own is not None and (new == own).all():
+def _sums(peaks: DataFrame, maps: np.ndarray, old: np.ndarray | None, first: np.ndarray | None) -> dict[int, tuple]:
+    """By state: first peak and its topography, or, given those, sums aligned to them; and the peaks whose state changed from old to maps.
+
+    Tasks hand on one row for each state, which is all that reaches the driver.
+    """
+    k, width = maps.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, total, moved = {}, np.zeros((k, width)), np.zeros(k, dtype=np.int64)
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            x = _unit(b.column(2).flatten().to_numpy().reshape(-1, width))
+            own = np.abs(x @ maps.T).argmax(axis=1)
+            if old is not None:
+                moved += np.bincount(own[np.abs(x @ old.T).argmax(axis=1) != own], minlength=k)
+            for j in np.unique(own).tolist():
+                at = np.flatnonzero(own == j)
+                if first is None:
+                    i = min(at.tolist(), key=keys.__getitem__)
+                    if j not in best or keys[i] < best[j][0]:
+                        best[j] = (keys[i], x[i])
+                else:
+                    total[j] += (x[at] * np.where(x[at] @ first[j] < 0, -1, 1)[:, None]).sum(axis=0)
+                    best[j] = (("", 0), total[j])
+        rows = [(j, *key, v.tolist(), int(moved[j])) for j, (key, v) in best.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("state", "recording_id", "s", "x", "moved"), r)) for r in rows], SUMS)
+
+    parts = peaks.mapInArrow(run, "state int, recording_id string, s long, x array<double>, moved long")
+    if first is None:
+        got = parts.groupBy("state").agg(F.min_by("x", F.struct("recording_id", "s")).alias("x"), F.sum("moved").alias("moved"))
+    else:
+        each = parts.select("state", F.posexplode("x").alias("i", "v")).groupBy("state", "i").agg(F.sum("v").alias("v"))
+        got = each.groupBy("state").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"), F.lit(0).alias("moved"))
+    return {r["state"]: (np.array(r["x"]), r["moved"]) for r in got.collect()}
+
+
+SUMS = pa.schema([("state", pa.int32()), ("recording_id", pa.string()), ("s", pa.int64()), ("x", pa.list_(pa.float64())), ("moved", pa.int64())])
+
+
+def kmeans_maps(peaks: DataFrame, k: int, seed: int = 42) -> np.ndarray:
+    """Maps of all peaks (recording_id, s, x): signs follow the first peak of a state; starts are k peaks drawn by place."""
+    drawn = np.random.default_rng(seed).choice(peaks.count(), k, replace=False).tolist()
+    places = peaks.select(*BY, "s").orderBy(*BY, "s").rdd.zipWithIndex().filter(lambda r: r[1] in drawn).collect()
+    keys = peaks.sparkSession.createDataFrame([(*row, drawn.index(i)) for row, i in places], "recording_id string, s long, place int")
+    maps = _unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
+    old = None
+    for _ in range(ROUNDS):
+        firsts = _sums(peaks, maps, old, None)
+        if old is not None and not sum(moved for _, moved in firsts.values()):
             break
-        own = new
-        for j in range(k):
-            m = x[own == j]
-            if len(m):
-                maps[j] = _unit((m * np.where(m @ m[0] < 0, -1, 1)[:, None]).mean(axis=0))
+        first = np.array([firsts[j][0] if j in firsts else maps[j] for j in range(k)])
+        sums = _sums(peaks, maps, None, first)
+        old, maps = maps, np.array([_unit(sums[j][0] / max(np.sqrt((sums[j][0] ** 2).sum()), 1e-10)) if j in sums else maps[j] for j in range(k)])
     return maps
 
 
 def merge_maps(topos: np.ndarray, k: int) -> np.ndarray:
-    """Agglomeration of the two most alike clusters until k are left."""
+    """Agglomeration of the two most alike clusters until k are left; each cluster keeps its best later partner."""
     x = _unit(topos)
-    sums, sizes = x.copy(), np.ones(len(x))
-    centres = x.copy()
-    like = np.abs(centres @ centres.T)
-    np.fill_diagonal(like, -1)
-    alive = np.ones(len(x), dtype=bool)
-    while alive.sum() > k:
-        i, j = np.unravel_index(int(np.triu(like, 1).argmax()), like.shape)
+    n = len(x)
+    sums, sizes, centres = x.copy(), np.ones(n), x.copy()
+    alive = np.ones(n, dtype=bool)
+    best, mate = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+
+    def seek(i: int) -> None:
+        row = np.abs(centres[i + 1 :] @ centres[i])
+        row[~alive[i + 1 :]] = -1
+        at = int(row.argmax()) if len(row) else 0
+        best[i], mate[i] = (row[at], i + 1 + at) if len(row) else (-1, 0)
+
+    for i in range(n):
+        seek(i)
+    for _ in range(n - k):
+        i = int(best.argmax())
+        j = int(mate[i])
         sums[i] += sums[j] * (-1 if centres[i] @ centres[j] < 0 else 1)
         sizes[i] += sizes[j]
-        alive[j] = False
-        like[j, :] = like[:, j] = -1
+        alive[j], best[j] = False, -1
         centres[i] = _unit(sums[i] / sizes[i])
-        row = np.abs(centres @ centres[i])
-        row[~alive] = -1
-        row[i] = -1
-        like[i, :] = like[:, i] = row
+        lost = np.flatnonzero(alive & ((mate == i) | (mate == j)) & (best >= 0))
+        now = np.abs(centres[:i] @ centres[i])
+        better = np.flatnonzero(alive[:i] & ((now > best[:i]) | ((now == best[:i]) & (i < mate[:i]))))
+        best[better], mate[better] = now[better], i
+        for r in {i, *lost.tolist()}:
+            seek(r)
     return centres[alive]
 
 
@@ -79,12 +133,17 @@ def microstates(samples: DataFrame, n_states: int = 4, method: str = "kmeans", m
         values, vectors = np.linalg.eigh(cov)
         maps = vectors[:, np.argsort(-values)[:n_states]].T
     elif method in ("kmeans", "aahc"):
-        some = top.orderBy(F.xxhash64("s"), "s").limit(PEAKS if method == "kmeans" else PEAKS // 20)
-        rows = samples.join(F.broadcast(some.select(*BY, "s")), [*BY, "s"]).groupBy(*BY, "s").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("x"))
-        got = rows.orderBy(*BY, "s").collect()
-        chans = [e["ch"] for e in got[0]["x"]]
-        topos = np.array([[e["v"] for e in r["x"]] for r in got])
-        maps = kmeans_maps(topos, n_states, seed) if method == "kmeans" else merge_maps(topos, n_states)
+        rows = samples.join(top.select(*BY, "s"), [*BY, "s"]).groupBy(*BY, "s").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            chans = [e["ch"] for e in rows.first()["x"]]
+            every = rows.select(*BY, "s", F.transform("x", lambda e: e["v"]).alias("x"))
+            if method == "kmeans":
+                maps = kmeans_maps(every, n_states, seed)
+            else:  # every pair of clusters counts, so all peaks meet in one place
+                got = every.toArrow().sort_by([(c, "ascending") for c in (*BY, "s")])
+                maps = merge_maps(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(chans)), n_states)
+        finally:
+            rows.unpersist()
     else:
         raise ValueError(f"unknown method {method!r}")
     table = samples.sparkSession.createDataFrame([(j + 1, int(c), float(maps[j, i])) for j in range(len(maps)) for i, c in enumerate(chans)], "state int, ch int, w double")

@@ -295,6 +295,51 @@ def test_microstates(spark):
         assert abs(r["p"] - 1) < 1e-9
 
 
+def peak_topographies(samples):
+    x = samples.toPandas().pivot(index="s", columns="ch", values="v").sort_index().to_numpy()
+    g = x.std(axis=1)
+    at = np.flatnonzero((g[1:-1] > g[:-2]) & (g[1:-1] >= g[2:]) & (g[1:-1] > np.quantile(g, 0.01))) + 1
+    return x[at] / np.linalg.norm(x[at], axis=1, keepdims=True)
+
+
+def noise(spark, n, channels):
+    sites = F.explode(F.sequence(F.lit(1), F.lit(channels))).alias("ch")
+    v = (F.pmod(F.xxhash64("s", "ch"), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias("v")
+    return spark.range(1, n + 1, numPartitions=3).select(F.lit("r1").alias("recording_id"), F.col("id").alias("s"), sites).select("*", v, F.col("ch").cast("string").alias("label"))
+
+
+def test_kmeans_maps_rest_on_all_peaks(spark):
+    df = noise(spark, 66_000, 3)
+    x = peak_topographies(df)
+    assert len(x) > 20_000
+    table, _ = microstate.microstates(df, 3, "kmeans")
+    maps = table.toPandas().pivot(index="state", columns="ch", values="w").to_numpy()
+    own = np.abs(x @ maps.T).argmax(axis=1)
+    for j in range(3):  # no round over all peaks changes them
+        m = x[own == j]
+        mean = (m * np.where(m @ m[0] < 0, -1, 1)[:, None]).mean(axis=0)
+        assert np.allclose(maps[j], mean / np.linalg.norm(mean), atol=1e-9)
+
+
+def test_merged_maps_rest_on_all_peaks(spark):
+    df = noise(spark, 3300, 4)
+    x = peak_topographies(df)
+    assert len(x) > 1000
+    sums, n = x.copy(), len(x)
+    centres, alive, like = x.copy(), np.ones(n, dtype=bool), np.triu(np.abs(x @ x.T), 1)
+    for _ in range(n - 4):
+        i, j = np.unravel_index(int(like.argmax()), like.shape)
+        sums[i] += sums[j] * (-1 if centres[i] @ centres[j] < 0 else 1)
+        centres[i] = sums[i] / np.linalg.norm(sums[i])
+        alive[j] = False
+        like[j, :] = like[:, j] = -1
+        row = np.where(alive, np.abs(centres @ centres[i]), -1)
+        like[i, i + 1 :], like[:i, i] = row[i + 1 :], row[:i]
+    table, _ = microstate.microstates(df, 4, "aahc")
+    maps = table.toPandas().pivot(index="state", columns="ch", values="w").to_numpy()
+    assert np.allclose(maps, centres[alive], atol=1e-9)
+
+
 @pytest.mark.parametrize("method", ["fastica", "jade", "infomax"])
 def test_components(spark, method):
     t = np.arange(1500) / 250
