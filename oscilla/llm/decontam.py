@@ -2,13 +2,20 @@
 
 A document holds an item if some window of as many words as the item has a weighted
 five-word-shingle similarity (sum of smaller over sum of larger multiplicities) of
-0.8 or more with it; a document with fewer words than the item is one window as a whole,
-fingerprinted at its own length. Such a window shares a shingle with the item, so only windows
-over shared shingles are fingerprinted, from prefix sums of the shingles' bits. A
-multi-index over eight blocks of the fingerprint returns every item within the
-radius (one of eight blocks holds at most an eighth of the differing bits), and the
-exact similarity decides. Benchmark items are the stated query set: they are taken in blocks of at
-most BLOCK items, and documents never shuffle.
+0.8 or more with it; a document with fewer words than the item is one window as a whole.
+Such a window shares a shingle with the item, so only windows over shared shingles are
+fingerprinted.
+
+A fingerprint is a row of 64-bit SimHash blocks; a shingle counts in the block its hash
+names, and a block holds CLASS shingles of the item on average. A window of similarity
+0.8 differs from an item of n shingles in at most SLACK * n of them, so in some block
+that the item fills it differs in at most SLACK times the item's shingles there, and
+there no bit can flip whose majority is larger than that. An item's radius in a block is
+thus the number of its open bits, and no pair within it is lost: the index holds an item
+in each block under all values of the sixteen bits with the fewest open ones, the other
+settled bits are compared next, and the exact similarity decides. Benchmark items are
+the stated query set: they are taken in blocks of bounded rows and bytes, and documents
+never shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +35,10 @@ from .common import read_table
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 24  # of 64 bits; similarity 0.8 gives about 10 differing bits
-BLOCK = 20_000
+SLACK = 2 * (1 - SIMILARITY) / (1 + SIMILARITY)  # shingles that differ, of an item's, at that similarity
+CLASS = 6  # an item's shingles in a block of the fingerprint, on average
+PART = 16  # bits of a block that the index enters
+BLOCK, BLOCK_BYTES = 20_000, 64 << 20  # items, and their text, of a block of the benchmark
 SLICE = 1 << 18  # words of a document handled at once
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long"
@@ -46,12 +55,27 @@ def shingle_hashes(words: list[str], k: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(r), 42) for r in rows], dtype=np.uint64)
 
 
-def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of n shingles from each start on."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0)])
-    ones = sums[starts + n] - sums[starts]
-    return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().astype(np.uint64)
+class Majorities:
+    """Ones less zeros of each bit over any run of shingles, for each block of the fingerprint."""
+
+    def __init__(self, hashes: np.ndarray, blocks: int):
+        own = ((hashes * WEIGHTS[0]) >> np.uint64(40)) % np.uint64(blocks)
+        order = np.argsort(own, kind="stable")
+        signs = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+        self.sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(signs, axis=0)])
+        self.base = np.searchsorted(own[order], np.arange(blocks, dtype=np.uint64))
+        self.places = np.split(order, self.base[1:])
+
+    def of(self, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(majority of each window, block and bit; shingles of each window and block) of n shingles from each start on."""
+        ends = [(np.searchsorted(p, starts) + b, np.searchsorted(p, starts + n) + b) for p, b in zip(self.places, self.base)]
+        low, high = (np.stack(x, axis=1) for x in zip(*ends))
+        return self.sums[high] - self.sums[low], high - low
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """uint64 of each 64 booleans along the last axis, first bit on top."""
+    return np.packbits(bits, axis=-1).view(">u8")[..., 0].astype(np.uint64)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -60,21 +84,50 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class MultiIndex:
-    """Items by fingerprint: eight blocks of eight bits, each entered under all values within 3 bits."""
-
-    def __init__(self, prints: np.ndarray):
-        values = np.arange(256, dtype=np.uint8)
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= RADIUS // 8
-        blocks = prints.astype(">u8").view(np.uint8).reshape(-1, 8)
-        self.prints = prints
-        self.tables = [[np.flatnonzero(near[v, blocks[:, b]]) for v in range(256)] for b in range(8)]
+    """Items of one size by the blocks of their fingerprints, entered under all values of their open bits."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.blocks = max(1, round(len(items[0]) / CLASS))
+        parts = [Majorities(h, self.blocks).of(np.array([0]), len(h)) for h in items]
+        most, size = np.concatenate([m for m, _ in parts]), np.concatenate([c for _, c in parts])
+        slack = np.floor(SLACK * size + 1e-9).astype(np.int64)[..., None]
+        open_ = np.where(most > 0, slack >= most, slack > -most)
+        self.prints, self.settled = packed(most > 0), packed(~open_)
+        free = open_.reshape(*size.shape, 64 // PART, PART)
+        best = free.sum(axis=-1).argmin(axis=-1)
+        codes, owners = [], []
+        for i, b in zip(*np.nonzero(size)):  # a block without shingles of the item says nothing
+            part = int(best[i, b])
+            mask = np.uint64(((1 << PART) - 1) << (64 - PART * (part + 1)))
+            values = np.array([int((self.prints[i, b] & self.settled[i, b] & mask) >> np.uint64(64 - PART * (part + 1)))])
+            for bit in np.flatnonzero(free[i, b, part]):
+                values = np.concatenate([values, values | (1 << (PART - 1 - int(bit)))])
+            codes.append(self.code(b, part, values))
+            owners.append(np.full(len(values), i))
+        codes, owners = np.concatenate(codes), np.concatenate(owners)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.owners = codes[order], owners[order]
 
-    def lookup(self, fp: np.uint64) -> list[tuple[int, int]]:
-        """(item, distance) of every item within the radius."""
-        parts = np.array([fp], dtype=">u8").view(np.uint8)
-        found = np.unique(np.concatenate([t[v] for t, v in zip(self.tables, parts)]))
-        far = np.bitwise_count(self.prints[found] ^ fp)
-        return [(int(i), int(d)) for i, d in zip(found, far) if d <= RADIUS]
+    @staticmethod
+    def code(block: np.ndarray | int, part: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+        return (np.int64(block) * (64 // PART) + part) * (1 << PART) + value
+
+    def entered(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, block) under which the index returns an item for a window's fingerprint."""
+        part = np.arange(64 // PART)
+        value = (prints[..., None] >> (64 - PART * (part + 1)).astype(np.uint64)) & np.uint64((1 << PART) - 1)
+        code = self.code(np.arange(self.blocks)[:, None], part, value.astype(np.int64)).reshape(len(prints), -1)
+        low, high = np.searchsorted(self.codes, code), np.searchsorted(self.codes, code, side="right")
+        w, c = np.nonzero(high > low)
+        n = (high - low)[w, c]
+        at = np.repeat(low[w, c] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(w, n), self.owners[at], np.repeat(c // len(part), n)
+
+    def lookup(self, prints: np.ndarray) -> np.ndarray:
+        """Rows (window, item) whose fingerprints agree in the settled bits of a block."""
+        w, i, b = self.entered(prints)
+        same = ((prints[w, b] ^ self.prints[i, b]) & self.settled[i, b]) == 0
+        return np.unique(np.stack([w[same], i[same]], axis=1), axis=0)
 
 
 class Matcher:
@@ -96,8 +149,7 @@ class Matcher:
         self.known = {k: np.array(sorted(v), dtype=np.uint64) for k, v in self.owners.items()}
         self.groups = {}
         for (k, n), group in by_size.items():
-            prints = np.array([window_fingerprints(h, np.array([0]), len(h))[0] for _, h, _ in group], dtype=np.uint64)
-            self.groups[k, n] = (MultiIndex(prints), [(i, c) for i, _, c in group])
+            self.groups[k, n] = (MultiIndex([h for _, h, _ in group]), [(i, c) for i, _, c in group])
         self.longest = max((n for _, n in self.groups), default=0)
 
     @staticmethod
@@ -135,15 +187,19 @@ class Matcher:
         index, group = self.groups[k, n]
         n = min(n, len(words))
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-            low = int(run[0])
+            low, size = int(run[0]), n - k + 1
             hashes = shingle_hashes(words[low : int(run[-1]) + n], k)
-            prints = window_fingerprints(hashes, run - low, n - k + 1)
-            for s, fp in zip(run.tolist(), prints):
-                near = index.lookup(fp)
-                own = Counter(hashes[s - low : s - low + n - k + 1].tolist()) if near else None
-                for item, far in near:
-                    if (like := similarity(own, group[item][1])) >= SIMILARITY:
-                        yield group[item][0], like, far, s
+            prints = packed(Majorities(hashes, index.blocks).of(run - low, size)[0] > 0)
+            # windows of the same shingles in another order are compared once
+            total = np.concatenate([[np.uint64(0)], np.cumsum((hashes ^ (hashes >> np.uint64(31))) * WEIGHTS[1], dtype=np.uint64)])
+            same = total[run - low + size] - total[run - low]
+            seen: dict[tuple[int, int], float] = {}
+            for w, i in index.lookup(prints).tolist():
+                key = (int(same[w]), i)
+                if key not in seen:
+                    seen[key] = similarity(Counter(hashes[run[w] - low : run[w] - low + size].tolist()), group[i][1])
+                    if seen[key] >= SIMILARITY:
+                        yield group[i][0], seen[key], int(np.bitwise_count(prints[w] ^ index.prints[i]).sum()), int(run[w])
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """The best window (most similar, then first) of each item the text holds."""
@@ -159,9 +215,10 @@ class Matcher:
 
 
 def matchers(benchmark: DataFrame) -> Iterator[Matcher]:
-    """One matcher for each block of the benchmark; a block is bounded by BLOCK items (about)."""
+    """One matcher for each block of the benchmark; a block holds about BLOCK items and BLOCK_BYTES of text at most."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    blocks = -(-items.count() // BLOCK)
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-n // BLOCK), -(-size // BLOCK_BYTES)) if n else 0
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         yield Matcher([tuple(r) for r in block.distinct().collect()])
@@ -175,7 +232,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters, digits and underscores in lower case. Items with fewer
     than five words match as their whole sequence; items without words, null items and
     null ids match nothing; null and empty texts hold nothing; items of one id are taken
-    each on its own; repeated rows repeat; further columns are ignored.
+    each on its own; repeated rows repeat; further columns, whatever their names, are
+    ignored. Very long texts are read in slices that overlap by the longest item. Of
+    windows equally similar to an item the first is taken. hamming counts the bits that
+    differ over all blocks of the two fingerprints.
     """
     found = None
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -74,16 +74,51 @@ def test_blocks_and_slices(spark, monkeypatch):
     assert sorted({i for i, *_ in m.find(long)}) == [i for i, *_ in brute(long, items)]
 
 
-def test_index_returns_all_within_the_radius():
+def test_two_word_cycles():
+    """Nine shingles of two kinds: a shift by one word turns every bit in which the two differ."""
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = rng.sample([f"v{i}" for i in range(1000)], 2)
+        item = " ".join(([a, b] * 7)[:13])
+        shifted = " ".join(([b, a] * 7)[:13])
+        assert [h[:2] for h in decontam.Matcher([(1, item)]).find(shifted)] == [(1, 0.8)]
+
+
+def test_no_loss_on_repetitive_short_and_edited_items():
+    rng = random.Random(11)
+    for vocab, rounds in ((2, 60), (4, 60), (12, 40), (200, 40)):
+        for _ in range(rounds):
+            words = [f"w{i}" for i in range(vocab)]
+            items = []
+            for i in range(6):
+                base = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+                items.append((i, " ".join((base * 30)[: rng.randint(1, 70)] if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(1, 70))])))
+            text = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+            for _, t in items:
+                part = t.split()
+                for _ in range(rng.randint(0, 1 + len(part) // 25)):
+                    at = rng.randrange(len(part) + 1)
+                    part[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+                text += part
+            got = [(i, round(like, 9), s) for i, like, _, s in decontam.Matcher(items).find(" ".join(text))]
+            assert got == [(i, round(like, 9), s) for i, like, s in brute_whole(" ".join(text), items)]
+
+
+def test_the_index_selects():
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    index = decontam.MultiIndex(prints)
-    for _ in range(40):
-        fp = prints[rng.integers(300)]
-        for b in rng.choice(64, 22, replace=False):
-            fp ^= np.uint64(1) << np.uint64(b)
-        want = [(int(i), int(x)) for i, x in enumerate(np.bitwise_count(prints ^ fp)) if x <= decontam.RADIUS]
-        assert index.lookup(fp) == want
+    for n in (9, 20, 46, 200):
+        items = [rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2000)]
+        index = decontam.MultiIndex(items)
+        other = decontam.packed(np.concatenate([decontam.Majorities(rng.integers(0, 2**63, n, dtype=np.uint64), index.blocks).of(np.array([0]), n)[0] for _ in range(50)]) > 0)
+        returned = {(w, i) for w, i, _ in zip(*map(np.ndarray.tolist, index.entered(other)))}
+        assert len(returned) < 0.1 * 50 * len(items)
+        # windows that differ from an item in as many shingles as 0.8 allows
+        for i in range(50):
+            swap = int(decontam.SLACK * n / 2 + 1e-9)
+            near = items[i].copy()
+            near[rng.choice(n, swap, replace=False)] = rng.integers(0, 2**63, swap, dtype=np.uint64)
+            fp = decontam.packed(decontam.Majorities(near, index.blocks).of(np.array([0]), n)[0] > 0)
+            assert [0, i] in index.lookup(fp).tolist()
 
 
 def brute_whole(text, items):
