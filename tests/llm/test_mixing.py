@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from oscilla.llm import mixing
@@ -44,3 +45,51 @@ def test_edges(spark):
     assert mixing.mix_documents(spark.createDataFrame(rows, schema), budget=1.0).count() >= 4
     assert mixing.mix_documents(spark.createDataFrame(rows[:1], schema)).count() == 1
     assert mixing.mix_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def direct(rows, targets, rounds=300):
+    """Raking document by document: weights whose word sums meet the targets."""
+    words = np.array([len(t.split()) for _, t, *_ in rows], dtype=float)
+    weight = np.ones(len(rows))
+    for _ in range(rounds):
+        for at, want in targets:
+            values = np.array([r[at] for r in rows])
+            for v, share in want.items():
+                weight[values == v] *= share * words.sum() / (weight * words)[values == v].sum()
+    return weight
+
+
+def many_sources():
+    rng = np.random.default_rng(1)
+    return [(i, "w " * int(rng.integers(1, 40)), f"s{min(int(rng.pareto(0.7) * 3), 99)}", f"l{int(rng.integers(20))}") for i in range(6000)]
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_every_source_and_language_meets_its_target(spark, monkeypatch, small):
+    """Over 64 sources and 16 languages, against raking of the documents themselves; in the driver and by joins."""
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rows = many_sources()
+    sources, langs = sorted({r[2] for r in rows}), sorted({r[3] for r in rows})
+    assert len(sources) > 64 and len(langs) > 16
+    targets = {"source": {v: 1.0 + i % 3 for i, v in enumerate(sources)}, "lang": {v: 1.0 for v in langs}}
+    share = {k: {v: x / sum(t.values()) for v, x in t.items()} for k, t in targets.items()}
+    want = direct(rows, [(2, share["source"]), (3, share["lang"])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix_documents(docs, targets, budget=0.5).toPandas()
+    assert got.mix_gap.max() < 1e-5
+    assert np.allclose(got.mix_weight, want[got.doc_id], rtol=1e-3)
+    words = np.array([len(t.split()) for _, t, *_ in rows], dtype=float)
+    scale = got.mix_probability / np.minimum(1, got.mix_weight * (got.mix_probability / got.mix_weight).max())
+    assert np.allclose(scale, 1)
+    c = (got.mix_probability / got.mix_weight).max()
+    assert np.isclose((np.minimum(1, c * want) * words).sum(), 0.5 * words.sum(), rtol=1e-3)
+
+
+def test_absent_targets_are_errors_and_gaps_are_told(spark):
+    rows = [(1, "a b", "x", "en"), (2, "c d", "y", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    with pytest.raises(ValueError, match="zz"):
+        mixing.mix_documents(docs, {"source": {"x": 0.5, "zz": 0.5}})
+    torn = {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": {0: 1.0}}
+    out = mixing.fit_mix(docs.withColumns({"mix_topic": F.lit(0), "mix_words": F.lit(2)}), torn)[0]
+    assert out.first()["mix_gap"] > 0.1
