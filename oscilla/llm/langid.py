@@ -2,14 +2,16 @@
 
 Each word of a document is a draw from one of the learned languages, whose
 likelihood is the product of its byte trigrams' (with both word ends). EM estimates
-the document's language proportions; nested sets of the leading languages are
-compared by likelihood less `penalty` * size * ln(words), and the best set's largest
-proportion names the document.
+the document's language proportions, to a tolerance; nested sets of the leading
+languages are compared by likelihood less `PENALTY` * size * ln(words), growing while
+that rises, and the best set's largest proportion names the document. Trigrams are
+counted where the texts lie; only counts reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,17 @@ from .common import held_out, read_table
 
 BUCKETS = 1 << 16
 SAMPLE = 1200  # expected documents a language that the likelihoods are learned from
+LANGUAGES = 400  # learned at most: the model is BUCKETS numbers for each
 SLICE = 4 << 20
-STEPS = 6
-SETS = 3
+STEPS, TOLERANCE = 200, 1e-4
 PENALTY = 1.0
-BREAKS = re.compile(r"[\W\d_]+")
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+BREAKS = re.compile(rf"[\W\d_{NUMERALS}]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 
 
 def words_of(text: str | None) -> str:
-    """Lower-case words with a space on both ends; '' if there is no letter."""
+    """Runs of letters (str.isalpha) in lower case with a space on both ends; '' if there is none."""
     inner = BREAKS.sub(" ", (text or "").lower()).strip()
     return f" {inner} " if inner else ""
 
@@ -43,31 +46,67 @@ def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint32(16)).astype(np.int32), np.flatnonzero(x[:-2] == 32)
 
 
+def count(text: str | None, into: np.ndarray) -> None:
+    """Add a text's trigrams to counts by bucket."""
+    if data := words_of(text).encode("utf-8", "surrogatepass"):
+        into += np.bincount(trigrams(data)[0], minlength=BUCKETS)
+
+
+def likelihoods(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages in order and log-likelihoods (bucket, language) of counts by bucket."""
+    langs = sorted(counts)
+    table = np.stack([counts[x] + 0.05 for x in langs], axis=1) if langs else np.full((BUCKETS, 1), 0.05)
+    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+
+
 def learn(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages in order and log-likelihoods (bucket, language) of (text, lang) rows."""
-    langs = sorted({lang for _, lang in rows})
-    counts = np.full((BUCKETS, max(1, len(langs))), 0.05)
+    """The model of (text, lang) rows."""
+    counts: dict[str, np.ndarray] = {}
     for text, lang in rows:
-        if data := words_of(text).encode("utf-8", "surrogatepass"):
-            counts[:, langs.index(lang)] += np.bincount(trigrams(data)[0], minlength=BUCKETS)
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        count(text, counts.setdefault(lang, np.zeros(BUCKETS)))
+    return likelihoods(counts)
 
 
 def mixtures(log_p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (document, language) and log-likelihood of the words log_p (word, language)."""
+    """Proportions (document, language) and log-likelihood of the words log_p (word, language).
+
+    A document takes part in the steps until none of its proportions moves by TOLERANCE.
+    """
     n = np.diff(np.append(starts, len(log_p)))
     top = log_p.max(axis=1, keepdims=True)
     p = np.exp(log_p - top)
     doc = np.repeat(np.arange(len(starts)), n)
     share = np.full((len(starts), log_p.shape[1]), 1.0 / log_p.shape[1])
-    for _ in range(STEPS):
-        r = share[doc] * p
+    live, own, at, first = np.arange(len(starts)), p, doc, starts
+    for _ in range(STEPS if log_p.shape[1] > 1 else 0):
+        r = share[at] * own
         r /= r.sum(axis=1, keepdims=True) + 1e-300
-        share = np.add.reduceat(r, starts) / n[:, None]
+        new = np.add.reduceat(r, first) / n[live, None]
+        moved = np.abs(new - share[live]).max(axis=1) >= TOLERANCE
+        share[live] = new
+        if not moved.any():
+            break
+        if not moved.all():
+            rows = np.repeat(moved, n[live])
+            live, own, at = live[moved], own[rows], at[rows]
+            first = np.cumsum(n[live]) - n[live]
     total = np.log((share[doc] * p).sum(axis=1) + 1e-300) + top[:, 0]
     return share, np.add.reduceat(total, starts)
 
 
+def word_likelihoods(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, log-likelihoods by language) of each word of data, whose words stand between spaces."""
+    buckets, starts = trigrams(data)
+    space = np.frombuffer(data, dtype=np.uint8)[1:-1] == 32
+    out = np.zeros((len(starts), table.shape[1]))
+    for low in range(0, len(buckets), SLICE):
+        values = table[buckets[low : low + SLICE]]
+        values[space[low : low + SLICE]] = 0  # those that reach into the next word
+        cut = np.unique(np.concatenate([[low], starts[(starts > low) & (starts < low + SLICE)]]))
+        out[np.searchsorted(starts, cut, side="right") - 1] += np.add.reduceat(values, cut - low, axis=0, dtype=np.float64)
+    return starts, out
+
+
 def infer(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
     """(lang_pred, score, languages of the chosen set, their shares) of each text."""
     out: list[tuple[str, float, list[str], list[float]]] = [("und", 0.0, [], [])] * len(texts)
@@ -75,31 +114,30 @@ def infer(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[
     if not marked:
         return out
     data = [w.encode("utf-8", "surrogatepass") for _, w in marked]
-    joined = b"".join(data)
-    buckets, starts = trigrams(joined)
     ends = np.cumsum([len(d) for d in data])
+    starts, spans = word_likelihoods(b"".join(data), table)
     # the space that closes one document starts no word
     closing = np.isin(starts, ends[:-1] - 1)
-    values = table[buckets]
-    values[np.frombuffer(joined, dtype=np.uint8)[1:-1] == 32] = 0  # those that reach into the next word
-    spans = np.add.reduceat(values, starts, axis=0, dtype=np.float64)[~closing]
-    starts = starts[~closing]
+    starts, spans = starts[~closing], spans[~closing]
     firsts = np.searchsorted(starts, ends - [len(d) for d in data])
     n = np.diff(np.append(firsts, len(starts)))
     share, _ = mixtures(spans, firsts)
     order = np.argsort(-share, axis=1, kind="stable")
     best, chosen, size = np.full(len(n), -np.inf), np.zeros_like(share), np.ones(len(n), dtype=int)
-    doc = np.repeat(np.arange(len(n)), n)
-    for k in range(1, min(SETS, len(langs)) + 1):
-        sub = np.take_along_axis(spans, order[doc, :k], axis=1)
-        part, like = mixtures(sub, firsts)
-        like -= PENALTY * k * np.log(n + 1.0)
-        better = like > best
-        best[better] = like[better]
-        size[better] = k
-        full = np.zeros_like(share)
-        np.put_along_axis(full, order[:, :k], part, axis=1)
-        chosen[better] = full[better]
+    live = np.arange(len(n))
+    for k in range(1, len(langs) + 1):
+        rows = np.isin(np.repeat(np.arange(len(n)), n), live)
+        sub = np.take_along_axis(spans[rows], np.repeat(order[live, :k], n[live], axis=0), axis=1)
+        part, like = mixtures(sub, np.cumsum(n[live]) - n[live])
+        like -= PENALTY * k * np.log(n[live] + 1.0)
+        better = like > best[live]
+        live, part = live[better], part[better]
+        if not len(live):
+            break
+        best[live], size[live], chosen[live] = like[better], k, 0
+        full = np.zeros((len(live), share.shape[1]))
+        np.put_along_axis(full, order[live, :k], part, axis=1)
+        chosen[live] = full
     for j, (i, _) in enumerate(marked):
         rank = np.argsort(-chosen[j], kind="stable")[: size[j]]
         shares = [float(min(1.0, x)) for x in chosen[j][rank]]
@@ -107,22 +145,40 @@ def infer(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[
     return out
 
 
-def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """Rows (text, lang) that do not count as held out, about per_language of each language."""
+def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """The model of rows that do not count as held out, about per_language of each language; their trigrams are counted in tasks."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = F.lit(0.0)
-    for lang, n in known.groupBy("lang").count().collect():
+    rate, sizes = F.lit(0.0), known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    for lang, n in sizes:
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
-    return [(r[0], r[1]) for r in known.where(drawn < rate).select("text", "lang").collect()]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for b in it:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                count(text, counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64)))
+        for lang, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
+
+    parts = known.where(drawn < rate).select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
+    sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
+    found = {lang: np.zeros(BUCKETS) for lang, _ in sizes}
+    for lang, at, n in zip(sums["lang"].to_pylist(), sums["bucket"].to_pylist(), sums["n"].to_pylist()):
+        found[lang][at] = n
+    return likelihoods(found)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, languages, shares.
 
-    Null texts and texts without a letter are `und` with score 0 and empty lists, as are
-    all if nothing was learned; ties go to the language first in order; repeated rows and
-    null doc_ids (held out) stay; an empty table gives no rows.
+    Null texts and texts without a letter (numerals and signs alone) are `und` with score
+    0 and empty lists, as are all if nothing was learned; ties go to the language first
+    in order; texts of any length count whole; repeated rows and null doc_ids (held out)
+    stay; further columns, whatever their names, are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -150,4 +206,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return identify(docs, learn(training_rows(docs, SAMPLE)))
+    return identify(docs, train(docs))

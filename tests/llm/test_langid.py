@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +42,64 @@ def test_held_out_accuracy(spark):
     got = langid.op10_langid(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n = got.where("held_out").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert right / n == pytest.approx(1, abs=0.03)
+
+
+@pytest.mark.parametrize("text", ["\u00bd", "\u00b2", "\u2460", "\u2167", "\u3007 12", "\u0664", "-- \u00be!"])
+def test_numerals_are_no_letters(text):
+    assert not any(c.isalpha() for c in text)
+    assert langid.infer([text, "the cat"], *model())[0] == ("und", 0.0, [], [])
+
+
+def test_ties_go_to_the_first_language():
+    same = langid.learn([("one two three", "b"), ("one two three", "a")])
+    assert [r[0] for r in langid.infer(["one two", "three zzz"], *same)] == ["a", "a"]
+
+
+def plain_em(words):
+    """Proportions and log-likelihood of one document, a word at a time, in Python."""
+    k = len(words[0])
+    share = [1 / k] * k
+    for _ in range(langid.STEPS):
+        new = [0.0] * k
+        for w in words:
+            top = max(w)
+            r = [s * math.exp(x - top) for s, x in zip(share, w)]
+            for i in range(k):
+                new[i] += r[i] / sum(r) / len(words)
+        moved = max(abs(a - b) for a, b in zip(new, share))
+        share = new
+        if moved < langid.TOLERANCE:
+            break
+    return share, sum(math.log(sum(s * math.exp(x) for s, x in zip(share, w))) for w in words)
+
+
+def test_mixtures_match_plain_em():
+    rng = np.random.default_rng(6)
+    sizes = [1, 5, 40, 3, 17]
+    p = rng.normal(size=(sum(sizes), 4)) * 2 - 10
+    starts = np.cumsum(sizes) - sizes
+    share, like = langid.mixtures(p, starts)
+    for i, (a, n) in enumerate(zip(starts, sizes)):
+        want, total = plain_em(p[a : a + n].tolist())
+        assert np.allclose(share[i], want, atol=1e-9) and abs(like[i] - total) < 1e-6
+
+
+def test_sets_of_four_languages_and_slices(monkeypatch):
+    words = {"a": "aba bab abba", "b": "cdc dcd cddc", "c": "efe fef effe", "d": "ghg hgh ghhg"}
+    m = langid.learn([(t, k) for k, t in words.items()])
+    text = " ".join(t + " " + t for t in list(words.values()) * 5)
+    lang, score, langs, shares = langid.infer([text], *m)[0]
+    assert sorted(langs) == list("abcd") and np.allclose(shares, 0.25, atol=0.02)
+    whole = langid.infer([text, "aba " * 50], *m)
+    monkeypatch.setattr(langid, "SLICE", 7)
+    for x, y in zip(langid.infer([text, "aba " * 50], *m), whole):
+        assert x[2] == y[2] and np.allclose(x[3], y[3])
+
+
+def test_counts_in_tasks_equal_counts_at_once(spark):
+    rows = [(i, ("the cat \u00bd and dog %d" % i) if i % 2 else "der hund", "en" if i % 2 else "de") for i in range(60)] + [(99, None, "fr"), (98, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    kept = [r for r in docs.where(~langid.held_out()).collect() if r["lang"] and r["text"]]
+    want = langid.learn([(r["text"], r["lang"]) for r in kept])
+    got = langid.train(docs)
+    assert got[0] == want[0] and np.array_equal(got[1], want[1])
