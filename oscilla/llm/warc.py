@@ -25,10 +25,16 @@ END = "\r\n\r\n"
 MAGIC = "WARC/1.1\r\n"
 MIN_REVISIT = 1000  # bytes from which equal payloads are stored once
 PER_FILE = 5000  # records of one archive at most
+DATE = "1970-01-01T00:00:00Z"  # pages name none
+# The profile of revisits of equal payloads, and the head of a response's HTTP block up to its length.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(record string): one WARC record for each row of pages (page_id, url, html).
+def records(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """(record string): one WARC record for each row of pages (page_id, url, html); date stands for that of the crawl.
+
+    A response's block is an HTTP response whose body is the payload.
 
     Of equal payloads of MIN_REVISIT bytes or more, rows with the largest page_id are
     responses and the others revisits without a payload; smaller ones are responses.
@@ -41,26 +47,28 @@ def records(pages: DataFrame) -> DataFrame:
     same = p.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
     same = materialize(same.where("copies > 1 and keeper is not null").select("digest", "keeper"), "copies")
     p = p.join(same, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False)))
+    p = p.withColumn("block", F.when(F.col("revisit"), F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("n").cast("string"), F.lit(END), F.col("html"))))
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">\r\n"))
     head = F.concat(
         F.lit(MAGIC + "WARC-Type: "),
         F.when(F.col("revisit"), F.lit("revisit\r\n")).otherwise(F.lit("response\r\n")),
         F.lit("WARC-Record-ID: "),
         page("page_id"),
-        F.lit("WARC-Target-URI: "),
+        F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
-        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: "), page("keeper"))).otherwise(F.lit("\r\n")),
-        F.lit("Content-Length: "),
-        F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n")).cast("string"),
+        F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), page("keeper"))).otherwise(F.lit("\r\n")),
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
+        F.octet_length("block").cast("string"),
         F.lit(END),
     )
-    return p.select(F.concat(head, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))).alias("record"))
+    return p.select(F.concat(head, F.col("block")).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", compression).text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip", date: str = DATE) -> None:
+    """Archives under path: one stream a file if compressed; with "none" readers can seek in them."""
+    records(pages, date).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", compression).text(path)
 
 
 def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +105,10 @@ def reachable(nodes: DataFrame) -> DataFrame:
     found = materialize(live.where("off = 0"), "reach")
     size = found.count()
     while size:
-        step = found.join(jump, ["f", "off"]).select("f", F.col("next").alias("off"))
-        grown = materialize(found.union(step.join(live, ["f", "off"], "left_semi")).distinct(), "reach")
+        step = found.join(jump.hint("merge"), ["f", "off"]).select("f", F.col("next").alias("off"))
+        grown = materialize(found.union(step.join(live.hint("merge"), ["f", "off"], "left_semi")).distinct(), "reach")
         then = jump.select("f", F.col("off").alias("next"), F.col("next").alias("later"))
-        longer = materialize(jump.join(then, ["f", "next"]).select("f", "off", F.col("later").alias("next")), "jump")
+        longer = materialize(jump.join(then.hint("merge"), ["f", "next"]).select("f", "off", F.col("later").alias("next")), "jump")
         discard(found)
         n = grown.count()
         found, jump = grown, longer
@@ -131,7 +139,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     off = F.col("base") + F.col("local") - len(MAGIC)
     nodes = materialize(thin.join(parts, ["f", "part"]).select(*key, off.alias("off"), (off + F.col("span")).alias("next")).where("off >= 0"), "nodes")
     chain = reachable(nodes)
-    mark = nodes.join(chain.withColumn("true", F.lit(True)), ["f", "off"], "left")
+    mark = nodes.join(chain.withColumn("true", F.lit(True)).hint("merge"), ["f", "off"], "left")
     upto = Window.partitionBy("f").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("true"), F.col("off")), ignorenulls=True).over(upto)
     mark = mark.select(*key, "off", owner.alias("owner"))
@@ -142,8 +150,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     joined = F.concat_ws(MAGIC, F.transform(F.array_sort(F.collect_list(F.struct("off", "body"))), lambda x: x["body"]))
     several = every.join(odd.where("n > 1"), key).groupBy("f", "owner").agg(joined.alias("body")).select("body")
     rows = single.union(several).select(F.split("body", END, 2)[0].alias("head"), "body")
-    start = F.octet_length("head") + len(END) + 1
-    content = F.substring(F.col("body").cast("binary"), start, header("Content-Length").cast("int"))
+    # the payload of a response follows its HTTP head; a revisit has none
+    http = F.octet_length(F.split("body", END, 3)[1]) + len(END)
+    size = header("Content-Length").cast("int")
+    http = F.when(size > 0, http).otherwise(0)
+    start = F.octet_length("head") + len(END) + http + 1
+    content = F.substring(F.col("body").cast("binary"), start, size - http)
     out = rows.select(header("WARC-Type").alias("type"), header("WARC-Payload-Digest").alias("d"), header("WARC-Record-ID").alias("i"), header("WARC-Refers-To").alias("r"), content.alias("payload"))
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
     return out.select(number("i").alias("page_id"), "type", number("r").alias("refers_to"), F.regexp_replace("d", "^sha1:", "").alias("digest"), "payload")
@@ -156,7 +168,8 @@ def round_trip(pages: DataFrame, path: str, compression: str = "gzip") -> DataFr
     hex), record_type, refers_to. Null html is an empty payload; a null url is written
     empty and control characters of one as %20; a null page_id comes back null and is
     a revisit of an equal payload that has an id; rows of one page_id each give a row, all responses where they tie for
-    the largest; further columns are ignored; an empty table gives no rows.
+    the largest; payloads of any length that a record can hold (2 GB) are whole; further
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     write_archives(pages, path, compression)
     back = materialize(
@@ -167,7 +180,7 @@ def round_trip(pages: DataFrame, path: str, compression: str = "gzip") -> DataFr
     )
     answers = back.where("type = 'response'")
     full = answers.select(F.col("page_id").alias("refers_to"), F.col("own").alias("digest"), F.col("n").alias("full")).distinct()
-    seen = back.where("type = 'revisit'").join(full, ["refers_to", "digest"])
+    seen = back.where("type = 'revisit'").join(full.hint("merge"), ["refers_to", "digest"])
     one = answers.select("page_id", F.col("n").alias("payload_bytes"), F.col("own").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     two = seen.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
     return one.union(two)

@@ -50,6 +50,41 @@ def test_round_trip(spark, tmp_path, split):
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
+def parse(data):
+    """Records of a WARC file, read strictly in order: (headers, block)."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *lines = data[at:end].decode().split("\r\n")
+        assert first == "WARC/1.1"
+        heads = dict(x.split(": ", 1) for x in lines)
+        n = int(heads["Content-Length"])
+        block = data[end + 4 : end + 4 + n]
+        assert len(block) == n and data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+        out.append((heads, block))
+        at = end + 8 + n
+    return out
+
+
+def test_records_are_valid(spark, tmp_path):
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/out", "none", "2026-01-02T03:04:05Z")
+    found = [r for f in glob.glob(f"{tmp_path}/out/part-*") for r in parse(open(f, "rb").read())]
+    assert len(found) == len(rows())
+    payloads = {}
+    for heads, block in found:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= heads.keys()
+        if heads["WARC-Type"] == "response":
+            http, payload = block.split(b"\r\n\r\n", 1)
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n") and int(http.rsplit(b": ", 1)[1]) == len(payload)
+            assert heads["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
+            payloads[heads["WARC-Record-ID"]] = heads["WARC-Payload-Digest"]
+    for heads, block in found:
+        if heads["WARC-Type"] == "revisit":
+            assert heads["WARC-Profile"] == warc.PROFILE and block == b""
+            assert payloads[heads["WARC-Refers-To"]] == heads["WARC-Payload-Digest"]
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages, f"file://{tmp_path}/out").collect() == []
