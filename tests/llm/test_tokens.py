@@ -35,6 +35,23 @@ def test_long_text_in_slices(monkeypatch):
     assert COUNTER.counts([text, "a b", text]) == [brute(text), 2, brute(text)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n\t\r\x1c　ab'1!<|>é"), max_size=60), st.integers(1, 9))
+def test_slices_add_up(text, size):
+    parts = list(tokens.slices(text, size))
+    assert "".join(parts) == text and sum(map(brute, parts)) == brute(text)
+
+
+def test_unbreakable_text_of_several_batches(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH", 64)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 200)
+    text = "ab" * 400 + "\n\n" + "ä" * 300 + "12" * 200 + " " * 90 + "x"
+    counter = tokens.Counter(PATH)
+    assert counter.counts([text, "a " + text, text]) == [brute(text), brute("a " + text), brute(text)]
+    assert all(len(p) <= tokens.LONG for p in counter.memo)
+    assert max(len(p.encode()) for p in tokens.slices(text, 64)) < 1100  # the runs of letters and digits
+
+
 def test_query(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, None), (2, ""), (3, "word " * 600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
