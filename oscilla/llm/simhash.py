@@ -10,7 +10,9 @@ then by the exact Hamming distance.
 
 Large groups of near copies emit no all-pairs: every cell first links its members
 to two pivots (its smallest and largest fingerprint), components are contracted,
-and only members of cells that still hold several components are joined.
+and only members of cells that still hold several components are joined. Cells with
+more than CELL such members go to a finer grid instead, which keeps more groups and
+so loses no pair either.
 
 Everything after the fingerprints runs on JVM columns. Exact copies are one row
 from the start (distinct fingerprints).
@@ -27,10 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, read_table
+from .common import components, discard, materialize, read_table
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
+CELL = 2000  # members of a cell that are joined with each other at most, while a finer grid is left
 CHUNK = 1 << 16
 
 
@@ -99,13 +102,12 @@ def kept_groups(n: int) -> int:
     return 3 if n < 20_000_000 else 5 if n < 1_000_000_000 else 7
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, root) of all fps that are not the smallest of their component."""
-    fps = materialize(fps.select("fp").distinct(), "fps")
-    cells = masks(radius, kept_groups(fps.count()))
+def links(fps: DataFrame, radius: int, kept: int) -> DataFrame:
+    """Edges (a, b) that connect all fps within the radius; fps are distinct."""
+    kept = min(kept, SEGMENTS - radius)
     e = embed(F.col("fp"))
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), e.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(cells)]))
-    members = fps.select("fp", keys.alias("c")).select("fp", "c.m", "c.k")
+    cells = F.posexplode(F.array(*[F.lit(m) for m in masks(radius, kept)])).alias("m", "mask")
+    members = fps.select("fp", cells).select("fp", "m", e.bitwiseAND(F.col("mask")).alias("k"))
     pivots = materialize(
         members.groupBy("m", "k")
         .agg(F.min("fp").alias("p"), F.max("fp").alias("q"), F.count(F.lit(1)).alias("n"))
@@ -113,6 +115,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
         "pivots",
     )
     full = materialize(members.join(pivots, ["m", "k"]), "members")
+    discard(pivots)
 
     def close(a: str, b: str) -> Column:
         x, y = F.col(a), F.col(b)
@@ -124,33 +127,55 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     rest = full.where("n > 2").select("m", "k", "fp")
     rest = rest.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = materialize(rest, "rest")
-    mixed = materialize(
-        rest.groupBy("m", "k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m", "k"),
-        "mixed",
-    )
+    discard(full)
+    mixed = rest.groupBy("m", "k").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n"))
+    mixed = materialize(mixed.where("r < s").select("m", "k", "n"), "mixed")
     open_ = materialize(rest.join(mixed, ["m", "k"]), "open")
-    x = open_.select("m", "k", F.col("fp").alias("f"), F.col("root").alias("a"))
-    y = open_.select("m", "k", F.col("fp").alias("g"), F.col("root").alias("b"))
+    discard(rest, mixed)
+    finer = kept + radius < SEGMENTS
+    cool = open_.where(F.col("n") <= CELL) if finer else open_
+    x = cool.select("m", "k", F.col("fp").alias("f"), F.col("root").alias("a"))
+    y = cool.select("m", "k", F.col("fp").alias("g"), F.col("root").alias("b"))
     late = x.join(y, ["m", "k"]).where(F.col("a") < F.col("b")).where(close("f", "g")).select("a", "b")
-    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+    late = materialize(late.distinct(), "late")
+    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
+    if finer:
+        hot = materialize(open_.where(F.col("n") > CELL).select("fp").distinct(), "hot")
+        if not hot.isEmpty():
+            edges = edges.union(links(hot, radius, kept + 4))
+        discard(hot)
+    discard(open_)
+    return edges
+
+
+def near_links(fps: DataFrame, radius: int = 3, kept: int | None = None) -> DataFrame:
+    """(fp, root) of all fps that are not the smallest of their component; kept: groups that a cell keeps."""
+    fps = materialize(fps.select("fp").distinct(), "fps")
+    edges = links(fps, radius, kept or kept_groups(fps.count()))
+    out = components(edges)
+    discard(fps, edges)
+    return out
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, kept: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of at most `radius` differing bits
-    reach. Null and wordless texts have fingerprint zero and link like any other;
-    repeated rows stay as rows; a null doc_id is never a component's smallest unless
-    it is alone (then null); other columns are ignored; an empty table gives no rows.
+    reach, whatever number of groups the grid's cells keep. Null and wordless texts have
+    fingerprint zero and link like any other; texts of any length are read whole, in
+    chunks; equal fingerprints are one component; repeated rows stay as rows; a null
+    doc_id is never a component's smallest unless it is alone (then null); other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     marks = materialize(fingerprints(docs), "fingerprints")
     groups = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    roots = near_links(groups, radius).withColumnRenamed("node", "fp")
+    roots = near_links(groups, radius, kept).withColumnRenamed("node", "fp")
     rooted = materialize(
         groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted"
     )
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "classes")
+    discard(groups, roots, rooted, ids)
     return marks.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -162,7 +187,8 @@ def deduplicate(docs: DataFrame, radius: int = 3) -> DataFrame:
     Repeated rows of one doc_id are all kept or all dropped; rows with null doc_id stay.
     """
     near = near_duplicates(docs.select("doc_id", "text"), radius)
-    losers = near.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    losers = materialize(near.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "losers")
+    discard(near)
     return docs.join(losers, "doc_id", "left_anti")
 
 

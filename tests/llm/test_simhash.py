@@ -57,6 +57,38 @@ def test_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("kept,cell", [(5, 2000), (7, 2000), (3, 8), (25, 1)])
+def test_every_grid_gives_the_same(spark, monkeypatch, kept, cell):
+    """Cells of more groups, and cells that are cut by finer grids."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(kept)
+    fps = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(25):
+            x = base
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps |= {rng.getrandbits(40) for _ in range(40)}
+    rows = sorted(fps)
+    root = {x: x for x in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and (a ^ b).bit_count() <= 3 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    df = spark.createDataFrame([(simhash._signed(x),) for x in rows], "fp long")
+    got = {r["fp"]: r["root"] for r in simhash.near_links(df, 3, kept).select(F.col("node").alias("fp"), "root").collect()}
+    groups = lambda of: sorted(sorted(v) for v in of.values() if len(v) > 1)
+    mine, want = {}, {}
+    for x in rows:
+        f = simhash._signed(x)
+        mine.setdefault(got.get(f, f), []).append(x)
+        want.setdefault(root[x], []).append(x)
+    assert groups(mine) == groups(want)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert simhash.deduplicate(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "fp", "root"]
