@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from oscilla.llm import decontam, mixing, pii, simhash, toxicity
-from oscilla.llm.common import materialize, read_table
+from oscilla.llm.common import discard, materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,9 @@ ORACLE_SQL = None  # learned models: tested against brute force
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    done: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*done)  # what a stage read is no longer needed
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
