@@ -28,13 +28,16 @@ SLICE = 4 << 20
 STEPS, TOLERANCE = 200, 1e-4
 PENALTY = 1.0
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-BREAKS = re.compile(rf"[\W\d_{NUMERALS}]+")
+BREAKS, RARE = re.compile(r"[\W\d_]+"), re.compile(f"[ {NUMERALS}]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 
 
 def words_of(text: str | None) -> str:
     """Runs of letters (str.isalpha) in lower case with a space on both ends; '' if there is none."""
-    inner = BREAKS.sub(" ", (text or "").lower()).strip()
+    inner = BREAKS.sub(" ", (text or "").lower())
+    if not inner.replace(" ", "").isalpha():  # a large class of characters is slow
+        inner = RARE.sub(" ", inner)
+    inner = inner.strip()
     return f" {inner} " if inner else ""
 
 
