@@ -47,32 +47,6 @@ def islands(rows: DataFrame, by: list[str], on: Column, name: str = "run") -> Da
     return out.withColumn(name, F.sum(F.coalesce(change, F.lit(True)).cast("int")).over(w)).drop("_on")
 
 
-def dft(windows: DataFrame, by: list[str], bins: DataFrame, n: int) -> DataFrame:
-    """re, im of each bin of the windows' samples: sum over (by, bin) of v * e^(-2 pi i k (t) / n).
-
-    windows: by, t (0-based place), v; bins: k and further columns, small and literal.
-    """
-    angle = F.lit(-2 * math.pi / n) * ((F.col("k") * F.col("t")) % n)
-    extra = [c for c in bins.columns if c != "k"]
-    return (
-        windows.crossJoin(F.broadcast(bins))
-        .groupBy(*by, "k", *extra)
-        .agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
-    )
-
-
-def sliding(samples: DataFrame, n: int, hop: int, total: int) -> DataFrame:
-    """Overlapping windows of n samples every hop: adds win (0-based) and t; windows must fit into total samples."""
-    last = (total - n) // hop
-    if last < 0:
-        raise ValueError(f"signal of {total} samples is shorter than a window of {n}")
-    low = F.greatest(F.lit(0), F.ceil((F.col("s") - n) / F.lit(hop)))
-    high = F.least(F.lit(last), F.floor((F.col("s") - 1) / F.lit(hop)))
-    out = samples.withColumns({"_low": low.cast("int"), "_high": high.cast("int")}).where("_low <= _high")
-    out = out.withColumn("win", F.explode(F.sequence("_low", "_high")))
-    return out.withColumn("t", (F.col("s") - 1 - F.col("win") * hop).cast("long")).drop("_low", "_high")
-
-
 def length_of(samples: DataFrame) -> int:
     """Samples of a trace; all traces of an operation are equally long."""
     return int(samples.agg(F.max("s")).first()[0] or 0)

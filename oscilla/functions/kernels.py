@@ -62,8 +62,8 @@ def fir(x: np.ndarray, kind: str, sr: float, low: float | None = None, high: flo
 # --- Butterworth --------------------------------------------------------------
 
 
-def butterworth(order: int, sr: float, low: float | None, high: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """(b, a) by the bilinear transform of the analogue prototype."""
+def butterworth(order: int, sr: float, low: float | None, high: float | None) -> np.ndarray:
+    """Second-order sections (section, b0 b1 b2 a0 a1 a2) by the bilinear transform of the analogue prototype."""
     poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
     warp = lambda f: 2 * sr * math.tan(math.pi * f / sr)
     if low and high:
@@ -77,32 +77,60 @@ def butterworth(order: int, sr: float, low: float | None, high: float | None) ->
         p, z, k = warp(low) / poles, np.zeros(order), float(np.real(1 / np.prod(-poles)))
     to = lambda s: (2 * sr + s) / (2 * sr - s)
     k = k * np.real(np.prod(2 * sr - z) / np.prod(2 * sr - p))
-    zz = np.concatenate([to(z), -np.ones(len(p) - len(z))])
-    return np.real(k * np.poly(zz)), np.real(np.poly(to(p)))
-
-
-def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty_like(x)
-    z = state.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
+    ends = [1.0] * len(z) + [-1.0] * (len(p) - len(z))  # zeros lie at both ends of the band or at one
+    real = np.abs(p.imag) < 1e-9 * np.abs(p)
+    upper, lone = to(p[~real & (p.imag > 0)]), np.sort(to(p[real]).real)
+    pairs = [[1.0, -2 * x.real, abs(x) ** 2] for x in upper]
+    pairs += [[1.0, -a - b, a * b] for a, b in zip(lone[::2], lone[1::2])] + [[1.0, -x, 0.0] for x in lone[len(lone) // 2 * 2 :]]
+    sections = []
+    for a in sorted(pairs, key=lambda a: a[2]):
+        if a[2] == 0.0:
+            b = [1.0, -ends.pop(), 0.0]
+        else:  # one from each end where there are two
+            x, y = ends.pop(0), ends.pop()
+            b = [1.0, -x - y, x * y]
+        sections.append([*b, *a])
+    out = np.array(sections)
+    out[:, :3] *= np.sign(k) * abs(k) ** (1 / len(out)) if len(out) % 2 or k > 0 else abs(k) ** (1 / len(out))
     return out
 
 
-def forward_backward(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+def section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 256) -> np.ndarray:
+    """A second-order section over x from a state (transposed direct form), in blocks.
+
+    Within a block the output is a matrix product of the inputs plus the state's decay;
+    only the two numbers of the state pass from block to block.
+    """
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    gain = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    powers = np.array(powers)
+    impulse = np.concatenate([[b[0]], powers[:-1, 0, :] @ gain])[:block]
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    rows = np.pad(x, (0, -len(x) % block)).reshape(-1, block)
+    pushed = rows @ (powers[block - 1 :: -1] @ gain)[:block]
+    states = np.empty((len(rows), 2))
+    for i, new in enumerate(pushed):
+        states[i] = state
+        state = powers[block] @ state + new
+    return (rows @ forced.T + states @ powers[:block, 0, :].T).ravel()[: len(x)]
+
+
+def forward_backward(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     """Both directions, odd extension at the ends, started in the steady state."""
-    n = len(a)
-    pad = min(3 * n, len(x) - 1)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
-    companion = np.zeros((n - 1, n - 1))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] += np.eye(n - 2)
-    zi = np.linalg.solve(np.eye(n - 1) - companion, b[1:] - a[1:] * b[0])
-    y = _recursive(b, a, ext, zi * ext[0])[::-1]
-    y = _recursive(b, a, y, zi * y[0])[::-1]
+    pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
+    for _ in range(2):
+        level = y[0]
+        for f in sections:
+            b, a = f[:3], f[3:]
+            settle = np.array([[1 + a[1], -1.0], [a[2], 1.0]])
+            y = section(b, a, y, np.linalg.solve(settle, b[1:] - a[1:] * b[0]) * level)
+            level = level * b.sum() / a.sum()
+        y = y[::-1]
     return y[pad : pad + len(x)] if pad else y
 
 

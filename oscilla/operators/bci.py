@@ -130,10 +130,11 @@ def _banded(samples: DataFrame, sr: float, bands: dict) -> DataFrame:
 def motor_imagery(samples: DataFrame, sr: float, bands: dict | None = None, baseline_fraction: float = 0.25) -> DataFrame:
     """(trial, label, band, percent): band power of the task against the first part of the trial."""
     n = int(samples.agg(F.max("s")).first()[0])
-    cut = int(baseline_fraction * n)
+    cut = max(1, int(baseline_fraction * n))
     x = _banded(samples, sr, bands or BANDS)
     p = x.groupBy(F.col("epoch").alias("trial"), "label", "band").agg(F.avg(F.when(F.col("s") <= cut, F.col("v") ** 2)).alias("base"), F.avg(F.when(F.col("s") > cut, F.col("v") ** 2)).alias("task"))
-    return p.select("trial", "label", "band", (F.try_divide(F.col("task") - F.col("base"), F.col("base")) * 100).alias("percent"))
+    base = F.greatest(F.col("base"), F.lit(1e-20))
+    return p.select("trial", "label", "band", ((F.col("task") - base) / base * 100).alias("percent"))
 
 
 def band_features(samples: DataFrame, sr: float, bands: dict | None = None) -> DataFrame:
@@ -178,7 +179,7 @@ class Lda:
 
 def train_lda(x: np.ndarray, first: np.ndarray, classes: tuple[str, str], shrink: bool = False) -> Lda:
     a, b = x[first], x[~first]
-    scatter = ((a - a.mean(0)).T @ (a - a.mean(0)) + (b - b.mean(0)).T @ (b - b.mean(0))) / max(len(x) - 2, 1)
+    scatter = (a - a.mean(0)).T @ (a - a.mean(0)) + (b - b.mean(0)).T @ (b - b.mean(0))
     p = x.shape[1]
     if shrink:
         alpha = min(1.0, max(0.01, p / len(x)))

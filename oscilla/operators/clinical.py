@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, SAMPLES, dft, islands, length_of, sliding
+from ..functions.columns import EPS, SAMPLES, islands, length_of
 from .filtering import per_trace
-from .timefreq import bins, window_energy, window_weights
+from .timefreq import window_energy, window_spectra
 
 KEY = ["recording_id", "ch", "label"]
 # Default bands in Hz, both ends inclusive.
@@ -23,7 +23,7 @@ def _sessions(hits: DataFrame, gap: int) -> DataFrame:
 
 
 def spikes(samples: DataFrame, sr: float, method: str = "morphology", threshold_sd: float = 4, min_duration_ms: float = 20, max_duration_ms: float = 200, min_amplitude: float = 50) -> DataFrame:
-    """(recording_id, channel, sample, time_sec, amplitude, duration_ms, confidence)."""
+    """(recording_id, channel, sample, time_sec, amplitude, duration_ms, confidence); the amplitude is absolute."""
     if min_duration_ms >= max_duration_ms:
         raise ValueError("min_duration_ms must be below max_duration_ms")
     if method == "template":
@@ -38,12 +38,12 @@ def spikes(samples: DataFrame, sr: float, method: str = "morphology", threshold_
     at = g.withColumn("s", F.explode(F.sequence(F.greatest(F.col("a") - low, F.lit(1)), F.least(F.col("b") + low, F.lit(n)))))
     p = at.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "session", "ref", "n").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))
     p = p.where(F.abs("p.v") >= min_amplitude)
-    return p.select("recording_id", F.col("ch").alias("channel"), F.col("p.s").alias("sample"), ((F.col("p.s") - 1) / sr).alias("time_sec"), F.col("p.v").alias("amplitude"), (F.col("n") / sr * 1000).alias("duration_ms"), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs("p.v"), F.col("ref")), F.lit(1.0))).alias("confidence"))
+    return p.select("recording_id", F.col("ch").alias("channel"), F.col("p.s").alias("sample"), ((F.col("p.s") - 1) / sr).alias("time_sec"), F.abs("p.v").alias("amplitude"), (F.col("n") / sr * 1000).alias("duration_ms"), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs("p.v"), F.col("ref")), F.lit(1.0))).alias("confidence"))
 
 
 def spike_template(sr: float, max_duration_ms: float) -> np.ndarray:
     n = max(2, round(max_duration_ms / 1000 * sr))
-    peak = max(1, round(0.2 * n)) - 1
+    peak = max(1, int(0.2 * n)) - 1
     t = (np.arange(n) - peak) / sr * 1000
     x = np.where(t <= 0, np.exp(-(t**2) / (2 * 2.0**2)), np.exp(-t / 20.0))
     return x / np.sqrt((x**2).sum())
@@ -59,7 +59,7 @@ def _template_spikes(samples: DataFrame, sr: float, max_duration_ms: float, min_
             return p.iloc[:0]
         view = np.lib.stride_tricks.sliding_window_view(x, n)
         norm = np.sqrt((view**2).sum(axis=1))
-        like = np.divide(view @ template, norm, out=np.zeros(len(norm)), where=norm > EPS)
+        like = np.divide(view @ template, norm, out=np.zeros(len(norm)), where=norm > 0)
         return p.iloc[: len(like)].assign(v=like)
 
     like = per_trace(samples, run, SAMPLES).where("v > 0.7")
@@ -67,7 +67,7 @@ def _template_spikes(samples: DataFrame, sr: float, max_duration_ms: float, min_
     inside = best.withColumn("s", F.explode(F.sequence(F.col("at"), F.col("at") + n - 1)))
     p = inside.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "session", "confidence").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))
     p = p.where(F.abs("p.v") >= min_amplitude)
-    return p.select("recording_id", F.col("ch").alias("channel"), F.col("p.s").alias("sample"), ((F.col("p.s") - 1) / sr).alias("time_sec"), F.col("p.v").alias("amplitude"), F.lit(n / sr * 1000).alias("duration_ms"), "confidence")
+    return p.select("recording_id", F.col("ch").alias("channel"), F.col("p.s").alias("sample"), ((F.col("p.s") - 1) / sr).alias("time_sec"), F.abs("p.v").alias("amplitude"), F.lit(n / sr * 1000).alias("duration_ms"), "confidence")
 
 
 def qeeg(samples: DataFrame, sr: float, bands: dict[str, tuple[float, float]] | None = None, window_sec: float = 2, overlap: float = 0.5) -> DataFrame:
@@ -75,8 +75,7 @@ def qeeg(samples: DataFrame, sr: float, bands: dict[str, tuple[float, float]] |
     total = length_of(samples)
     n = min(round(window_sec * sr), total)
     hop = max(1, round(n * (1 - overlap)))
-    x = sliding(samples, n, hop, total).withColumn("v", F.col("v") * window_weights("hanning", n))
-    spec = dft(x, [*KEY, "win"], bins(samples.sparkSession, n // 2, sr / n), n)
+    spec = window_spectra(samples, sr, n, hop).where(F.col("k") < n // 2)
     psd = spec.groupBy(*KEY, "freq").agg((F.avg(F.col("re") ** 2 + F.col("im") ** 2) / (sr * window_energy("hanning", n))).alias("p"))
     table = samples.sparkSession.createDataFrame([(b, float(x), float(y)) for b, (x, y) in (bands or BANDS).items()], "band string, low double, high double")
     out = psd.crossJoin(F.broadcast(table)).groupBy(*KEY, "band").agg(F.sum(F.when(F.col("freq").between(F.col("low"), F.col("high")), F.col("p")).otherwise(0.0)).alias("absolute_power"))

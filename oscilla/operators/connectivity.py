@@ -7,21 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, SAMPLES, dft, length_of, sliding
+from ..functions.columns import EPS, SAMPLES, length_of
 from ..functions.kernels import hilbert_phase
 from .filtering import band as bandpassed
 from .filtering import per_trace
-from .timefreq import bins, window_weights
+from .timefreq import window_spectra
 
 
-def spectra(samples: DataFrame, sr: float, window_sec: float, overlap: float) -> DataFrame:
+def spectra(samples: DataFrame, sr: float, window_sec: float, overlap: float, band: tuple[float, float] | None = None) -> DataFrame:
     """(recording_id, ch, label, win, k, freq, re, im) of Hann windows, unscaled."""
-    total = length_of(samples)
-    n = min(round(window_sec * sr), total)
+    n = min(round(window_sec * sr), length_of(samples))
     n -= n % 2
-    hop = max(1, round(n * (1 - overlap)))
-    x = sliding(samples, n, hop, total).withColumn("v", F.col("v") * window_weights("hanning", n))
-    return dft(x, ["recording_id", "ch", "label", "win"], bins(samples.sparkSession, n // 2 + 1, sr / n), n)
+    return window_spectra(samples, sr, n, max(1, round(n * (1 - overlap))), band=band).drop("epoch")
 
 
 def _pairs(spec: DataFrame, on: list[str]) -> DataFrame:
@@ -31,14 +28,15 @@ def _pairs(spec: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _check_band(band: tuple[float, float], sr: float) -> None:
+    if not band[0] < band[1]:
+        raise ValueError("the band is empty")
     if band[1] > sr / 2:
         raise ValueError("band exceeds the Nyquist frequency")
 
 
 def coherence_spectra(samples: DataFrame, sr: float, method: str = "coherence", window_sec: float = 2, overlap: float = 0.5, band: tuple[float, float] | None = None) -> DataFrame:
     """(recording_id, freq, ch1, ch2, value) for i < j."""
-    spec = spectra(samples, sr, window_sec, overlap)
-    spec = spec if band is None else spec.where(F.col("freq").between(*band))
+    spec = spectra(samples, sr, window_sec, overlap, band)
     p = _pairs(spec, ["recording_id", "win", "k", "freq"]).groupBy("recording_id", "k", "freq", "i", "j", "ch1", "ch2")
     p = p.agg(F.avg(F.expr("a * c + b * d")).alias("re"), F.avg(F.expr("b * c - a * d")).alias("im"), F.avg(F.expr("a * a + b * b")).alias("x"), F.avg(F.expr("c * c + d * d")).alias("y"))
     den = F.greatest(F.col("x") * F.col("y"), F.lit(EPS))
@@ -64,7 +62,7 @@ def plv(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13)) -> D
 def wpli(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13), window_sec: float = 2, overlap: float = 0.5) -> DataFrame:
     """(recording_id, channel1, channel2, wpli, wpli_debiased)."""
     _check_band(band, sr)
-    spec = spectra(samples, sr, window_sec, overlap).where(F.col("freq").between(*band))
+    spec = spectra(samples, sr, window_sec, overlap, band)
     w = _pairs(spec, ["recording_id", "win", "k"]).groupBy("recording_id", "ch1", "ch2", "win").agg(F.avg(F.expr("b * c - a * d")).alias("im"))
     w = w.groupBy("recording_id", "ch1", "ch2").agg(F.abs(F.avg("im")).alias("num"), F.avg(F.abs("im")).alias("den"), F.count(F.lit(1)).alias("n"))
     value = F.when(F.col("den") < EPS, 0.0).otherwise(F.try_divide("num", "den"))

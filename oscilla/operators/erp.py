@@ -77,20 +77,16 @@ def latency(samples: DataFrame, sr: float, window: tuple[float, float], fraction
     return m.select("recording_id", F.col("label").alias("channel"), ms.alias("latency_ms"), F.lit(float(fraction)).alias("fraction"))
 
 
-def _check_same(frames: list[DataFrame]) -> None:
-    shape = lambda x: x.agg(F.max("s"), F.max("ch"), F.max("epoch")).first()
-    first = shape(frames[0])
-    if any(shape(f) != first for f in frames[1:]):
-        raise ValueError("dimensions differ")
-
-
 def difference(x: DataFrame, y: DataFrame) -> DataFrame:
-    """x - y, sample by sample."""
-    _check_same([x, y])
+    """x - y, sample by sample; a sample that only one of them has is an error."""
     key = ["recording_id", "epoch", "s", "ch"]
-    b = y.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("v").alias("_v"))
-    on = [x[k] == b[f"_{k}"] if k != "epoch" else x[k].eqNullSafe(b["_epoch"]) for k in key]
-    return x.join(b, on).select(*key, "label", (F.col("v") - F.col("_v")).alias("v"))
+    b = y.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("v").alias("_v"), F.lit(True).alias("_there"))
+    a = x.select(*key, "label", "v", F.lit(True).alias("_here"))
+    on = [a[k].eqNullSafe(b[f"_{k}"]) if k == "epoch" else a[k] == b[f"_{k}"] for k in key]
+    both = a.join(b, on, "full")
+    if not both.where(F.col("_here").isNull() | F.col("_there").isNull()).isEmpty():
+        raise ValueError("dimensions differ")
+    return a.join(b, on).select(*key, "label", (F.col("v") - F.col("_v")).alias("v"))
 
 
 def baseline(samples: DataFrame, sr: float, window: tuple[float, float] = (-200, 0), epoch_start: float = 0.0) -> DataFrame:
@@ -104,12 +100,14 @@ def baseline(samples: DataFrame, sr: float, window: tuple[float, float] = (-200,
 def grand_average(frames: list[DataFrame]) -> DataFrame:
     if len(frames) < 2:
         raise ValueError("at least two inputs are needed")
-    _check_same(frames)
     cols = ["recording_id", "epoch", "s", "ch", "label", "v"]
     out = frames[0].select(*cols)
     for f in frames[1:]:
         out = out.unionByName(f.select(*cols))
-    return out.groupBy("epoch", "s", "ch", "label").agg(F.avg("v").alias("v"))
+    out = out.groupBy("epoch", "s", "ch", "label").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    if not out.where(F.col("n") % len(frames) != 0).isEmpty():
+        raise ValueError("dimensions differ")
+    return out.drop("n")
 
 
 def welch_t(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -136,38 +134,47 @@ def clusters(t: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
 def permutation_test(x: DataFrame, y: DataFrame, n_perm: int = 1000, alpha: float = 0.05, method: str = "permutation", cluster_alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """(time_sample, t_statistic, p_value, significant[, cluster_id, cluster_p]) of two conditions.
 
-    The channel-averaged epochs (time by trials, one small matrix) go to every task; the
-    permutations are the distributed rows, and only counts come back.
+    A task holds one sample of all channel-averaged epochs and draws every permutation
+    for it from (seed, permutation), so that all samples see the same ones. Only a
+    sample's counts, or a permutation's largest cluster, are summed up.
     """
-    mean = lambda d: d.groupBy("epoch", "s").agg(F.avg("v").alias("v")).orderBy("epoch", "s").toPandas().pivot(index="s", columns="epoch", values="v").to_numpy()
-    a, b = mean(x), mean(y)
-    if len(a) != len(b):
+    mean = lambda d, first: d.groupBy("epoch", "s").agg(F.avg("v").alias("v")).withColumn("first", F.lit(first))
+    both = mean(x, True).unionByName(mean(y, False))
+    sizes = both.groupBy("s").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b")).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    if sizes[0] != sizes[1] or sizes[2] != sizes[3] or not sizes[0] or not sizes[2]:
         raise ValueError("dimensions differ")
-    data, first = np.concatenate([a, b], axis=1), np.arange(a.shape[1] + b.shape[1]) < a.shape[1]
-    t = _welch(data, first)
-    spark, n = x.sparkSession, len(t)
-    limit = t_quantile(1 - cluster_alpha / 2, data.shape[1] - 2)
-    found = clusters(t, limit)
-    seen = np.array([abs(c[2]) for c in found])
-
-    def run(it):
-        for p in it:
-            hits = np.zeros(n if method == "permutation" else len(seen), dtype=np.int64)
-            for i in p.id:
-                null = _welch(data, np.random.default_rng([seed, int(i)]).permutation(first))
-                if method == "permutation":
-                    hits += np.abs(null) >= np.abs(t)
-                else:
-                    hits += max((abs(c[2]) for c in clusters(null, limit)), default=0.0) >= seen
-            yield pd.DataFrame({"k": np.arange(len(hits)), "hits": hits})
-
-    counts = spark.range(n_perm).mapInPandas(run, "k long, hits long").groupBy("k").agg(F.sum("hits").alias("hits")).toPandas().set_index("k").hits
-    p_of = lambda k: (int(counts.get(k, 0)) + 1) / (n_perm + 1)
-    rows = []
-    for i in range(n):
-        own = next((k for k, c in enumerate(found) if c[0] <= i <= c[1]), None)
-        p = p_of(i) if method == "permutation" else 1.0 if own is None else p_of(own)
-        extra = () if method == "permutation" else (None if own is None else own + 1, None if own is None else p)
-        rows.append((i + 1, float(t[i]), p, p < alpha, *extra))
-    schema = "time_sample int, t_statistic double, p_value double, significant boolean"
-    return spark.createDataFrame(rows, schema + ("" if method == "permutation" else ", cluster_id int, cluster_p double"))
+    spark, df = x.sparkSession, sizes[0] + sizes[2] - 2
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["first", "epoch"], ascending=[False, True])
+        data, first = p.v.to_numpy()[None], p["first"].to_numpy()
+        null = np.array([_welch(data, np.random.default_rng([seed, i]).permutation(first))[0] for i in range(n_perm)])
+        t = _welch(data, first)[0]
+        return pd.DataFrame({"s": [p.s.iloc[0]], "t": [t], "hits": [int((np.abs(null) >= abs(t)).sum())], "null": [null if method == "cluster" else []]})
+
+    each = both.groupBy("s").applyInPandas(run, "s long, t double, hits long, null array<double>").persist()
+    try:
+        rows = each.select("s", "t", "hits").orderBy("s").collect()  # the samples of an epoch
+        t = np.array([r["t"] for r in rows])
+        if method == "permutation":
+            p = [(r["hits"] + 1) / (n_perm + 1) for r in rows]
+            out = [(i + 1, float(t[i]), p[i], p[i] < alpha) for i in range(len(t))]
+            return spark.createDataFrame(out, "time_sample int, t_statistic double, p_value double, significant boolean")
+        limit = t_quantile(1 - cluster_alpha / 2, df)
+        found = clusters(t, limit)
+        seen = np.array([abs(c[2]) for c in found])
+
+        def largest(p: pd.DataFrame) -> pd.DataFrame:
+            most = max((abs(c[2]) for c in clusters(p.sort_values("s").t.to_numpy(), limit)), default=0.0)
+            return pd.DataFrame({"k": np.flatnonzero(most >= seen)}, dtype="int64")
+
+        null = each.select("s", F.posexplode("null").alias("perm", "t"))
+        counts = dict(null.groupBy("perm").applyInPandas(largest, "k long").groupBy("k").count().collect())
+    finally:
+        each.unpersist()
+    own = {i: k for k, (a, b, _) in enumerate(found) for i in range(a, b + 1)}
+    out = []
+    for i in range(len(t)):
+        p = (counts.get(own[i], 0) + 1) / (n_perm + 1) if i in own else 1.0
+        out.append((i + 1, float(t[i]), p, p < alpha, own[i] + 1 if i in own else None, p if i in own else None))
+    return spark.createDataFrame(out, "time_sample int, t_statistic double, p_value double, significant boolean, cluster_id int, cluster_p double")

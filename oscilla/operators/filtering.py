@@ -70,8 +70,8 @@ def eeg_filter(samples: DataFrame, sr: float, lowcut: float | None = None, highc
     kind = "bandpass" if lowcut and highcut else "highpass" if lowcut else "lowpass" if highcut else None
     out = samples
     if kind and method == "iir":
-        b, a = butterworth(order or 4, sr, lowcut, highcut)
-        out = per_trace(out, lambda p: p.assign(v=forward_backward(p.v.to_numpy(), b, a)))
+        sections = butterworth(order or 4, sr, lowcut, highcut)
+        out = per_trace(out, lambda p: p.assign(v=forward_backward(p.v.to_numpy(), sections)))
     elif kind:
         out = fir_filter(out, kind, sr, lowcut, highcut, order)
     return fir_filter(out, "notch", sr, notch - 2, notch + 2, order) if notch else out

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, TRACE, dft, length_of, only, sliding
+from ..functions.columns import EPS, TRACE, length_of, only
 from ..sources.electrodes import FLAT_1020
-from .timefreq import bins, window_weights
+from .timefreq import window_spectra
 
 # Height of a stage in a hypnogram.
 STAGE_HEIGHT = {"N3": 1, "N2": 2, "N1": 3, "REM": 4, "W": 5}
@@ -73,8 +73,7 @@ def spectrogram_frame(samples: DataFrame, sr: float, window_sec: float = 0.5) ->
     """(…, time_sec, freq, db): hop of a quarter window, power over the window length."""
     n = round(window_sec * sr)
     hop = max(1, n // 4)
-    x = sliding(samples, n, hop, length_of(samples)).withColumn("v", F.col("v") * window_weights("hanning", n))
-    spec = dft(x, [*TRACE, "win"], bins(samples.sparkSession, n // 2 + 1, sr / n), n)
+    spec = window_spectra(samples, sr, n, hop)
     p = (F.col("re") ** 2 + F.col("im") ** 2) / n
     return spec.select(*TRACE, ((F.col("win") * hop + n / 2) / sr).alias("time_sec"), "freq", (10 * F.log10(F.greatest(p, F.lit(EPS)))).alias("db"))
 

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, dft, islands, length_of
+from ..functions.columns import EPS, islands, length_of
 from .filtering import fir_filter
-from .timefreq import bins
+from .timefreq import window_spectra
 
 KEY = ["recording_id", "ch", "label"]
+
+
+def _lengths(sr: float, min_ms: float, max_ms: float) -> tuple[int, int]:
+    if min_ms >= max_ms:
+        raise ValueError("min_duration_ms must be below max_duration_ms")
+    return max(1, round(min_ms / 1000 * sr)), round(max_ms / 1000 * sr)
+
+
 # Bands in Hz; theta excludes its ends' neighbours, delta its upper end.
 STAGE_BANDS = {"delta": "freq >= 0.5 AND freq < 4", "theta": "freq >= 4 AND freq < 8", "alpha": "freq >= 8 AND freq <= 13", "sigma": "freq >= 12 AND freq <= 16", "beta": "freq >= 16 AND freq <= 30", "total": "true"}
 
@@ -28,8 +36,7 @@ def sleep_stages(samples: DataFrame, sr: float, epoch_sec: float = 30) -> DataFr
     total = length_of(samples)
     if total < n:
         raise ValueError("signal is shorter than one epoch")
-    x = samples.withColumns({"win": F.floor((F.col("s") - 1) / n).cast("int"), "t": (F.col("s") - 1) % n}).where(F.col("win") < total // n)
-    spec = dft(x, ["recording_id", "ch", "win"], bins(samples.sparkSession, n // 2, sr / n), n)
+    spec = window_spectra(samples, sr, n, n, "rectangular").where(F.col("k") < n // 2)
     power = (F.col("re") ** 2 + F.col("im") ** 2) / n
     per = spec.groupBy("recording_id", "ch", "win").agg(*[F.sum(F.when(F.expr(c), power).otherwise(0.0)).alias(b) for b, c in STAGE_BANDS.items()])
     mean = per.groupBy("recording_id", "win").agg(*[F.avg(b).alias(b) for b in STAGE_BANDS])
@@ -39,8 +46,7 @@ def sleep_stages(samples: DataFrame, sr: float, epoch_sec: float = 30) -> DataFr
 
 def spindles(samples: DataFrame, sr: float, freq_range: tuple[float, float] = (11, 16), min_duration_ms: float = 500, max_duration_ms: float = 2000, threshold_sd: float = 1.5) -> DataFrame:
     """Runs of the band's RMS envelope above mean + threshold_sd * sd."""
-    if min_duration_ms >= max_duration_ms:
-        raise ValueError("min_duration_ms must be below max_duration_ms")
+    shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "bandpass", sr, *freq_range)
     half = max(1, round(0.2 * sr)) // 2
     w = Window.partitionBy(*KEY).orderBy("s")
@@ -50,41 +56,46 @@ def spindles(samples: DataFrame, sr: float, freq_range: tuple[float, float] = (1
     x = x.withColumn("first", F.col("s") == F.min("s").over(Window.partitionBy(*KEY, "run")))
     turns = F.count_if(~F.col("first") & (F.signum("v") != F.signum("prev")))
     r = x.groupBy(*KEY, "run").agg(F.min("s").alias("start_sample"), F.max("s").alias("end_sample"), F.max_by("s", F.struct("env", -F.col("s"))).alias("peak_sample"), F.max("env").alias("peak_amplitude"), turns.alias("turns"))
-    ms = (F.col("end_sample") - F.col("start_sample") + 1) / sr * 1000
-    r = r.withColumn("duration_ms", ms).where(F.col("duration_ms").between(min_duration_ms, max_duration_ms))
+    size = F.col("end_sample") - F.col("start_sample") + 1
+    r = r.where(size.between(shortest, longest)).withColumn("duration_ms", size / sr * 1000)
     return r.select("recording_id", F.col("ch").alias("channel"), "start_sample", "end_sample", "duration_ms", "peak_sample", "peak_amplitude", (F.col("turns") / 2 / (F.col("duration_ms") / 1000)).alias("frequency_hz"))
 
 
 def k_complexes(samples: DataFrame, sr: float, min_neg_amplitude: float = 75, min_duration_ms: float = 500, max_duration_ms: float = 1500) -> DataFrame:
     """Deep local minima followed by a positive peak 0.5 to 1.5 s later; search positions are joined by equality."""
-    if min_duration_ms >= max_duration_ms:
-        raise ValueError("min_duration_ms must be below max_duration_ms")
+    shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "lowpass", sr, high=4)
     n = length_of(x)
     w = Window.partitionBy(*KEY).orderBy("s")
     low = x.withColumns({"p": F.lag("v").over(w), "q": F.lead("v").over(w)}).where((F.col("v") < F.col("p")) & (F.col("v") <= F.col("q")) & (F.col("v") < -min_neg_amplitude))
     a, b = round(0.5 * sr), round(1.5 * sr)
-    at = low.where(F.col("s") + a <= n).select(*KEY, F.col("s").alias("np"), F.col("v").alias("na"), F.explode(F.sequence(F.col("s") + a, F.least(F.col("s") + b, F.lit(n)))).alias("s"))
+    at = low.where(F.col("s") + a < F.least(F.col("s") + b, F.lit(n))).select(*KEY, F.col("s").alias("np"), F.col("v").alias("na"), F.explode(F.sequence(F.col("s") + a, F.least(F.col("s") + b, F.lit(n)))).alias("s"))
     hit = at.join(x.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "np", "na").agg(F.max_by("s", F.struct("v", -F.col("s"))).alias("pp"), F.max("v").alias("pa"))
-    ms = (F.col("pp") - F.col("np")) / sr * 1000
-    hit = hit.withColumn("duration_ms", ms).where((F.col("pa") > 0) & F.col("duration_ms").between(min_duration_ms, max_duration_ms))
+    size = F.col("pp") - F.col("np")
+    hit = hit.where((F.col("pa") > 0) & size.between(shortest, longest)).withColumn("duration_ms", size / sr * 1000)
     return hit.select("recording_id", F.col("ch").alias("channel"), F.col("np").alias("negative_peak_sample"), F.col("pp").alias("positive_peak_sample"), F.col("na").alias("negative_amplitude"), F.col("pa").alias("positive_amplitude"), "duration_ms")
 
 
 def slow_waves(samples: DataFrame, sr: float, min_amplitude: float = 75, freq_range: tuple[float, float] = (0.5, 2), min_duration_ms: float = 250, max_duration_ms: float = 1000) -> DataFrame:
-    """Half waves between sign changes that are deep and long enough, with the next half wave's maximum."""
-    if min_duration_ms >= max_duration_ms:
-        raise ValueError("min_duration_ms must be below max_duration_ms")
+    """Half waves between sign changes that are deep and long enough, with the next half wave's maximum.
+
+    A wave starts and ends at the last samples before its two crossings; after the last
+    crossing the maximum is sought in as many samples as a wave may have.
+    """
+    shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "bandpass", sr, *freq_range)
     w = Window.partitionBy(*KEY).orderBy("s")
-    sign = F.when(F.col("v") < 0, -1).otherwise(1)
-    x = x.withColumn("sign", sign)
+    x = x.withColumn("sign", F.when(F.col("v") < 0, -1).otherwise(1))
     x = x.withColumn("half", F.sum(F.coalesce(F.col("sign") != F.lag("sign").over(w), F.lit(False)).cast("int")).over(w))
-    h = x.groupBy(*KEY, "half").agg(F.min("s").alias("start_sample"), F.max("s").alias("last"), F.min("v").alias("low"), F.max("v").alias("high"))
+    x = x.withColumn("place", F.col("s") - F.min("s").over(Window.partitionBy(*KEY, "half")))
+    soon = F.max(F.when(F.col("place") < longest, F.col("v")))
+    h = x.groupBy(*KEY, "half").agg(F.min("s").alias("first"), F.max("s").alias("end_sample"), F.min("v").alias("low"), F.max("v").alias("high"), soon.alias("soon"))
     nxt = Window.partitionBy(*KEY).orderBy("half")
-    h = h.withColumns({"positive_peak": F.lead("high").over(nxt), "end_sample": F.lead("start_sample").over(nxt)}).where("half > 0 and end_sample is not null")
-    ms = (F.col("end_sample") - F.col("start_sample")) / sr * 1000
-    h = h.withColumn("duration_ms", ms).where((F.col("low") <= -min_amplitude) & F.col("duration_ms").between(min_duration_ms, max_duration_ms))
+    tail = F.lead("half", 2).over(nxt).isNull()
+    h = h.withColumns({"positive_peak": F.when(tail, F.lead("soon").over(nxt)).otherwise(F.lead("high").over(nxt)), "more": F.lead("half").over(nxt)})
+    h = h.where("half > 0 and more is not null").withColumn("start_sample", F.col("first") - 1)
+    size = F.col("end_sample") - F.col("start_sample")
+    h = h.where((F.col("low") <= -min_amplitude) & size.between(shortest, longest)).withColumn("duration_ms", size / sr * 1000)
     return h.select("recording_id", F.col("ch").alias("channel"), "start_sample", "end_sample", F.col("low").alias("negative_peak"), "positive_peak", "duration_ms", ((F.col("positive_peak") - F.col("low")) / F.col("duration_ms")).alias("slope"))
 
 

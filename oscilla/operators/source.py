@@ -114,16 +114,13 @@ def estimate(samples: DataFrame, model: Forward, method: str = "sloreta", lam: f
 
 
 def _beam(cov: np.ndarray, lf: np.ndarray) -> np.ndarray:
-    c = cov + 1e-6 * np.eye(len(cov))
-    inv = np.linalg.inv(c)
-    out = []
-    for j in range(lf.shape[1] // 3):
-        gains = []
-        for column in lf[:, 3 * j : 3 * j + 3].T:
-            w = inv @ column / max(float(column @ inv @ column), 1e-20)
-            gains.append(float(w @ c @ w))
-        out.append(max(gains))
-    return np.array(out)
+    """Largest w' C w of each source's three directions; only the inverse is ridged, and directions without gain are left out."""
+    inv = np.linalg.inv(cov + 1e-6 * np.eye(len(cov)))
+    w = inv @ lf
+    gain = (lf * w).sum(axis=0)
+    use = np.abs(gain) >= 1e-20
+    power = np.divide(((cov @ w) * w).sum(axis=0), gain**2, out=np.zeros(len(gain)), where=use)
+    return np.maximum(power, 0).reshape(-1, 3).max(axis=1)
 
 
 def beamformer(samples: DataFrame, model: Forward, method: str = "lcmv", sr: float | None = None, freq_range: tuple[float, float] = (8, 13)) -> DataFrame:
@@ -143,9 +140,9 @@ def cross_spectrum(samples: DataFrame, sr: float, freq_range: tuple[float, float
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         n = len(p)
-        k = np.arange(n // 2 + 1)
-        use = k[(k * sr / n >= freq_range[0]) & (k * sr / n <= freq_range[1])]
-        z = np.fft.fft(p.v.to_numpy())[use] / np.sqrt(n)
+        freq = np.linspace(0, sr / 2, n // 2 + 1)
+        use = np.flatnonzero((freq >= freq_range[0]) & (freq <= freq_range[1]))
+        z = np.fft.fft(p.v.to_numpy())[use]
         return pd.DataFrame({"k": use, "ch": p.ch.iloc[0], "re": z.real, "im": z.imag})
 
     spec = per_trace(samples, run, "k long, ch int, re double, im double")

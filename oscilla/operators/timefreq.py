@@ -6,18 +6,70 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, TRACE, dft, length_of, sliding
+from ..functions.columns import EPS, TRACE, length_of
 from ..functions.kernels import dpss, morlet
 from .filtering import per_trace
 
 COEFFICIENTS = "recording_id string, epoch int, ch int, label string, s long, freq double, re double, im double"
 
 
-def bins(spark, count: int, step: float) -> DataFrame:
-    return spark.createDataFrame([(k, k * step) for k in range(count)], "k long, freq double")
+BLOCK = 1 << 16  # samples whose windows are transformed together
+
+
+def window_weights(kind: str, n: int) -> np.ndarray:
+    x = np.cos(2 * np.pi * np.arange(n) / (n - 1)) if n > 1 else np.zeros(n)
+    if kind not in ("hanning", "hamming", "rectangular"):
+        raise ValueError(f"unknown window {kind!r}")
+    return {"hanning": 0.5 - 0.5 * x, "hamming": 0.54 - 0.46 * x, "rectangular": np.ones(n)}[kind]
+
+
+def window_energy(kind: str, n: int) -> float:
+    return float((window_weights(kind, n) ** 2).sum())
+
+
+def window_spectra(samples: DataFrame, sr: float, n: int, hop: int, window: str = "hanning", band: tuple[float, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """(recording_id, epoch, ch, label, win, k, freq, re, im): transforms of windows of n samples every hop, win from 0.
+
+    Windows must fit into the trace. A trace is dealt in blocks of windows with a halo, so
+    a long channel is many tasks, and each block is one FFT of its windows; bins outside
+    the band never leave the kernel.
+    """
+    total = length_of(samples)
+    last = (total - n) // hop
+    if n < 1 or last < 0:
+        raise ValueError(f"signal of {total} samples is shorter than a window of {n}")
+    weights, k = window_weights(window, n), np.arange(n // 2 + 1)
+    freq = k * sr / n
+    if band is not None:
+        k = k[(freq >= band[0]) & (freq <= band[1])]
+    freq = k * sr / n
+    per = max(1, block // hop)  # windows of a block
+    low = F.greatest(F.lit(0), F.ceil((F.col("s") - n) / F.lit(hop)))
+    high = F.least(F.lit(last), F.floor((F.col("s") - 1) / F.lit(hop)))
+    dealt = samples.select(*TRACE, "s", "v", low.alias("_low"), high.alias("_high")).where("_low <= _high")
+    dealt = dealt.select(*TRACE, "s", "v", F.explode(F.sequence(F.floor(F.col("_low") / per), F.floor(F.col("_high") / per))).alias("block"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("s")
+        first = t["block"][0].as_py() * per
+        count = min(per, last + 1 - first)
+        skip = first * hop + 1 - t["s"][0].as_py()
+        x = t["v"].to_numpy()[skip:]
+        if len(x) < (count - 1) * hop + n:
+            raise ValueError("a trace lacks samples that others have")
+        view = np.lib.stride_tricks.sliding_window_view(x, n)[::hop][:count]
+        z = np.fft.rfft(view * weights, axis=1)[:, k].ravel()
+        size = len(z)
+        same = [pa.array([t[c][0].as_py()] * size, t.schema.field(c).type) for c in TRACE]
+        win = np.repeat(np.arange(first, first + count, dtype=np.int32), len(k))
+        cols = [win, np.tile(k, count), np.tile(freq, count), z.real.copy(), z.imag.copy()]
+        return pa.Table.from_arrays([*same, *map(pa.array, cols)], names=[*TRACE, "win", "k", "freq", "re", "im"])
+
+    return dealt.groupBy(*TRACE, "block").applyInArrow(run, "recording_id string, epoch int, ch int, label string, win int, k long, freq double, re double, im double")
 
 
 def coefficients(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, align: str = "centered") -> DataFrame:
@@ -40,15 +92,26 @@ def wavelet(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: f
     return c.select(*TRACE, "s", "freq", (F.col("re") ** 2 + F.col("im") ** 2).alias("power"), F.atan2("im", "re").alias("phase"))
 
 
+def _epochs_only(samples: DataFrame) -> None:
+    if not samples.where("epoch is null").isEmpty():
+        raise ValueError("a continuous recording has no epochs")
+
+
 def ersp(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, baseline: tuple[int, int] = (1, 50), align: str = "centered") -> DataFrame:
-    """Power averaged over epochs against its baseline (in samples), in dB."""
+    """Power averaged over epochs against its baseline (in samples, held above 0), in dB; no power is -inf.
+
+    Samples must be cut into epochs.
+    """
+    _epochs_only(samples)
     p = wavelet(samples, sr, frequencies, n_cycles, align).groupBy("recording_id", "ch", "label", "freq", "s").agg(F.avg("power").alias("p"))
     base = F.avg(F.when(F.col("s").between(*baseline), F.col("p"))).over(Window.partitionBy("recording_id", "ch", "label", "freq"))
-    return p.select("recording_id", "s", "freq", "ch", "label", (10 * F.log10(F.greatest(F.col("p") / F.greatest(base, F.lit(EPS)), F.lit(EPS)))).alias("ersp_db"))
+    ratio = F.col("p") / F.greatest(base, F.lit(EPS))
+    return p.select("recording_id", "s", "freq", "ch", "label", F.when(ratio > 0, 10 * F.log10(ratio)).otherwise(float("-inf")).alias("ersp_db"))
 
 
 def itc(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, align: str = "centered") -> DataFrame:
-    """Length of the mean unit coefficient over epochs."""
+    """Length of the mean unit coefficient over epochs, into which samples must be cut."""
+    _epochs_only(samples)
     c = coefficients(samples, sr, frequencies, n_cycles, align)
     mag = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
     mag = F.when(mag < EPS, 1.0).otherwise(mag)
@@ -56,18 +119,6 @@ def itc(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float
     return c.select("recording_id", "s", "freq", "ch", "label", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("itc"))
 
 
-def window_weights(kind: str, n: int, t: str = "t"):
-    x = F.cos(F.lit(2 * math.pi) * F.col(t) / (n - 1))
-    if kind not in ("hanning", "hamming", "rectangular"):
-        raise ValueError(f"unknown window {kind!r}")
-    return {"hanning": 0.5 - 0.5 * x, "hamming": 0.54 - 0.46 * x, "rectangular": F.lit(1.0)}[kind]
-
-
-def window_energy(kind: str, n: int) -> float:
-    x = np.cos(2 * np.pi * np.arange(n) / (n - 1))
-    return float((({"hanning": 0.5 - 0.5 * x, "hamming": 0.54 - 0.46 * x}.get(kind, np.ones(n))) ** 2).sum())
-
-
 def stft(samples: DataFrame, sr: float, window_sec: float = 0.5, overlap: float = 0.75, window_type: str = "hanning") -> DataFrame:
     """(…, time_bin, time_sec, freq, power)."""
     if window_sec <= 0 or not 0 <= overlap < 1:
@@ -75,8 +126,7 @@ def stft(samples: DataFrame, sr: float, window_sec: float = 0.5, overlap: float
     n = round(window_sec * sr)
     n += n % 2
     hop = max(1, round(n * (1 - overlap)))
-    x = sliding(samples, n, hop, length_of(samples)).withColumn("v", F.col("v") * window_weights(window_type, n))
-    spec = dft(x, [*TRACE, "win"], bins(samples.sparkSession, n // 2 + 1, sr / n), n)
+    spec = window_spectra(samples, sr, n, hop, window_type)
     time = (F.col("win") * hop + n / 2) / sr
     return spec.select(*TRACE, (F.col("win") + 1).alias("time_bin"), time.alias("time_sec"), "freq", ((F.col("re") ** 2 + F.col("im") ** 2) / window_energy(window_type, n)).alias("power"))
 

@@ -62,9 +62,22 @@ def test_filter_responses(spark):
 
 def test_butterworth_has_half_power_at_the_cut():
     for low, high, at in ((None, 20, 20), (15, None, 15), (10, 30, 30)):
-        b, a = kernels.butterworth(4, 200, low, high)
-        z = np.exp(-2j * np.pi * at / 200 * np.arange(len(b)))
-        assert abs(abs((b @ z) / (a @ z)) - math.sqrt(0.5)) < 1e-6
+        for order in (3, 4, 5):
+            z = np.exp(-2j * np.pi * at / 200 * np.arange(3))
+            f = kernels.butterworth(order, 200, low, high)
+            assert abs(abs(np.prod((f[:, :3] @ z) / (f[:, 3:] @ z))) - math.sqrt(0.5)) < 1e-6
+
+
+def test_recursive_filter_is_stable_and_equals_plain_recursion():
+    x = np.random.default_rng(1).normal(size=60_000)
+    y = kernels.forward_backward(x, kernels.butterworth(4, 1000, 0.1, 40))
+    assert np.abs(y).max() < 5
+    f = kernels.butterworth(4, 200, 10, 30)[0]
+    b, a, want, z = f[:3], f[3:], [], np.array([0.3, -0.2])
+    for v in x[:1000]:
+        want.append(b[0] * v + z[0])
+        z = np.array([b[1] * v - a[1] * want[-1] + z[1], b[2] * v - a[2] * want[-1]])
+    assert np.allclose(kernels.section(b, a, x[:1000], np.array([0.3, -0.2])), want)
 
 
 def test_t_distribution():
