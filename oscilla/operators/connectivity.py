@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, SAMPLES, length_of
 from ..functions.kernels import hilbert_phase
 from .filtering import band as bandpassed
 from .filtering import per_trace
+from .ica import channels, frames
 from .timefreq import window_spectra
 
 
@@ -71,50 +72,101 @@ def wpli(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13), win
     return w.select("recording_id", F.col("ch1").alias("channel1"), F.col("ch2").alias("channel2"), "wpli", debiased.alias("wpli_debiased"))
 
 
-def granger_pair(x: np.ndarray, y: np.ndarray, order: int, sr: float, band: tuple[float, float] | None, orientation: str = "forward") -> float:
-    """Causality of x on y: mean over frequencies of the log ratio of the spectra of y alone and with x."""
-    n = len(x)
-    z = np.stack([x - x.mean(), y - y.mean()])
-    r = [z[:, k:] @ z[:, : n - k].T / n for k in range(order + 1)]  # r[k] = E[z_t z_{t-k}']
-    turn = (lambda m: m.T) if orientation == "forward" else (lambda m: m)  # else time runs backwards
-    big = np.block([[turn(r[i - j]) if i >= j else turn(r[j - i]).T for j in range(order)] for i in range(order)])
-    right = np.concatenate([turn(r[k])[:, 1] for k in range(1, order + 1)])
-    own = np.array([m[1, 1] for m in r])
-    alone = own[np.abs(np.subtract.outer(np.arange(order), np.arange(order)))]
-    ridge = lambda m: m + 1e-6 * np.abs(np.diag(m)).max() * np.eye(len(m))
-    try:
-        both, one = np.linalg.solve(ridge(big), right).reshape(order, 2), np.linalg.solve(ridge(alone), own[1:])
-    except np.linalg.LinAlgError:
-        both, one = np.zeros((order, 2)), np.zeros(order)
-    past = np.stack([z[:, order - k : n - k] for k in range(1, order + 1)])
-    full_var = np.var(z[1, order:] - np.einsum("kc,kct->t", both, past), ddof=1)
-    one_var = np.var(z[1, order:] - np.einsum("k,kt->t", one, past[:, 1]), ddof=1)
-    freqs = np.linspace(0, sr / 2, 128)
+LAGS_BLOCK = 1 << 14  # instants whose lagged products a task sums
+
+
+def lagged_moments(samples: DataFrame, order: int, c: int) -> dict[str, tuple]:
+    """By recording: (instants, means, instants with a past, sums, products, instants at the ends).
+
+    Sums and products are those of (x_t, x_{t-1}, …, x_{t-order}) over all t that have
+    their past; blocks of instants carry a halo of `order`. The first and the last
+    `order` instants give what full-length autocovariances need besides.
+    """
+    width = c * (order + 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
+    x = frames(samples).select("recording_id", "s", "x")
+    block = F.floor((F.col("s") - 1) / LAGS_BLOCK)
+    halo = F.floor((F.col("s") - 1 + order) / LAGS_BLOCK)
+    dealt = x.select("recording_id", "s", "x", F.explode(F.array_distinct(F.array(block, halo))).alias("block"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("s")
+        low = t["block"][0].as_py() * LAGS_BLOCK + 1
+        z = t["x"].combine_chunks().flatten().to_numpy().reshape(-1, c)
+        keep = int((t["s"].to_numpy() >= low).sum())  # instants of the block itself
+        skip = max(0, order - (len(z) - keep))  # those without a past
+        own = np.arange(len(z) - keep + skip, len(z))
+        u = np.concatenate([z[own - k] for k in range(order + 1)], axis=1) if len(own) else np.zeros((0, width))
+        v = np.concatenate([[keep, len(own)], z[len(z) - keep :].sum(axis=0), u.sum(axis=0), (u.T @ u).ravel()])
+        return pa.table({"recording_id": t["recording_id"].take(pa.array([0] * len(v))), "i": np.arange(len(v)), "v": v})
+
+    sums = dealt.groupBy("recording_id", "block").applyInArrow(run, "recording_id string, i long, v double").groupBy("recording_id", "i").agg(F.sum("v").alias("v"))
+    size = 2 + c + width + width * width
+    found: dict[str, np.ndarray] = {}
+    for r in sums.collect():  # a matrix of lagged channels for each recording
+        found.setdefault(r["recording_id"], np.zeros(size))[r["i"]] = r["v"]
+    edge = x.withColumn("n", n).where((F.col("s") <= order) | (F.col("s") > F.col("n") - order)).orderBy("s").collect()  # 2 * order instants
+    ends = {name: np.array([r["x"] for r in edge if r["recording_id"] == name]) for name in found}
+    return {name: (v[0], v[2 : 2 + c] / v[0], v[1], v[2 + c : 2 + c + width], v[2 + c + width :].reshape(width, width), ends[name]) for name, v in found.items()}
+
+
+def granger_pairs(n: float, mean: np.ndarray, m: float, total: np.ndarray, products: np.ndarray, ends: np.ndarray, order: int, sr: float, band: tuple[float, float] | None, orientation: str) -> np.ndarray:
+    """Causality (from, to) of each pair: mean over frequencies of the log ratio of the spectra of `to` alone and with `from`."""
+    c = len(mean)
+    centre = np.tile(mean, order + 1)
+    sums = total - m * centre
+    gram = products - np.outer(total, centre) - np.outer(centre, total) + m * np.outer(centre, centre)
+    first = ends[:order] - mean
+    r = []  # r[k] = sum of z_t z_{t-k}' over t >= k, divided by n
+    for k in range(order + 1):
+        early = sum((np.outer(first[t], first[t - k]) for t in range(k, order)), np.zeros((c, c)))
+        r.append((gram[:c, k * c : (k + 1) * c] + early) / n)
+    lags, freqs = np.abs(np.subtract.outer(np.arange(order), np.arange(order))), np.linspace(0, sr / 2, 128)
     wave = np.exp(-2j * np.pi * np.outer(freqs, np.arange(1, order + 1)) / sr)
-    s_one = one_var / np.abs(1 - wave @ one) ** 2
-    s_full = full_var / np.abs(1 - wave @ both[:, 1]) ** 2
-    ok = (s_one > EPS) & (s_full > EPS)
-    gain = np.maximum(0, np.log(np.where(ok, s_one, 1) / np.where(ok, s_full, 1)))
     use = np.arange(1, 128) if band is None else np.flatnonzero((freqs >= band[0]) & (freqs <= band[1]))
-    return float(gain[use].mean()) if len(use) else 0.0
+    ridge = lambda x: x + 1e-6 * np.abs(np.diag(x)).max() * np.eye(len(x))
+    turn = (lambda x: x.T) if orientation == "forward" else (lambda x: x)  # else time runs backwards
+
+    def spread(at: list[int], weights: np.ndarray) -> float:
+        """Variance of z_to less its prediction from lagged rows of the moments."""
+        w = np.zeros(c * (order + 1))
+        w[at[0]] = 1
+        np.subtract.at(w, at[1:], weights)
+        return float((w @ gram @ w - (w @ sums) ** 2 / m) / (m - 1))
+
+    out = np.zeros((c, c))
+    for i in range(c):
+        for j in range(c):
+            if i == j:
+                continue
+            q = [x[np.ix_([i, j], [i, j])] for x in r]
+            big = np.block([[turn(q[a - b]) if a >= b else turn(q[b - a]).T for b in range(order)] for a in range(order)])
+            right = np.concatenate([turn(q[k])[:, 1] for k in range(1, order + 1)])
+            own = np.array([x[1, 1] for x in q])
+            try:
+                both, one = np.linalg.solve(ridge(big), right).reshape(order, 2), np.linalg.solve(ridge(own[lags]), own[1:])
+            except np.linalg.LinAlgError:
+                both, one = np.zeros((order, 2)), np.zeros(order)
+            past = [[k * c + i, k * c + j] for k in range(1, order + 1)]
+            full_var = spread([j, *(x for p in past for x in p)], both.ravel())
+            one_var = spread([j, *(p[1] for p in past)], one)
+            s_one, s_full = one_var / np.abs(1 - wave @ one) ** 2, full_var / np.abs(1 - wave @ both[:, 1]) ** 2
+            ok = (s_one > EPS) & (s_full > EPS)
+            gain = np.maximum(0, np.log(np.where(ok, s_one, 1) / np.where(ok, s_full, 1)))
+            out[i, j] = gain[use].mean() if len(use) else 0.0
+    return out
 
 
 def granger(samples: DataFrame, sr: float, order: int = 5, band: tuple[float, float] | None = None, orientation: str = "forward") -> DataFrame:
-    """(recording_id, from_channel, to_channel, gc_value) for all ordered pairs."""
+    """(recording_id, from_channel, to_channel, gc_value) for all ordered pairs; signals meet the driver as lagged moments."""
     if order < 1 or 2 * order + 1 >= length_of(samples):
         raise ValueError("model order is too long for the signal")
-    traces = samples.groupBy("recording_id", "ch", "label").agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("x"))
-    traces = traces.select("recording_id", "ch", "label", F.transform("x", lambda e: e["v"]).alias("x"))
-    a = traces.select("recording_id", F.col("ch").alias("i"), F.col("label").alias("from_channel"), "x")
-    b = traces.select("recording_id", F.col("ch").alias("j"), F.col("label").alias("to_channel"), F.col("x").alias("y"))
-    pairs = a.join(b, "recording_id").where("i <> j").repartition("recording_id", "i", "j")
-
-    def run(it):
-        for p in it:
-            g = [granger_pair(np.array(x), np.array(y), order, sr, band, orientation) for x, y in zip(p.x, p.y)]
-            yield p[["recording_id", "from_channel", "to_channel"]].assign(gc_value=np.array(g, dtype=float))
-
-    return pairs.mapInPandas(run, "recording_id string, from_channel string, to_channel string, gc_value double")
+    chans = channels(samples)
+    rows = []
+    for name, moments in lagged_moments(samples, order, len(chans)).items():
+        g = granger_pairs(*moments, order, sr, band, orientation)
+        rows += [(name, a, b, float(g[i, j])) for i, (_, a) in enumerate(chans) for j, (_, b) in enumerate(chans) if i != j]
+    return samples.sparkSession.createDataFrame(rows, "recording_id string, from_channel string, to_channel string, gc_value double")
 
 
 def connectivity_matrix(samples: DataFrame, sr: float, method: str = "coherence", band: tuple[float, float] = (8, 13), **options) -> DataFrame:

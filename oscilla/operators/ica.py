@@ -29,7 +29,7 @@ def partial_sums(rows: DataFrame, fn, size: int, by: list[str] | None = None) ->
         sums: dict[tuple, np.ndarray] = {}
         for b in it:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) or [()] * b.num_rows
-            x = np.array(b.column(len(by)).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            x = b.column(len(by)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
             for k in set(keys):
                 part = fn(x[[i for i, key in enumerate(keys) if key == k]])
                 sums[k] = sums.get(k, 0) + part
@@ -77,6 +77,14 @@ class Mixing:
     channels: list[tuple[int, str]]
 
 
+def _natural_step(w: np.ndarray, slope: np.ndarray, rate: float = 0.01) -> np.ndarray:
+    """Natural-gradient ascent, scaled to spectral norm 1, with unit rows."""
+    moved = w + rate * (w + slope @ w)
+    moved = moved / np.linalg.norm(moved, 2)
+    size = np.linalg.norm(moved, axis=1, keepdims=True)
+    return moved / np.where(size < EPS, 1, size)
+
+
 def fit(samples: DataFrame, n_components: int | None = None, method: str = "fastica", max_iter: int = 200, tol: float = 1e-6, seed: int = 1) -> Mixing:
     chans = channels(samples)
     c = len(chans)
@@ -111,18 +119,14 @@ def fit(samples: DataFrame, n_components: int | None = None, method: str = "fast
                     break
         elif method == "infomax":
             for _ in range(max_iter):
-                def step(x, w=w):
+                def slope(x, w=w):
                     u = white(x) @ w.T
-                    return ((1 - 2 / (1 + np.exp(-u))).T @ u).ravel()
+                    return (-np.tanh(u / 2).T @ u).ravel()
 
-                new = w + 0.01 * (np.eye(p) + collect_sums(rows, step, p * p).reshape(p, p) / n) @ w
-                u, s, vt = np.linalg.svd(new)
-                new = u @ np.diag(s / s.max()) @ vt
-                norm = np.sqrt((new**2).sum(axis=1, keepdims=True))
-                new = new / np.where(norm < EPS, 1, norm)
-                done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < tol
-                w = new
-                if done:
+                turned = _natural_step(w, collect_sums(rows, slope, p * p).reshape(p, p) / n)
+                still = np.abs((turned * w).sum(axis=1))
+                w = turned
+                if np.abs(still - 1).max() < tol:
                     break
             w = orthogonal(w)
         else:
@@ -133,12 +137,30 @@ def fit(samples: DataFrame, n_components: int | None = None, method: str = "fast
 
 
 def project(samples: DataFrame, weights: np.ndarray, chans: list[tuple[int, str]], offset: np.ndarray | None = None) -> DataFrame:
-    """(recording_id, epoch, s, component, v) = weights @ (x - offset); a broadcast mat-vec by join."""
+    """(recording_id, epoch, s, component, v) = weights @ (x - offset): one matrix product for each batch of instants."""
     off = np.zeros(len(chans)) if offset is None else offset
-    table = [(int(ch), float(off[i]), [float(a) for a in weights[:, i]]) for i, (ch, _) in enumerate(chans)]
-    t = F.broadcast(samples.sparkSession.createDataFrame(table, "ch int, off double, w array<double>"))
-    x = samples.join(t, "ch").select("recording_id", "epoch", "s", (F.col("v") - F.col("off")).alias("d"), F.posexplode("w").alias("i", "w"))
-    return x.groupBy("recording_id", "epoch", "s", (F.col("i") + 1).alias("component")).agg(F.sum(F.col("d") * F.col("w")).alias("v"))
+    c, p = len(chans), len(weights)
+    rows = frames(samples.where(F.col("ch").isin([int(ch) for ch, _ in chans])))
+
+    def run(it):
+        for batch in it:
+            step = max(1, (1 << 20) // p)  # about a million numbers at once
+            for b in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                x = b.column(3).flatten().to_numpy(zero_copy_only=False)
+                if len(x) != c * b.num_rows:
+                    raise ValueError("an instant lacks channels that others have")
+                y = (x.reshape(-1, c) - off) @ weights.T
+                at = pa.array(np.repeat(np.arange(b.num_rows), p))
+                component = pa.array(np.tile(np.arange(1, p + 1, dtype=np.int32), b.num_rows))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), component, pa.array(y.ravel())], ["recording_id", "epoch", "s", "component", "v"])
+
+    return rows.mapInArrow(run, "recording_id string, epoch int, s long, component int, v double")
+
+
+def mixing_table(spark, model: Mixing) -> DataFrame:
+    """(component, ch, label, w, unmixing, mean) of a fitted model."""
+    rows = [(i + 1, int(ch), label, float(model.mixing[j, i]), float(model.unmixing[i, j]), float(model.mean[j])) for i in range(len(model.unmixing)) for j, (ch, label) in enumerate(model.channels)]
+    return spark.createDataFrame(rows, "component int, ch int, label string, w double, unmixing double, mean double")
 
 
 def sources(samples: DataFrame, model: Mixing) -> DataFrame:

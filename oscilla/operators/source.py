@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EPS
 from ..sources.electrodes import FORWARD_1020
-from .ica import channels, covariance, project
+from .ica import channels, covariance, partial_sums, project
 
 # Conductivity, and weights and places of the virtual dipoles of the three-shell model.
 SIGMA = 0.33
@@ -159,7 +159,6 @@ def source_power(samples: DataFrame, model: Forward, sr: float, bands: dict | No
     """(source_id, band, power) of every source column; the transform is taken on channels and then projected, which commutes."""
     from .timefreq import per_trace
 
-    chans = channels(samples)
     kernel = inverse_kernel(model.leadfield, method, lam)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +168,12 @@ def source_power(samples: DataFrame, model: Forward, sr: float, bands: dict | No
 
     table = F.broadcast(samples.sparkSession.createDataFrame([(b, float(x), float(y)) for b, (x, y) in (bands or BANDS).items()], "band string, low double, high double"))
     spec = per_trace(samples, run, "freq double, ch int, re double, im double").join(table, F.expr("freq BETWEEN low AND high"))
-    w = F.broadcast(samples.sparkSession.createDataFrame([(int(c), [float(x) for x in kernel[:, i]]) for i, (c, _) in enumerate(chans)], "ch int, w array<double>"))
-    x = spec.join(w, "ch").select("band", "freq", "re", "im", F.posexplode("w").alias("i", "w"))
-    x = x.groupBy("band", "freq", (F.col("i") + 1).alias("source_id")).agg(F.sum(F.col("re") * F.col("w")).alias("a"), F.sum(F.col("im") * F.col("w")).alias("b"))
-    return x.groupBy("source_id", "band").agg(F.sum(F.col("a") ** 2 + F.col("b") ** 2).alias("power"))
+    x = F.array_sort(F.collect_list(F.struct("ch", "re", "im")))
+    rows = spec.groupBy("band", "freq").agg(x.alias("x")).select("band", F.flatten(F.transform("x", lambda e: F.array(e["re"], e["im"]))).alias("x"))
+
+    def power(x: np.ndarray) -> np.ndarray:
+        z = x.reshape(len(x), -1, 2)
+        return ((z[:, :, 0] @ kernel.T) ** 2 + (z[:, :, 1] @ kernel.T) ** 2).sum(axis=0)
+
+    sums = partial_sums(rows, power, len(kernel), ["band"])
+    return sums.select((F.col("i") + 1).cast("int").alias("source_id"), "band", F.col("v").alias("power"))

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import spline_weights
 from ..sources.electrodes import electrodes
+from .ica import channels, frames, partial_sums, project
 
 INSTANT = ["recording_id", "epoch", "s"]
 
 
-def montage(channels: DataFrame, system: str = "10-20", positions: DataFrame | None = None) -> DataFrame:
-    """channels (…, label) with pos_x, pos_y, pos_z of the site of the same name, letter case aside.
+def montage(names: DataFrame, system: str = "10-20", positions: DataFrame | None = None) -> DataFrame:
+    """names (…, label) with pos_x, pos_y, pos_z of the site of the same name, letter case aside.
 
     The first of equal names in the table wins; unknown sites get nulls; none at all is an error.
     """
-    table = positions if system == "custom" else electrodes(channels.sparkSession, system)
+    table = positions if system == "custom" else electrodes(names.sparkSession, system)
     if table is None:
         raise ValueError("a custom montage needs positions")
     table = table.select(F.upper("label").alias("_site"), "pos_x", "pos_y", "pos_z").dropDuplicates(["_site"])
-    out = channels.drop("pos_x", "pos_y", "pos_z").withColumn("_site", F.upper("label")).join(F.broadcast(table), "_site", "left").drop("_site")
+    out = names.drop("pos_x", "pos_y", "pos_z").withColumn("_site", F.upper("label")).join(F.broadcast(table), "_site", "left").drop("_site")
     if out.where("pos_x is not null").isEmpty():
         raise ValueError("no channel label matches the montage")
     return out
@@ -42,12 +43,12 @@ def rereference(samples: DataFrame, ref_type: str = "average", refs: list[str] |
     if ref_type == "rest":
         if positions is None:
             raise ValueError("rest needs electrode positions")
-        w = distance_weights(positions, positions, floor=None)
-        mixed = samples.alias("x").join(F.broadcast(w), F.col("x.label") == F.col("src"))
-        ref = mixed.groupBy(*INSTANT, F.col("dst")).agg(F.sum(F.col("v") * F.col("w")).alias("ref"))
-        ref = ref.select(*[F.col(c).alias(f"_{c}") for c in INSTANT], F.col("dst").alias("_label"), F.col("ref").alias("_ref"))
-        on = (F.col("s") == F.col("_s")) & (F.col("label") == F.col("_label")) & F.col("recording_id").eqNullSafe(F.col("_recording_id")) & F.col("epoch").eqNullSafe(F.col("_epoch"))
-        return samples.join(ref, on).withColumn("v", F.col("v") - F.col("_ref")).drop("_recording_id", "_epoch", "_s", "_label", "_ref")
+        weights = {(r["dst"], r["src"]): r["w"] for r in distance_weights(positions, positions, floor=None).collect()}  # electrodes by electrodes
+        placed = {dst for dst, _ in weights}
+        chans = [(ch, name) for ch, name in channels(samples) if name in placed]
+        m = np.array([[float(a == b) - weights.get((a, b), 0.0) for _, b in chans] for _, a in chans])
+        names = F.broadcast(samples.sparkSession.createDataFrame([(i + 1, int(ch), name) for i, (ch, name) in enumerate(chans)], "component int, ch int, label string"))
+        return project(samples, m, chans).join(names, "component").select("recording_id", "epoch", "s", "ch", "label", "v")
     if ref_type == "mastoids":
         present = {r[0] for r in samples.select("label").distinct().collect()}  # the channels of the montage
         refs = next((list(p) for p in (("M1", "M2"), ("A1", "A2"), ("TP9", "TP10")) if set(p) <= present), None)
@@ -102,6 +103,28 @@ def interpolate(samples: DataFrame, bad: list[str], positions: DataFrame, method
     return kept.select(*cols).unionByName(made.select(*cols))
 
 
+def mean_correlations(samples: DataFrame) -> DataFrame:
+    """(recording_id, label, mean_r): each channel's mean correlation with the others, from one pass of moments."""
+    chans = channels(samples)
+    c = len(chans)
+    gram = lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+    found: dict[str, np.ndarray] = {}
+    for r in partial_sums(frames(samples), gram, 1 + c + c * c, ["recording_id"]).collect():  # channels by channels for each recording
+        found.setdefault(r["recording_id"], np.zeros(1 + c + c * c))[r["i"]] = r["v"]
+    rows = []
+    for name, g in found.items():
+        n, total = g[0], g[1 : c + 1]
+        cov = g[c + 1 :].reshape(c, c) - np.outer(total, total) / n
+        scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+        flat = ~(np.diag(cov) > 1e-12 * np.maximum(np.diag(g[c + 1 :].reshape(c, c)), 1e-300))
+        r = np.divide(cov, scale, out=np.full((c, c), np.nan), where=~(flat[:, None] | flat[None]))
+        np.fill_diagonal(r, np.nan)
+        for i, (_, label) in enumerate(chans):
+            known = r[i][~np.isnan(r[i])]
+            rows.append((name, label, float(known.mean()) if len(known) else None))
+    return samples.sparkSession.createDataFrame(rows, "recording_id string, label string, mean_r double")
+
+
 def bad_channels(samples: DataFrame, method: str = "all", flat_threshold: float = 1e-6, noise_threshold: float = 4.0, corr_threshold: float = 0.4) -> DataFrame:
     """One row per channel: channel, is_bad, reason, score (flat, noise, correlation, in that order)."""
     by = ["recording_id"]
@@ -110,15 +133,7 @@ def bad_channels(samples: DataFrame, method: str = "all", flat_threshold: float
     off = stats.join(F.broadcast(mid), by).withColumn("off", F.abs(F.col("var") - F.col("mid")))
     mad = off.groupBy(*by).agg(F.greatest(F.percentile("off", F.lit(0.5)), F.lit(1e-12)).alias("mad"))
     stats = off.join(F.broadcast(mad), by).withColumn("z", (F.col("var") - F.col("mid")) / F.col("mad"))
-    key = [*by, "epoch", "s"]
-    a = samples.select(*key, F.col("label").alias("l1"), F.col("v").alias("x"))
-    b = samples.select(*key, F.col("label").alias("l2"), F.col("v").alias("y"))
-    same = [a["recording_id"] == b["recording_id"], a["s"] == b["s"], a["epoch"].eqNullSafe(b["epoch"]), a["l1"] < b["l2"]]
-    pairs = a.join(b, same).groupBy(a["recording_id"], "l1", "l2").agg(F.covar_samp("x", "y").alias("c"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
-    pairs = pairs.withColumn("r", F.try_divide("c", F.sqrt(F.col("vx") * F.col("vy"))))
-    sides = pairs.select(*by, F.col("l1").alias("label"), "r").union(pairs.select(*by, F.col("l2").alias("label"), "r"))
-    mean = sides.groupBy(*by, "label").agg(F.avg("r").alias("mean_r"))
-    stats = stats.join(mean, [*by, "label"], "left")
+    stats = stats.join(F.broadcast(mean_correlations(samples)), [*by, "label"], "left")
     use = lambda m: F.lit(method in ("all", m))
     flat = use("flat") & (F.col("var") < flat_threshold)
     noise = use("noise") & (F.col("z") > noise_threshold)

@@ -12,18 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import fir_taps
+from ..functions.columns import length_of
+from ..functions.kernels import fir_length, fir_taps
 from ..operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
 from ..sources import generators
-from ..sources.electrodes import FLAT_1020, SYSTEM_1010, electrodes
-from ..sources.views import EPOCHED_SQL, POSITIONS_SQL, SIGNAL_SQL, SR, STAGES_SQL, TOPO_SQL, epoched, signal, stages, topographies
+from ..sources.electrodes import FLAT_1020, SYSTEM_1010, SYSTEM_1020, electrodes
+from ..sources.views import EPOCH_LEN, EPOCHED_SQL, POSITIONS_SQL, SIGNAL_SQL, SR, STAGES_SQL, TOPO_SQL, epoched, signal, stages, topographies
+from .pipeline import preprocess
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 PI = repr(math.pi)
 ORDER = 61  # taps of the filter queries
-EVENTS = [0.5, 2.0, 3.25, 7.75, 11.0, 14.9]
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -115,6 +116,14 @@ src AS (SELECT ch, label, s, h, least(greatest(s - m, 1), n) AS at FROM sig, tap
 SELECT src.s, src.ch, src.label, {r('sum(h * sig.v)')} AS v FROM src JOIN sig ON sig.ch = src.ch AND sig.s = src.at GROUP BY ALL"""
 
 
+def _fir_sql(kind: str, low: float | None, high: float | None, view: str = "sig", by: str = "ch, label", n: int = 10**9) -> str:
+    """nn (samples of a trace), f: the filter of default length over traces of view, ends held; for signals longer than the filter."""
+    taps = fir_taps(kind, SR, low, high, fir_length(SR, high if kind == "lowpass" else low, n))
+    rows = ", ".join(f"({i - len(taps) // 2}, {float(h)!r}::DOUBLE)" for i, h in enumerate(taps))
+    return f"""tp(m, h) AS (VALUES {rows}), nn AS (SELECT max(s) AS n FROM {view}), tapped AS (SELECT {by}, s, h, least(greatest(s - m, 1), n) AS spot FROM {view}, tp, nn),
+f AS (SELECT {by}, tapped.s, sum(h * y.v) AS v FROM tapped JOIN (SELECT {by}, s AS spot, v FROM {view}) y USING ({by}, spot) GROUP BY {by}, tapped.s)"""
+
+
 for _kind, (_low, _high) in FILTERS.items():
     query(f"fir_{_kind}", _filter_sql(_kind))(lambda s, d, k=_kind, a=_low, b=_high: _shown(filtering.fir_filter(signal(s, d), k, SR, a, b, ORDER, block=512)))
 query("iir_bandpass")(lambda s, d: _shown(filtering.eeg_filter(signal(s, d), SR, 4, 20, method="iir")))
@@ -122,16 +131,18 @@ query("iir_bandpass")(lambda s, d: _shown(filtering.eeg_filter(signal(s, d), SR,
 # --- epochs and artifacts --------------------------------------------------------
 
 
-def _events(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("r1", i, t) for i, t in enumerate(EVENTS)], "recording_id string, pos int, onset_sec double")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event every 2.25 s of the whole signal, the last one beyond its end."""
+    n = length_of(signal(spark, sf_dir))
+    return spark.range(n // 288 + 1).select(F.lit("r1").alias("recording_id"), F.col("id").cast("int").alias("pos"), (0.5 + 2.25 * F.col("id")).alias("onset_sec"))
 
 
 A, B = round(-0.2 * SR), round(0.8 * SR)
-ONSETS = ", ".join(f"({i}, {round(t * SR) + 1})" for i, t in enumerate(EVENTS))
-query("epoch_baseline", f"""WITH {SIGNAL_SQL}, ev(pos, onset) AS (VALUES {ONSETS}), k AS (SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS epoch, onset FROM ev WHERE onset + {A} >= 1 AND onset + {B} <= (SELECT max(s) FROM sig)),
-x AS (SELECT epoch, s - onset - {A} + 1 AS s, ch, label, v FROM k JOIN sig ON s BETWEEN onset + {A} AND onset + {B})
+CUT = f"""ev AS (SELECT i AS pos, 65 + 288 * i AS onset FROM (SELECT unnest(range((SELECT max(s) // 288 + 1 FROM sig))) AS i)), k AS (SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS epoch, onset FROM ev WHERE onset + {A} >= 1 AND onset + {B} <= (SELECT max(s) FROM sig)),
+x AS (SELECT epoch, s - onset - {A} + 1 AS s, ch, label, v FROM k JOIN sig ON s BETWEEN onset + {A} AND onset + {B})"""
+query("epoch_baseline", f"""WITH {SIGNAL_SQL}, {CUT}
 SELECT epoch, CAST(s AS BIGINT) AS s, ch, label, {r(f'v - avg(CASE WHEN s <= {1 - A} THEN v END) OVER (PARTITION BY epoch, ch)')} AS v FROM x""")(
-    lambda s, d: epochs.epoch_events(signal(s, d), _events(s), SR)[0]
+    lambda s, d: epochs.epoch_events(signal(s, d), _events(s, d), SR)[0]
 )
 SCORES = {
     "threshold": ("max(abs(v))", "ep", 400.0), "gradient": ("max(d)", "(SELECT epoch, abs(v - lag(v) OVER (PARTITION BY epoch, ch ORDER BY s)) AS d FROM ep)", 350.0),
@@ -139,19 +150,26 @@ SCORES = {
 }
 
 
-def _artifact_sql(method: str) -> str:
+def _scores_sql(method: str) -> str:
     value, src, limit = SCORES[method]
     if method == "joint_probability":
         sc = "p AS (SELECT epoch, ln(greatest(avg(v * v), 1e-20)) AS p FROM ep GROUP BY epoch), sc AS (SELECT epoch, (p - avg(p) OVER ()) / greatest(stddev_samp(p) OVER (), 1e-12) AS value FROM p)"
     else:
         sc = f"sc AS (SELECT epoch, {value} AS value FROM {src} GROUP BY epoch)"
-    return f"WITH {EPOCHED_SQL}, {sc} SELECT epoch, '{method}' AS reason, {r('value')} AS value FROM sc WHERE abs(value) > {limit}"
+    return f"WITH {EPOCHED_SQL}, {sc}, bad AS (SELECT * FROM sc WHERE abs(value) > {limit})"
 
 
 # a gradient limit of x per ms is x * 1000 / sr per sample
 LIMITS = {"threshold": {"threshold_uv": 400.0}, "gradient": {"gradient_uv_ms": 350.0 * SR / 1000}, "joint_probability": {"jp_threshold": 1.0}}
 for _m, _kw in LIMITS.items():
-    query(f"artifact_{_m}", _artifact_sql(_m))(lambda s, d, m=_m, kw=_kw: epochs.reject_artifacts(epoched(s, d), m, SR, **kw)[1])
+    query(f"artifact_{_m}", f"{_scores_sql(_m)} SELECT epoch, '{_m}' AS reason, {r('value')} AS value FROM bad")(lambda s, d, m=_m, kw=_kw: epochs.reject_artifacts(epoched(s, d), m, SR, **kw)[1])
+query("artifact_clean", f"{_scores_sql('joint_probability')} SELECT epoch, s, ch, label, {r('v')} AS v FROM ep WHERE epoch NOT IN (SELECT epoch FROM bad)")(
+    lambda s, d: epochs.reject_artifacts(epoched(s, d), "joint_probability", SR, **LIMITS["joint_probability"])[0].select("epoch", "s", "ch", "label", "v")
+)
+query("artifact_summary", f"""{_scores_sql('joint_probability')} SELECT 'joint_probability' AS method, count(*) AS n_total, count(bad.epoch) AS n_rejected, count(*) - count(bad.epoch) AS n_retained,
+string_agg(CAST(bad.epoch AS VARCHAR), ',' ORDER BY bad.epoch) AS rejected_epochs FROM sc LEFT JOIN bad USING (epoch)""")(
+    lambda s, d: epochs.reject_artifacts(epoched(s, d), "joint_probability", SR, **LIMITS["joint_probability"])[2].withColumn("rejected_epochs", F.array_join(F.col("rejected_epochs").cast("array<string>"), ","))
+)
 
 # --- potentials ------------------------------------------------------------------
 
@@ -183,13 +201,13 @@ SELECT label AS channel, {r(f'coalesce((min(CASE WHEN total > 0 AND cum >= total
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Epochs 1, 3, 5… and 2, 4, 6… as two recordings of equal shape, both numbered 1, 2, 3…"""
     x = epoched(s, d)
-    n = F.lit(7)
-    odd = x.where("epoch % 2 = 1").withColumn("epoch", ((F.col("epoch") + 1) / 2).cast("int")).where(F.col("epoch") <= n)
-    even = x.where("epoch % 2 = 0").withColumn("epoch", (F.col("epoch") / 2).cast("int")).where(F.col("epoch") <= n)
+    pairs = (x.agg(F.max("epoch")).first()[0] or 0) // 2
+    odd = x.where("epoch % 2 = 1").withColumn("epoch", ((F.col("epoch") + 1) / 2).cast("int")).where(F.col("epoch") <= pairs)
+    even = x.where("epoch % 2 = 0").withColumn("epoch", (F.col("epoch") / 2).cast("int"))
     return odd, even
 
 
-TWO = f"WITH {EPOCHED_SQL}, a AS (SELECT CAST((epoch + 1) // 2 AS INTEGER) AS epoch, s, ch, label, v FROM ep WHERE epoch % 2 = 1 AND (epoch + 1) // 2 <= 7), b AS (SELECT CAST(epoch // 2 AS INTEGER) AS epoch, s, ch, label, v FROM ep WHERE epoch % 2 = 0 AND epoch // 2 <= 7)"
+TWO = f"WITH {EPOCHED_SQL}, a AS (SELECT CAST((epoch + 1) // 2 AS INTEGER) AS epoch, s, ch, label, v FROM ep WHERE epoch % 2 = 1 AND epoch < (SELECT max(epoch) // 2 * 2 FROM ep)), b AS (SELECT CAST(epoch // 2 AS INTEGER) AS epoch, s, ch, label, v FROM ep WHERE epoch % 2 = 0)"
 query("erp_difference", f"{TWO} SELECT epoch, s, ch, a.label, {r('a.v - b.v')} AS v FROM a JOIN b USING (epoch, s, ch)")(lambda s, d: erp.difference(*_halves(s, d)))
 query("erp_grand_average", f"{TWO} SELECT epoch, s, ch, a.label, {r('(a.v + b.v) / 2')} AS v FROM a JOIN b USING (epoch, s, ch)")(lambda s, d: erp.grand_average(list(_halves(s, d))))
 _a, _b = _ms(0, 200)
@@ -201,7 +219,7 @@ SELECT x.s AS time_sample, {r('(x.m - y.m) / sqrt(x.q / x.n + y.q / y.n)')} AS t
     lambda s, d: erp.welch_t(epoched(s, d).where("condition = 'target'"), epoched(s, d).where("condition = 'standard'"))
 )
 for _m in ("permutation", "cluster"):
-    query(f"erp_{_m}")(lambda s, d, m=_m: erp.permutation_test(epoched(s, d).where("condition = 'target'"), epoched(s, d).where("condition = 'standard'"), 400, method=m))
+    query(f"erp_{_m}")(lambda s, d, m=_m: erp.permutation_test(epoched(s, d).where("condition = 'target'"), epoched(s, d).where("condition = 'standard'"), method=m))
 
 # --- spectra -----------------------------------------------------------------------
 
@@ -216,41 +234,58 @@ sp AS (SELECT {by}, win, k, freq, sum(v * cos(-2 * {PI} / {n} * ((k * t) % {n}))
 
 N_STFT = 64
 query("stft", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', N_STFT, 16, N_STFT // 2 + 1)}
-SELECT CAST(NULL AS INTEGER) AS epoch, ch, label, CAST(win + 1 AS INTEGER) AS time_bin, {r(f'(win * 16 + 32.0) / {SR}')} AS time_sec, {r('freq')} AS freq, {r(f"(re * re + im * im) / {timefreq.window_energy('hanning', N_STFT)!r}", 2)} AS power FROM sp""")(
-    lambda s, d: timefreq.stft(signal(s, d), SR).withColumn("power", F.round("power", 2))
-)
+SELECT CAST(NULL AS INTEGER) AS epoch, ch, label, CAST(win + 1 AS INTEGER) AS time_bin, {r(f'(win * 16 + 32.0) / {SR}')} AS time_sec, {r('freq')} AS freq, {r(f"(re * re + im * im) / {timefreq.window_energy('hanning', N_STFT)!r}")} AS power FROM sp""")(lambda s, d: timefreq.stft(signal(s, d), SR))
 N_W = 256
 WELCH = f"WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', N_W, N_W // 2, N_W // 2 + 1)}"
 _bands = ", ".join(f"('{b}', {x}, {y})" for b, (x, y) in clinical.BANDS.items())
 query("qeeg", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', N_W, N_W // 2, N_W // 2)}, psd AS (SELECT ch, label, freq, avg(re * re + im * im) / ({SR} * {timefreq.window_energy('hanning', N_W)!r}) AS p FROM sp GROUP BY ALL),
 bd(band, low, high) AS (VALUES {_bands}), a AS (SELECT ch, label, band, sum(CASE WHEN freq BETWEEN low AND high THEN p ELSE 0 END) AS p FROM psd, bd GROUP BY ALL)
-SELECT ch, label, band, {r('p', 3)} AS absolute_power, {r('p / sum(p) OVER (PARTITION BY ch)', 3)} AS relative_power FROM a""", 3)(lambda s, d: clinical.qeeg(signal(s, d), SR))
-# whole-signal spectra with oracle SQL are compared on the first 512 samples, where a plain DFT is quick
-SHORT = f"WITH {SIGNAL_SQL}, sh AS (SELECT * FROM sig WHERE s <= 512), {_dft_sql('sh', 'ch, label', 512, 512, 257, '1.0')}, pg AS (SELECT ch, label, freq, (re * re + im * im) / 512 AS p FROM sp)"
-
-
-def _short(s: SparkSession, d: str) -> DataFrame:
-    return signal(s, d).where("s <= 512")
+SELECT ch, label, band, {r('p')} AS absolute_power, {r('p / sum(p) OVER (PARTITION BY ch)')} AS relative_power FROM a""")(lambda s, d: clinical.qeeg(signal(s, d), SR))
+WHOLE = f"""WITH {SIGNAL_SQL}, nn AS (SELECT max(s) AS n FROM sig), bn AS (SELECT k, k * {SR} / n AS freq, n FROM nn, (SELECT unnest(range((SELECT n // 2 + 1 FROM nn))) AS k)),
+sp AS (SELECT ch, label, k, freq, n, sum(v * cos(-2 * {PI} / n * ((k * (s - 1)) % n))) AS re, sum(v * sin(-2 * {PI} / n * ((k * (s - 1)) % n))) AS im FROM sig, bn GROUP BY ALL),
+pg AS (SELECT ch, label, freq, (re * re + im * im) / n AS p FROM sp)"""
 
 
 def _sum(a: float, b: float) -> str:
     return f"sum(CASE WHEN freq BETWEEN {a} AND {b} THEN p ELSE 0 END)"
 
 
-query("band_power", f"{SHORT} SELECT ch, label, " + ", ".join(f"{r(_sum(*v), 2)} AS {k}" for k, v in clinical.BANDS.items()) + " FROM pg GROUP BY ch, label", 2)(lambda s, d: clinical.band_power(_short(s, d), SR, clinical.BANDS))
-query("asymmetry", f"""{SHORT}, b AS (SELECT label, greatest({_sum(8, 13)}, 2.220446049250313e-16) AS p FROM pg GROUP BY label)
-SELECT 'view-click' AS pair, 'click' AS left_channel, 'view' AS right_channel, {r('y.p', 2)} AS left_power, {r('x.p', 2)} AS right_power, {r('ln(x.p) - ln(y.p)', 2)} AS asymmetry_index FROM b x, b y WHERE x.label = 'view' AND y.label = 'click'""", 2)(
-    lambda s, d: clinical.asymmetry(_short(s, d), SR, [("view", "click"), ("nothing", "click")])
+query("band_power", f"{WHOLE} SELECT ch, label, " + ", ".join(f"{r(_sum(*v))} AS {k}" for k, v in clinical.BANDS.items()) + " FROM pg GROUP BY ch, label")(lambda s, d: clinical.band_power(signal(s, d), SR, clinical.BANDS))
+query("asymmetry", f"""{WHOLE}, b AS (SELECT label, greatest({_sum(8, 13)}, 2.220446049250313e-16) AS p FROM pg GROUP BY label)
+SELECT 'view-click' AS pair, 'click' AS left_channel, 'view' AS right_channel, {r('y.p')} AS left_power, {r('x.p')} AS right_power, {r('ln(x.p) - ln(y.p)')} AS asymmetry_index FROM b x, b y WHERE x.label = 'view' AND y.label = 'click'""")(
+    lambda s, d: clinical.asymmetry(signal(s, d), SR, [("view", "click"), ("nothing", "click")])
 )
-query("slowing_tdr", f"{SHORT}, b AS (SELECT ch, {_sum(4, 8)} / {_sum(1, 4)} AS v FROM pg GROUP BY ch) SELECT ch AS channel, 'tdr' AS metric, {r('v')} AS value, CASE WHEN v > 1 THEN 'mild_slowing' ELSE 'normal' END AS classification FROM b")(lambda s, d: clinical.slowing(_short(s, d), SR, "tdr"))
-query("slowing_dtar", f"""{SHORT}, b AS (SELECT ch, ({_sum(1, 4)} + {_sum(4, 8)}) / ({_sum(8, 13)} + {_sum(13, 30)}) AS v FROM pg GROUP BY ch)
-SELECT ch AS channel, 'dtar' AS metric, {r('v')} AS value, CASE WHEN v < 1 THEN 'normal' WHEN v < 2 THEN 'mild_slowing' WHEN v < 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(_short(s, d), SR, "dtar"))
-query("slowing_peak", f"""{SHORT}, b AS (SELECT ch, arg_max(freq, p) AS v FROM pg WHERE freq BETWEEN 1 AND 30 GROUP BY ch)
-SELECT ch AS channel, 'peak_frequency' AS metric, {r('v')} AS value, CASE WHEN v >= 8 THEN 'normal' WHEN v >= 6 THEN 'mild_slowing' WHEN v >= 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(_short(s, d), SR, "peak_frequency"))
+query("slowing_tdr", f"{WHOLE}, b AS (SELECT ch, {_sum(4, 8)} / {_sum(1, 4)} AS v FROM pg GROUP BY ch) SELECT ch AS channel, 'tdr' AS metric, {r('v')} AS value, CASE WHEN v > 1 THEN 'mild_slowing' ELSE 'normal' END AS classification FROM b")(lambda s, d: clinical.slowing(signal(s, d), SR, "tdr"))
+query("slowing_dtar", f"""{WHOLE}, b AS (SELECT ch, ({_sum(1, 4)} + {_sum(4, 8)}) / ({_sum(8, 13)} + {_sum(13, 30)}) AS v FROM pg GROUP BY ch)
+SELECT ch AS channel, 'dtar' AS metric, {r('v')} AS value, CASE WHEN v < 1 THEN 'normal' WHEN v < 2 THEN 'mild_slowing' WHEN v < 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(signal(s, d), SR, "dtar"))
+query("slowing_peak", f"""{WHOLE}, b AS (SELECT ch, arg_max(freq, p) AS v FROM pg WHERE freq BETWEEN 1 AND 30 GROUP BY ch)
+SELECT ch AS channel, 'peak_frequency' AS metric, {r('v')} AS value, CASE WHEN v >= 8 THEN 'normal' WHEN v >= 6 THEN 'mild_slowing' WHEN v >= 4 THEN 'moderate_slowing' ELSE 'severe_slowing' END AS classification FROM b""")(lambda s, d: clinical.slowing(signal(s, d), SR, "peak_frequency"))
 query("multitaper")(lambda s, d: timefreq.multitaper(signal(s, d), SR))
-query("morlet")(lambda s, d: timefreq.wavelet(signal(s, d), SR, [4, 10, 20]))
-query("ersp")(lambda s, d: timefreq.ersp(epoched(s, d), SR, [8, 16]))
-query("itc")(lambda s, d: timefreq.itc(epoched(s, d), SR, [8, 16]))
+
+
+def _wavelet_sql(view: str, by: str, freqs: list[float], n_cycles: float = 7) -> str:
+    """cf: coefficients of unit-energy wavelets centred on each sample, nothing beyond the ends."""
+    rows = []
+    for f in freqs:
+        sigma = n_cycles / (2 * math.pi * f)
+        half = math.ceil(3 * sigma * SR)
+        w = {m: math.exp(-((m / SR) ** 2) / (2 * sigma**2)) for m in range(-half, half + 1)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        rows += [f"({float(f)!r}::DOUBLE, {m}, {x / norm * math.cos(2 * math.pi * f * m / SR)!r}::DOUBLE, {-x / norm * math.sin(2 * math.pi * f * m / SR)!r}::DOUBLE)" for m, x in w.items()]
+    return f"wv(freq, m, a, b) AS (VALUES {', '.join(rows)}), cf AS (SELECT {by}, s - m AS s, freq, sum(v * a) AS re, sum(v * b) AS im FROM {view}, wv WHERE s - m BETWEEN 1 AND (SELECT max(s) FROM {view}) GROUP BY ALL)"
+
+
+FAINT = 1e-6  # power below which a phase says nothing
+query("morlet", f"""WITH {SIGNAL_SQL}, {_wavelet_sql('sig', 'ch, label', [4, 10, 20])} SELECT CAST(NULL AS INTEGER) AS epoch, ch, label, s, freq, {r('re * re + im * im')} AS power, CASE WHEN re * re + im * im > {FAINT} THEN {r('atan2(im, re)')} END AS phase FROM cf""")(
+    lambda s, d: timefreq.wavelet(signal(s, d), SR, [4, 10, 20]).withColumn("phase", F.when(F.col("power") > FAINT, F.col("phase")))
+)
+EPW = f"WITH {EPOCHED_SQL}, {_wavelet_sql('ep', 'ch, label, epoch', [8, 16])}"
+query("ersp", f"{EPW}, p AS (SELECT s, freq, ch, label, avg(re * re + im * im) AS p FROM cf GROUP BY ALL) SELECT s, freq, ch, label, {r('10 * log10(p / greatest(avg(CASE WHEN s BETWEEN 1 AND 50 THEN p END) OVER (PARTITION BY ch, freq), 2.220446049250313e-16))')} AS ersp_db FROM p")(
+    lambda s, d: timefreq.ersp(epoched(s, d), SR, [8, 16])
+)
+query("itc", f"{EPW}, u AS (SELECT s, freq, ch, label, avg(re / sqrt(re * re + im * im)) AS x, avg(im / sqrt(re * re + im * im)) AS y FROM cf GROUP BY ALL) SELECT s, freq, ch, label, {r('sqrt(x * x + y * y)')} AS itc FROM u")(
+    lambda s, d: timefreq.itc(epoched(s, d), SR, [8, 16])
+)
 
 # --- coupling ------------------------------------------------------------------------
 
@@ -263,8 +298,15 @@ query("imag_coherence", f"{PAIRS} SELECT ch1, ch2, {r('img')} AS value FROM co")
 query("connectivity_matrix", f"{PAIRS} SELECT ch1 AS a, ch2 AS b, {r('coh')} AS value FROM co UNION ALL SELECT ch2, ch1, {r('coh')} FROM co UNION ALL SELECT DISTINCT label, label, CAST(1 AS DOUBLE) FROM sig")(lambda s, d: connectivity.connectivity_matrix(signal(s, d), SR))
 query("wpli", f"""{PAIRS}, w AS (SELECT ch1, ch2, win, avg(q) AS q FROM pr GROUP BY ALL), z AS (SELECT ch1, ch2, CASE WHEN avg(abs(q)) < 2.220446049250313e-16 THEN 0 ELSE abs(avg(q)) / avg(abs(q)) END AS v, count(*) AS n FROM w GROUP BY ALL)
 SELECT ch1 AS channel1, ch2 AS channel2, {r('v')} AS wpli, {r('greatest(0, (n * v * v - 1) / (n - 1))')} AS wpli_debiased FROM z""")(lambda s, d: connectivity.wpli(signal(s, d), SR))
-query("plv")(lambda s, d: connectivity.plv(signal(s, d), SR))
+query("plv", f"""WITH {SIGNAL_SQL}, {_fir_sql('bandpass', 8.0, 13.0)}, hk AS (SELECT m, CASE WHEN m = 0 THEN 0 ELSE 2.0::DOUBLE / n * sin({PI} * m / n * ((n - 1) // 2)) * sin({PI} * m / n * ((n - 1) // 2 + 1)) / sin({PI} * m / n) END AS h FROM (SELECT unnest(range((SELECT n FROM nn))) AS m), nn),
+pt AS (SELECT f.ch, f.label, f.s, f.v, g.v AS w, (f.s - g.s + n) % n AS m FROM f JOIN f g ON g.ch = f.ch CROSS JOIN nn),
+an AS (SELECT ch, label, s, any_value(v) AS re, sum(w * h) AS im FROM pt JOIN hk USING (m) GROUP BY ch, label, s),
+ph AS (SELECT ch, label, s, re / sqrt(re * re + im * im) AS c, im / sqrt(re * re + im * im) AS q FROM an)
+SELECT a.label AS channel1, b.label AS channel2, {r('sqrt(avg(a.c * b.c + a.q * b.q) * avg(a.c * b.c + a.q * b.q) + avg(a.q * b.c - a.c * b.q) * avg(a.q * b.c - a.c * b.q))')} AS plv FROM ph a JOIN ph b ON a.s = b.s AND a.ch < b.ch GROUP BY ALL""")(lambda s, d: connectivity.plv(signal(s, d), SR))
 query("granger")(lambda s, d: connectivity.granger(signal(s, d), SR))
+query("connectivity_heatmap", f"{PAIRS}, mx AS (SELECT ch1 AS a, ch2 AS b, coh AS v FROM co UNION ALL SELECT ch2, ch1, coh FROM co UNION ALL SELECT DISTINCT label, label, 1.0 FROM sig) SELECT a, b, CASE WHEN v >= 0.2 THEN {r('v')} END AS value FROM mx")(
+    lambda s, d: plots.connectivity_frame(connectivity.connectivity_matrix(signal(s, d), SR), "heatmap", 0.2)
+)
 query("connectivity_edges", f"""{PAIRS}, nd AS (SELECT label, 2 * {PI} * (row_number() OVER (ORDER BY label) - 1) / count(*) OVER () AS g FROM (SELECT DISTINCT label FROM sig))
 SELECT least(ch1, ch2) AS a, greatest(ch1, ch2) AS b, {r('coh')} AS value, {r('cos(x.g)')} AS x_a, {r('sin(x.g)')} AS y_a, {r('cos(y.g)')} AS x_b, {r('sin(y.g)')} AS y_b
 FROM co JOIN nd x ON x.label = least(ch1, ch2) JOIN nd y ON y.label = greatest(ch1, ch2) WHERE coh > 0.01""")(lambda s, d: plots.connectivity_frame(connectivity.connectivity_matrix(signal(s, d), SR), "circle", 0.01))
@@ -275,16 +317,33 @@ N_S = 128
 query("sleep_stage", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch', N_S, N_S, N_S // 2, '1.0')}, b AS (SELECT ch, win, """ + ", ".join(f"sum(CASE WHEN {c} THEN (re * re + im * im) / {N_S} ELSE 0 END) AS {n}" for n, c in sleep.STAGE_BANDS.items()) + f""" FROM sp GROUP BY ch, win),
 m AS (SELECT win, """ + ", ".join(f"avg({n}) AS {n}" for n in sleep.STAGE_BANDS) + f""" FROM b GROUP BY win)
 SELECT CAST(win + 1 AS INTEGER) AS epoch, CASE WHEN delta / total > 0.4 THEN 'N3' WHEN alpha / total > 0.3 THEN 'W' WHEN sigma / total > 0.05 THEN 'N2' WHEN theta > delta AND alpha / total < 0.2 THEN 'REM' ELSE 'N1' END AS stage,
-CAST(win * {N_S} + 1 AS BIGINT) AS start_sample, CAST((win + 1) * {N_S} AS BIGINT) AS end_sample, """ + ", ".join(f"{r(n, 2)} AS {n}_power" for n in sleep.STAGE_BANDS if n != "total") + " FROM m", 2)(lambda s, d: sleep.sleep_stages(signal(s, d), SR, 1))
+CAST(win * {N_S} + 1 AS BIGINT) AS start_sample, CAST((win + 1) * {N_S} AS BIGINT) AS end_sample, """ + ", ".join(f"{r(n)} AS {n}_power" for n in sleep.STAGE_BANDS if n != "total") + " FROM m")(lambda s, d: sleep.sleep_stages(signal(s, d), SR, 1))
 query("sleep_metrics", f"""WITH {STAGES_SQL}, o AS (SELECT min(CASE WHEN stage <> 'W' THEN epoch END) AS onset FROM st),
 a AS (SELECT count(*) AS n, count(*) FILTER (stage <> 'W') AS tst, min(epoch) AS e0, min(onset) AS onset, count(*) FILTER (stage = 'W' AND epoch > onset) AS waso, min(CASE WHEN stage = 'REM' THEN epoch END) AS rem,
 count(*) FILTER (stage = 'N1') AS n1, count(*) FILTER (stage = 'N2') AS n2, count(*) FILTER (stage = 'N3') AS n3, count(*) FILTER (stage = 'REM') AS nr, count(*) FILTER (stage = 'W') AS w FROM st, o)
 SELECT metric, {r('CAST(value AS DOUBLE)')} AS value, unit FROM a, LATERAL (VALUES ('total_sleep_time', tst * 0.5::DOUBLE, 'min'), ('sleep_efficiency', 100.0::DOUBLE * tst / n, '%'), ('sleep_latency', (onset - e0) * 0.5::DOUBLE, 'min'), ('waso', waso * 0.5::DOUBLE, 'min'), ('rem_latency', (rem - onset) * 0.5::DOUBLE, 'min'),
 ('pct_N1', 100.0::DOUBLE * n1 / tst, '%'), ('pct_N2', 100.0::DOUBLE * n2 / tst, '%'), ('pct_N3', 100.0::DOUBLE * n3 / tst, '%'), ('pct_REM', 100.0::DOUBLE * nr / tst, '%'), ('pct_W', 100.0::DOUBLE * w / n, '%')) x(metric, value, unit)""")(lambda s, d: sleep.sleep_metrics(stages(s, d)))
 query("hypnogram", f"WITH {STAGES_SQL} SELECT epoch, stage, {r('(epoch - 1) * 30 / 60.0')} AS time_min, CAST(CASE stage WHEN 'N3' THEN 1 WHEN 'N2' THEN 2 WHEN 'N1' THEN 3 WHEN 'REM' THEN 4 WHEN 'W' THEN 5 END AS INTEGER) AS height FROM st")(lambda s, d: plots.hypnogram_frame(stages(s, d)))
-query("spindles")(lambda s, d: sleep.spindles(signal(s, d), SR, threshold_sd=0.5, min_duration_ms=100))
-query("k_complexes")(lambda s, d: sleep.k_complexes(signal(s, d), SR, min_neg_amplitude=-60, min_duration_ms=100))
-query("slow_waves")(lambda s, d: sleep.slow_waves(signal(s, d), SR, min_amplitude=1))
+_half = max(1, round(0.2 * SR)) // 2
+_short, _long = round(0.1 * SR), round(2 * SR)
+query("spindles", f"""WITH {SIGNAL_SQL}, {_fir_sql('bandpass', 11, 16)}, e AS (SELECT *, sqrt(avg(v * v) OVER (PARTITION BY ch ORDER BY s ROWS BETWEEN {_half} PRECEDING AND {_half} FOLLOWING)) AS env FROM f),
+l AS (SELECT ch, avg(env) + 0.5 * stddev_samp(env) AS lim FROM e GROUP BY ch), h AS (SELECT ch, s, v, env, s - row_number() OVER (PARTITION BY ch ORDER BY s) AS g FROM e JOIN l USING (ch) WHERE env > lim),
+t AS (SELECT *, lag(v) OVER (PARTITION BY ch, g ORDER BY s) AS p FROM h), q AS (SELECT ch, min(s) AS a, max(s) AS b, max(s) - min(s) + 1 AS n, arg_max(s, env) AS pk, max(env) AS amp, count(*) FILTER (sign(v) <> sign(p)) AS turns FROM t GROUP BY ch, g)
+SELECT ch AS channel, a AS start_sample, b AS end_sample, {r(f'n / {SR} * 1000')} AS duration_ms, pk AS peak_sample, {r('amp')} AS peak_amplitude, {r(f'turns / 2 / (n / {SR})')} AS frequency_hz FROM q WHERE n BETWEEN {_short} AND {_long}""")(
+    lambda s, d: sleep.spindles(signal(s, d), SR, threshold_sd=0.5, min_duration_ms=100)
+)
+query("k_complexes", f"""WITH {SIGNAL_SQL}, {_fir_sql('lowpass', None, 4)}, w AS (SELECT *, lag(v) OVER (PARTITION BY ch ORDER BY s) AS p, lead(v) OVER (PARTITION BY ch ORDER BY s) AS q FROM f),
+lo AS (SELECT ch, s AS np, v AS na, s + {round(0.5 * SR)} AS a, least(s + {round(1.5 * SR)}, n) AS b FROM w, nn WHERE v < p AND v <= q AND v < 60),
+hi AS (SELECT lo.ch, np, na, arg_max(f.s, f.v) AS pp, max(f.v) AS pa FROM lo JOIN f ON f.ch = lo.ch AND f.s BETWEEN a AND b WHERE a < b GROUP BY ALL)
+SELECT ch AS channel, np AS negative_peak_sample, pp AS positive_peak_sample, {r('na')} AS negative_amplitude, {r('pa')} AS positive_amplitude, {r(f'(pp - np) / {SR} * 1000')} AS duration_ms FROM hi WHERE pa > 0 AND pp - np BETWEEN {_short} AND {round(1.5 * SR)}""")(
+    lambda s, d: sleep.k_complexes(signal(s, d), SR, min_neg_amplitude=-60, min_duration_ms=100)
+)
+query("slow_waves", f"""WITH {SIGNAL_SQL}, {_fir_sql('bandpass', 0.5, 2)}, g AS (SELECT *, CASE WHEN v < 0 THEN -1 ELSE 1 END AS sg FROM f), z AS (SELECT ch, s, row_number() OVER (PARTITION BY ch ORDER BY s) AS i FROM (SELECT ch, s, sg <> lead(sg) OVER (PARTITION BY ch ORDER BY s) AS turn FROM g) WHERE turn),
+w AS (SELECT a.ch, a.s AS a, b.s AS b, coalesce(c.s, least((SELECT n FROM nn), b.s + {SR:.0f})) AS c FROM z a JOIN z b ON b.ch = a.ch AND b.i = a.i + 1 LEFT JOIN z c ON c.ch = a.ch AND c.i = a.i + 2),
+x AS (SELECT w.ch, a, b, min(CASE WHEN s <= b THEN v END) AS lo, max(CASE WHEN s > b THEN v END) AS hi FROM w JOIN f ON f.ch = w.ch AND s BETWEEN a + 1 AND c GROUP BY ALL)
+SELECT ch AS channel, a AS start_sample, b AS end_sample, {r('lo')} AS negative_peak, {r('hi')} AS positive_peak, {r(f'(b - a) / {SR} * 1000')} AS duration_ms, {r(f'(hi - lo) / ((b - a) / {SR} * 1000)')} AS slope FROM x WHERE lo <= -1 AND b - a BETWEEN {round(0.25 * SR)} AND {SR:.0f}""")(
+    lambda s, d: sleep.slow_waves(signal(s, d), SR, min_amplitude=1)
+)
 
 
 def _centred(s: SparkSession, d: str) -> DataFrame:
@@ -297,10 +356,18 @@ st AS (SELECT ch, avg(d) + 1.0 * stddev_samp(d) AS lim, avg(abs(v)) + 2 * stddev
 h AS (SELECT dd.ch, s, ref, CASE WHEN s - lag(s) OVER (PARTITION BY dd.ch ORDER BY s) > {HIGH} THEN 1 ELSE 0 END AS new FROM dd JOIN st USING (ch) WHERE d > lim),
 g0 AS (SELECT *, sum(new) OVER (PARTITION BY ch ORDER BY s) AS g FROM h), g AS (SELECT ch, g, ref, min(s) AS a, max(s) AS b, max(s) - min(s) + 1 AS n FROM g0 GROUP BY ALL HAVING max(s) - min(s) + 1 BETWEEN {LOW} AND {HIGH}),
 p AS (SELECT g.ch, g.g, n, ref, arg_max(x.s, abs(x.v)) AS s, arg_max(x.v, abs(x.v)) AS v FROM g JOIN x ON x.ch = g.ch AND x.s BETWEEN a - {LOW} AND b + {LOW} GROUP BY ALL)
-SELECT ch AS channel, s AS sample, {r(f'(s - 1) / {SR}')} AS time_sec, {r('v')} AS amplitude, {r(f'n / {SR} * 1000')} AS duration_ms, {r('least(1, abs(v) / ref)')} AS confidence FROM p WHERE abs(v) >= 50""")(
+SELECT ch AS channel, s AS sample, {r(f'(s - 1) / {SR}')} AS time_sec, {r('abs(v)')} AS amplitude, {r(f'n / {SR} * 1000')} AS duration_ms, {r('least(1, abs(v) / ref)')} AS confidence FROM p WHERE abs(v) >= 50""")(
     lambda s, d: clinical.spikes(_centred(s, d), SR, threshold_sd=1, min_duration_ms=5)
 )
-query("spikes_template")(lambda s, d: clinical.spikes(_centred(s, d), SR, "template"))
+_template = [float(x) for x in clinical.spike_template(SR, 40)]
+_rows = ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(_template))
+query("spikes_template", f"""WITH {SIGNAL_SQL}, x AS (SELECT ch, s, v - 60 AS v FROM sig), tp(i, h) AS (VALUES {_rows}),
+k AS (SELECT x.ch, x.s, CASE WHEN sum(y.v * y.v) > 0 THEN sum(h * y.v) / sqrt(sum(y.v * y.v)) ELSE 0 END AS c FROM x CROSS JOIN tp JOIN x y ON y.ch = x.ch AND y.s = x.s + i GROUP BY x.ch, x.s HAVING count(*) = {len(_template)}),
+h AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY ch ORDER BY s) > {round(0.04 * SR)} THEN 1 ELSE 0 END AS new FROM k WHERE c > 0.7), g AS (SELECT *, sum(new) OVER (PARTITION BY ch ORDER BY s) AS g FROM h),
+b AS (SELECT ch, g, arg_max(s, c) AS a, max(c) AS c FROM g GROUP BY ch, g), p AS (SELECT b.ch, g, c, arg_max(x.s, abs(x.v)) AS s, max(abs(x.v)) AS v FROM b JOIN x ON x.ch = b.ch AND x.s BETWEEN a AND a + {len(_template) - 1} GROUP BY ALL)
+SELECT ch AS channel, s AS sample, {r(f'(s - 1) / {SR}')} AS time_sec, {r('v')} AS amplitude, {r(f'{len(_template)} / {SR} * 1000')} AS duration_ms, {r('c')} AS confidence FROM p WHERE v >= 50""")(
+    lambda s, d: clinical.spikes(_centred(s, d), SR, "template", max_duration_ms=40)
+)
 query("suppression", f"""WITH {SIGNAL_SQL}, wd AS (SELECT (s - 1) // 8 + 1 AS s, sqrt(avg(v * v)) < 60 AS q FROM sig WHERE (s - 1) // 8 + 1 <= (SELECT max(s) // 8 FROM sig) GROUP BY 1),
 a AS (SELECT *, s - row_number() OVER (PARTITION BY q ORDER BY s) AS g FROM wd), b AS (SELECT s, q AND count(*) OVER (PARTITION BY q, g) * 8 / {SR} * 1000 >= 125 AS q FROM a),
 c AS (SELECT *, s - row_number() OVER (PARTITION BY q ORDER BY s) AS g FROM b)
@@ -361,15 +428,15 @@ query("leadfield_spherical", _leadfield_sql("spherical"))(lambda s, d: _leadfiel
 query("leadfield_bem", _leadfield_sql("bem_simplified"))(lambda s, d: _leadfield(s, "bem_simplified"))
 
 
-def _forward(n: int = 6) -> source.Forward:
+def _forward(n: int = 500) -> source.Forward:
     labels = list(SYSTEM_1010)[:64]
     return source.forward_model(labels, n_sources=n, positions={k: SYSTEM_1010[k] for k in labels})
 
 
 for _m in ("mne", "sloreta", "eloreta"):
     query(f"source_{_m}")(lambda s, d, m=_m: source.estimate(topographies(s, d), _forward(), m))
-query("lcmv")(lambda s, d: source.beamformer(topographies(s, d), _forward(30)))
-query("dics")(lambda s, d: source.beamformer(topographies(s, d), _forward(30), "dics", SR))
+query("lcmv")(lambda s, d: source.beamformer(topographies(s, d), _forward()))
+query("dics")(lambda s, d: source.beamformer(topographies(s, d), _forward(), "dics", SR))
 query("source_power")(lambda s, d: source.source_power(topographies(s, d), _forward(), SR))
 
 
@@ -378,12 +445,29 @@ def _classes(s: SparkSession, d: str) -> dict[int, str]:
     return {x["epoch"]: x["condition"] for x in rows}
 
 
+query("ica_mixing")(lambda s, d: ica.mixing_table(s, ica.fit(signal(s, d), 3, "jade")))
+
+
+def _ica_frame(s: SparkSession, d: str) -> DataFrame:
+    model = ica.fit(signal(s, d), 3, "jade")
+    return plots.components_frame(ica.sources(signal(s, d), model), ica.mixing_table(s, model).select("component", "label", "w"))
+
+
+query("ica_frame")(_ica_frame)
 query("csp")(lambda s, d: bci.csp(epoched(s, d), _classes(s, d), 2).features)
 query("riemannian")(lambda s, d: bci.riemannian(epoched(s, d)))
 for _m in ("cca", "fbcca"):
     query(f"ssvep_{_m}")(lambda s, d, m=_m: bci.ssvep(epoched(s, d), SR, [8.0, 10.0, 12.0], method=m))
-query("erd_ers")(lambda s, d: bci.motor_imagery(epoched(s, d), SR))
-query("bandpower_features")(lambda s, d: bci.band_features(epoched(s, d), SR))
+
+
+def _banded_sql(value: str, name: str) -> str:
+    parts = [f"(WITH {_fir_sql('bandpass', a, b, 'ep', 'ch, label, epoch', EPOCH_LEN)} SELECT epoch AS trial, label, '{k}' AS band, {value} FROM f GROUP BY epoch, label)" for k, (a, b) in bci.BANDS.items()]
+    return f"WITH {EPOCHED_SQL}, fb AS ({' UNION ALL '.join(parts)}) SELECT trial, label, band, {name}"
+
+
+_cut = EPOCH_LEN // 4
+query("erd_ers", _banded_sql(f"greatest(avg(CASE WHEN s <= {_cut} THEN v * v END), 1e-20) AS base, avg(CASE WHEN s > {_cut} THEN v * v END) AS task", f"{r('(task - base) / base * 100')} AS percent FROM fb"))(lambda s, d: bci.motor_imagery(epoched(s, d), SR))
+query("bandpower_features", _banded_sql("ln(greatest(var_samp(v), 1e-20)) AS value", f"{r('value')} AS value FROM fb"))(lambda s, d: bci.band_features(epoched(s, d), SR))
 query("lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "bandpower", SR), _classes(s, d), cv_folds=3)[0])
 query("shrinkage_lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "bandpower", SR), _classes(s, d), "shrinkage_lda")[0])
 
@@ -392,32 +476,58 @@ query("shrinkage_lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "ba
 query("signal_stack_frame", f"""WITH {SIGNAL_SQL}, o AS (SELECT label, row_number() OVER (ORDER BY min(ch)) AS i, count(*) OVER () AS k, stddev_samp(v) AS sd FROM sig GROUP BY label)
 SELECT label, {r(f'(s - 1) / {SR}')} AS time_sec, {r('v')} AS v, {r('v + (k - i) * 3 * sd')} AS shown FROM sig JOIN o USING (label) WHERE (s - 1) / {SR} BETWEEN 1 AND 4""")(lambda s, d: plots.signal_frame(signal(s, d), SR, time_range=(1, 4)))
 query("erp_ci_frame", f"""WITH {EPOCHED_SQL}, c AS (SELECT epoch, condition, s, avg(v) AS v FROM ep GROUP BY ALL), g AS (SELECT condition, s, avg(v) AS m, 1.959963984540054 * stddev_samp(v) / sqrt(count(*)) AS h FROM c GROUP BY ALL)
-SELECT condition, s, {r('m', 1)} AS mean, {r('m - h', 1)} AS low, {r('m + h', 1)} AS high FROM g""", 1)(lambda s, d: plots.erp_frame(epoched(s, d).drop("condition"), epoched(s, d).select("recording_id", "epoch", "condition").distinct()))
+SELECT condition, s, {r('m', 6)} AS mean, {r('m - h', 6)} AS low, {r('m + h', 6)} AS high FROM g""", 6)(lambda s, d: plots.erp_frame(epoched(s, d).drop("condition"), epoched(s, d).select("recording_id", "epoch", "condition").distinct()))
 _flat = ", ".join(f"('{k}', {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in FLAT_1020.items())
-query("topomap_grid", f"""WITH {TOPO_SQL}, fl(label, x, y) AS (VALUES {_flat}), va AS (SELECT x, y, avg(v) AS value FROM topo JOIN fl USING (label) GROUP BY x, y),
-ax AS (SELECT -1.0::DOUBLE + i * (2.0::DOUBLE / 39) AS g FROM (SELECT unnest(range(40)) AS i)), gr AS (SELECT a.g AS gx, b.g AS gy FROM ax a, ax b WHERE a.g * a.g + b.g * b.g <= 1),
+
+
+def _grid_sql(size: int, where: str = "true", extra: str = "") -> str:
+    return f"""(WITH va AS (SELECT x, y, avg(v) AS value FROM topo JOIN fl USING (label) WHERE {where} GROUP BY x, y),
+ax AS (SELECT -1.0::DOUBLE + i * (2.0::DOUBLE / {size - 1}) AS g FROM (SELECT unnest(range({size})) AS i)), gr AS (SELECT a.g AS gx, b.g AS gy FROM ax a, ax b WHERE a.g * a.g + b.g * b.g <= 1),
 dd AS (SELECT gx, gy, value, (gx - x) * (gx - x) + (gy - y) * (gy - y) AS d FROM gr, va)
-SELECT {r('gx')} AS gx, {r('gy')} AS gy, {r('coalesce(min(CASE WHEN d < 1e-20 THEN value END), sum(CASE WHEN d >= 1e-20 THEN value / d END) / sum(CASE WHEN d >= 1e-20 THEN 1 / d END))')} AS value FROM dd GROUP BY dd.gx, dd.gy""")(
+SELECT {r('gx')} AS gx, {r('gy')} AS gy, {r('coalesce(min(CASE WHEN d < 1e-20 THEN value END), sum(CASE WHEN d >= 1e-20 THEN value / d END) / sum(CASE WHEN d >= 1e-20 THEN 1 / d END))')} AS value{extra} FROM dd GROUP BY dd.gx, dd.gy)"""
+
+
+FLAT = f"WITH {TOPO_SQL}, fl(label, x, y) AS (VALUES {_flat})"
+query("topomap_grid", f"{FLAT} SELECT * FROM {_grid_sql(40)}")(
     lambda s, d: plots.scalp_frame(topographies(s, d), plots.flat_positions(s, list(FLAT_1020)), SR, resolution=40)
 )
-query("topomap_series")(lambda s, d: plots.scalp_series(topographies(s, d), plots.flat_positions(s, list(FLAT_1020)), SR, [0.5, 1.0], 20))
-query("spectrogram_frame", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', 64, 16, 33)}
-SELECT CAST(NULL AS INTEGER) AS epoch, ch, label, {r(f'(win * 16 + 32.0) / {SR}')} AS time_sec, {r('freq')} AS freq, {r('10 * log10(greatest((re * re + im * im) / 64, 2.220446049250313e-16))', 3)} AS db FROM sp""")(
-    lambda s, d: plots.spectrogram_frame(signal(s, d), SR).withColumn("db", F.round("db", 3))
+query("topomap_series", f"{FLAT} " + " UNION ALL ".join(f"SELECT * FROM {_grid_sql(20, f's = {round(t * SR) + 1}', f', {t}::DOUBLE AS time_sec')}" for t in (0.5, 1.0)))(
+    lambda s, d: plots.scalp_series(topographies(s, d), plots.flat_positions(s, list(FLAT_1020)), SR, [0.5, 1.0], 20)
 )
+query("spectrogram_frame", f"""WITH {SIGNAL_SQL}, {_dft_sql('sig', 'ch, label', 64, 16, 33)}
+SELECT CAST(NULL AS INTEGER) AS epoch, ch, label, {r(f'(win * 16 + 32.0) / {SR}')} AS time_sec, {r('freq')} AS freq, {r('10 * log10(greatest((re * re + im * im) / 64, 2.220446049250313e-16))')} AS db FROM sp""")(lambda s, d: plots.spectrogram_frame(signal(s, d), SR))
+
+
+def _by_instant(s: SparkSession, d: str) -> DataFrame:
+    x = topographies(s, d).groupBy("s").agg(F.avg("v").alias("amplitude"))
+    return x.select((F.col("s") % 41 / 20.5 - 1).alias("x"), (F.col("s") % 37 / 18.5 - 1).alias("y"), "amplitude")
+
+
 query("source_frame", f"""WITH {TOPO_SQL}, x AS (SELECT CAST(s AS DOUBLE) AS x, avg(v) AS amplitude FROM topo GROUP BY s) SELECT {r('x')} AS x, CAST(0 AS DOUBLE) AS y, {r('amplitude')} AS amplitude FROM x WHERE abs(amplitude) >= (SELECT quantile_cont(abs(amplitude), 0.8) FROM x)""")(
     lambda s, d: plots.source_frame(topographies(s, d).groupBy("s").agg(F.avg("v").alias("amplitude")).select(F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), "amplitude"))
 )
+query("source_flatmap")(lambda s, d: plots.source_frame(_by_instant(s, d), style="flatmap"))
 query("outline")(lambda s, d: plots.outline(s))
 query("make_eeg")(lambda s, d: generators.make_eeg(s, 1000, 4))
 query("make_erp")(lambda s, d: generators.make_erp(s, 6, 3)[0])
 query("make_sleep")(lambda s, d: generators.make_sleep(s, 10_000, 1, 50)[0])
 query("make_bci")(lambda s, d: generators.make_bci(s, 2)[0])
 query("make_spikes")(lambda s, d: generators.make_spikes(s, 5000, 3)[1])
-query("electrodes_1020")(lambda s, d: electrodes(s, "10-20"))
+_sites = ", ".join(f"('10-20', '{k}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in SYSTEM_1020.items())
+query("electrodes_1020", f"SELECT * FROM (VALUES {_sites}) t(system, label, pos_x, pos_y, pos_z)")(lambda s, d: electrodes(s, "10-20"))
 query("electrodes_1010", f"WITH {POSITIONS_SQL} SELECT '10-10' AS system, label, x AS pos_x, y AS pos_y, z AS pos_z FROM pos UNION ALL SELECT '10-10', 'TP10', 1.05::DOUBLE, -0.25::DOUBLE, -0.2::DOUBLE")(lambda s, d: electrodes(s, "10-10"))
 
 
+def _preprocessed(s: SparkSession, d: str) -> DataFrame:
+    """Band-pass, bad channels, average reference and epochs of the whole signal."""
+    out = preprocess(signal(s, d), SR, 1, 40, events=_events(s, d), epoch=True)
+    return out.samples.select("epoch", "s", "ch", "label", "v")
+
+
+query("preprocess", f"""WITH {SIGNAL_SQL.replace('sig AS (', 'raw AS (')}, {_fir_sql('bandpass', 1, 40, 'raw')}, sig AS (SELECT s, ch, label, v - avg(v) OVER (PARTITION BY s) AS v FROM f), {CUT}
+SELECT epoch, CAST(s AS BIGINT) AS s, ch, label, {r(f'v - avg(CASE WHEN s <= {1 - A} THEN v END) OVER (PARTITION BY epoch, ch)')} AS v FROM x""")(_preprocessed)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average reference, staging of one-second windows, and the metrics of the night they make."""
     x = spatial.rereference(signal(spark, sf_dir))

@@ -11,15 +11,23 @@ SR = 128.0
 EPOCH_LEN = 128
 
 
+def numbered(e: DataFrame, by: list[str], name: str) -> DataFrame:
+    """e with the place (from 1) of each row in its group by (ts, event_id): places within the hour, plus the rows of earlier hours."""
+    e = e.withColumn("_hour", F.coalesce(F.date_trunc("hour", "ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))))
+    upto = Window.partitionBy(*by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = e.groupBy(*by, "_hour").count().withColumn("_before", F.coalesce(F.sum("count").over(upto), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy(*by, "_hour").orderBy("ts", "event_id"))
+    return e.withColumn("_place", place).join(before, [*by, "_hour"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_hour", "_place", "_before")
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One channel for each event type, cut to the common length."""
+    """One channel for each event type; those with fewer events are 0 after their last one."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
-    s = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long")
-    r = e.select(F.col("event_type").alias("label"), s.alias("s"), F.col("value").alias("v"))
-    sizes = r.groupBy("label").agg(F.max("s").alias("n"))
-    order = sizes.select("label", F.row_number().over(Window.orderBy("label")).cast("int").alias("ch"))
-    common = sizes.agg(F.min("n").alias("n"))
-    out = r.join(F.broadcast(order), "label").crossJoin(F.broadcast(common)).where("s <= n")
+    r = numbered(e, ["event_type"], "s").select(F.col("event_type").alias("label"), "s", F.col("value").alias("v"))
+    sizes = e.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("label", "n", F.max("n").over(Window.partitionBy()).alias("longest"), F.row_number().over(Window.orderBy("label")).cast("int").alias("ch"))
+    rest = sizes.where("n < longest").select("label", F.explode(F.sequence(F.col("n") + 1, F.col("longest"))).alias("s"), F.lit(0.0).alias("v"))
+    out = r.unionByName(rest).join(F.broadcast(sizes.select("label", "ch")), "label")
     return out.select(F.lit("r1").alias("recording_id"), F.lit(None).cast("int").alias("epoch"), "s", "ch", "label", "v")
 
 
@@ -47,15 +55,15 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id")
     names = {"click": "W", "error": "N1", "purchase": "N2", "signup": "N3", "view": "REM"}
     stage = F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col("event_type")]
-    s = F.row_number().over(Window.orderBy("ts", "event_id")).cast("int")
-    return e.select(F.lit("r1").alias("recording_id"), s.alias("epoch"), stage.alias("stage"))
+    e = numbered(e.withColumn("stage", stage), [], "epoch")
+    return e.select(F.lit("r1").alias("recording_id"), F.col("epoch").cast("int").alias("epoch"), "stage")
 
 
 SIGNAL_SQL = """
 er AS (SELECT event_type AS label, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS s, value AS v FROM events),
-en AS (SELECT label, max(s) AS n FROM er GROUP BY label),
-sig AS (SELECT CAST(c.ch AS INTEGER) AS ch, er.label, er.s, er.v FROM er JOIN (SELECT label, row_number() OVER (ORDER BY label) AS ch FROM en) c USING (label)
-        WHERE er.s <= (SELECT min(n) FROM en))
+en AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) AS ch FROM er GROUP BY label),
+sig AS (SELECT CAST(ch AS INTEGER) AS ch, er.label, er.s, er.v FROM er JOIN en USING (label)
+        UNION ALL SELECT CAST(ch AS INTEGER), label, unnest(range(n + 1, (SELECT max(n) + 1 FROM en))), CAST(0 AS DOUBLE) FROM en)
 """
 EPOCHED_SQL = SIGNAL_SQL + f""",
 ep0 AS (SELECT ch, label, (s - 1) // {EPOCH_LEN} + 1 AS epoch, (s - 1) % {EPOCH_LEN} + 1 AS s, v, count(*) OVER (PARTITION BY ch, (s - 1) // {EPOCH_LEN}) AS n FROM sig),
