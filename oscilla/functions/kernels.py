@@ -232,29 +232,39 @@ def orthogonal(w: np.ndarray) -> np.ndarray:
     return u @ vt
 
 
-def jade(moments: np.ndarray, tol: float = 1e-6, sweeps: int = 200) -> np.ndarray:
-    """Rotation that jointly diagonalises fourth-order cumulants; moments E[x_i x_j x_k x_l] of white data."""
+def cumulants(moments: np.ndarray) -> np.ndarray:
+    """(pair, i, j): fourth-order cumulant matrices of white data for each pair of components k <= m."""
     p = len(moments)
+    k, m = np.triu_indices(p)
     eye = np.eye(p)
-    stack = []
-    for k in range(p):
-        for m in range(k, p):
-            pair = np.outer(eye[k], eye[m])
-            stack.append(moments[:, :, k, m] - (k == m) * eye - pair - pair.T)
-    c, v = np.array(stack), np.eye(p)
+    pairs = eye[k][:, :, None] * eye[m][:, None, :]
+    return moments[:, :, k, m].transpose(2, 0, 1) - (k == m)[:, None, None] * eye - pairs - pairs.transpose(0, 2, 1)
+
+
+def jade(moments: np.ndarray, tol: float = 1e-6, sweeps: int = 200) -> np.ndarray:
+    """Rotation by Jacobi sweeps over the cumulants; moments E[x_i x_j x_k x_l] of white data.
+
+    The angle of a plane is half that of (sum of d^2 - o^2, sum of 2 d o), d being the
+    differences on the diagonals and o the sums beside them.
+    """
+    c = cumulants(moments)
+    p = len(moments)
+    v = np.eye(p)
+    planes = list(zip(*np.triu_indices(p, 1)))
     for _ in range(sweeps):
         most = 0.0
-        for i in range(p - 1):
-            for j in range(i + 1, p):
-                d, o = c[:, i, i] - c[:, j, j], c[:, i, j] + c[:, j, i]
-                angle = 0.5 * math.atan2(2 * float(d @ o), float(d @ d - o @ o))
-                s, q = math.sin(angle), math.cos(angle)
-                if abs(s) > tol:
-                    turn = np.array([[q, -s], [s, q]])
-                    c[:, [i, j], :] = np.einsum("ab,mbk->mak", turn.T, c[:, [i, j], :])
-                    c[:, :, [i, j]] = np.einsum("mkb,ba->mka", c[:, :, [i, j]], turn)
-                    v[:, [i, j]] = v[:, [i, j]] @ turn
-                    most = max(most, abs(s))
+        for plane in planes:
+            at = list(plane)
+            part = c[:, at][:, :, at]
+            d, o = part[:, 0, 0] - part[:, 1, 1], part[:, 0, 1] + part[:, 1, 0]
+            angle = math.atan2(2 * float(d @ o), float(d @ d - o @ o)) / 2
+            if abs(math.sin(angle)) <= tol:
+                continue
+            turn = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]])
+            c[:, at, :] = turn.T @ c[:, at, :]
+            c[:, :, at] = c[:, :, at] @ turn
+            v[:, at] = v[:, at] @ turn
+            most = max(most, abs(math.sin(angle)))
         if most < tol:
             break
     return v.T
