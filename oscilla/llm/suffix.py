@@ -7,9 +7,9 @@ stand. Only minimisers that two different texts share are followed up: the run o
 Equal segments are merged before they are dealt to shards by minimiser, so a passage
 repeated without end is one row. A shard's suffixes are sorted by induction: types
 and LMS suffixes, LMS order by their first 50 values, then the two inducing
-sweeps through one queue per leading byte, whose arrays go to the task's own disk
-beyond QUEUE_BYTES. Segments that agree with no other on the bytes beside the minimiser
-that any shared 50-byte string would hold need no sorting. Neighbours in that order that agree on 50 bytes form a class; its
+sweeps through priority queues that carry suffix tuples and their common prefixes,
+on the task's own disk beyond QUEUE_BYTES. Segments that agree with no other on the bytes beside the minimiser
+that any shared 50-byte string would hold need no sorting. Neighbours whose carried prefix reaches 50 bytes form a class; its
 smallest doc_id decides which windows each segment, and so each document, loses.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, read_table
@@ -89,95 +89,186 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Queues:
-    """One first-in first-out queue of suffix numbers per leading byte; arrays beyond the bound lie on disk."""
+    """A priority queue of suffix tuples (place, common prefix with the tuple before it) by leading value.
 
-    def __init__(self, n: int, folder: str):
-        self.parts: list[list] = [[] for _ in range(n)]
+    Tuples of one value leave in the order in which they came; what is held beyond
+    QUEUE_BYTES lies on the task's disk.
+    """
+
+    def __init__(self, folder: str):
+        self.parts: dict[int, list] = {}
         self.held, self.file = 0, tempfile.TemporaryFile(dir=folder)
 
-    def push(self, c: int, x: np.ndarray) -> None:
-        if self.held + x.nbytes > QUEUE_BYTES:
+    def push(self, c: int, x: np.ndarray, lcp: np.ndarray) -> None:
+        both = np.stack([x, lcp])
+        if self.held + both.nbytes > QUEUE_BYTES:
             at = self.file.seek(0, 2)
-            self.file.write(x.tobytes())
-            self.parts[c].append((at, len(x), x.dtype))
+            self.file.write(both.tobytes())
+            self.parts.setdefault(c, []).append((at, len(x)))
         else:
-            self.held += x.nbytes
-            self.parts[c].append(x)
+            self.held += both.nbytes
+            self.parts.setdefault(c, []).append(both)
 
-    def take(self, c: int) -> np.ndarray:
-        out = []
-        for p in self.parts[c]:
+    def take(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The tuples of c in parts, those that are pushed meanwhile too."""
+        while self.parts.get(c):
+            p = self.parts[c].pop(0)
             if isinstance(p, tuple):
                 self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(p[1] * p[2].itemsize), dtype=p[2])
+                p = np.frombuffer(self.file.read(16 * p[1]), dtype=np.int64).reshape(2, -1)
             else:
                 self.held -= p.nbytes
-            out.append(p)
-        self.parts[c] = []
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-
-def _deal(queues: Queues, x: np.ndarray, chars: np.ndarray) -> None:
-    order = np.argsort(chars, kind="stable")
-    x, chars = x[order], chars[order]
-    cuts = np.flatnonzero(np.diff(chars)) + 1
-    for part, c in zip(np.split(x, cuts), chars[np.concatenate([[0], cuts])] if len(x) else []):
-        queues.push(int(c), part)
-
-
-def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, folder: str) -> np.ndarray:
-    """Suffix order from LMS suffixes in order: L-type from the left, then S-type from the right."""
-    n, top = len(text), int(text.max()) + 1
-    ls, ends = Queues(top, folder), Queues(top, folder)
-    _deal(ends, lms, text[lms])
-    last = np.array([n - 1])  # the final separator precedes nothing smaller
-    done: list[np.ndarray] = []
-    if n > 1 and not s_type[n - 1]:
-        ls.push(int(text[n - 1]), last)
-    for c in range(top):
-        own = []
-        while len(cur := ls.take(c)):  # those that c's own suffixes induce follow at once
-            own.append(cur)
-            pred = cur[cur > 0] - 1
-            pred = pred[~s_type[pred]]
-            _deal(ls, pred, text[pred])
-        done.append(np.concatenate(own) if own else np.zeros(0, dtype=np.int64))
-        pred = ends.take(c)
-        pred = pred[pred > 0] - 1
-        pred = pred[~s_type[pred]]
-        _deal(ls, pred, text[pred])
-    order: list[np.ndarray] = []
-    ss = Queues(top, folder)
-    for c in range(top - 1, -1, -1):
-        own = []
-        while len(cur := ss.take(c)):
-            own.append(cur)
-            pred = cur[cur > 0] - 1
-            pred = pred[s_type[pred]]
-            _deal(ss, pred, text[pred])
-        order += own
-        cur = done[c][::-1]
-        order.append(cur)
-        pred = cur[cur > 0] - 1
-        pred = pred[s_type[pred]]
-        _deal(ss, pred, text[pred])
-    return np.concatenate(order)[::-1]
-
-
-def suffix_order(text: np.ndarray, folder: str) -> np.ndarray:
-    """Suffixes of text by their first LENGTH values at least; text ends with its least value."""
+            yield p[0], p[1]
+
+
+def kept_array(n: int, dtype: type, folder: str) -> np.ndarray:
+    """Zeros: in memory, or in a file of the task's own disk if longer than QUEUE_BYTES."""
+    if n * np.dtype(dtype).itemsize <= QUEUE_BYTES:
+        return np.zeros(n, dtype=dtype)
+    with tempfile.NamedTemporaryFile(dir=folder) as f:
+        return np.memmap(f, dtype=dtype, mode="w+", shape=(n,))
+
+
+class Minima:
+    """Least value of any range of x, by doubling."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 << (len(self.levels) - 1) <= len(x):
+            y, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(y[:-step], y[step:]))
+        self.bits = np.zeros(len(x) + 1, dtype=np.int64)
+        for k in range(1, len(self.levels)):
+            self.bits[1 << k :] = k
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least of x[low:high], where that is not empty."""
+        k = self.bits[high - low]
+        out = np.empty(len(low), dtype=np.int64)
+        for level in np.unique(k).tolist():
+            at, y = k == level, self.levels[level]
+            out[at] = np.minimum(y[low[at]], y[high[at] - (1 << level)])
+        return out
+
+
+class Inducer:
+    """Pushes the predecessors of suffixes that pass in order, with the common prefixes that follow from theirs."""
+
+    def __init__(self, text: np.ndarray, s_type: np.ndarray, want_s: bool, out: Queues):
+        self.text, self.s_type, self.want_s, self.out = text, s_type, want_s, out
+        self.since: dict[int, int] = {}  # least common prefix since the last push of each value
+
+    def feed(self, x: np.ndarray, lcp: np.ndarray) -> None:
+        """x: suffixes in order; lcp: with the suffix before, which for the first is the last one fed."""
+        for at in range(0, len(x), SLICE):
+            self.part(x[at : at + SLICE], lcp[at : at + SLICE])
+
+    def part(self, x: np.ndarray, lcp: np.ndarray) -> None:
+        least = int(lcp.min()) if len(lcp) else LENGTH
+        pred = np.where(x > 0, x - 1, 0)
+        use = np.flatnonzero((x > 0) & (self.s_type[pred] == self.want_s))
+        pushed: dict[int, int] = {}
+        if len(use):
+            chars = self.text[pred[use]]
+            order = np.argsort(chars, kind="stable")
+            at, chars = use[order], chars[order]
+            new = np.concatenate([[True], chars[1:] != chars[:-1]])
+            table = Minima(lcp)
+            value = table.of(np.where(new, 0, np.concatenate([[0], at[:-1] + 1])), at + 1)
+            firsts = np.flatnonzero(new)
+            for f, c in zip(firsts.tolist(), chars[firsts].tolist()):
+                value[f] = min(value[f], self.since[c]) if c in self.since else -1
+            value = np.minimum(value + 1, LENGTH)  # the first of a value follows no other: 0
+            ends = np.append(firsts[1:], len(at))
+            for f, e, c in zip(firsts.tolist(), ends.tolist(), chars[firsts].tolist()):
+                self.out.push(c, pred[at[f:e]], value[f:e])
+                rest = lcp[at[e - 1] + 1 :]
+                pushed[c] = int(rest.min()) if len(rest) else LENGTH
+        for c in self.since:
+            if self.since[c] > least:
+                self.since[c] = least
+        self.since.update(pushed)
+
+
+def induce(text: np.ndarray, s_type: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, common prefix of each with the one before) from those of the LMS suffixes.
+
+    L-type suffixes follow from the left, then S-type ones from the right. run: how often
+    the value at each place repeats from there on; where L-type and S-type suffixes of one
+    value meet, the shorter of their runs is what they share.
+    """
+    n, ls, ends = len(text), Queues(folder), Queues(folder)
+    first = text[lms]
+    cuts = np.flatnonzero(np.diff(first)) + 1 if len(lms) else np.zeros(0, dtype=int)
+    for part, lcp in zip(np.split(lms, cuts), np.split(lms_lcp, cuts)):
+        if len(part):
+            ends.push(int(text[part[0]]), part, np.concatenate([[0], lcp[1:]]))
+    values = np.unique(text).tolist()
+    done, left = Queues(folder), Inducer(text, s_type, False, ls)
+    for c in values:
+        last = -1
+        for x, lcp in ls.take(c):
+            left.feed(x, lcp)
+            done.push(c, x, lcp)
+            last = int(x[-1])
+        for i, (x, lcp) in enumerate(ends.take(c)):
+            if i == 0 and last >= 0:
+                lcp = lcp.copy()
+                lcp[0] = min(int(run[last]), int(run[x[0]]), LENGTH)
+            left.feed(x, lcp)
+    order, shared = kept_array(n, np.int64, folder), kept_array(n, np.int16, folder)
+    ss = Queues(folder)
+    right = Inducer(text, s_type, True, ss)
+    top = n
+
+    def place(x: np.ndarray, lcp: np.ndarray) -> None:
+        """Suffixes from the right; lcp: with the one to the right of each."""
+        nonlocal top
+        right.feed(x, lcp)
+        order[top - len(x) : top] = x[::-1]
+        if top < n:
+            shared[top] = lcp[0]
+        shared[top - len(x) + 1 : top] = lcp[1:][::-1]
+        top -= len(x)
+
+    for c in reversed(values):
+        last = -1
+        for x, lcp in ss.take(c):
+            place(x, lcp)
+            last = int(x[-1])
+        parts = list(done.take(c)) if c in done.parts else []
+        if parts:
+            x, lcp = (np.concatenate(z) for z in zip(*parts))
+            to_right = np.concatenate([[min(int(run[last]), int(run[x[-1]]), LENGTH) if last >= 0 else 0], lcp[:0:-1]])
+            place(x[::-1], to_right)
+    place(np.array([n - 1]), np.array([0]))  # nothing follows the last value, so nothing induces it
+    return order, shared
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Values that text[a:] and text[b:] share at their start, up to limit each; compared side by side."""
+    out, live = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    room = np.minimum(limit, len(text) - np.maximum(a, b))
+    while len(live):
+        live = live[out[live] < room[live]]
+        live = live[text[a[live] + out[live]] == text[b[live] + out[live]]]
+        out[live] += 1
+    return out
+
+
+def suffix_order(text: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes by their first LENGTH values at least, how many of those each shares with the one before); text ends with its only least value."""
     n = len(text)
-    # type of i: by the first value after i that differs
     change = np.flatnonzero(text[1:] != text[:-1])
-    nxt = np.searchsorted(change, np.arange(n - 1))
-    known = nxt < len(change)
-    at = change[np.minimum(nxt, max(0, len(change) - 1))] if len(change) else np.zeros(n - 1, dtype=int)
+    ahead = np.append(change, n - 1)[np.searchsorted(change, np.arange(n))]  # the last place of each place's run
     s_type = np.zeros(n, dtype=bool)
-    s_type[:-1] = known & (text[at] < text[np.minimum(at + 1, n - 1)])
+    s_type[:-1] = text[:-1] < text[np.minimum(ahead[:-1] + 1, n - 1)]
+    s_type[n - 1] = True
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms):
         lms = lms[lms_order(text, lms)]
-    return induce(text, s_type, lms, folder)
+    lcp = np.concatenate([[0], common(text, lms[1:], lms[:-1], np.full(max(0, len(lms) - 1), LENGTH))]).astype(np.int64)[: len(lms)]
+    return induce(text, s_type, ahead - np.arange(n) + 1, lms, lcp, folder)
 
 
 def lms_order(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -217,23 +308,22 @@ def least_owners(segs: list[bytes], least: np.ndarray, folder: str) -> list[np.n
     """For each segment, the smallest owner of each of its 50-byte windows among all segments."""
     sizes = np.array([len(s) for s in segs])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.zeros(int((sizes + 1).sum()), dtype=np.int16)
-    raw = np.frombuffer(b"\0".join(segs) + b"\0", dtype=np.uint8)
-    text[:] = raw
-    text += 1
-    text[starts + sizes] = 0  # separators
-    order = suffix_order(text, folder)
-    seg = np.repeat(np.arange(len(segs)), sizes + 1)
-    room = np.repeat(starts + sizes, sizes + 1) - np.arange(len(text))
-    order = order[room[order] >= LENGTH]
-    words = words_at(raw)
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
-    for off in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        w = words[order + off]
-        same &= w[1:] == w[:-1]
-    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, dtype=int)
+    text = kept_array(int((sizes + 1).sum()) + 1, np.int16, folder)
+    text[:-1] = np.frombuffer(b"\0".join(segs) + b"\0", dtype=np.uint8)
+    text[:-1] += 2
+    text[starts + sizes] = 1  # separators; the end is less than all
+    order, shared = suffix_order(text, folder)
+    seg = np.repeat(np.arange(len(segs), dtype=np.int32), sizes + 1)
+    room = np.append(np.repeat(starts + sizes, sizes + 1) - np.arange(len(text) - 1), 0)
+    # suffixes that share LENGTH values are one class; a class whose values reach a separator is no window
+    whole = room[order] >= LENGTH
+    new = shared < LENGTH
+    new[1:] |= whole[1:] != whole[:-1]
+    order, new = order[whole], new[whole]
     owner = np.full(len(text), LAST)
     if len(order):
+        new[0] = True
+        first = np.flatnonzero(new)
         best = np.minimum.reduceat(least[seg[order]], first)
         owner[order] = np.repeat(best, np.diff(np.append(first, len(order))))
     return [owner[a : a + k - LENGTH + 1] for a, k in zip(starts, sizes)]
@@ -272,7 +362,13 @@ def occurrences(docs: DataFrame, distinct: bool) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("content"), text.alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key")
+    return docs.select(key, F.xxhash64(text).alias("content"), text.alias("text"))
+
+
+def same_text() -> list[Column]:
+    """What equal texts agree in: 128 further bits and the length, besides the 64 bits of content."""
+    return [F.unhex(F.md5("text")).alias("sum"), F.octet_length("text").alias("size")]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -341,14 +437,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a 50-byte string that covers it also starts in a document of smaller
     doc_id. Texts shorter than 50 bytes, null and empty ones lose nothing; rows of one
     doc_id do not count against each other; null doc_ids rank after all others and not
-    against each other; further columns are ignored; an empty table gives no rows.
+    against each other; texts of any length are read whole, in slices; further columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     rows = keyed(docs)
-    firsts = rows.groupBy("content").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", "first")
+    marked, same = rows.select("key", "content", *same_text()), ["content", "sum", "size"]
+    firsts = marked.groupBy(*same).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, "first")
     firsts = materialize(firsts, "firsts")
     lists = repeats(docs).groupBy("key", "content").agg(F.collect_list(F.struct("s", "bits")).alias("at"))
     lists = materialize(lists, "lists")
-    copies = rows.select("key", "content").join(firsts, "content").where(F.col("first") < F.col("key")).select("key", "content").distinct()
+    copies = marked.join(firsts, same).where(F.col("first") < F.col("key")).select("key", "content").distinct()
     marks = materialize(copies.withColumn("copy", F.lit(True)).join(lists, ["key", "content"], "full"), "marks")
     # of a copy nothing but the fact is needed
     marks = marks.select("key", "content", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("copy").isNull(), F.col("at")).alias("at"))

@@ -65,10 +65,15 @@ def test_suffix_order(tmp_path, monkeypatch, spill):
     for trial in range(60):
         n, top = int(rng.integers(1, 120)), int(rng.integers(1, 5))
         text = np.concatenate([rng.integers(1, top + 1, n), [0]]).astype(np.int16)
-        order = suffix.suffix_order(text, str(tmp_path))
+        order, shared = suffix.suffix_order(text, str(tmp_path))
         assert sorted(order) == list(range(n + 1))
         want = sorted(range(n + 1), key=lambda i: text[i:].tolist())
         assert [text[i : i + 50].tolist() for i in order] == [text[i : i + 50].tolist() for i in want], trial
+        for i, (a, b) in enumerate(zip(order[1:], order[:-1]), 1):
+            k = 0
+            while k < 50 and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+                k += 1
+            assert shared[i] == k, trial
 
 
 def test_runs_in_slices(monkeypatch):
