@@ -100,7 +100,8 @@ class Queues:
         self.held, self.file = 0, tempfile.TemporaryFile(dir=folder)
 
     def push(self, c: int, x: np.ndarray, lcp: np.ndarray) -> None:
-        both = np.stack([x, lcp])
+        both = np.empty((2, len(x)), dtype=np.int64)
+        both[0], both[1] = x, lcp
         if self.held + both.nbytes > QUEUE_BYTES:
             at = self.file.seek(0, 2)
             self.file.write(both.tobytes())
@@ -110,15 +111,23 @@ class Queues:
             self.parts.setdefault(c, []).append(both)
 
     def take(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The tuples of c in parts, those that are pushed meanwhile too."""
-        while self.parts.get(c):
-            p = self.parts[c].pop(0)
-            if isinstance(p, tuple):
-                self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(16 * p[1]), dtype=np.int64).reshape(2, -1)
-            else:
-                self.held -= p.nbytes
-            yield p[0], p[1]
+        """The tuples of c in parts of about SLICE, those that are pushed meanwhile too."""
+        while parts := self.parts.pop(c, None):
+            held, size = [], 0
+            for i, p in enumerate(parts):
+                if isinstance(p, tuple):
+                    self.file.seek(p[0])
+                    p = np.frombuffer(self.file.read(16 * p[1]), dtype=np.int64).reshape(2, -1)
+                else:
+                    self.held -= p.nbytes
+                held.append(p)
+                size += p.shape[1]
+                if size >= SLICE:
+                    break
+            if parts[i + 1 :]:
+                self.parts[c] = parts[i + 1 :]
+            both = np.concatenate(held, axis=1) if len(held) > 1 else held[0]
+            yield both[0], both[1]
 
 
 def kept_array(n: int, dtype: type, folder: str) -> np.ndarray:
