@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,18 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose text column has about `size` bytes; a longer text is a slice of its own."""
+    for b in batches:
+        i = b.schema.get_field_index(column) if isinstance(column, str) else column
+        upto = np.cumsum(pc.binary_length(b.column(i)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.flatnonzero(np.diff(upto // size)) + 1 if len(upto) else np.zeros(0, dtype=int)
+        edges = [0, *cut.tolist(), b.num_rows]
+        for low, high in zip(edges, edges[1:]):
+            if low < high:
+                yield b.slice(low, high - low)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5, is 0; a null id counts as held out."""
     rest = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded, read_table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -261,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in it:
+            for b in bounded(it, "text"):
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([not shared.value.find(t) for t in texts], pa.bool_()))
 

@@ -12,6 +12,7 @@ hashed word frequencies over all documents.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -70,7 +71,11 @@ def fit_topics(rows: DataFrame) -> KMeansModel | None:
     texts = rows.where("mix_words > 0").select("_mix_vector")
     if texts.select(F.xxhash64(vector_to_array("_mix_vector"))).distinct().limit(TOPICS).count() < TOPICS:
         return None
-    return KMeans(k=TOPICS, seed=7, maxIter=8, featuresCol="_mix_vector", predictionCol="mix_topic").fit(texts)
+    texts = texts.persist(StorageLevel.DISK_ONLY)  # else the fit holds them in executors' memory
+    try:
+        return KMeans(k=TOPICS, seed=7, maxIter=8, featuresCol="_mix_vector", predictionCol="mix_topic").fit(texts)
+    finally:
+        texts.unpersist()
 
 
 def describe(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000  # expected documents whose proposals train the trees
@@ -337,7 +337,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in bounded(it, 1):
             found = [find_spans(t, shared.value) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -367,7 +367,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in bounded(it, "text"):
             i = b.schema.get_field_index("text")
             text = [redacted(t, shared.value) for t in b.column(i).to_pylist()]
             yield b.set_column(i, b.schema.field(i).with_nullable(True), pa.array(text, b.schema.field(i).type))

@@ -25,8 +25,8 @@ from .common import held_out, read_table
 
 SAMPLE = {1: 1000, 0: 3000}  # expected labelled documents by class that the model is fitted on
 BUCKETS = 1 << 17
-SLICE = 8 << 20
-MEMO = 1 << 19
+SLICE = 4 << 20
+MEMO = 1 << 18
 ODDS = 3.5  # log ratio of document frequencies from which a form marks toxic tokens
 STEPS = 40
 BLOCK = 1 << 18  # tokens whose arrays are held at once while fitting
