@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import bounded, held_out, read_table
 
 SAMPLE = {1: 1000, 0: 3000}  # expected labelled documents by class that the model is fitted on
 BUCKETS = 1 << 17
@@ -288,27 +288,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, spans.
 
     spans lists offending tokens as start:end in code points, comma-joined. Null and
-    wordless texts get the score of a text without toxic tokens; without labels of both
-    classes all scores are near the only class; repeated rows and null doc_ids (held
-    out) stay; an empty table gives no rows.
+    wordless texts get the score of a text without toxic tokens; texts of any length
+    count whole; without labels of both classes all scores are near the only class;
+    repeated rows and null doc_ids (held out) stay; further columns are ignored; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in it:
-            texts, scores, spans, at = b.column(2).to_pylist(), [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < SLICE:
-                    size += len(texts[end] or "")
-                    end += 1
-                s, found = scorer.score(texts[at:end])
-                scores += s.tolist()
-                spans += found
-                at = end
+        for b in bounded(it, 2, SLICE):
+            scores, spans = scorer.score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, pa.string())],
+                [b.column(0), b.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.string())],
                 ["doc_id", "held_out", "score", "predicted", "spans"],
             )
 
@@ -322,16 +314,9 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in it:
-            texts, keep, at = b.column(b.schema.get_field_index("text")).to_pylist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < SLICE:
-                    size += len(texts[end] or "")
-                    end += 1
-                keep += (scorer.score(texts[at:end])[0] < 0.5).tolist()
-                at = end
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for b in bounded(it, "text", SLICE):
+            score, _ = scorer.score(b.column(b.schema.get_field_index("text")).to_pylist())
+            yield b.filter(pa.array(score < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
