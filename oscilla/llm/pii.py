@@ -6,7 +6,8 @@ proposal from its format and its context, per-kind calibration turns scores into
 probabilities, and those over their kind's threshold are added where they touch no base
 span. Trees are fitted on a bounded sample: base spans and loosened copies of them
 (plus sign dropped, separators changed, @ and dots spelled out) against proposals that
-fail the formats.
+fail the formats. Trees thus know spellings like those of loosened(); others rest on
+what these have in common.
 
 All patterns are linear in the text: they start at rare marks ('@', '+', a digit) and
 never back up over a run.
@@ -42,6 +43,7 @@ DIGITS = re.compile(r"[0-9]")
 LOOSE_MAIL = re.compile(
     r"(?<![\w.%+-])[\w.%+-]{1,64}+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,5}"
 )
+LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(] ?(?:\.|dot) ?[\])] ?[0-9]{1,3}){3}(?![0-9])")
 LOOSE_NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,2}[0-9])++\)?")
 HINTS = tuple(
     re.compile(p, re.I)
@@ -100,6 +102,7 @@ def proposals(text: str) -> list[Span]:
     if "@" in text or re.search(r"[\[(] ?at ?[\])]", text):
         out += [(m.start(), "email", m.end()) for m in LOOSE_MAIL.finditer(text)]
     if DIGITS.search(text):
+        out += [(m.start(), "ip", m.end()) for m in LOOSE_IP.finditer(text)]
         for m in LOOSE_NUMBER.finditer(text):
             n = len(_digits(m[0]))
             if 7 <= n <= 15:
@@ -156,7 +159,7 @@ def loosened(span: Span, text: str) -> list[tuple[Span, str]]:
         d = _digits(text)
         ways = [" ".join(d[i : i + 4] for i in range(0, len(d), 4)), ".".join(d[i : i + 4] for i in range(0, len(d), 4))]
     else:
-        ways = []
+        ways = [text.replace(".", dot) for dot in ("[.]", "(.)", " [dot] ", "(dot)")]
     return [((start, kind, start + len(w)), w) for w in ways]
 
 
@@ -331,8 +334,10 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_<kind> of the base spans, base_sha256, spans.
 
     spans are kind:start:end in code points, by start, then kind; base_sha256 is the
-    SHA-256 of the base ones so joined. Null and empty texts have none; repeated rows
-    and null doc_ids stay; further columns are ignored; an empty table gives no rows.
+    SHA-256 of the base ones so joined. Null and empty texts have none; texts of any
+    length are searched whole; of overlapping added spans the surest stays, of equally
+    sure ones the first proposed; repeated rows and null doc_ids stay; further columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -363,7 +368,11 @@ def redacted(text: str | None, model: Model) -> str | None:
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with spans of `text` replaced and n_chars, if there, set to the new length."""
+    """docs with spans of `text` replaced and n_chars, if there, set to the new length.
+
+    All other columns and all rows stay as they are; null and empty texts stay null and
+    empty; texts of any length are searched whole; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

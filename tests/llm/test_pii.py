@@ -60,6 +60,42 @@ def test_trees_add_loose_spans_and_leave_numbers():
     assert pii.redacted("mail a@b.de now", model) == "mail [EMAIL] now"
 
 
+def spelled(i, kind):
+    """(base span in text form, its held-out document in another spelling, where that stands)."""
+    d = f"4{i * 7919:014d}"
+    card = next(d + c for c in "0123456789" if pii.luhn(d + c))
+    own = {"email": f"user{i}@mail.example.com", "ip": f"10.{i % 250}.3.{i * 7 % 250}", "card": card, "phone": f"+1 ({200 + i}) 555-{1000 + i}"}[kind]
+    return own, [w for _, w in pii.loosened((0, kind, len(own)), own)]
+
+
+def test_precision_and_recall_of_added_spans():
+    """Trees fitted on one half of the numbers, held against spellings of the other half and against clean numbers."""
+    import numpy as np
+
+    texts = []
+    for i in range(0, 400, 2):
+        own = [spelled(i, k)[0] for k in pii.KINDS]
+        texts.append(f"call {own[3]} or write {own[0]} from host {own[1]} and pay by card {own[2]} now")
+        texts.append(f"Order no {i * 7919 + 1000000} shipped 2020-01-{i % 28 + 1:02d} id {i * 104729 + 10**11} in list (1) [2] {i}")
+    data = [e for t in texts for e in pii.examples(t)]
+    order = np.random.default_rng(0).permutation(len(data))
+    model = pii.fit(np.array([data[i][0] for i in order]), np.array([data[i][1] for i in order]))
+    hits, wrong, all_ = dict.fromkeys(pii.KINDS, 0), 0, dict.fromkeys(pii.KINDS, 0)
+    lead = {"email": "write", "ip": "from host", "card": "pay by card", "phone": "call"}
+    for i in range(1, 400, 4):
+        for kind in pii.KINDS:
+            for w in spelled(i, kind)[1]:
+                if pii.base_spans(f"{lead[kind]} {w} now"):
+                    continue  # still in the exact format
+                at = len(lead[kind]) + 1
+                all_[kind] += 1
+                hits[kind] += any(s < at + len(w) and at < e for s, _, e in pii.find_spans(f"{lead[kind]} {w} now", model)[1])
+        clean = f"Order no {i * 7919 + 1000000} shipped 2020-02-{i % 28 + 1:02d} id {i * 104729 + 10**11} in list (1) [2] {i}"
+        wrong += len(pii.find_spans(clean, model)[1])
+    assert all(all_.values()) and all(hits[k] >= 0.9 * all_[k] for k in pii.KINDS), (hits, all_)
+    assert wrong <= 0.02 * sum(hits.values()), wrong
+
+
 def test_query_edges(spark):
     rows = [(1, "mail a@b.de"), (1, "mail a@b.de"), (None, None), (2, ""), (3, "1" * 100_000), (4, "a@" * 50_000 + " é +49 30 1234567")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "n_chars": F.lit(5)})
