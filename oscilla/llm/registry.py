@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, simhash, suffix, tokens, topk, toxicity, warc
+from . import audit, decontam, fim, langid, mixing, pii, simhash, suffix, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontam": decontam.op9_decontam,
         "op10_langid": langid.op10_langid,
+        "op11_fim": fim.op11_fim,
+        "op12_audit": audit.op12_audit,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_topk": topk.ORACLE,
         "op6_warc": warc.ORACLE,
+        "op11_fim": fim.ORACLE,
+        "op12_audit": audit.ORACLE,
     }
