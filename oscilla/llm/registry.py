@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, fim, langid, mixing, pii, simhash, suffix, tokens, topk, toxicity, warc
+from . import audit, decontam, fim, htmltext, langid, mixing, pii, simhash, suffix, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_langid": langid.op10_langid,
         "op11_fim": fim.op11_fim,
         "op12_audit": audit.op12_audit,
+        "op13_html": htmltext.op13_html,
     }
 
 
