@@ -241,12 +241,17 @@ def cumulants(moments: np.ndarray) -> np.ndarray:
     return moments[:, :, k, m].transpose(2, 0, 1) - (k == m)[:, None, None] * eye - pairs - pairs.transpose(0, 2, 1)
 
 
-def jade(moments: np.ndarray, tol: float = 1e-6, sweeps: int = 200) -> np.ndarray:
+def jade(moments: np.ndarray, tol: float = 1e-6, sweeps: int = 200, angle: str = "optimal") -> np.ndarray:
     """Rotation by Jacobi sweeps over the cumulants; moments E[x_i x_j x_k x_l] of white data.
 
-    The angle of a plane is half that of (sum of d^2 - o^2, sum of 2 d o), d being the
-    differences on the diagonals and o the sums beside them.
+    The optimal angle of a plane, which leaves the least beside the diagonals of its blocks, is a
+    quarter of that of (sum of d^2 - o^2, sum of 2 d o), d being the differences on the diagonals
+    and o the sums beside them; so no turn raises the sum of squares beside the diagonals, and
+    sweeps end when they turn no more. angle "reference" takes half, as other software does.
     """
+    if angle not in ("optimal", "reference"):
+        raise ValueError(f"unknown angle {angle!r}")
+    share = 4 if angle == "optimal" else 2
     c = cumulants(moments)
     p = len(moments)
     v = np.eye(p)
@@ -257,14 +262,14 @@ def jade(moments: np.ndarray, tol: float = 1e-6, sweeps: int = 200) -> np.ndarra
             at = list(plane)
             part = c[:, at][:, :, at]
             d, o = part[:, 0, 0] - part[:, 1, 1], part[:, 0, 1] + part[:, 1, 0]
-            angle = math.atan2(2 * float(d @ o), float(d @ d - o @ o)) / 2
-            if abs(math.sin(angle)) <= tol:
+            by = math.atan2(2 * float(d @ o), float(d @ d - o @ o)) / share
+            if abs(math.sin(by)) <= tol:
                 continue
-            turn = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]])
+            turn = np.array([[math.cos(by), -math.sin(by)], [math.sin(by), math.cos(by)]])
             c[:, at, :] = turn.T @ c[:, at, :]
             c[:, :, at] = c[:, :, at] @ turn
             v[:, at] = v[:, at] @ turn
-            most = max(most, abs(math.sin(angle)))
+            most = max(most, abs(math.sin(by)))
         if most < tol:
             break
     return v.T

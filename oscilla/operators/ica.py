@@ -30,9 +30,11 @@ def partial_sums(rows: DataFrame, fn, size: int, by: list[str] | None = None) ->
         for b in it:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) or [()] * b.num_rows
             x = b.column(len(by)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            for k in set(keys):
-                part = fn(x[[i for i, key in enumerate(keys) if key == k]])
-                sums[k] = sums.get(k, 0) + part
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            for k, at in places.items():
+                sums[k] = sums.get(k, 0) + fn(x[at])
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([*(pa.array([a] * size, t) for a, t in zip(k, types)), pa.array(np.arange(size)), pa.array(np.asarray(v, dtype=float).ravel())], [*by, "i", "v"])
 
@@ -85,7 +87,8 @@ def _natural_step(w: np.ndarray, slope: np.ndarray, rate: float = 0.01) -> np.nd
     return moved / np.where(size < EPS, 1, size)
 
 
-def fit(samples: DataFrame, n_components: int | None = None, method: str = "fastica", max_iter: int = 200, tol: float = 1e-6, seed: int = 1) -> Mixing:
+def fit(samples: DataFrame, n_components: int | None = None, method: str = "fastica", max_iter: int = 200, tol: float = 1e-6, seed: int = 1, angle: str = "optimal") -> Mixing:
+    """fastica, infomax or jade; `angle` is that of jade's turns ("reference": twice the optimum, as in other software)."""
     chans = channels(samples)
     c = len(chans)
     p = n_components or c
@@ -102,7 +105,7 @@ def fit(samples: DataFrame, n_components: int | None = None, method: str = "fast
         w = orthogonal(np.random.default_rng(seed).normal(size=(p, p)))
         if method == "jade":
             m4 = collect_sums(rows, lambda x: np.einsum("ti,tj,tk,tl->ijkl", *[white(x)] * 4, optimize=True), p**4) / n
-            w = jade(m4.reshape(p, p, p, p), tol, max_iter)
+            w = jade(m4.reshape(p, p, p, p), tol, max_iter, angle)
         elif method == "fastica":
             for _ in range(max_iter):
                 # one pass: E[x g(wx)] and E[g'(wx)]

@@ -99,7 +99,7 @@ def test_fastica_and_infomax_steps(spark):
         assert np.allclose(np.abs((got * want).mean(0)), 1, atol=2e-2)
 
 
-def plain_jade(z, sweeps=200, tol=1e-6):
+def plain_jade(z, sweeps=200, tol=1e-6, share=4):
     """Sweeps of whole rotation matrices over cumulants taken from the data."""
     n, p = z.shape
     eye, mats = np.eye(p), []
@@ -112,7 +112,7 @@ def plain_jade(z, sweeps=200, tol=1e-6):
         for i in range(p):
             for j in range(i + 1, p):
                 d, o = np.array([m[i, i] - m[j, j] for m in mats]), np.array([m[i, j] + m[j, i] for m in mats])
-                a = math.atan2(2 * d @ o, d @ d - o @ o) / 2
+                a = math.atan2(2 * d @ o, d @ d - o @ o) / share
                 if abs(math.sin(a)) > tol:
                     g = np.eye(p)
                     g[i, i] = g[j, j] = math.cos(a)
@@ -128,11 +128,12 @@ def plain_jade(z, sweeps=200, tol=1e-6):
 def test_jade_and_removal(spark):
     x, p = mixed(3000), 4
     df = samples(spark, x)
-    model = ica.fit(df, p, "jade", max_iter=3)
-    y = (x - model.mean) @ model.unmixing.T
     z = whitened(x, p)
-    want = z @ plain_jade(z, 3).T
-    assert np.allclose(np.abs((y * want).mean(0)), 1, atol=1e-3) and np.allclose(np.cov(y.T), np.eye(p), atol=1e-6)
+    for angle, sweeps, share in (("reference", 3, 2), ("optimal", 200, 4)):
+        model = ica.fit(df, p, "jade", max_iter=sweeps, angle=angle)
+        y = (x - model.mean) @ model.unmixing.T
+        want = z @ plain_jade(z, sweeps, share=share).T
+        assert np.allclose(np.abs((y * want).mean(0)), 1, atol=1e-3) and np.allclose(np.cov(y.T), np.eye(p), atol=1e-6)
     table = ica.mixing_table(spark, model).toPandas()
     assert np.allclose(table.pivot(index="ch", columns="component", values="w").to_numpy(), model.mixing)
     back = dense(ica.remove(df, model, []), 3000, 4)
@@ -141,6 +142,44 @@ def test_jade_and_removal(spark):
     assert np.allclose(gone, x - np.outer(y[:, 1], model.mixing[:, 1]))
 
 
+def independent(c, n=20_000, seed=11):
+    rng = np.random.default_rng(seed)
+    s = np.stack([rng.laplace(size=n) if i % 2 else rng.uniform(-1, 1, n) for i in range(c)], axis=1)
+    return s, s @ rng.normal(size=(c, c)).T
+
+
+def best_matches(y, s):
+    """For each source the largest correlation with a component; each component may serve once."""
+    r = np.abs(np.corrcoef(y.T, s.T)[: y.shape[1], y.shape[1] :])
+    assert len(set(r.argmax(0))) == s.shape[1]
+    return r.max(0)
+
+
+@pytest.mark.parametrize("c", [2, 3, 5])
+def test_jade_separates(spark, c):
+    s, x = independent(c)
+    model = ica.fit(samples(spark, x), c, "jade")
+    y = (x - model.mean) @ model.unmixing.T
+    assert best_matches(y, s).min() > 0.99
+    # kurtosis tells the flat sources (uniform: -1.2) from the peaked ones (Laplace: 3)
+    found = {r["component"]: r for r in ica.detect(samples(spark, x), model, "kurtosis").collect()}
+    r = np.abs(np.corrcoef(y.T, s.T)[:c, c:])
+    for i in range(c):
+        flat = r[i].argmax() % 2 == 0
+        assert abs(found[i + 1]["score"] - (-1.2 if flat else 3)) < 0.5 and (found[i + 1]["type"] == "artifact") == flat
+
+
+@pytest.mark.parametrize("c", [2, 3, 5])
+def test_jade_sweeps_lower_the_criterion(c):
+    _, x = independent(c, 5000)
+    z = whitened(x, c)
+    m4 = np.einsum("ti,tj,tk,tl->ijkl", z, z, z, z, optimize=True) / len(z)
+    beside = lambda w: sum(((t := w @ m @ w.T) ** 2).sum() - (np.diag(t) ** 2).sum() for m in kernels.cumulants(m4))
+    falls = [beside(kernels.jade(m4, sweeps=k)) for k in range(6)]
+    assert all(b <= a + 1e-12 for a, b in zip(falls, falls[1:])) and falls[-1] < falls[0]
+    assert np.allclose(kernels.jade(m4, sweeps=20), kernels.jade(m4, sweeps=200))  # it has stopped turning
+
+
 def test_artifact_components(spark):
     x = mixed()
     df = samples(spark, x)
