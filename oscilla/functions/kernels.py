@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -167,29 +168,47 @@ def morlet(x: np.ndarray, sr: float, freqs: list[float], n_cycles: float, align:
     return out
 
 
-def dpss(n: int, nw: float, k: int) -> np.ndarray:
-    """k Slepian tapers (taper, n), first element not negative.
+def dpss_at(n: int, nw: float, k: int) -> Callable[[np.ndarray], np.ndarray]:
+    """k Slepian tapers of n samples as a function of places from 0: (taper, place); the first element is not negative.
 
-    Long tapers are smooth, so they are solved for in the span of orthonormal polynomials:
-    less a constant, the tridiagonal matrix is minus the weighted differences of neighbours
-    and minus a parabola, which keeps full precision.
+    Short ones are eigenvectors of the tridiagonal matrix. Long ones are smooth, so they are
+    solved for among polynomials that are orthonormal on the places: there the matrix, less a
+    constant, is minus half j (j + 1) on the diagonal (differences of neighbours) and minus a
+    multiple of the square of the places' own tridiagonal matrix (the parabola). Nothing of
+    the length of the signal is made but at the places asked for.
     """
     w = nw / n
-    i = np.arange(n)
-    off = i[1:] * (n - i[1:]) / 2
-    terms = 64 + 8 * math.ceil(nw)
-    if n <= max(DENSE, 4 * terms):
-        diag = ((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * w)
-        values, vectors = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
-    else:
-        x = (2 * i - (n - 1)) / (n - 1)
-        base, _ = np.linalg.qr(np.polynomial.legendre.legvander(x, terms - 1))
-        steps = np.diff(base, axis=0)
-        well = 2 * math.sin(math.pi * w) ** 2 * ((n - 1 - 2 * i) / 2) ** 2
-        values, vectors = np.linalg.eigh(-(steps.T * off) @ steps - (base.T * well) @ base)
-        vectors = base @ vectors
-    top = vectors[:, np.argsort(-values)[:k]].T
-    return np.where(top[:, :1] < 0, -top, top)
+    terms = 48 + 6 * math.ceil(nw)
+    if n <= max(DENSE, terms * terms // 3):
+        i = np.arange(n)
+        off = i[1:] * (n - i[1:]) / 2
+        _, vectors = np.linalg.eigh(np.diag(((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * w)) + np.diag(off, 1) + np.diag(off, -1))
+        whole = vectors[:, ::-1][:, :k].T
+        whole = np.where(whole[:, :1] < 0, -whole, whole)
+        return lambda places: whole[:, places]
+    j = np.arange(1, terms + 2, dtype=float)
+    beta = np.sqrt(j**2 * (float(n) ** 2 - j**2) / (4 * (4 * j**2 - 1)))  # neighbours in the places' matrix
+    places_matrix = np.diag(beta, 1) + np.diag(beta, -1)
+    degree = np.arange(terms)
+    _, vectors = np.linalg.eigh(-np.diag(degree * (degree + 1) / 2) - 2 * math.sin(math.pi * w) ** 2 * (places_matrix @ places_matrix)[:terms, :terms])
+    weights = vectors[:, ::-1][:, :k].T
+
+    def values(places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        y = np.asarray(places) - (n - 1) / 2
+        before, now = np.zeros(len(y)), np.full(len(y), 1 / math.sqrt(n))
+        out = weights[:, :1] * now
+        for m in range(1, terms):
+            before, now = now, (y * now - (beta[m - 2] * before if m > 1 else 0)) / beta[m - 1]
+            out += weights[:, m : m + 1] * now
+        return out
+
+    weights = np.where(values(np.zeros(1), weights) < 0, -weights, weights)
+    return lambda places: values(places, weights)
+
+
+def dpss(n: int, nw: float, k: int) -> np.ndarray:
+    """k Slepian tapers (taper, n)."""
+    return dpss_at(n, nw, k)(np.arange(n))
 
 
 # --- spatial ------------------------------------------------------------------

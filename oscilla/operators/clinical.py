@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import EPS, SAMPLES, islands, length_of
 from .filtering import per_trace
 from .timefreq import window_energy, window_spectra
+from .transform import spectrum
 
 KEY = ["recording_id", "ch", "label"]
 # Default bands in Hz, both ends inclusive.
@@ -83,21 +86,21 @@ def qeeg(samples: DataFrame, sr: float, bands: dict[str, tuple[float, float]] |
     return out.withColumn("relative_power", F.when(all_ > 0, F.try_divide("absolute_power", all_)).otherwise(0.0))
 
 
-def periodogram(samples: DataFrame, sr: float) -> DataFrame:
-    """(…, freq, p) of whole traces, one transform each."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        n = len(p)
-        power = (np.abs(np.fft.fft(p.v.to_numpy())) ** 2 / n)[: n // 2 + 1]
-        return pd.DataFrame({**{c: p[c].iloc[0] for c in KEY}, "freq": np.arange(len(power)) * sr / n, "p": power})[[*KEY, "freq", "p"]]
-
-    return per_trace(samples, run, "recording_id string, ch int, label string, freq double, p double")
+def periodogram(samples: DataFrame, sr: float, band: tuple[float, float] | None = None) -> DataFrame:
+    """(recording_id, ch, label, freq, p) of whole traces, each transformed by many tasks; the band's ends are inclusive."""
+    n = length_of(samples)
+    low, high = (0, n // 2) if band is None else (max(0, math.floor(band[0] * n / sr)), min(n // 2, math.ceil(band[1] * n / sr)))
+    freq = F.col("k") * sr / n
+    p = spectrum(samples, n, min(low, high), high).select(*KEY, freq.alias("freq"), ((F.col("re") ** 2 + F.col("im") ** 2) / n).alias("p"))
+    return p if band is None else p.where(F.col("freq").between(*band))
 
 
 def band_power(samples: DataFrame, sr: float, bands: dict[str, tuple[float, float]]) -> DataFrame:
     """(recording_id, ch, label, <band>...): whole-signal periodogram sums, ends inclusive."""
     sums = [F.sum(F.when(F.col("freq").between(a, b), F.col("p")).otherwise(0.0)).alias(name) for name, (a, b) in bands.items()]
-    return periodogram(samples, sr).groupBy(*KEY).agg(*sums)
+    inside = periodogram(samples, sr, (min(a for a, _ in bands.values()), max(b for _, b in bands.values()))).groupBy(*KEY).agg(*sums)
+    every = samples.select(*KEY).distinct()  # a band without a bin has no power
+    return every.join(inside, KEY, "left").fillna(0.0, list(bands))
 
 
 def asymmetry(samples: DataFrame, sr: float, pairs: list[tuple[str, str]] | None = None, band: tuple[float, float] = (8, 13)) -> DataFrame:
@@ -128,8 +131,7 @@ def slowing(samples: DataFrame, sr: float, method: str = "tdr") -> DataFrame:
     """(recording_id, channel, metric, value, classification): tdr, dtar or peak_frequency."""
     inf = F.lit(float("inf"))
     if method == "peak_frequency":
-        p = periodogram(samples, sr).where(F.col("freq").between(1, 30))
-        p = p.groupBy(*KEY).agg(F.max_by("freq", F.struct("p", -F.col("freq"))).alias("value"))
+        p = periodogram(samples, sr, (1, 30)).groupBy(*KEY).agg(F.max_by("freq", F.struct("p", -F.col("freq"))).alias("value"))
         c = F.when(F.col("value") >= 8, "normal").when(F.col("value") >= 6, "mild_slowing").when(F.col("value") >= 4, "moderate_slowing").otherwise("severe_slowing")
     elif method in ("tdr", "dtar"):
         b = band_power(samples, sr, {k: BANDS[k] for k in ("delta", "theta", "alpha", "beta")})

@@ -1,18 +1,19 @@
-"""Coupling of channel pairs. Spectra are computed once per channel and window, then joined."""
+"""Coupling of channel pairs. Spectra and phases are computed once per channel; channels meet as frames, whose products are summed in tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, SAMPLES, length_of
-from ..functions.kernels import hilbert_phase
-from .filtering import band as bandpassed
-from .filtering import per_trace
+from ..functions.columns import EPS, length_of
+from .filtering import fir_filter
 from .ica import channels, frames
 from .timefreq import window_spectra
+from .transform import analytic
 
 
 def spectra(samples: DataFrame, sr: float, window_sec: float, overlap: float, band: tuple[float, float] | None = None) -> DataFrame:
@@ -22,10 +23,79 @@ def spectra(samples: DataFrame, sr: float, window_sec: float, overlap: float, ba
     return window_spectra(samples, sr, n, max(1, round(n * (1 - overlap))), band=band).drop("epoch")
 
 
-def _pairs(spec: DataFrame, on: list[str]) -> DataFrame:
-    a = spec.select(*on, F.col("ch").alias("i"), F.col("label").alias("ch1"), F.col("re").alias("a"), F.col("im").alias("b"))
-    b = spec.select(*on, F.col("ch").alias("j"), F.col("label").alias("ch2"), F.col("re").alias("c"), F.col("im").alias("d"))
-    return a.join(b, on).where("i < j")
+SUMS = 1 << 22  # numbers a task holds before it hands them on
+
+
+def frame_of(spec: DataFrame, by: list[str], inner: list[str] | None = None) -> DataFrame:
+    """(by…, re, im): arrays over `inner` and channels."""
+    order = [*(inner or []), "ch"]
+    x = F.array_sort(F.collect_list(F.struct(*order, "re", "im")))
+    return spec.groupBy(*by).agg(x.alias("x")).select(*by, F.transform("x", lambda e: e["re"]).alias("re"), F.transform("x", lambda e: e["im"]).alias("im"))
+
+
+def pair_sums(rows: DataFrame, by: list[str], c: int, products: dict[str, Callable[[np.ndarray], np.ndarray]], diagonal: bool = False) -> DataFrame:
+    """(by…, i, j, <product>…, n): sums over rows (by…, re, im) of matrices of channel pairs, i < j from 1.
+
+    A product maps complex numbers (row, bin, channel) to matrices (channel, channel) summed over
+    rows. Tasks hold one matrix for each key and product; no row meets another.
+    """
+    kinds = dict(rows.dtypes)
+    types = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kinds[k]] for k in by]
+    first, second = np.triu_indices(c, 0 if diagonal else 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for key, (n, *matrices) in sums.items():
+                size = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([k] * size, t) for k, t in zip(key, types)), pa.array(first + 1, pa.int32()), pa.array(second + 1, pa.int32()),
+                     *(pa.array(m[first, second]) for m in matrices), pa.array(np.full(size, n))],
+                    [*by, "i", "j", *products, "n"],
+                )
+            sums.clear()
+
+        for b in batches:
+            places: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(b.column(i).to_pylist() for i in range(len(by))))):
+                places.setdefault(key, []).append(at)
+            re, im = b.column(len(by)), b.column(len(by) + 1)
+            for key, at in places.items():
+                z = re.take(pa.array(at)).flatten().to_numpy() + 1j * im.take(pa.array(at)).flatten().to_numpy()
+                if len(z) % (len(at) * c):
+                    raise ValueError("an instant lacks channels that others have")
+                z = z.reshape(len(at), -1, c)
+                held = sums.setdefault(key, [0, *(0.0 for _ in products)])
+                held[0] += len(at)
+                for i, fn in enumerate(products.values(), 1):
+                    held[i] = held[i] + fn(z)
+            if len(sums) * len(products) * c * c > SUMS:
+                yield from handed_on()
+        yield from handed_on()
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "i int", "j int", *(f"{p} double" for p in products), "n long"])
+    parts = rows.select(*by, "re", "im").mapInArrow(run, schema)
+    return parts.groupBy(*by, "i", "j").agg(*(F.sum(p).alias(p) for p in products), F.sum("n").alias("n"))
+
+
+def _cross(z: np.ndarray) -> np.ndarray:
+    z = z.reshape(-1, z.shape[2])
+    return z.T @ z.conj()
+
+
+def _energy(z: np.ndarray, axis: int) -> np.ndarray:
+    e = (np.abs(z) ** 2).sum(axis=(0, 1))
+    return np.broadcast_to(np.expand_dims(e, 1 - axis), (len(e), len(e)))
+
+
+CROSS = {"re": lambda z: _cross(z).real, "im": lambda z: _cross(z).imag, "x": lambda z: _energy(z, 0), "y": lambda z: _energy(z, 1)}
+
+
+def named(pairs: DataFrame, chans: list[tuple[int, str]], one: str, two: str) -> DataFrame:
+    """The labels of places i and j in the order of channels."""
+    names = F.array(*[F.lit(label) for _, label in chans])
+    return pairs.withColumns({one: F.element_at(names, F.col("i")), two: F.element_at(names, F.col("j"))})
 
 
 def _check_band(band: tuple[float, float], sr: float) -> None:
@@ -36,10 +106,10 @@ def _check_band(band: tuple[float, float], sr: float) -> None:
 
 
 def coherence_spectra(samples: DataFrame, sr: float, method: str = "coherence", window_sec: float = 2, overlap: float = 0.5, band: tuple[float, float] | None = None) -> DataFrame:
-    """(recording_id, freq, ch1, ch2, value) for i < j."""
-    spec = spectra(samples, sr, window_sec, overlap, band)
-    p = _pairs(spec, ["recording_id", "win", "k", "freq"]).groupBy("recording_id", "k", "freq", "i", "j", "ch1", "ch2")
-    p = p.agg(F.avg(F.expr("a * c + b * d")).alias("re"), F.avg(F.expr("b * c - a * d")).alias("im"), F.avg(F.expr("a * a + b * b")).alias("x"), F.avg(F.expr("c * c + d * d")).alias("y"))
+    """(recording_id, freq, ch1, ch2, value) for i < j; windows are frames of channels whose cross-spectra are summed by bin."""
+    spec, chans = spectra(samples, sr, window_sec, overlap, band), channels(samples)
+    p = pair_sums(frame_of(spec, ["recording_id", "win", "k", "freq"]), ["recording_id", "k", "freq"], len(chans), CROSS)
+    p = named(p.select("recording_id", "freq", "i", "j", *((F.col(c) / F.col("n")).alias(c) for c in CROSS)), chans, "ch1", "ch2")
     den = F.greatest(F.col("x") * F.col("y"), F.lit(EPS))
     value = {"coherence": (F.col("re") ** 2 + F.col("im") ** 2) / den, "imaginary": F.abs(F.col("im") / F.sqrt(den))}[method]
     return p.select("recording_id", "freq", "ch1", "ch2", value.alias("value"))
@@ -52,24 +122,32 @@ def coherence(samples: DataFrame, sr: float, method: str = "coherence", band: tu
 
 
 def plv(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13)) -> DataFrame:
-    """(recording_id, channel1, channel2, plv)."""
+    """(recording_id, channel1, channel2, plv): an instant is a frame of unit phasors of the analytic signals."""
     _check_band(band, sr)
-    ph = per_trace(samples, lambda p: p.assign(v=hilbert_phase(bandpassed(p, sr, *band))), SAMPLES)
-    ph = ph.select("recording_id", "s", "ch", "label", F.cos("v").alias("re"), F.sin("v").alias("im"))
-    p = _pairs(ph, ["recording_id", "s"]).groupBy("recording_id", "ch1", "ch2").agg(F.avg(F.expr("a * c + b * d")).alias("x"), F.avg(F.expr("b * c - a * d")).alias("y"))
-    return p.select("recording_id", F.col("ch1").alias("channel1"), F.col("ch2").alias("channel2"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("plv"))
+    chans = channels(samples)
+    z = analytic(fir_filter(samples, "bandpass", sr, *band), length_of(samples))
+    size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
+    unit = z.select("recording_id", "s", "ch", F.when(size > 0, F.col("re") / size).otherwise(1.0).alias("re"), F.when(size > 0, F.col("im") / size).otherwise(0.0).alias("im"))
+    p = pair_sums(frame_of(unit, ["recording_id", "s"]), ["recording_id"], len(chans), {"re": CROSS["re"], "im": CROSS["im"]})
+    value = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")
+    return named(p, chans, "channel1", "channel2").select("recording_id", "channel1", "channel2", value.alias("plv"))
+
+
+def _lags(z: np.ndarray) -> np.ndarray:
+    """(row, channel, channel): imaginary cross-spectra averaged over bins."""
+    return (np.einsum("wki,wkj->wij", z, z.conj()) / z.shape[1]).imag
 
 
 def wpli(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13), window_sec: float = 2, overlap: float = 0.5) -> DataFrame:
-    """(recording_id, channel1, channel2, wpli, wpli_debiased)."""
+    """(recording_id, channel1, channel2, wpli, wpli_debiased): a window is one frame of its bins and channels."""
     _check_band(band, sr)
-    spec = spectra(samples, sr, window_sec, overlap, band)
-    w = _pairs(spec, ["recording_id", "win", "k"]).groupBy("recording_id", "ch1", "ch2", "win").agg(F.avg(F.expr("b * c - a * d")).alias("im"))
-    w = w.groupBy("recording_id", "ch1", "ch2").agg(F.abs(F.avg("im")).alias("num"), F.avg(F.abs("im")).alias("den"), F.count(F.lit(1)).alias("n"))
-    value = F.when(F.col("den") < EPS, 0.0).otherwise(F.try_divide("num", "den"))
-    w = w.withColumn("wpli", value)
+    spec, chans = spectra(samples, sr, window_sec, overlap, band), channels(samples)
+    rows = frame_of(spec, ["recording_id", "win"], ["k"])
+    w = pair_sums(rows, ["recording_id"], len(chans), {"q": lambda z: _lags(z).sum(axis=0), "size": lambda z: np.abs(_lags(z)).sum(axis=0)})
+    w = named(w, chans, "channel1", "channel2").withColumns({"num": F.abs(F.col("q") / F.col("n")), "den": F.col("size") / F.col("n")})
+    w = w.withColumn("wpli", F.when(F.col("den") < EPS, 0.0).otherwise(F.try_divide("num", "den")))
     debiased = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.try_divide(F.col("n") * F.col("wpli") ** 2 - 1, F.col("n") - 1)))
-    return w.select("recording_id", F.col("ch1").alias("channel1"), F.col("ch2").alias("channel2"), "wpli", debiased.alias("wpli_debiased"))
+    return w.select("recording_id", "channel1", "channel2", "wpli", debiased.alias("wpli_debiased"))
 
 
 LAGS_BLOCK = 1 << 14  # instants whose lagged products a task sums
@@ -83,7 +161,6 @@ def lagged_moments(samples: DataFrame, order: int, c: int) -> dict[str, tuple]:
     `order` instants give what full-length autocovariances need besides.
     """
     width = c * (order + 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
     x = frames(samples).select("recording_id", "s", "x")
     block = F.floor((F.col("s") - 1) / LAGS_BLOCK)
     halo = F.floor((F.col("s") - 1 + order) / LAGS_BLOCK)
@@ -105,7 +182,8 @@ def lagged_moments(samples: DataFrame, order: int, c: int) -> dict[str, tuple]:
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():  # a matrix of lagged channels for each recording
         found.setdefault(r["recording_id"], np.zeros(size))[r["i"]] = r["v"]
-    edge = x.withColumn("n", n).where((F.col("s") <= order) | (F.col("s") > F.col("n") - order)).orderBy("s").collect()  # 2 * order instants
+    sizes = samples.groupBy("recording_id").agg(F.max("s").alias("n"))
+    edge = x.join(sizes, "recording_id").where((F.col("s") <= order) | (F.col("s") > F.col("n") - order)).orderBy("s").collect()  # 2 * order instants a recording
     ends = {name: np.array([r["x"] for r in edge if r["recording_id"] == name]) for name in found}
     return {name: (v[0], v[2 : 2 + c] / v[0], v[1], v[2 + c : 2 + c + width], v[2 + c + width :].reshape(width, width), ends[name]) for name, v in found.items()}
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS
+from ..functions.columns import EPS, length_of
 from ..sources.electrodes import FORWARD_1020
+from .connectivity import CROSS, frame_of, pair_sums
 from .ica import channels, covariance, partial_sums, project
+from .transform import spectrum
 
 # Conductivity, and weights and places of the virtual dipoles of the three-shell model.
 SIGMA = 0.33
@@ -136,38 +138,27 @@ def beamformer(samples: DataFrame, model: Forward, method: str = "lcmv", sr: flo
 
 def cross_spectrum(samples: DataFrame, sr: float, freq_range: tuple[float, float], fallback: np.ndarray) -> np.ndarray:
     """Real part of the cross-spectral density averaged over the bins, or the fallback if there are none."""
-    from .timefreq import per_trace
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        n = len(p)
-        freq = np.linspace(0, sr / 2, n // 2 + 1)
-        use = np.flatnonzero((freq >= freq_range[0]) & (freq <= freq_range[1]))
-        z = np.fft.fft(p.v.to_numpy())[use]
-        return pd.DataFrame({"k": use, "ch": p.ch.iloc[0], "re": z.real, "im": z.imag})
-
-    spec = per_trace(samples, run, "k long, ch int, re double, im double")
-    a, b = spec.select("k", F.col("ch").alias("i"), F.col("re").alias("a"), F.col("im").alias("b")), spec.select("k", F.col("ch").alias("j"), F.col("re").alias("c"), F.col("im").alias("d"))
-    got = a.join(b, "k").groupBy("i", "j").agg(F.avg(F.expr("a * c + b * d")).alias("v")).collect()  # channels by channels
-    place = {c: i for i, (c, _) in enumerate(channels(samples))}
+    n = length_of(samples)
+    step = sr / 2 / max(1, n // 2)  # bins are laid out evenly up to half the rate
+    low, high = math.ceil(freq_range[0] / step), min(n // 2, math.floor(freq_range[1] / step))
+    if low > high:
+        return fallback
+    rows = frame_of(spectrum(samples, n, low, high), ["recording_id", "epoch", "k"]).withColumn("all", F.lit(1))
+    sums = pair_sums(rows, ["all"], len(fallback), {"re": CROSS["re"]}, diagonal=True)
     out = np.zeros_like(fallback)
-    for r in got:
-        out[place[r["i"]], place[r["j"]]] = r["v"]
-    return out if got else fallback
+    for r in sums.collect():  # channels by channels
+        out[r["i"] - 1, r["j"] - 1] = out[r["j"] - 1, r["i"] - 1] = r["re"] / r["n"]
+    return out
 
 
 def source_power(samples: DataFrame, model: Forward, sr: float, bands: dict | None = None, method: str = "sloreta", lam: float = 0.05) -> DataFrame:
     """(source_id, band, power) of every source column; the transform is taken on channels and then projected, which commutes."""
-    from .timefreq import per_trace
-
-    kernel = inverse_kernel(model.leadfield, method, lam)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        n = len(p)
-        z = np.fft.rfft(p.v.to_numpy()) / np.sqrt(n)
-        return pd.DataFrame({"freq": np.arange(len(z)) * sr / n, "ch": p.ch.iloc[0], "re": z.real, "im": z.imag})
-
+    kernel, n = inverse_kernel(model.leadfield, method, lam), length_of(samples)
+    ranges = (bands or BANDS).values()
+    low, high = max(0, math.floor(min(a for a, _ in ranges) * n / sr)), min(n // 2, math.ceil(max(b for _, b in ranges) * n / sr))
     table = F.broadcast(samples.sparkSession.createDataFrame([(b, float(x), float(y)) for b, (x, y) in (bands or BANDS).items()], "band string, low double, high double"))
-    spec = per_trace(samples, run, "freq double, ch int, re double, im double").join(table, F.expr("freq BETWEEN low AND high"))
+    spec = spectrum(samples, n, min(low, high), high).select("ch", (F.col("k") * sr / n).alias("freq"), *((F.col(c) / math.sqrt(n)).alias(c) for c in ("re", "im")))
+    spec = spec.join(table, F.expr("freq BETWEEN low AND high"))
     x = F.array_sort(F.collect_list(F.struct("ch", "re", "im")))
     rows = spec.groupBy("band", "freq").agg(x.alias("x")).select("band", F.flatten(F.transform("x", lambda e: F.array(e["re"], e["im"]))).alias("x"))
 

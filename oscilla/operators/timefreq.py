@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, TRACE, length_of
-from ..functions.kernels import dpss, morlet
+from ..functions.kernels import dpss_at, morlet
 from .filtering import per_trace
+from .transform import spectrum
 
 COEFFICIENTS = "recording_id string, epoch int, ch int, label string, s long, freq double, re double, im double"
 
@@ -132,13 +133,9 @@ def stft(samples: DataFrame, sr: float, window_sec: float = 0.5, overlap: float
 
 
 def multitaper(samples: DataFrame, sr: float, bandwidth: float = 4, n_tapers: int | None = None) -> DataFrame:
-    """(…, freq, psd): mean over Slepian tapers."""
+    """(…, freq, psd): mean over Slepian tapers of transforms of whole traces; tasks evaluate the tapers at their samples."""
     n = length_of(samples)
     k = n_tapers or math.floor(2 * bandwidth) - 1
-    tapers = dpss(n, bandwidth, k)  # once, shipped with the kernel
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        psd = (np.abs(np.fft.rfft(tapers * p.v.to_numpy(), axis=1)) ** 2).mean(axis=0) / sr
-        return pd.DataFrame({**{c: p[c].iloc[0] for c in TRACE}, "freq": np.arange(len(psd)) * sr / n, "psd": psd})[[*TRACE, "freq", "psd"]]
-
-    return per_trace(samples, run, "recording_id string, epoch int, ch int, label string, freq double, psd double")
+    spec = spectrum(samples, n, weights=dpss_at(n, bandwidth, k))
+    psd = spec.groupBy(*TRACE, "k").agg((F.avg(F.col("re") ** 2 + F.col("im") ** 2) / sr).alias("psd"))
+    return psd.select(*TRACE, (F.col("k") * sr / n).alias("freq"), "psd")
