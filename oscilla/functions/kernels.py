@@ -96,8 +96,8 @@ def butterworth(order: int, sr: float, low: float | None, high: float | None) ->
     return out
 
 
-def section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 256) -> np.ndarray:
-    """A second-order section over x from a state (transposed direct form), in blocks.
+def section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A second-order section over x from a state (transposed direct form), in blocks: output and last state.
 
     Within a block the output is a matrix product of the inputs plus the state's decay;
     only the two numbers of the state pass from block to block.
@@ -111,13 +111,43 @@ def section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, bloc
     impulse = np.concatenate([[b[0]], powers[:-1, 0, :] @ gain])[:block]
     lag = np.subtract.outer(np.arange(block), np.arange(block))
     forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    full, rest = len(x) // block, len(x) % block
     rows = np.pad(x, (0, -len(x) % block)).reshape(-1, block)
-    pushed = rows @ (powers[block - 1 :: -1] @ gain)[:block]
+    reach = powers[block - 1 :: -1] @ gain
+    pushed = rows[:full] @ reach[:block]
     states = np.empty((len(rows), 2))
     for i, new in enumerate(pushed):
         states[i] = state
         state = powers[block] @ state + new
-    return (rows @ forced.T + states @ powers[:block, 0, :].T).ravel()[: len(x)]
+    if rest:
+        states[full] = state
+        state = powers[rest] @ state + rows[full, :rest] @ (powers[rest - 1 :: -1] @ gain)[:rest]
+    return (rows @ forced.T + states @ powers[:block, 0, :].T).ravel()[: len(x)], state
+
+
+def cascade(x: np.ndarray, sections: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections one after another over x from a state of two numbers each: output and last state."""
+    last = []
+    for i, f in enumerate(sections):
+        x, end = section(f[:3], f[3:], x, state[2 * i : 2 * i + 2])
+        last.append(end)
+    return x, np.concatenate(last)
+
+
+def cascade_decay(sections: np.ndarray, n: int) -> np.ndarray:
+    """The state after n samples of silence is this matrix times the state before."""
+    return np.stack([cascade(np.zeros(n), sections, unit)[1] for unit in np.eye(2 * len(sections))], axis=1)
+
+
+def steady_state(sections: np.ndarray) -> np.ndarray:
+    """The state in which a constant 1 has always come in."""
+    out, level = [], 1.0
+    for f in sections:
+        b, a = f[:3], f[3:]
+        settle = np.array([[1 + a[1], -1.0], [a[2], 1.0]])
+        out.append(np.linalg.solve(settle, b[1:] - a[1:] * b[0]) * level)
+        level *= b.sum() / a.sum()
+    return np.concatenate(out)
 
 
 def forward_backward(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
@@ -125,13 +155,7 @@ def forward_backward(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
     for _ in range(2):
-        level = y[0]
-        for f in sections:
-            b, a = f[:3], f[3:]
-            settle = np.array([[1 + a[1], -1.0], [a[2], 1.0]])
-            y = section(b, a, y, np.linalg.solve(settle, b[1:] - a[1:] * b[0]) * level)
-            level = level * b.sum() / a.sum()
-        y = y[::-1]
+        y = cascade(y, sections, steady_state(sections) * y[0])[0][::-1]
     return y[pad : pad + len(x)] if pad else y
 
 
@@ -148,6 +172,21 @@ def hilbert_phase(x: np.ndarray) -> np.ndarray:
     return np.angle(np.fft.ifft(np.fft.fft(x) * gain))
 
 
+def morlet_kernel(sr: float, f: float, n_cycles: float) -> np.ndarray:
+    """Unit-energy wavelet of odd length."""
+    sigma = n_cycles / (2 * np.pi * f)
+    half = math.ceil(3 * sigma * sr)
+    t = np.arange(-half, half + 1) / sr
+    w = np.exp(2j * np.pi * f * t - t**2 / (2 * sigma**2))
+    return w / np.sqrt((np.abs(w) ** 2).sum())
+
+
+def correlate_valid(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Products of x with the conjugate of w where w fits, by FFT."""
+    size = 1 << (len(x) - 1).bit_length()
+    return np.fft.ifft(np.fft.fft(x, size) * np.conj(np.fft.fft(w, size)))[: len(x) - len(w) + 1]
+
+
 def morlet(x: np.ndarray, sr: float, freqs: list[float], n_cycles: float, align: str = "centered") -> np.ndarray:
     """Complex coefficients (frequency, time) of unit-energy wavelets.
 
@@ -156,11 +195,8 @@ def morlet(x: np.ndarray, sr: float, freqs: list[float], n_cycles: float, align:
     """
     out = np.empty((len(freqs), len(x)), dtype=complex)
     for i, f in enumerate(freqs):
-        sigma = n_cycles / (2 * np.pi * f)
-        half = math.ceil(3 * sigma * sr)
-        t = np.arange(-half, half + 1) / sr
-        w = np.exp(2j * np.pi * f * t - t**2 / (2 * sigma**2))
-        w /= np.sqrt((np.abs(w) ** 2).sum())
+        w = morlet_kernel(sr, f, n_cycles)
+        half = len(w) // 2
         size = 1 << (len(x) + len(w) - 2).bit_length()
         full = np.fft.ifft(np.fft.fft(x, size) * np.conj(np.fft.fft(w, size)))
         start = half if align == "reference" else -half

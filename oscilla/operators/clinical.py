@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, SAMPLES, islands, length_of
-from .filtering import per_trace
+from ..functions.columns import EPS, islands, length_of
+from .filtering import in_blocks
 from .timefreq import window_energy, window_spectra
 from .transform import spectrum
 
@@ -52,20 +51,17 @@ def spike_template(sr: float, max_duration_ms: float) -> np.ndarray:
     return x / np.sqrt((x**2).sum())
 
 
-def _template_spikes(samples: DataFrame, sr: float, max_duration_ms: float, min_amplitude: float) -> DataFrame:
+def _template_spikes(samples: DataFrame, sr: float, max_duration_ms: float, min_amplitude: float, block: int | None = None) -> DataFrame:
     template = spike_template(sr, max_duration_ms)
     n = len(template)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.v.to_numpy()
-        if len(x) < n:
-            return p.iloc[:0]
+    def alike(x: np.ndarray) -> list[np.ndarray]:
         view = np.lib.stride_tricks.sliding_window_view(x, n)
         norm = np.sqrt((view**2).sum(axis=1))
-        like = np.divide(view @ template, norm, out=np.zeros(len(norm)), where=norm > 0)
-        return p.iloc[: len(like)].assign(v=like)
+        return [np.divide(view @ template, norm, out=np.zeros(len(norm)), where=norm > 0)]
 
-    like = per_trace(samples, run, SAMPLES).where("v > 0.7")
+    total = length_of(samples)
+    like = in_blocks(samples, total, 0, n - 1, alike, ["v"], block).where(F.col("s") <= total - n + 1).where("v > 0.7")
     best = _sessions(like, n).groupBy(*KEY, "session").agg(F.max_by("s", F.struct("v", -F.col("s"))).alias("at"), F.max("v").alias("confidence"))
     inside = best.withColumn("s", F.explode(F.sequence(F.col("at"), F.col("at") + n - 1)))
     p = inside.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "session", "confidence").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))

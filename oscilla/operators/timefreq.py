@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, TRACE, length_of
-from ..functions.kernels import dpss_at, morlet
-from .filtering import per_trace
+from ..functions.kernels import correlate_valid, dpss_at, morlet, morlet_kernel
+from .filtering import in_blocks, per_trace
 from .transform import spectrum
 
 COEFFICIENTS = "recording_id string, epoch int, ch int, label string, s long, freq double, re double, im double"
@@ -73,18 +73,39 @@ def window_spectra(samples: DataFrame, sr: float, n: int, hop: int, window: str
     return dealt.groupBy(*TRACE, "block").applyInArrow(run, "recording_id string, epoch int, ch int, label string, win int, k long, freq double, re double, im double")
 
 
-def coefficients(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, align: str = "centered") -> DataFrame:
+def coefficients(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, align: str = "centered", block: int | None = None) -> DataFrame:
+    """(recording_id, epoch, ch, label, s, freq, re, im) of unit-energy wavelets.
+
+    A wavelet ends three deviations from its middle, so blocks of a trace with a halo of the
+    longest wavelet suffice. align "reference" wraps around the padded trace, and takes a trace
+    as one group.
+    """
     if n_cycles <= 0 or any(f <= 0 for f in frequencies):
         raise ValueError("frequencies and n_cycles must be positive")
     freqs = [float(f) for f in frequencies]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        c = morlet(p.v.to_numpy(), sr, freqs, n_cycles, align)
-        n = len(p)
-        rows = {k: p[k].iloc[0] for k in TRACE}
-        return pd.DataFrame({**rows, "s": np.tile(p.s.to_numpy(), len(freqs)), "freq": np.repeat(freqs, n), "re": c.real.ravel(), "im": c.imag.ravel()})[[x.split()[0] for x in COEFFICIENTS.split(", ")]]
-
-    return per_trace(samples, run, COEFFICIENTS)
+    if align == "reference":
+
+        def whole(p: pd.DataFrame) -> pd.DataFrame:
+            c = morlet(p.v.to_numpy(), sr, freqs, n_cycles, align)
+            rows = {k: p[k].iloc[0] for k in TRACE}
+            return pd.DataFrame({**rows, "s": np.tile(p.s.to_numpy(), len(freqs)), "freq": np.repeat(freqs, len(p)), "re": c.real.ravel(), "im": c.imag.ravel()})[[x.split()[0] for x in COEFFICIENTS.split(", ")]]
+
+        return per_trace(samples, whole, COEFFICIENTS)
+    wavelets = [morlet_kernel(sr, f, n_cycles) for f in freqs]
+    halo = max(len(w) // 2 for w in wavelets)
+
+    def products(x: np.ndarray) -> list[np.ndarray]:
+        parts = []
+        for w in wavelets:
+            cut = halo - len(w) // 2
+            z = correlate_valid(x[cut : len(x) - cut], w)
+            parts += [z.real, z.imag]
+        return parts
+
+    names = [f"{part}{i}" for i in range(len(freqs)) for part in ("re", "im")]
+    wide = in_blocks(samples, length_of(samples), halo, halo, products, names, block)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("freq"), F.col(f"re{i}").alias("re"), F.col(f"im{i}").alias("im")) for i, f in enumerate(freqs)])).alias("c")
+    return wide.select(*TRACE, "s", cells).select(*TRACE, "s", "c.freq", "c.re", "c.im")
 
 
 def wavelet(samples: DataFrame, sr: float, frequencies: list[float], n_cycles: float = 7, align: str = "centered") -> DataFrame:

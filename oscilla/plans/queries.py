@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import length_of
-from ..functions.kernels import fir_length, fir_taps
+from ..functions.kernels import butterworth, cascade, fir_length, fir_taps
 from ..operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
 from ..sources import generators
 from ..sources.electrodes import FLAT_1020, SYSTEM_1010, SYSTEM_1020, electrodes
@@ -126,7 +127,24 @@ f AS (SELECT {by}, tapped.s, sum(h * y.v) AS v FROM tapped JOIN (SELECT {by}, s
 
 for _kind, (_low, _high) in FILTERS.items():
     query(f"fir_{_kind}", _filter_sql(_kind))(lambda s, d, k=_kind, a=_low, b=_high: _shown(filtering.fir_filter(signal(s, d), k, SR, a, b, ORDER, block=512)))
-query("iir_bandpass")(lambda s, d: _shown(filtering.eeg_filter(signal(s, d), SR, 4, 20, method="iir")))
+
+
+def _iir_sql(low: float, high: float) -> str:
+    """Both directions as sums over the impulse response: a steady start is a first sample that has always come in."""
+    sections = butterworth(4, SR, low, high)
+    response, _ = cascade(np.concatenate([[1.0], np.zeros(4095)]), sections, np.zeros(2 * len(sections)))
+    size = int(np.flatnonzero(np.abs(response) > 1e-16).max()) + 1
+    taps, pad = ", ".join(f"({m}, {float(h)!r}::DOUBLE)" for m, h in enumerate(response[:size])), 3 * (2 * len(sections) + 1)
+    turned = "2 * e.v - x.v FROM sig x JOIN sig e ON e.ch = x.ch JOIN nn ON"
+    passed = lambda view, spot: f"SELECT ch, label, t.s, sum(h * y.v) AS v FROM (SELECT ch, label, s, h, {spot} AS spot FROM {view}, tp, nn) t JOIN (SELECT ch, label, s AS spot, v FROM {view}) y USING (ch, label, spot) GROUP BY ch, label, t.s"
+    return f"""WITH {SIGNAL_SQL}, tp(m, h) AS (VALUES {taps}), nn AS (SELECT max(s) AS n FROM sig),
+ex AS (SELECT ch, label, s + {pad} AS s, v FROM sig UNION ALL SELECT x.ch, x.label, {pad + 2} - x.s, {turned} e.s = 1 WHERE x.s BETWEEN 2 AND {pad + 1}
+UNION ALL SELECT x.ch, x.label, 2 * n + {pad} - x.s, {turned} e.s = n WHERE x.s BETWEEN n - {pad} AND n - 1),
+y1 AS ({passed('ex', 'greatest(s - m, 1)')}), y2 AS ({passed('y1', f'least(s + m, n + {2 * pad})')})
+SELECT y2.s - {pad} AS s, ch, label, {r('v')} AS v FROM y2, nn WHERE y2.s BETWEEN {pad + 1} AND n + {pad}"""
+
+
+query("iir_bandpass", _iir_sql(4, 20))(lambda s, d: _shown(filtering.eeg_filter(signal(s, d), SR, 4, 20, method="iir")))
 
 # --- epochs and artifacts --------------------------------------------------------
 
