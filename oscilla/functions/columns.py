@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 2.220446049250313e-16
@@ -25,10 +26,6 @@ def ms_window(window: tuple[float, float], sr: float, epoch_start: float = 0.0)
     return a, b
 
 
-def trace_window() -> Window:
-    return Window.partitionBy(*TRACE).orderBy("s")
-
-
 def first_max(v: str | Column, s: str = "s") -> Column:
     """s of the first row with the largest v."""
     v = F.col(v) if isinstance(v, str) else v
@@ -39,12 +36,59 @@ def only(samples: DataFrame, channels: list[str] | None) -> DataFrame:
     return samples if channels is None else samples.where(F.col("label").isin(channels))
 
 
-def islands(rows: DataFrame, by: list[str], on: Column, name: str = "run") -> DataFrame:
-    """rows with a run id: constant over consecutive s with the same value of `on`."""
-    w = Window.partitionBy(*by).orderBy("s")
-    out = rows.withColumn("_on", on)
-    change = (~F.col("_on").eqNullSafe(F.lag("_on").over(w))) | (F.col("s") != F.lag("s").over(w) + 1)
-    return out.withColumn(name, F.sum(F.coalesce(change, F.lit(True)).cast("int")).over(w)).drop("_on")
+BLOCK = 1 << 16  # samples of a trace whose windows one task holds
+
+
+def block_of(s: str | Column, size: int | None = None) -> Column:
+    return F.floor(((F.col(s) if isinstance(s, str) else s) - 1) / (size or BLOCK))
+
+
+def halo(samples: DataFrame, by: list[str], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]], size: int | None = None) -> DataFrame:
+    """samples with window columns that reach `before` and `after` samples on a regular grid; each block of a trace carries its neighbours' edges."""
+    spread = F.sequence(F.greatest(block_of(F.col("s") - after, size), F.lit(0)), block_of(F.col("s") + before, size))
+    dealt = samples.withColumn("_block", F.explode(spread))
+    made = dealt.withColumns(columns(Window.partitionBy(*by, "_block").orderBy("s")))
+    return made.where(F.col("_block") == block_of("s", size)).drop("_block")
+
+
+def neighbours(rows: DataFrame, by: list[str], cells: list[str], order: str = "s", size: int | None = None) -> DataFrame:
+    """rows with structs `prev` and `next` of the rows before and after in `by`, null at the ends.
+
+    Windows hold a block of a group; the first and last rows of blocks meet in one small table.
+    """
+    x = rows.withColumn("_block", block_of(order, size)).repartition(*by, "_block")
+    cell = F.struct(order, *cells)
+    inner, outer = Window.partitionBy(*by, "_block").orderBy(order), Window.partitionBy(*by).orderBy("_block")
+    edges = x.groupBy(*by, "_block").agg(F.min_by(cell, order).alias("_first"), F.max_by(cell, order).alias("_last"))
+    edges = edges.select(*by, "_block", F.lag("_last").over(outer).alias("_before"), F.lead("_first").over(outer).alias("_after"))
+    y = x.withColumns({"prev": F.lag(cell).over(inner), "next": F.lead(cell).over(inner)}).join(edges, [*by, "_block"])
+    return y.withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")}).drop("_block", "_before", "_after")
+
+
+def merge_runs(spans: DataFrame, by: list[str], merged: dict[str, Column], gap: int = 1, size: int | None = None) -> DataFrame:
+    """(by…, value, start, stop, <merged>…): spans (by…, value, start, stop, …) joined where the next starts at most `gap` after the last stop and has its value.
+
+    `merged` are aggregates that may be applied again to their own results. Blocks of a group
+    are joined first; of these only the first and last of each block can go on, and they meet in
+    one small table.
+    """
+
+    def joined(x: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start")
+        change = ~F.col("value").eqNullSafe(F.lag("value").over(w)) | (F.col("start") - F.lag("stop").over(w) > gap)
+        x = x.withColumn("_run", F.sum(F.coalesce(change, F.lit(True)).cast("int")).over(w))
+        return x.groupBy(*keys, "_run").agg(F.first("value").alias("value"), F.min("start").alias("_start"), F.max("stop").alias("stop"), *(c.alias(k) for k, c in merged.items())).withColumnRenamed("_start", "start")
+
+    names = [*by, "value", "start", "stop", *merged]
+    x = joined(spans.withColumn("_block", block_of("start", size)), [*by, "_block"])
+    x = x.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*by, "_block"))))
+    border = joined(x.where("_edge").drop("_run"), by)
+    return x.where("NOT _edge").select(*names).unionByName(border.select(*names))
+
+
+def runs(rows: DataFrame, by: list[str], on: Column, merged: dict[str, Column] | None = None, size: int | None = None) -> DataFrame:
+    """Runs of consecutive s with one value of `on`: (by…, value, start, stop, <merged>…)."""
+    return merge_runs(rows.withColumns({"value": on, "start": F.col("s"), "stop": F.col("s")}), by, merged or {}, 1, size)
 
 
 def length_of(samples: DataFrame) -> int:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, islands, length_of
+from ..functions.columns import EPS, halo, length_of, merge_runs, runs
 from .filtering import in_blocks
 from .timefreq import window_energy, window_spectra
 from .transform import spectrum
@@ -18,12 +18,6 @@ KEY = ["recording_id", "ch", "label"]
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 50)}
 
 
-def _sessions(hits: DataFrame, gap: int) -> DataFrame:
-    w = Window.partitionBy(*KEY).orderBy("s")
-    new = F.coalesce(F.col("s") - F.lag("s").over(w) > gap, F.lit(True))
-    return hits.withColumn("session", F.sum(new.cast("int")).over(w))
-
-
 def spikes(samples: DataFrame, sr: float, method: str = "morphology", threshold_sd: float = 4, min_duration_ms: float = 20, max_duration_ms: float = 200, min_amplitude: float = 50) -> DataFrame:
     """(recording_id, channel, sample, time_sec, amplitude, duration_ms, confidence); the amplitude is absolute."""
     if min_duration_ms >= max_duration_ms:
@@ -31,14 +25,13 @@ def spikes(samples: DataFrame, sr: float, method: str = "morphology", threshold_
     if method == "template":
         return _template_spikes(samples, sr, max_duration_ms, min_amplitude)
     low, high, n = max(1, round(min_duration_ms / 1000 * sr)), round(max_duration_ms / 1000 * sr), length_of(samples)
-    w = Window.partitionBy(*KEY).orderBy("s")
-    x = samples.withColumn("d", F.abs(F.coalesce(F.lead("v").over(w) - F.col("v"), F.lit(0.0))))
+    x = halo(samples, KEY, 0, 1, lambda w: {"d": F.abs(F.coalesce(F.lead("v").over(w) - F.col("v"), F.lit(0.0)))})
     stats = x.groupBy(*KEY).agg((F.avg("d") + threshold_sd * F.stddev_samp("d")).alias("limit"), (F.avg(F.abs("v")) + 2 * F.stddev_samp("v")).alias("ref"))
-    hits = _sessions(x.join(F.broadcast(stats), KEY).where("d > limit"), high)
-    g = hits.groupBy(*KEY, "session", "ref").agg(F.min("s").alias("a"), F.max("s").alias("b"))
-    g = g.withColumn("n", F.col("b") - F.col("a") + 1).where(F.col("n").between(low, high))
-    at = g.withColumn("s", F.explode(F.sequence(F.greatest(F.col("a") - low, F.lit(1)), F.least(F.col("b") + low, F.lit(n)))))
-    p = at.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "session", "ref", "n").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))
+    hits = x.join(F.broadcast(stats), KEY).where("d > limit").withColumns({"value": F.lit(True), "start": F.col("s"), "stop": F.col("s")})
+    g = merge_runs(hits, KEY, {"ref": F.first("ref")}, high)
+    g = g.withColumn("n", F.col("stop") - F.col("start") + 1).where(F.col("n").between(low, high))
+    at = g.withColumn("s", F.explode(F.sequence(F.greatest(F.col("start") - low, F.lit(1)), F.least(F.col("stop") + low, F.lit(n)))))
+    p = at.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "start", "ref", "n").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))
     p = p.where(F.abs("p.v") >= min_amplitude)
     return p.select("recording_id", F.col("ch").alias("channel"), F.col("p.s").alias("sample"), ((F.col("p.s") - 1) / sr).alias("time_sec"), F.abs("p.v").alias("amplitude"), (F.col("n") / sr * 1000).alias("duration_ms"), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs("p.v"), F.col("ref")), F.lit(1.0))).alias("confidence"))
 
@@ -62,7 +55,9 @@ def _template_spikes(samples: DataFrame, sr: float, max_duration_ms: float, min_
 
     total = length_of(samples)
     like = in_blocks(samples, total, 0, n - 1, alike, ["v"], block).where(F.col("s") <= total - n + 1).where("v > 0.7")
-    best = _sessions(like, n).groupBy(*KEY, "session").agg(F.max_by("s", F.struct("v", -F.col("s"))).alias("at"), F.max("v").alias("confidence"))
+    likest = F.struct("v", (-F.col("s")).alias("s")).alias("best")
+    hits = like.select(*KEY, F.lit(True).alias("value"), F.col("s").alias("start"), F.col("s").alias("stop"), likest)
+    best = merge_runs(hits, KEY, {"best": F.max("best")}, n).select(*KEY, F.col("start").alias("session"), (-F.col("best.s")).alias("at"), F.col("best.v").alias("confidence"))
     inside = best.withColumn("s", F.explode(F.sequence(F.col("at"), F.col("at") + n - 1)))
     p = inside.join(samples.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "session", "confidence").agg(F.max_by(F.struct("s", "v"), F.struct(F.abs("v"), -F.col("s"))).alias("p"))
     p = p.where(F.abs("p.v") >= min_amplitude)
@@ -114,10 +109,10 @@ def suppression(samples: DataFrame, sr: float, threshold: float = 10, min_durati
     n, total = max(1, round(window_ms / 1000 * sr)), length_of(samples)
     x = samples.withColumn("s", F.floor((F.col("s") - 1) / n) + 1).where(F.col("s") <= total // n)
     x = x.groupBy("recording_id", "s").agg(F.sqrt(F.avg(F.col("v") ** 2)).alias("rms"))
-    x = islands(x.withColumn("quiet", F.col("rms") < threshold), ["recording_id"], F.col("quiet"))
-    long_ = F.count(F.lit(1)).over(Window.partitionBy("recording_id", "run")) * n / sr * 1000 >= min_duration_ms
-    x = islands(x.withColumn("quiet", F.col("quiet") & long_).drop("run"), ["recording_id"], F.col("quiet"))
-    seg = x.groupBy("recording_id", "run", "quiet").agg(((F.min("s") - 1) * n + 1).alias("start_sample"), (F.max("s") * n).alias("end_sample"))
+    first = runs(x, ["recording_id"], F.col("rms") < threshold).withColumn("n", F.col("stop") - F.col("start") + 1)
+    long_ = F.col("value") & (F.col("n") * n / sr * 1000 >= min_duration_ms)
+    x = merge_runs(first.withColumn("value", long_), ["recording_id"], {})
+    seg = x.select("recording_id", F.col("value").alias("quiet"), ((F.col("start") - 1) * n + 1).alias("start_sample"), (F.col("stop") * n).alias("end_sample"))
     seg = seg.select("recording_id", F.when(F.col("quiet"), "suppression").otherwise("burst").alias("type"), "start_sample", "end_sample", ((F.col("end_sample") - F.col("start_sample") + 1) / sr * 1000).alias("duration_ms"))
     bsr = seg.groupBy("recording_id").agg((F.sum(F.when(F.col("type") == "suppression", F.col("duration_ms")).otherwise(0.0)) * 100 / (total / sr * 1000)).alias("bsr"))
     return seg, bsr

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import islands
+from ..functions.columns import block_of, neighbours, runs
 from .ica import covariance
 
 BY = ["recording_id"]
@@ -24,10 +24,9 @@ def field_power(samples: DataFrame) -> DataFrame:
 
 def peaks(gfp: DataFrame, min_gfp: float = 1) -> DataFrame:
     """Local maxima above the min_gfp-th percentile."""
-    w = Window.partitionBy(*BY).orderBy("s")
     limit = gfp.groupBy(*BY).agg(F.percentile("gfp", F.lit(min_gfp / 100)).alias("limit"))
-    g = gfp.withColumns({"p": F.lag("gfp").over(w), "q": F.lead("gfp").over(w)}).join(F.broadcast(limit), BY)
-    return g.where((F.col("gfp") > F.col("p")) & (F.col("gfp") >= F.col("q")) & (F.col("gfp") > F.col("limit"))).select(*BY, "s", "gfp")
+    g = neighbours(gfp, BY, ["gfp"]).join(F.broadcast(limit), BY)
+    return g.where((F.col("gfp") > F.col("prev.gfp")) & (F.col("gfp") >= F.col("next.gfp")) & (F.col("gfp") > F.col("limit"))).select(*BY, "s", "gfp")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -73,11 +72,22 @@ def _sums(peaks: DataFrame, maps: np.ndarray, old: np.ndarray | None, first: np.
 SUMS = pa.schema([("state", pa.int32()), ("recording_id", pa.string()), ("s", pa.int64()), ("x", pa.list_(pa.float64())), ("moved", pa.int64())])
 
 
+def at_places(peaks: DataFrame, places: list[int]) -> DataFrame:
+    """(recording_id, s, place): the peaks at the given places (from 0) in order of recording and s; place counts the list."""
+    x = peaks.select(*BY, "s", block_of("s").alias("_block"))
+    sizes = x.groupBy(*BY, "_block").count()
+    upto = Window.orderBy(*BY, "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    wanted = F.broadcast(peaks.sparkSession.createDataFrame(list(zip(places, range(len(places)))), "_at long, place int"))
+    held = wanted.join(sizes, F.expr("_at >= _before AND _at < _before + count")).select(*BY, "_block", "place", (F.col("_at") - F.col("_before")).alias("_at"))
+    inside = F.row_number().over(Window.partitionBy(*BY, "_block").orderBy("s")) - 1
+    return x.withColumn("_row", inside).join(F.broadcast(held), [*BY, "_block"]).where("_row = _at").select(*BY, "s", "place")
+
+
 def kmeans_maps(peaks: DataFrame, k: int, seed: int = 42) -> np.ndarray:
     """Maps of all peaks (recording_id, s, x): signs follow the first peak of a state; starts are k peaks drawn by place."""
     drawn = np.random.default_rng(seed).choice(peaks.count(), k, replace=False).tolist()
-    places = peaks.select(*BY, "s").orderBy(*BY, "s").rdd.zipWithIndex().filter(lambda r: r[1] in drawn).collect()
-    keys = peaks.sparkSession.createDataFrame([(*row, drawn.index(i)) for row, i in places], "recording_id string, s long, place int")
+    keys = at_places(peaks, drawn)
     maps = _unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
     old = None
     for _ in range(ROUNDS):
@@ -160,16 +170,23 @@ def backfit(samples: DataFrame, maps: DataFrame) -> DataFrame:
 
 def state_statistics(labels: DataFrame, sr: float) -> DataFrame:
     """(recording_id, state, duration_ms, occurrence_per_sec, coverage_pct) of (recording_id, s, label)."""
-    runs = islands(labels, BY, F.col("label")).groupBy(*BY, "run", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = runs.groupBy(*BY, F.col("label").alias("state")).agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("runs"), F.sum("n").alias("n"))
+    found = runs(labels, BY, F.col("label")).withColumn("n", F.col("stop") - F.col("start") + 1)
+    per = found.groupBy(*BY, F.col("value").alias("state")).agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("runs"), F.sum("n").alias("n"))
     total = per.groupBy(*BY).agg(F.sum("n").alias("total"))
     return per.join(F.broadcast(total), BY).select(*BY, "state", (F.col("mean") / sr * 1000).alias("duration_ms"), (F.col("runs") / (F.col("total") / sr)).alias("occurrence_per_sec"), (F.col("n") * 100.0 / F.col("total")).alias("coverage_pct"))
 
 
 def state_transitions(labels: DataFrame) -> DataFrame:
-    """(recording_id, from_state, to_state, p): changes of state, as shares of the changes out of a state."""
-    w = Window.partitionBy(*BY).orderBy("s")
-    t = labels.withColumn("to_state", F.lead("label").over(w)).where("label <> to_state").groupBy(*BY, F.col("label").alias("from_state"), "to_state").count()
+    """(recording_id, from_state, to_state, p): changes of state, as shares of the changes out of a state.
+
+    Changes within blocks, and from the last row of a block to the first of the next.
+    """
+    x = labels.select(*BY, "s", "label", block_of("s").alias("_block")).repartition(*BY, "_block")
+    inner, outer = Window.partitionBy(*BY, "_block").orderBy("s"), Window.partitionBy(*BY).orderBy("_block")
+    within = x.select(*BY, F.col("label").alias("from_state"), F.lead("label").over(inner).alias("to_state"))
+    edges = x.groupBy(*BY, "_block").agg(F.min_by("label", "s").alias("first"), F.max_by("label", "s").alias("last"))
+    between = edges.select(*BY, F.col("last").alias("from_state"), F.lead("first").over(outer).alias("to_state"))
+    t = within.unionByName(between).where("from_state <> to_state").groupBy(*BY, "from_state", "to_state").count()
     return t.select(*BY, "from_state", "to_state", (F.col("count") / F.sum("count").over(Window.partitionBy(*BY, "from_state"))).alias("p"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, islands, length_of
+from ..functions.columns import EPS, halo, length_of, neighbours, runs
 from .filtering import fir_filter
 from .timefreq import window_spectra
 
@@ -49,13 +49,13 @@ def spindles(samples: DataFrame, sr: float, freq_range: tuple[float, float] = (1
     shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "bandpass", sr, *freq_range)
     half = max(1, round(0.2 * sr)) // 2
-    w = Window.partitionBy(*KEY).orderBy("s")
-    x = x.withColumns({"env": F.sqrt(F.avg(F.col("v") ** 2).over(w.rowsBetween(-half, half))), "prev": F.lag("v").over(w)})
+    x = halo(x, KEY, max(half, 1), half, lambda w: {"env": F.sqrt(F.avg(F.col("v") ** 2).over(w.rowsBetween(-half, half))), "prev": F.lag("v").over(w)})
     limit = x.groupBy(*KEY).agg((F.avg("env") + threshold_sd * F.stddev_samp("env")).alias("limit"))
-    x = islands(x.join(F.broadcast(limit), KEY), KEY, F.col("env") > F.col("limit")).where("env > limit")
-    x = x.withColumn("first", F.col("s") == F.min("s").over(Window.partitionBy(*KEY, "run")))
-    turns = F.count_if(~F.col("first") & (F.signum("v") != F.signum("prev")))
-    r = x.groupBy(*KEY, "run").agg(F.min("s").alias("start_sample"), F.max("s").alias("end_sample"), F.max_by("s", F.struct("env", -F.col("s"))).alias("peak_sample"), F.max("env").alias("peak_amplitude"), turns.alias("turns"))
+    x = x.join(F.broadcast(limit), KEY).where("env > limit")
+    turn = F.coalesce(F.signum("v") != F.signum("prev"), F.lit(False)).cast("int")  # the first of a run is none
+    x = x.select(*KEY, "s", F.struct("env", (-F.col("s")).alias("s")).alias("peak"), turn.alias("turns"), F.struct("s", turn.alias("turn")).alias("head"))
+    r = runs(x, KEY, F.lit(True), {"peak": F.max("peak"), "turns": F.sum("turns"), "head": F.min("head")})
+    r = r.select(*KEY, F.col("start").alias("start_sample"), F.col("stop").alias("end_sample"), (-F.col("peak.s")).alias("peak_sample"), F.col("peak.env").alias("peak_amplitude"), (F.col("turns") - F.col("head.turn")).alias("turns"))
     size = F.col("end_sample") - F.col("start_sample") + 1
     r = r.where(size.between(shortest, longest)).withColumn("duration_ms", size / sr * 1000)
     return r.select("recording_id", F.col("ch").alias("channel"), "start_sample", "end_sample", "duration_ms", "peak_sample", "peak_amplitude", (F.col("turns") / 2 / (F.col("duration_ms") / 1000)).alias("frequency_hz"))
@@ -66,8 +66,7 @@ def k_complexes(samples: DataFrame, sr: float, min_neg_amplitude: float = 75, mi
     shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "lowpass", sr, high=4)
     n = length_of(x)
-    w = Window.partitionBy(*KEY).orderBy("s")
-    low = x.withColumns({"p": F.lag("v").over(w), "q": F.lead("v").over(w)}).where((F.col("v") < F.col("p")) & (F.col("v") <= F.col("q")) & (F.col("v") < -min_neg_amplitude))
+    low = halo(x, KEY, 1, 1, lambda w: {"p": F.lag("v").over(w), "q": F.lead("v").over(w)}).where((F.col("v") < F.col("p")) & (F.col("v") <= F.col("q")) & (F.col("v") < -min_neg_amplitude))
     a, b = round(0.5 * sr), round(1.5 * sr)
     at = low.where(F.col("s") + a < F.least(F.col("s") + b, F.lit(n))).select(*KEY, F.col("s").alias("np"), F.col("v").alias("na"), F.explode(F.sequence(F.col("s") + a, F.least(F.col("s") + b, F.lit(n)))).alias("s"))
     hit = at.join(x.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "np", "na").agg(F.max_by("s", F.struct("v", -F.col("s"))).alias("pp"), F.max("v").alias("pa"))
@@ -84,16 +83,15 @@ def slow_waves(samples: DataFrame, sr: float, min_amplitude: float = 75, freq_ra
     """
     shortest, longest = _lengths(sr, min_duration_ms, max_duration_ms)
     x = fir_filter(samples, "bandpass", sr, *freq_range)
-    w = Window.partitionBy(*KEY).orderBy("s")
-    x = x.withColumn("sign", F.when(F.col("v") < 0, -1).otherwise(1))
-    x = x.withColumn("half", F.sum(F.coalesce(F.col("sign") != F.lag("sign").over(w), F.lit(False)).cast("int")).over(w))
-    x = x.withColumn("place", F.col("s") - F.min("s").over(Window.partitionBy(*KEY, "half")))
-    soon = F.max(F.when(F.col("place") < longest, F.col("v")))
-    h = x.groupBy(*KEY, "half").agg(F.min("s").alias("first"), F.max("s").alias("end_sample"), F.min("v").alias("low"), F.max("v").alias("high"), soon.alias("soon"))
-    nxt = Window.partitionBy(*KEY).orderBy("half")
-    tail = F.lead("half", 2).over(nxt).isNull()
-    h = h.withColumns({"positive_peak": F.when(tail, F.lead("soon").over(nxt)).otherwise(F.lead("high").over(nxt)), "more": F.lead("half").over(nxt)})
-    h = h.where("half > 0 and more is not null").withColumn("start_sample", F.col("first") - 1)
+    sign = F.when(F.col("v") < 0, -1).otherwise(1)
+    h = runs(x.withColumns({"low": F.col("v"), "high": F.col("v")}), KEY, sign, {"low": F.min("low"), "high": F.max("high")})
+    # the last half wave counts as far as a wave may reach
+    last = h.groupBy(*KEY).agg(F.max_by(F.struct("start", "stop"), "start").alias("e"))
+    reach = last.select(*KEY, F.col("e.start").alias("tail"), F.explode(F.sequence(F.col("e.start"), F.least(F.col("e.stop"), F.col("e.start") + longest - 1))).alias("s"))
+    soon = reach.join(x.select(*KEY, "s", "v"), [*KEY, "s"]).groupBy(*KEY, "tail").agg(F.max("v").alias("soon"))
+    h = neighbours(h, KEY, ["high"], "start").join(soon, KEY)
+    peak = F.when(F.col("next.start") == F.col("tail"), F.col("soon")).otherwise(F.col("next.high"))
+    h = h.where("prev IS NOT NULL AND next IS NOT NULL").withColumns({"positive_peak": peak, "start_sample": F.col("start") - 1, "end_sample": F.col("stop")})
     size = F.col("end_sample") - F.col("start_sample")
     h = h.where((F.col("low") <= -min_amplitude) & size.between(shortest, longest)).withColumn("duration_ms", size / sr * 1000)
     return h.select("recording_id", F.col("ch").alias("channel"), "start_sample", "end_sample", F.col("low").alias("negative_peak"), "positive_peak", "duration_ms", ((F.col("positive_peak") - F.col("low")) / F.col("duration_ms")).alias("slope"))
