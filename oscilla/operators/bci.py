@@ -2,40 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SAMPLES
-from ..functions.kernels import geometric_mean, log_of, power_of
+from ..functions.kernels import power_of
 from .filtering import band, per_trace
-from .ica import channels, frames, partial_sums
+from .ica import channels, collect_sums, frames, partial_sums
 
 BANDS = {"mu": (8, 13), "beta": (13, 30)}
 
 
-def trial_covariances(samples: DataFrame) -> tuple[list[int], np.ndarray, list[tuple[int, str]]]:
-    """(epochs, covariances, channels): one Gram pass, channels by channels numbers for each trial."""
-    chans = channels(samples)
-    c = len(chans)
-    rows = frames(samples)
-    got = partial_sums(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + c + c * c, ["epoch"]).toPandas()
-    wide = got.pivot(index="epoch", columns="i", values="v").sort_index()
-    m = wide.to_numpy()
-    n, s, g = m[:, 0], m[:, 1 : c + 1], m[:, c + 1 :].reshape(-1, c, c)
-    return [int(e) for e in wide.index], (g - s[:, :, None] * s[:, None, :] / n[:, None, None]) / (n - 1)[:, None, None], chans
+Labels = DataFrame | dict[int, str]
 
 
-def two_classes(labels: dict[int, str], epochs: list[int]) -> tuple[str, str]:
-    if any(e not in labels for e in epochs):
+def as_labels(spark: SparkSession, labels: Labels) -> DataFrame:
+    """(trial, label)."""
+    if isinstance(labels, dict):
+        return spark.createDataFrame(list(labels.items()), "trial int, label string")
+    return labels.select("trial", "label")
+
+
+def labelled(rows: DataFrame, labels: Labels) -> tuple[DataFrame, tuple[str, str]]:
+    """rows (trial, …) with their label and whether it is the first class; the classes in order of appearance."""
+    out = rows.join(as_labels(rows.sparkSession, labels), "trial", "left")
+    seen = out.groupBy("label").agg(F.min("trial").alias("at")).orderBy("at").limit(4).collect()
+    if any(r["label"] is None for r in seen):
         raise ValueError("a label is needed for each trial")
-    seen = list(dict.fromkeys(labels[e] for e in epochs))
     if len(seen) != 2:
         raise ValueError("exactly two classes are needed")
-    return seen[0], seen[1]
+    classes = (seen[0]["label"], seen[1]["label"])
+    return out.withColumn("own", (F.col("label") == classes[0]).cast("int")), classes
+
+
+def vectors(rows: DataFrame, column: str) -> np.ndarray:
+    return np.array(rows.select(column).first()[0])
+
+
+def mapped(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
+    """(trial, column): fn of the matrices x of a batch of trials."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = np.asarray(fn(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)))
+                offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], ["trial", column])
+
+    return rows.select("trial", "x").mapInArrow(run, f"trial int, {column} array<double>")
+
+
+def trial_covariances(samples: DataFrame) -> tuple[DataFrame, int]:
+    """(trial, x: channels by channels numbers of its covariance) from one Gram pass, and the number of channels; a trial stays a row."""
+    c = len(channels(samples))
+    sums = partial_sums(frames(samples), lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + c + c * c, ["epoch"])
+    rows = sums.groupBy(F.col("epoch").alias("trial")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))
+
+    def covariance(m: np.ndarray) -> np.ndarray:
+        n, s, g = m[:, 0], m[:, 1 : c + 1], m[:, c + 1 :].reshape(-1, c, c)
+        return ((g - s[:, :, None] * s[:, None, :] / n[:, None, None]) / (n - 1)[:, None, None]).reshape(len(m), -1)
+
+    return mapped(rows, covariance, "x"), c
+
+
+def class_sums(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], size: int, by: list[str]) -> dict[tuple, np.ndarray]:
+    """Sums of fn over the rows of each class: a few numbers each, from partial sums of tasks."""
+    out: dict[tuple, np.ndarray] = {}
+    for r in partial_sums(rows, fn, size, by).collect():
+        out.setdefault(tuple(r[b] for b in by), np.zeros(size))[r["i"]] = r["v"]
+    return out
 
 
 @dataclass
@@ -46,23 +87,32 @@ class Csp:
     features: DataFrame
 
 
-def csp(samples: DataFrame, labels: dict[int, str], n_filters: int = 3) -> Csp:
-    """Common spatial patterns; a filter's variance over a trial is w' C w, so samples are read once."""
-    epochs, covs, chans = trial_covariances(samples)
-    one, two = two_classes(labels, epochs)
-    n_filters = min(n_filters, len(chans) // 2)
-    norm = covs / np.trace(covs, axis1=1, axis2=2)[:, None, None]
-    mean = lambda k: norm[[labels[e] == k for e in epochs]].mean(axis=0)
-    a, b = mean(one), mean(two)
+def csp(samples: DataFrame, labels: Labels, n_filters: int = 3) -> Csp:
+    """Common spatial patterns; a filter's variance over a trial is w' C w, so samples are read once.
+
+    The driver meets one sum of covariances for each class; features are mapped over trials.
+    """
+    covs, c = trial_covariances(samples)
+    rows, classes = labelled(covs, labels)
+    n_filters = min(n_filters, c // 2)
+
+    def shares(m: np.ndarray) -> np.ndarray:
+        m = m.reshape(-1, c, c)
+        return np.concatenate([[len(m)], (m / np.trace(m, axis1=1, axis2=2)[:, None, None]).sum(axis=0).ravel()])
+
+    sums = class_sums(rows, shares, 1 + c * c, ["own"])
+    a, b = ((sums[own,][1:] / sums[own,][0]).reshape(c, c) for own in (1, 0))
     white = power_of(a + b, -0.5)
-    values, vectors = np.linalg.eigh(white @ a @ white)
+    values, vectors_ = np.linalg.eigh(white @ a @ white)
     order = np.argsort(-values)
     pick = np.concatenate([order[:n_filters], order[len(order) - n_filters :]])
-    w = vectors[:, pick].T @ white
-    var = np.einsum("fc,ncd,fd->nf", w, covs, w)
-    feats = np.log(np.maximum(var / var.sum(axis=1, keepdims=True), 1e-20))
-    table = samples.sparkSession.createDataFrame([(e, [float(x) for x in f]) for e, f in zip(epochs, feats)], "trial int, features array<double>")
-    return Csp(w, values[pick], (one, two), table)
+    w = vectors_[:, pick].T @ white
+
+    def logs(m: np.ndarray) -> np.ndarray:
+        var = np.einsum("fc,ncd,fd->nf", w, m.reshape(-1, c, c), w)
+        return np.log(np.maximum(var / var.sum(axis=1, keepdims=True), 1e-20))
+
+    return Csp(w, values[pick], classes, mapped(covs, logs))
 
 
 def cca(sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray) -> float:
@@ -143,17 +193,42 @@ def band_features(samples: DataFrame, sr: float, bands: dict | None = None) -> D
     return x.groupBy(F.col("epoch").alias("trial"), "label", "band").agg(F.log(F.greatest(F.var_samp("v"), F.lit(1e-20))).alias("value"))
 
 
-def riemannian(samples: DataFrame) -> DataFrame:
-    """(trial, features): tangent vectors at the geometric mean, upper triangle by columns."""
-    epochs, covs, chans = trial_covariances(samples)
-    covs = covs + 1e-6 * np.eye(len(chans))
-    back = power_of(geometric_mean(covs), -0.5)
-    at = [(i, j) for j in range(len(chans)) for i in range(j + 1)]
-    rows = [(e, [float(m[i, j]) for i, j in at]) for e, m in zip(epochs, (log_of(back @ c @ back) for c in covs))]
-    return samples.sparkSession.createDataFrame(rows, "trial int, features array<double>")
+def logs_at(m: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """(trial, channel, channel): logarithms of covariances seen from a mean."""
+    values, turned = np.linalg.eigh(back @ m @ back)
+    return (turned * np.log(np.maximum(values, 1e-10))[:, None, :]) @ turned.transpose(0, 2, 1)
+
+
+def karcher_mean(covs: DataFrame, c: int, rounds: int = 50, tol: float = 1e-8) -> np.ndarray:
+    """Fréchet mean of positive definite matrices (trial, x): each round is one sum of logarithms over trials."""
+    one = lambda fn: (lambda m: np.concatenate([[len(m)], fn(m.reshape(-1, c, c)).sum(axis=0).ravel()]))
+    total = collect_sums(covs, one(lambda m: m), 1 + c * c)
+    mean = (total[1:] / total[0]).reshape(c, c)
+    for _ in range(rounds):
+        half, back = power_of(mean, 0.5), power_of(mean, -0.5)
+        total = collect_sums(covs, one(lambda m, back=back: logs_at(m, back)), 1 + c * c)
+        step = (total[1:] / total[0]).reshape(c, c)
+        values, turned = np.linalg.eigh((step + step.T) / 2)
+        mean = half @ ((turned * np.exp(values)) @ turned.T) @ half
+        if np.linalg.norm(step) < tol:
+            break
+    return mean
 
 
-def features(samples: DataFrame, method: str, sr: float | None = None, labels: dict[int, str] | None = None, bands: dict | None = None) -> DataFrame:
+def riemannian(samples: DataFrame) -> DataFrame:
+    """(trial, features): tangent vectors at the geometric mean, upper triangle by columns; trials stay rows."""
+    covs, c = trial_covariances(samples)
+    ridged = mapped(covs, lambda m: m + 1e-6 * np.eye(c).ravel(), "x")
+    held = ridged.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        back = power_of(karcher_mean(held, c), -0.5)
+    finally:
+        held.unpersist()
+    rows, cols = zip(*[(i, j) for j in range(c) for i in range(j + 1)])
+    return mapped(ridged, lambda m: logs_at(m.reshape(-1, c, c), back)[:, rows, cols])
+
+
+def features(samples: DataFrame, method: str, sr: float | None = None, labels: Labels | None = None, bands: dict | None = None) -> DataFrame:
     """(trial, features): bandpower (band-major), csp or riemannian."""
     if method == "bandpower":
         order = list((bands or BANDS))
@@ -177,40 +252,74 @@ class Lda:
     classes: tuple[str, str]
 
 
-def train_lda(x: np.ndarray, first: np.ndarray, classes: tuple[str, str], shrink: bool = False) -> Lda:
-    a, b = x[first], x[~first]
-    scatter = (a - a.mean(0)).T @ (a - a.mean(0)) + (b - b.mean(0)).T @ (b - b.mean(0))
-    p = x.shape[1]
+def discriminant(n: np.ndarray, sums: np.ndarray, products: np.ndarray, classes: tuple[str, str], shrink: bool = False) -> Lda:
+    """From the number, sum and sum of products of the features of each class, the first class first."""
+    mean = sums / n[:, None]
+    scatter = (products - n[:, None, None] * mean[:, :, None] * mean[:, None, :]).sum(axis=0)
+    p = sums.shape[1]
     if shrink:
-        alpha = min(1.0, max(0.01, p / len(x)))
+        alpha = min(1.0, max(0.01, p / n.sum()))
         scatter = (1 - alpha) * scatter + alpha * np.trace(scatter) / p * np.eye(p)
-    w = np.linalg.solve(scatter + 1e-6 * np.eye(p), a.mean(0) - b.mean(0))
-    return Lda(w, float(w @ (a.mean(0) + b.mean(0)) / 2), classes)
+    w = np.linalg.solve(scatter + 1e-6 * np.eye(p), mean[0] - mean[1])
+    return Lda(w, float(w @ mean.sum(axis=0) / 2), classes)
 
 
-def classify(feats: DataFrame, labels: dict[int, str], method: str = "lda", cv_folds: int | None = None, seed: int = 1) -> tuple[DataFrame, float]:
-    """(trial, predicted_class, confidence, true_class) and accuracy; folds are tasks, confidence is relative to its fold's largest distance."""
+def train_lda(x: np.ndarray, first: np.ndarray, classes: tuple[str, str], shrink: bool = False) -> Lda:
+    """Of trials in memory."""
+    centre = x.mean(axis=0)
+    parts = [x[first] - centre, x[~first] - centre]
+    m = discriminant(np.array([len(a) for a in parts]), np.array([a.sum(axis=0) for a in parts]), np.array([a.T @ a for a in parts]), classes, shrink)
+    return Lda(m.w, m.threshold + float(m.w @ centre), classes)
+
+
+def folds_of(rows: DataFrame, folds: int, seed: int) -> DataFrame:
+    """rows with a fold from 0, all folds equally large up to one: trials in order of a hash, numbered by ranges of it."""
+    x = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "trial")).withColumn("_range", F.shiftright("_hash", 52))
+    sizes = x.groupBy("_range").count()  # 4,096 ranges
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", "trial"))
+    x = x.withColumn("_place", place).join(F.broadcast(sizes), "_range")
+    return x.withColumn("fold", ((F.col("_place") + F.col("_before")) % folds).cast("int")).drop("_hash", "_range", "_place", "_before")
+
+
+def classify(feats: DataFrame, labels: Labels, method: str = "lda", cv_folds: int | None = None, seed: int = 1) -> tuple[DataFrame, float]:
+    """(trial, predicted_class, confidence, true_class) and accuracy; confidence is relative to its fold's largest distance.
+
+    Classes meet the driver as sums for each fold and class; a fold's model is of all sums but
+    its own. Trials stay rows.
+    """
     if method not in ("lda", "shrinkage_lda"):
         raise ValueError(f"unknown method {method!r}")
-    data = feats.orderBy("trial").toPandas()  # one row for each trial
-    trials = [int(t) for t in data.trial]
-    classes = two_classes(labels, trials)
-    x = np.array(data.features.tolist(), dtype=float)
-    first = np.array([labels[t] == classes[0] for t in trials])
-    folds = cv_folds or 1
-    fold = np.random.default_rng(seed).permutation(len(trials)) % folds
-    shrink = method == "shrinkage_lda"
-
-    def run(it):
-        for p in it:
-            for k in p.id:
-                test = fold == k
-                m = train_lda(x[~test] if cv_folds else x, first[~test] if cv_folds else first, classes, shrink)
-                d = x[test] @ m.w - m.threshold
-                far = np.abs(d).max() if len(d) else 1.0
-                at = np.flatnonzero(test)
-                yield pd.DataFrame({"trial": [trials[i] for i in at], "predicted_class": np.where(d > 0, classes[0], classes[1]), "confidence": np.abs(d) / (far or 1.0), "true_class": [labels[trials[i]] for i in at]})
-
-    out = feats.sparkSession.range(folds).mapInPandas(run, "trial int, predicted_class string, confidence double, true_class string")
+    rows, classes = labelled(feats.select("trial", F.col("features").alias("x")), labels)
+    rows = folds_of(rows, cv_folds, seed) if cv_folds else rows.withColumn("fold", F.lit(0))
+    p = len(vectors(rows, "x"))
+    total = collect_sums(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), 1 + p)
+    centre = total[1:] / total[0]
+    by_fold = class_sums(rows, lambda x: np.concatenate([[len(x)], (x - centre).sum(axis=0), ((x - centre).T @ (x - centre)).ravel()]), 1 + p + p * p, ["fold", "own"])
+    models = {}
+    for k in {fold for fold, _ in by_fold}:
+        train = [sum((v for (fold, own), v in by_fold.items() if own == side and (not cv_folds or fold != k)), np.zeros(1 + p + p * p)) for side in (1, 0)]
+        if min(v[0] for v in train) == 0:
+            raise ValueError("a fold leaves a class without trials")
+        m = discriminant(np.array([v[0] for v in train]), np.array([v[1 : 1 + p] for v in train]), np.array([v[1 + p :].reshape(p, p) for v in train]), classes, method == "shrinkage_lda")
+        models[k] = m
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - centre
+                fold = b.column(1).to_numpy()
+                d = np.zeros(b.num_rows)
+                for k in np.unique(fold):
+                    d[fold == k] = x[fold == k] @ models[k].w - models[k].threshold
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d)], ["trial", "fold", "label", "d"])
+
+    found = rows.select("trial", "fold", "label", "x").mapInArrow(distances, "trial int, fold int, label string, d double")
+    far = found.groupBy("fold").agg(F.max(F.abs("d")).alias("far"))
+    out = found.join(F.broadcast(far), "fold").select(
+        "trial", F.when(F.col("d") > 0, classes[0]).otherwise(classes[1]).alias("predicted_class"),
+        (F.abs("d") / F.when(F.col("far") > 0, F.col("far")).otherwise(1.0)).alias("confidence"), F.col("label").alias("true_class"),
+    )
     accuracy = out.agg(F.avg((F.col("predicted_class") == F.col("true_class")).cast("double"))).first()[0]
     return out, float(accuracy)

@@ -78,15 +78,14 @@ def latency(samples: DataFrame, sr: float, window: tuple[float, float], fraction
 
 
 def difference(x: DataFrame, y: DataFrame) -> DataFrame:
-    """x - y, sample by sample; a sample that only one of them has is an error."""
+    """x - y, sample by sample; a sample that only one of them has is an error when the result is read."""
     key = ["recording_id", "epoch", "s", "ch"]
     b = y.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("v").alias("_v"), F.lit(True).alias("_there"))
     a = x.select(*key, "label", "v", F.lit(True).alias("_here"))
     on = [a[k].eqNullSafe(b[f"_{k}"]) if k == "epoch" else a[k] == b[f"_{k}"] for k in key]
-    both = a.join(b, on, "full")
-    if not both.where(F.col("_here").isNull() | F.col("_there").isNull()).isEmpty():
-        raise ValueError("dimensions differ")
-    return a.join(b, on).select(*key, "label", (F.col("v") - F.col("_v")).alias("v"))
+    alone = F.raise_error(F.lit("dimensions differ")).cast("double")
+    value = F.when(F.col("_here").isNull() | F.col("_there").isNull(), alone).otherwise(F.col("v") - F.col("_v"))
+    return a.join(b, on, "full").select(*key, "label", value.alias("v"))
 
 
 def baseline(samples: DataFrame, sr: float, window: tuple[float, float] = (-200, 0), epoch_start: float = 0.0) -> DataFrame:

@@ -458,9 +458,8 @@ query("dics")(lambda s, d: source.beamformer(topographies(s, d), _forward(), "di
 query("source_power")(lambda s, d: source.source_power(topographies(s, d), _forward(), SR))
 
 
-def _classes(s: SparkSession, d: str) -> dict[int, str]:
-    rows = epoched(s, d).select("epoch", "condition").distinct().collect()  # one row for each epoch
-    return {x["epoch"]: x["condition"] for x in rows}
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    return epoched(s, d).select(F.col("epoch").alias("trial"), F.col("condition").alias("label")).distinct()
 
 
 query("ica_mixing")(lambda s, d: ica.mixing_table(s, ica.fit(signal(s, d), 3, "jade")))

@@ -283,6 +283,38 @@ def test_discriminant(shrink, scale):
     assert np.allclose(m.w, w) and np.isclose(m.threshold, w @ (x[first].mean(0) + x[~first].mean(0)) / 2)
 
 
+@pytest.mark.parametrize("method", ["lda", "shrinkage_lda"])
+@pytest.mark.parametrize("folds", [None, 4])
+def test_classification(spark, method, folds):
+    """Models of sums over trials equal models of the trials themselves, fold by fold."""
+    rng = np.random.default_rng(6)
+    n = 30
+    x, own = rng.normal(size=(n, 3)) + 100, rng.permutation(n) < 13
+    x[own, 1] += 1.5
+    labels = {i + 1: "yes" if own[i] else "no" for i in range(n)}
+    feats = spark.createDataFrame([(i + 1, x[i].tolist()) for i in range(n)], "trial int, features array<double>").repartition(3)
+    out, accuracy = bci.classify(feats, labels, method, folds, seed=3)
+    got = {r["trial"]: r for r in out.collect()}
+    classes = (labels[1], "no" if labels[1] == "yes" else "yes")
+    first = np.array([labels[i + 1] == classes[0] for i in range(n)])
+    fold = np.zeros(n, dtype=int)
+    if folds:
+        rows = bci.folds_of(feats, folds, 3).collect()
+        fold[[r["trial"] - 1 for r in rows]] = [r["fold"] for r in rows]
+        assert sorted(np.bincount(fold)) == [7, 7, 8, 8]
+    for k in range(folds or 1):
+        test = fold == k
+        train = ~test if folds else test
+        m = bci.train_lda(x[train], first[train], classes, method == "shrinkage_lda")
+        d = x[test] @ m.w - m.threshold
+        for i, v in zip(np.flatnonzero(test), d):
+            r = got[i + 1]
+            assert r["predicted_class"] == classes[0 if v > 0 else 1] and r["true_class"] == labels[i + 1] and np.isclose(r["confidence"], abs(v) / np.abs(d).max())
+    assert np.isclose(accuracy, np.mean([r["predicted_class"] == r["true_class"] for r in got.values()]))
+    with pytest.raises(ValueError):
+        bci.classify(feats, {k: v for k, v in labels.items() if k != 5}, method)
+
+
 def test_canonical_correlation(spark):
     rng = np.random.default_rng(5)
     t = np.arange(128) / 128
