@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.columns import length_of
 from ..functions.kernels import butterworth, cascade, fir_length, fir_taps
 from ..operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
@@ -545,6 +546,46 @@ query("preprocess", f"""WITH {SIGNAL_SQL.replace('sig AS (', 'raw AS (')}, {_fir
 SELECT epoch, CAST(s AS BIGINT) AS s, ch, label, {r(f'v - avg(CASE WHEN s <= {1 - A} THEN v END) OVER (PARTITION BY epoch, ch)')} AS v FROM x""")(_preprocessed)
 
 
+# --- operators called from SQL -----------------------------------------------------------
+
+
+def _sql(text: str) -> Query:
+    """A query in SQL alone on the view eeg_signal, with the table functions of the session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables.register(spark)
+        x = signal(spark, sf_dir)
+        x.createOrReplaceTempView("eeg_signal")
+        return spark.sql(text)
+
+    return run
+
+
+SIZED = "(SELECT *, (SELECT max(s) FROM eeg_signal) AS n FROM eeg_signal)"
+query("sql_fir_bandpass", ORACLES["fir_bandpass"])(
+    _sql(f"""SELECT s, ch, label, v FROM eeg_fir(TABLE(SELECT *, explode(blocks) AS block FROM (SELECT *, eeg_blocks(s, n, {ORDER // 2}, {ORDER // 2}, 65536) AS blocks FROM {SIZED}))
+    PARTITION BY (recording_id, epoch, ch, label, block) ORDER BY (s), 'bandpass', {SR}, 8.0, 13.0, {ORDER}, 65536)""")
+)
+query("sql_stft", ORACLES["stft"])(
+    _sql(f"""SELECT epoch, ch, label, win + 1 AS time_bin, (win * 16 + {N_STFT / 2}D) / {SR}D AS time_sec, freq, (re * re + im * im) / {timefreq.window_energy('hanning', N_STFT)!r}D AS power
+    FROM eeg_spectra(TABLE(SELECT *, explode(blocks) AS block FROM (SELECT *, eeg_windows(s, n, {N_STFT}, 16, 4096) AS blocks FROM {SIZED}))
+    PARTITION BY (recording_id, epoch, ch, label, block) ORDER BY (s), {N_STFT}, 16, 4096, {SR}, 'hanning')""")
+)
+# the runs of a block are rows; blocks' runs are joined where they touch, twice, as short suppressions turn into bursts
+query("sql_suppression", ORACLES["suppression"])(
+    _sql(f"""WITH windows AS (SELECT recording_id, CAST(floor((s - 1) / 8) + 1 AS BIGINT) AS s, sqrt(avg(v * v)) < 60 AS value FROM {SIZED}
+      WHERE floor((s - 1) / 8) + 1 <= floor(n / 8) GROUP BY 1, 2),
+    parts AS (SELECT * FROM eeg_runs(TABLE(SELECT *, CAST(floor((s - 1) / 65536) AS BIGINT) AS block FROM windows) PARTITION BY (recording_id, block) ORDER BY (s))),
+    a AS (SELECT *, sum(CASE WHEN value <=> last THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY start) AS run
+      FROM (SELECT *, lag(value) OVER (PARTITION BY recording_id ORDER BY start) AS last FROM parts)),
+    b AS (SELECT recording_id, min(start) AS start, max(stop) AS stop, first(value) AND (max(stop) - min(start) + 1) * 8 / {SR} * 1000 >= 125 AS value FROM a GROUP BY recording_id, run),
+    c AS (SELECT *, sum(CASE WHEN value <=> last THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY start) AS run
+      FROM (SELECT *, lag(value) OVER (PARTITION BY recording_id ORDER BY start) AS last FROM b))
+    SELECT CASE WHEN first(value) THEN 'suppression' ELSE 'burst' END AS type, (min(start) - 1) * 8 + 1 AS start_sample, max(stop) * 8 AS end_sample,
+      CAST((max(stop) - min(start) + 1) * 8 / {SR} * 1000 AS DOUBLE) AS duration_ms FROM c GROUP BY recording_id, run""")
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average reference, staging of one-second windows, and the metrics of the night they make."""
     x = spatial.rereference(signal(spark, sf_dir))
