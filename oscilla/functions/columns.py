@@ -91,6 +91,11 @@ def runs(rows: DataFrame, by: list[str], on: Column, merged: dict[str, Column] |
     return merge_runs(rows.withColumns({"value": on, "start": F.col("s"), "stop": F.col("s")}), by, merged or {}, 1, size)
 
 
-def length_of(samples: DataFrame) -> int:
-    """Samples of a trace; all traces of an operation are equally long."""
-    return int(samples.agg(F.max("s")).first()[0] or 0)
+def length_of(samples: DataFrame, epochs: bool | None = None) -> int:
+    """Samples of a trace; all traces of an operation are equally long. `epochs` tells whether samples must (not) be cut into epochs."""
+    found = samples.agg(F.max("s").alias("n"), F.count("epoch").alias("cut"), F.count(F.lit(1)).alias("rows")).first()
+    if epochs and found["cut"] < found["rows"]:
+        raise ValueError("a continuous recording has no epochs")
+    if epochs is False and found["cut"]:
+        raise ValueError("a continuous recording is needed, not epochs")
+    return int(found["n"] or 0)

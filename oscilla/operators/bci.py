@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SAMPLES
+from ..functions.columns import SAMPLES, length_of
 from ..functions.kernels import power_of
 from .filtering import band, per_trace
 from .ica import channels, collect_sums, frames, partial_sums
@@ -60,6 +60,7 @@ def mapped(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str
 
 def trial_covariances(samples: DataFrame) -> tuple[DataFrame, int]:
     """(trial, x: channels by channels numbers of its covariance) from one Gram pass, and the number of channels; a trial stays a row."""
+    length_of(samples, True)
     c = len(channels(samples))
     sums = partial_sums(frames(samples), lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + c + c * c, ["epoch"])
     rows = sums.groupBy(F.col("epoch").alias("trial")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))
@@ -179,7 +180,7 @@ def _banded(samples: DataFrame, sr: float, bands: dict) -> DataFrame:
 
 def motor_imagery(samples: DataFrame, sr: float, bands: dict | None = None, baseline_fraction: float = 0.25) -> DataFrame:
     """(trial, label, band, percent): band power of the task against the first part of the trial."""
-    n = int(samples.agg(F.max("s")).first()[0])
+    n = length_of(samples, True)
     cut = max(1, int(baseline_fraction * n))
     x = _banded(samples, sr, bands or BANDS)
     p = x.groupBy(F.col("epoch").alias("trial"), "label", "band").agg(F.avg(F.when(F.col("s") <= cut, F.col("v") ** 2)).alias("base"), F.avg(F.when(F.col("s") > cut, F.col("v") ** 2)).alias("task"))
@@ -189,6 +190,7 @@ def motor_imagery(samples: DataFrame, sr: float, bands: dict | None = None, base
 
 def band_features(samples: DataFrame, sr: float, bands: dict | None = None) -> DataFrame:
     """(trial, label, band, value): log variance of the band."""
+    length_of(samples, True)
     x = _banded(samples, sr, bands or BANDS)
     return x.groupBy(F.col("epoch").alias("trial"), "label", "band").agg(F.log(F.greatest(F.var_samp("v"), F.lit(1e-20))).alias("value"))
 

@@ -18,7 +18,7 @@ from .transform import analytic
 
 def spectra(samples: DataFrame, sr: float, window_sec: float, overlap: float, band: tuple[float, float] | None = None) -> DataFrame:
     """(recording_id, ch, label, win, k, freq, re, im) of Hann windows, unscaled."""
-    n = min(round(window_sec * sr), length_of(samples))
+    n = min(round(window_sec * sr), length_of(samples, False))
     n -= n % 2
     return window_spectra(samples, sr, n, max(1, round(n * (1 - overlap))), band=band).drop("epoch")
 
@@ -125,7 +125,7 @@ def plv(samples: DataFrame, sr: float, band: tuple[float, float] = (8, 13)) -> D
     """(recording_id, channel1, channel2, plv): an instant is a frame of unit phasors of the analytic signals."""
     _check_band(band, sr)
     chans = channels(samples)
-    z = analytic(fir_filter(samples, "bandpass", sr, *band), length_of(samples))
+    z = analytic(fir_filter(samples, "bandpass", sr, *band), length_of(samples, False))
     size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
     unit = z.select("recording_id", "s", "ch", F.when(size > 0, F.col("re") / size).otherwise(1.0).alias("re"), F.when(size > 0, F.col("im") / size).otherwise(0.0).alias("im"))
     p = pair_sums(frame_of(unit, ["recording_id", "s"]), ["recording_id"], len(chans), {"re": CROSS["re"], "im": CROSS["im"]})
@@ -237,7 +237,7 @@ def granger_pairs(n: float, mean: np.ndarray, m: float, total: np.ndarray, produ
 
 def granger(samples: DataFrame, sr: float, order: int = 5, band: tuple[float, float] | None = None, orientation: str = "forward") -> DataFrame:
     """(recording_id, from_channel, to_channel, gc_value) for all ordered pairs; signals meet the driver as lagged moments."""
-    if order < 1 or 2 * order + 1 >= length_of(samples):
+    if order < 1 or 2 * order + 1 >= length_of(samples, False):
         raise ValueError("model order is too long for the signal")
     chans = channels(samples)
     rows = []

@@ -22,8 +22,8 @@ def average(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return samples.groupBy(*BY, *(extra or []), "s").agg(F.avg("v").alias("v"))
 
 
-def _cut(samples: DataFrame, window: tuple[float, float], sr: float, epoch_start: float) -> tuple[int, int, int]:
-    n = length_of(samples)
+def _cut(samples: DataFrame, window: tuple[float, float], sr: float, epoch_start: float, epochs: bool | None = None) -> tuple[int, int, int]:
+    n = length_of(samples, epochs)
     a, b = ms_window(window, sr, epoch_start)
     if a > n:
         raise ValueError("window lies outside the epoch")
@@ -37,7 +37,7 @@ def _latency(s: str, sr: float, epoch_start: float) -> Column:
 def detect(samples: DataFrame, sr: float, component: str = "P300", channels: list[str] | None = None, epoch_start: float = 0.0) -> DataFrame:
     """(recording_id, channel, component, latency_ms, amplitude) of the first extreme of the component's window."""
     window, sign = COMPONENTS[component]
-    a, b, _ = _cut(samples, window, sr, epoch_start)
+    a, b, _ = _cut(samples, window, sr, epoch_start, True)
     m = average(only(samples, channels).where(F.col("s").between(a, b)))
     m = m.groupBy(*BY).agg(first_max(F.col("v") * sign).alias("peak"), (F.max(F.col("v") * sign) * sign).alias("amplitude"))
     return m.select("recording_id", F.col("label").alias("channel"), F.lit(component).alias("component"), _latency("peak", sr, epoch_start).alias("latency_ms"), "amplitude")
@@ -66,7 +66,7 @@ def measure(samples: DataFrame, sr: float, window: tuple[float, float], method:
 
 def latency(samples: DataFrame, sr: float, window: tuple[float, float], fraction: float = 0.5, polarity: str = "positive", channels: list[str] | None = None, epoch_start: float = 0.0) -> DataFrame:
     """(recording_id, channel, latency_ms, fraction): first sample with that part of the rectified area."""
-    a, b, _ = _cut(samples, window, sr, epoch_start)
+    a, b, _ = _cut(samples, window, sr, epoch_start, True)
     sign = 1 if polarity == "positive" else -1
     m = average(only(samples, channels).where(F.col("s").between(a, b))).withColumn("v", F.greatest(F.col("v") * sign, F.lit(0.0)))
     w = Window.partitionBy(*BY)
@@ -91,6 +91,7 @@ def difference(x: DataFrame, y: DataFrame) -> DataFrame:
 def baseline(samples: DataFrame, sr: float, window: tuple[float, float] = (-200, 0), epoch_start: float = 0.0) -> DataFrame:
     if window[0] >= window[1]:
         raise ValueError("bad baseline")
+    length_of(samples, True)
     a, b = ms_window(window, sr, epoch_start)
     mean = F.avg(F.when(F.col("s").between(a, b), F.col("v"))).over(Window.partitionBy("recording_id", "epoch", "ch"))
     return samples.withColumn("v", F.col("v") - mean)
@@ -139,9 +140,11 @@ def permutation_test(x: DataFrame, y: DataFrame, n_perm: int = 1000, alpha: floa
     """
     mean = lambda d, first: d.groupBy("epoch", "s").agg(F.avg("v").alias("v")).withColumn("first", F.lit(first))
     both = mean(x, True).unionByName(mean(y, False))
-    sizes = both.groupBy("s").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b")).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    sizes = both.groupBy("s").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"), F.count_if(F.col("epoch").isNull()).alias("c")).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b"), F.max("c")).first()
     if sizes[0] != sizes[1] or sizes[2] != sizes[3] or not sizes[0] or not sizes[2]:
         raise ValueError("dimensions differ")
+    if sizes[4]:
+        raise ValueError("a continuous recording has no epochs")
     spark, df = x.sparkSession, sizes[0] + sizes[2] - 2
 
     def run(p: pd.DataFrame) -> pd.DataFrame:

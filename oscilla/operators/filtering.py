@@ -150,10 +150,11 @@ def eeg_filter(samples: DataFrame, sr: float, lowcut: float | None = None, highc
         raise ValueError("lowcut must be below highcut")
     if notch is not None and not 2 < notch < nyquist - 2:
         raise ValueError("notch must lie 2 Hz within the band")
+    n = length_of(samples, False)
     kind = "bandpass" if lowcut and highcut else "highpass" if lowcut else "lowpass" if highcut else None
     out = samples
     if kind and method == "iir":
-        out = zero_phase(out, butterworth(order or 4, sr, lowcut, highcut), length_of(out))
+        out = zero_phase(out, butterworth(order or 4, sr, lowcut, highcut), n)
     elif kind:
         out = fir_filter(out, kind, sr, lowcut, highcut, order)
     return fir_filter(out, "notch", sr, notch - 2, notch + 2, order) if notch else out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_of, neighbours, runs
-from .ica import covariance
+from .ica import covariance, frames
 
 BY = ["recording_id"]
 ROUNDS = 100
@@ -161,11 +161,28 @@ def microstates(samples: DataFrame, n_states: int = 4, method: str = "kmeans", m
 
 
 def backfit(samples: DataFrame, maps: DataFrame) -> DataFrame:
-    """(recording_id, s, label): the map of largest absolute cosine, the first of ties; state 1 at zero power."""
-    m = maps.join(F.broadcast(maps.groupBy("state").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))), "state")
-    fit = samples.select(*BY, "s", "ch", "v").join(F.broadcast(m), "ch").groupBy(*BY, "s", "state").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("norm").alias("norm"))
-    cos = F.abs(F.col("dot")) / F.greatest(F.col("norm"), F.lit(1e-10))
-    return fit.groupBy(*BY, "s").agg(F.max_by("state", F.struct(cos.alias("c"), (-F.col("state")).alias("i"))).alias("label"))
+    """(recording_id, s, label): the map of largest absolute cosine, the first of ties; state 1 at zero power.
+
+    One product of a batch of instants with the maps, which are channels by states numbers.
+    """
+    rows = maps.select("state", "ch", "w").collect()
+    states, chans = sorted({r["state"] for r in rows}), sorted({r["ch"] for r in rows})
+    w = np.zeros((len(states), len(chans)))
+    for r in rows:
+        w[states.index(r["state"]), chans.index(r["ch"])] = r["w"]
+    w = w / np.maximum(np.sqrt((w**2).sum(axis=1, keepdims=True)), 1e-10)
+    label = np.array(states, dtype=np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            if len(x) != len(chans) * b.num_rows:
+                raise ValueError("an instant lacks channels that the maps have")
+            best = label[np.abs(x.reshape(-1, len(chans)) @ w.T).argmax(axis=1)] if b.num_rows else label[:0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best)], ["recording_id", "s", "label"])
+
+    at = frames(samples.where(F.col("ch").isin([int(c) for c in chans])).withColumn("epoch", F.lit(None).cast("int"))).select(*BY, "s", "x")
+    return at.mapInArrow(run, "recording_id string, s long, label int")
 
 
 def state_statistics(labels: DataFrame, sr: float) -> DataFrame:

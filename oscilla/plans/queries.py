@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.columns import length_of
-from ..functions.kernels import butterworth, cascade, fir_length, fir_taps
+from ..functions.kernels import butterworth, cascade, fir_length, fir_taps, spline_weights
 from ..operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
-from ..sources import generators
 from ..sources.electrodes import FLAT_1020, SYSTEM_1010, SYSTEM_1020, electrodes
 from ..sources.views import EPOCH_LEN, EPOCHED_SQL, POSITIONS_SQL, SIGNAL_SQL, SR, STAGES_SQL, TOPO_SQL, epoched, signal, stages, topographies
 from .pipeline import preprocess
@@ -84,10 +83,29 @@ m AS (SELECT s, dst AS label, sum(v * w) AS v FROM topo JOIN w ON w.src = topo.l
 SELECT m.s, p.ch, m.label, {r('m.v')} AS v FROM m JOIN pos p USING (label) UNION ALL SELECT s, ch, label, {r('v')} FROM topo WHERE label NOT IN {tuple(BAD)}""")(
     lambda s, d: _shown(spatial.interpolate(topographies(s, d), BAD, positions(s).where(F.col("label") != "TP10"), "nearest"))
 )
-query("interpolate_spline")(lambda s, d: _shown(spatial.interpolate(topographies(s, d), BAD, positions(s).where(F.col("label") != "TP10"))))
-CHANNELS = ["fp1", "Cz", "T3", "O2", "X9", "Fpz"]
-query("montage_join", f"WITH {POSITIONS_SQL}, c AS (SELECT unnest({CHANNELS}) AS label) SELECT c.label, x AS pos_x, y AS pos_y, z AS pos_z FROM c LEFT JOIN pos ON upper(c.label) = upper(pos.label)")(
-    lambda s, d: spatial.montage(s.createDataFrame([(c,) for c in CHANNELS], "label string"), "10-10").select("label", "pos_x", "pos_y", "pos_z")
+
+
+def _spline_sql() -> str:
+    sites = {k: SYSTEM_1010[k] for k in list(SYSTEM_1010)[:64]}
+    good = [k for k in sites if k not in BAD]
+    w = spline_weights(np.array([sites[k] for k in good]), np.array([sites[k] for k in sites if k in BAD]))
+    rows = ", ".join(f"('{b}', '{g}', {float(w[i, j])!r}::DOUBLE)" for i, b in enumerate(k for k in sites if k in BAD) for j, g in enumerate(good))
+    return f"""WITH {TOPO_SQL}, w(dst, src, w) AS (VALUES {rows}), m AS (SELECT s, dst AS label, sum(v * w) AS v FROM topo JOIN w ON w.src = topo.label GROUP BY s, dst)
+SELECT m.s, p.ch, m.label, {r('m.v')} AS v FROM m JOIN pos p USING (label) UNION ALL SELECT s, ch, label, {r('v')} FROM topo WHERE label NOT IN {tuple(BAD)}"""
+
+
+query("interpolate_spline", _spline_sql())(lambda s, d: _shown(spatial.interpolate(topographies(s, d), BAD, positions(s).where(F.col("label") != "TP10"))))
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels of the topographies with the number of their samples; some in lower case, some under a name of their own."""
+    name = F.when(F.col("ch") % 7 == 0, F.concat(F.lit("X"), "label")).when(F.col("ch") % 2 == 0, F.lower("label")).otherwise(F.col("label"))
+    return topographies(spark, sf_dir).groupBy(name.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+query("montage_join", f"""WITH {TOPO_SQL}, c AS (SELECT CASE WHEN ch % 7 = 0 THEN 'X' || label WHEN ch % 2 = 0 THEN lower(label) ELSE label END AS label, count(*) AS n FROM topo GROUP BY 1)
+SELECT c.label, n, x AS pos_x, y AS pos_y, z AS pos_z FROM c LEFT JOIN pos ON upper(c.label) = upper(pos.label)""")(
+    lambda s, d: spatial.montage(_channels(s, d), "10-10").select("label", "n", "pos_x", "pos_y", "pos_z")
 )
 
 
@@ -422,8 +440,8 @@ for _m in ("fastica", "infomax", "jade"):
 for _m in ("correlation", "kurtosis", "spatial"):
     query(f"ica_detect_{_m}")(lambda s, d, m=_m: ica.detect(signal(s, d), ica.fit(signal(s, d), 3, "jade"), m))
 query("ica_remove")(lambda s, d: _shown(ica.remove(signal(s, d), ica.fit(signal(s, d), 3, "jade"), [1])))
-GRID = [(i, *p) for i, p in enumerate([(x / 4, y / 4, z / 4) for x in (-2, 0, 1) for y in (-1, 0, 2) for z in (-1, 1)], 1)]
-GRID_SQL = POSITIONS_SQL + ", sr(source, x, y, z) AS (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, x, y, z in GRID) + ")"
+# sources at the first three numbers of each embedding
+GRID_SQL = POSITIONS_SQL + ", sr AS (SELECT vec_id + 1 AS source, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 
 
 def _leadfield_sql(method: str) -> str:
@@ -438,13 +456,14 @@ def _leadfield_sql(method: str) -> str:
     return f"WITH {GRID_SQL} " + " UNION ALL ".join(parts)
 
 
-def _leadfield(s: SparkSession, method: str) -> DataFrame:
+def _leadfield(s: SparkSession, d: str, method: str) -> DataFrame:
     e = positions(s).where(F.col("label") != "TP10").select("label", F.col("pos_x").alias("x"), F.col("pos_y").alias("y"), F.col("pos_z").alias("z"))
-    return source.leadfield_table(e, s.createDataFrame([(i, *map(float, p)) for i, *p in GRID], "source int, x double, y double, z double"), method)
+    places = s.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") + 1).cast("int").alias("source"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
+    return source.leadfield_table(e, places, method)
 
 
-query("leadfield_spherical", _leadfield_sql("spherical"))(lambda s, d: _leadfield(s, "spherical"))
-query("leadfield_bem", _leadfield_sql("bem_simplified"))(lambda s, d: _leadfield(s, "bem_simplified"))
+query("leadfield_spherical", _leadfield_sql("spherical"))(lambda s, d: _leadfield(s, d, "spherical"))
+query("leadfield_bem", _leadfield_sql("bem_simplified"))(lambda s, d: _leadfield(s, d, "bem_simplified"))
 
 
 def _forward(n: int = 500) -> source.Forward:
@@ -489,7 +508,7 @@ query("bandpower_features", _banded_sql("ln(greatest(var_samp(v), 1e-20)) AS val
 query("lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "bandpower", SR), _classes(s, d), cv_folds=3)[0])
 query("shrinkage_lda")(lambda s, d: bci.classify(bci.features(epoched(s, d), "bandpower", SR), _classes(s, d), "shrinkage_lda")[0])
 
-# --- plot tables and generators -------------------------------------------------------------
+# --- plot tables ----------------------------------------------------------------------------
 
 query("signal_stack_frame", f"""WITH {SIGNAL_SQL}, o AS (SELECT label, row_number() OVER (ORDER BY min(ch)) AS i, count(*) OVER () AS k, stddev_samp(v) AS sd FROM sig GROUP BY label)
 SELECT label, {r(f'(s - 1) / {SR}')} AS time_sec, {r('v')} AS v, {r('v + (k - i) * 3 * sd')} AS shown FROM sig JOIN o USING (label) WHERE (s - 1) / {SR} BETWEEN 1 AND 4""")(lambda s, d: plots.signal_frame(signal(s, d), SR, time_range=(1, 4)))
@@ -524,16 +543,19 @@ def _by_instant(s: SparkSession, d: str) -> DataFrame:
 query("source_frame", f"""WITH {TOPO_SQL}, x AS (SELECT CAST(s AS DOUBLE) AS x, avg(v) AS amplitude FROM topo GROUP BY s) SELECT {r('x')} AS x, CAST(0 AS DOUBLE) AS y, {r('amplitude')} AS amplitude FROM x WHERE abs(amplitude) >= (SELECT quantile_cont(abs(amplitude), 0.8) FROM x)""")(
     lambda s, d: plots.source_frame(topographies(s, d).groupBy("s").agg(F.avg("v").alias("amplitude")).select(F.col("s").cast("double").alias("x"), F.lit(0.0).alias("y"), "amplitude"))
 )
-query("source_flatmap")(lambda s, d: plots.source_frame(_by_instant(s, d), style="flatmap"))
-query("outline")(lambda s, d: plots.outline(s))
-query("make_eeg")(lambda s, d: generators.make_eeg(s, 1000, 4))
-query("make_erp")(lambda s, d: generators.make_erp(s, 6, 3)[0])
-query("make_sleep")(lambda s, d: generators.make_sleep(s, 10_000, 1, 50)[0])
-query("make_bci")(lambda s, d: generators.make_bci(s, 2)[0])
-query("make_spikes")(lambda s, d: generators.make_spikes(s, 5000, 3)[1])
-_sites = ", ".join(f"('10-20', '{k}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in SYSTEM_1020.items())
-query("electrodes_1020", f"SELECT * FROM (VALUES {_sites}) t(system, label, pos_x, pos_y, pos_z)")(lambda s, d: electrodes(s, "10-20"))
-query("electrodes_1010", f"WITH {POSITIONS_SQL} SELECT '10-10' AS system, label, x AS pos_x, y AS pos_y, z AS pos_z FROM pos UNION ALL SELECT '10-10', 'TP10', 1.05::DOUBLE, -0.25::DOUBLE, -0.2::DOUBLE")(lambda s, d: electrodes(s, "10-10"))
+query("source_flatmap", f"""WITH {TOPO_SQL}, pt AS (SELECT s % 41 / 20.5 - 1 AS x, s % 37 / 18.5 - 1 AS y, avg(v) AS value FROM topo GROUP BY s),
+va AS (SELECT * FROM pt WHERE abs(value) >= (SELECT quantile_cont(abs(value), 0.8) FROM pt)),
+ax AS (SELECT -1.0::DOUBLE + i * (2.0::DOUBLE / 79) AS g FROM (SELECT unnest(range(80)) AS i)), gr AS (SELECT a.g AS gx, b.g AS gy FROM ax a, ax b WHERE a.g * a.g + b.g * b.g <= 1),
+dd AS (SELECT gx, gy, value, (gx - x) * (gx - x) + (gy - y) * (gy - y) AS d FROM gr, va)
+SELECT {r('gx')} AS gx, {r('gy')} AS gy, {r('coalesce(min(CASE WHEN d < 1e-20 THEN value END), sum(CASE WHEN d >= 1e-20 THEN value / d END) / sum(CASE WHEN d >= 1e-20 THEN 1 / d END))')} AS value FROM dd GROUP BY dd.gx, dd.gy""")(
+    lambda s, d: plots.source_frame(_by_instant(s, d), style="flatmap")
+)
+for _system, _table in (("10-20", SYSTEM_1020), ("10-10", SYSTEM_1010)):
+    _sites = ", ".join(f"('{k}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in _table.items())
+    query(f"electrodes_{_system.replace('-', '')}", f"""WITH {TOPO_SQL}, el(label, x, y, z) AS (VALUES {_sites}), c AS (SELECT label, count(*) AS n FROM topo GROUP BY label)
+    SELECT '{_system}' AS system, label, n, x AS pos_x, y AS pos_y, z AS pos_z FROM c JOIN el USING (label)""")(
+        lambda s, d, system=_system: topographies(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(electrodes(s, system)), "label").select("system", "label", "n", "pos_x", "pos_y", "pos_z")
+    )
 
 
 def _preprocessed(s: SparkSession, d: str) -> DataFrame:

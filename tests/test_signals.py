@@ -419,7 +419,7 @@ def test_pipeline_of_steps(spark):
     pos = electrodes(spark).drop("system").where(F.col("label").isin(list(SYSTEM_1020)[:6]))
     ev = spark.createDataFrame([("r1", 1, 2.0), ("r1", 2, 5.0)], "recording_id string, pos int, onset_sec double")
     out = preprocess(samples(spark, x), 250, 1, 40, positions=pos, events=ev, epoch=True, reject_uv=100)
-    assert [k for k, _ in out.log] == ["filter", "bad_channels", "interpolate", "rereference", "epoch", "reject"] and out.samples.count() == 2 * 251 * 6
+    assert [k for k, _, _ in out.log] == ["filter", "bad_channels", "interpolate", "rereference", "epoch", "reject"] and out.samples.count() == 2 * 251 * 6
     with pytest.raises(ValueError):
         preprocess(samples(spark, x), 250, epoch=True)
 
@@ -430,3 +430,19 @@ def test_generators(spark):
     assert "sleep" in generators.quick_start() and generators.quick_start("erp").startswith("erp")
     with pytest.raises(ValueError):
         generators.quick_start("nothing")
+
+
+def test_shapes_are_checked(spark):
+    whole, cut = samples(spark, RNG.normal(size=(64, 2))), samples(spark, RNG.normal(size=(2, 64, 2)), epoch=True)
+    labels = {1: "a", 2: "b"}
+    for needs_epochs in (
+        lambda x: erp.detect(x, 128), lambda x: erp.latency(x, 128, (0, 200)), lambda x: erp.baseline(x, 128, (0, 100)), lambda x: erp.permutation_test(x, x, 5),
+        lambda x: bci.csp(x, labels), lambda x: bci.motor_imagery(x, 128), lambda x: bci.features(x, "bandpower", 128), lambda x: bci.riemannian(x),
+    ):
+        with pytest.raises(ValueError, match="epochs"):
+            needs_epochs(whole)
+    for needs_whole in (
+        lambda x: filtering.eeg_filter(x, 128, 4, 20), lambda x: connectivity.coherence(x, 128), lambda x: connectivity.plv(x, 128), lambda x: connectivity.granger(x, 128, 2),
+    ):
+        with pytest.raises(ValueError, match="continuous"):
+            needs_whole(cut)
