@@ -21,7 +21,7 @@ never shuffle.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 SLACK = 2 * (1 - SIMILARITY) / (1 + SIMILARITY)  # shingles that differ, of an item's, at that similarity
 CLASS = 6  # an item's shingles in a block of the fingerprint, on average
 PART = 16  # bits of a block that the index enters
-BLOCK, BLOCK_BYTES = 20_000, 64 << 20  # items, and their text, of a block of the benchmark
+BLOCK, BLOCK_BYTES = 20_000, 4 << 20  # items, and their text, of a block of the benchmark: its matcher has some ten times the bytes
 SLICE = 1 << 18  # words of a document handled at once
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long"
@@ -78,9 +78,16 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=-1).view(">u8")[..., 0].astype(np.uint64)
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    low = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return low / (a.total() + b.total() - low) if low else 0.0
+def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values in order, how often each occurs)."""
+    return np.unique(hashes, return_counts=True)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    low = int(np.minimum(a[1][same], b[1][at[same]]).sum())
+    return low / (int(a[1].sum()) + int(b[1].sum()) - low) if low else 0.0
 
 
 class MultiIndex:
@@ -133,23 +140,28 @@ class MultiIndex:
 class Matcher:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
-        by_size: dict[tuple[int, int], list[tuple[int, np.ndarray, Counter]]] = defaultdict(list)
-        self.owners: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
+        codes: dict[int, list[np.ndarray]] = defaultdict(list)
+        sizes: dict[int, list[np.ndarray]] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             k = min(WIDTH, len(words))
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.uint64)
-            for code in self.codes(ids, np.arange(len(words) - k + 1), k).tolist():
-                self.owners[k][code].add(len(words))
-            hashes = shingle_hashes(words, k)
-            by_size[k, len(words)].append((item_id, hashes, Counter(hashes.tolist())))
-        self.owners = {k: dict(v) for k, v in self.owners.items()}
-        self.known = {k: np.array(sorted(v), dtype=np.uint64) for k, v in self.owners.items()}
+            own = np.unique(self.codes(ids, np.arange(len(words) - k + 1), k))
+            codes[k].append(own)
+            sizes[k].append(np.full(len(own), len(words), dtype=np.int32))
+            by_size[k, len(words)].append((item_id, shingle_hashes(words, k)))
+        # by width: the codes in order, and the sizes of the items that hold each
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in codes:
+            pairs = np.unique(np.rec.fromarrays([np.concatenate(codes[k]), np.concatenate(sizes[k])], names="code,size"))
+            own, first = np.unique(pairs["code"], return_index=True)
+            self.known[k] = (own, np.append(first, len(pairs)), np.ascontiguousarray(pairs["size"]))
         self.groups = {}
         for (k, n), group in by_size.items():
-            self.groups[k, n] = (MultiIndex([h for _, h, _ in group]), [(i, c) for i, _, c in group])
+            self.groups[k, n] = (MultiIndex([h for _, h in group]), [(i, multiset(h)) for i, h in group])
         self.longest = max((n for _, n in self.groups), default=0)
 
     @staticmethod
@@ -162,7 +174,7 @@ class Matcher:
     def part(self, words: list[str], whole_text: bool) -> Iterator[tuple[int, float, int, int]]:
         """(item_id, similarity, hamming, start) of windows that hold an item; a whole text is a window for longer items too."""
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), dtype=np.uint64, count=len(words))
-        for k, known in self.known.items():
+        for k, (known, first, sizes) in self.known.items():
             if len(words) < k:
                 continue
             whole = np.ones(len(words) - k + 1, dtype=bool)
@@ -170,17 +182,19 @@ class Matcher:
                 whole &= ids[i : len(words) - k + 1 + i] > 0
             at = np.flatnonzero(whole)
             code = self.codes(ids, at, k)
-            hit = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-            by_length = defaultdict(list)
-            for p, c in zip(at[hit].tolist(), code[hit].tolist()):
-                for n in self.owners[k][c]:
-                    by_length[n].append(p)
+            place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            hit = known[place] == code
+            at, place = at[hit], place[hit]
+            count = first[place + 1] - first[place]
+            owned = sizes[np.repeat(first[place] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            at = np.repeat(at, count)
+            by_length = {int(n): at[owned == n] for n in np.unique(owned)}
             for n, anchors in by_length.items():
                 if len(words) < n:
                     if whole_text and (len(words) - k + 1) / (n - k + 1) >= SIMILARITY:
                         yield from self.windows(words, k, n, np.array([0]))
                     continue
-                starts = np.unique(np.clip(np.array(anchors)[:, None] - np.arange(n - k + 1), 0, len(words) - n))
+                starts = np.unique(np.clip(anchors[:, None] - np.arange(n - k + 1), 0, len(words) - n))
                 yield from self.windows(words, k, n, starts)
 
     def windows(self, words: list[str], k: int, n: int, starts: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
@@ -197,7 +211,7 @@ class Matcher:
             for w, i in index.lookup(prints).tolist():
                 key = (int(same[w]), i)
                 if key not in seen:
-                    seen[key] = similarity(Counter(hashes[run[w] - low : run[w] - low + size].tolist()), group[i][1])
+                    seen[key] = similarity(multiset(hashes[run[w] - low : run[w] - low + size]), group[i][1])
                     if seen[key] >= SIMILARITY:
                         yield group[i][0], seen[key], int(np.bitwise_count(prints[w] ^ index.prints[i]).sum()), int(run[w])
 
@@ -231,8 +245,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document with fewer words than the item is compared as a whole (start_word 0).
     Words are runs of letters, digits and underscores in lower case. Items with fewer
     than five words match as their whole sequence; items without words, null items and
-    null ids match nothing; null and empty texts hold nothing; items of one id are taken
-    each on its own; repeated rows repeat; further columns, whatever their names, are
+    null ids match nothing; null and empty texts hold nothing; different items of one id give
+    one row, for the best window of any of them; repeated rows repeat; further columns, whatever their names, are
     ignored. Very long texts are read in slices that overlap by the longest item. Of
     windows equally similar to an item the first is taken. hamming counts the bits that
     differ over all blocks of the two fingerprints.
@@ -243,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in it:
+            for b in bounded(it, 1):
                 hits = [(d, *h) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in shared.value.find(t)]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays(

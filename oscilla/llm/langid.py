@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import bounded, held_out, read_table
 
 BUCKETS = 1 << 16
 SAMPLE = 1200  # expected documents a language that the likelihoods are learned from
-LANGUAGES = 400  # learned at most: the model is BUCKETS numbers for each
+LANGUAGES = 400  # learned at most, unless given: the model is BUCKETS numbers for each
 SLICE = 4 << 20
+NUMBERS = 1 << 20  # of words by languages held at once, about: texts are taken in slices of as many bytes as fit
 STEPS, TOLERANCE = 200, 1e-4
 PENALTY = 1.0
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
@@ -110,10 +112,68 @@ def word_likelihoods(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, out
 
 
+def room(languages: int) -> int:
+    """Bytes of text whose words by languages are NUMBERS at most, unless words are very short."""
+    return max(1, 4 * NUMBERS // max(1, languages))
+
+
+def weighted_mixture(log_p: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, float]:
+    """Proportions and log-likelihood of one document of words log_p (word, language) that occur `times`, `rows` words at once."""
+    k, n = log_p.shape[1], times.sum()
+    share = np.full(k, 1.0 / k)
+    parts = [slice(low, low + rows) for low in range(0, len(log_p), rows)]
+    top = log_p.max(axis=1)
+    for _ in range(STEPS if k > 1 else 0):
+        new = np.zeros(k)
+        for at in parts:
+            r = share * np.exp(log_p[at] - top[at, None], dtype=np.float64)
+            new += times[at] @ (r / (r.sum(axis=1, keepdims=True) + 1e-300))
+        new /= n
+        moved = np.abs(new - share).max()
+        share = new
+        if moved < TOLERANCE:
+            break
+    like = sum(float(times[at] @ (np.log(np.exp(log_p[at] - top[at, None], dtype=np.float64) @ share + 1e-300) + top[at])) for at in parts)
+    return share, like
+
+
+def infer_long(text: str, langs: list[str], table: np.ndarray) -> tuple[str, float, list[str], list[float]]:
+    """infer() of one very long text: its different words and how often each occurs are held, as single precision."""
+    words = Counter(text.split())
+    size, held, parts = room(len(langs)), 0, [[]]
+    for w in words:
+        if held > size:
+            parts.append([])
+            held = 0
+        parts[-1].append(w)
+        held += len(w)
+    spans = np.concatenate([word_likelihoods(f" {' '.join(p)} ".encode("utf-8", "surrogatepass"), table)[1].astype(np.float32) for p in parts])
+    times, rows = np.fromiter(words.values(), dtype=np.float64, count=len(words)), max(1, NUMBERS // len(langs))
+    share, _ = weighted_mixture(spans, times, rows)
+    order, best, chosen = np.argsort(-share, kind="stable"), -np.inf, ([], [])
+    for k in range(1, len(langs) + 1):
+        part, like = weighted_mixture(spans[:, order[:k]], times, rows)
+        like -= PENALTY * k * np.log(times.sum() + 1.0)
+        if like <= best:
+            break
+        best = like
+        full = np.zeros(len(langs))
+        full[order[:k]] = part
+        rank = np.argsort(-full, kind="stable")[:k]
+        chosen = (rank, [float(min(1.0, x)) for x in full[rank]])
+    return langs[chosen[0][0]], chosen[1][0], [langs[x] for x in chosen[0]], chosen[1]
+
+
 def infer(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
     """(lang_pred, score, languages of the chosen set, their shares) of each text."""
     out: list[tuple[str, float, list[str], list[float]]] = [("und", 0.0, [], [])] * len(texts)
-    marked = [(i, w) for i, t in enumerate(texts) if langs and (w := words_of(t))]
+    marked = []
+    for i, t in enumerate(texts):
+        if langs and (w := words_of(t)):
+            if len(w) > room(len(langs)):
+                out[i] = infer_long(w, langs, table)
+            else:
+                marked.append((i, w))
     if not marked:
         return out
     data = [w.encode("utf-8", "surrogatepass") for _, w in marked]
@@ -148,19 +208,22 @@ def infer(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[
     return out
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The model of rows that do not count as held out, about per_language of each language; their trigrams are counted in tasks."""
+def train(docs: DataFrame, per_language: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """The model of rows that do not count as held out, about per_language of each language; their trigrams are counted in tasks.
+
+    More than `languages` of them are an error: a language is a quarter of a megabyte of the model that every task holds.
+    """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate, sizes = F.lit(0.0), known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    rate, sizes = F.lit(0.0), known.groupBy("lang").count().limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages")
     for lang, n in sizes:
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in it:
+        for b in bounded(it, 0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 count(text, counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64)))
         for lang, c in counts.items():
@@ -187,15 +250,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
-        for b in it:
-            texts, found, at = b.column(2).to_pylist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < SLICE:
-                    size += len(texts[end] or "")
-                    end += 1
-                found += infer(texts[at:end], langs, table)
-                at = end
+        for b in bounded(it, 2, room(len(langs))):
+            found = infer(b.column(2).to_pylist(), langs, table)
             cols = [list(c) for c in zip(*found)] or [[], [], [], []]
             types = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(

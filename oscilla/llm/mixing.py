@@ -19,20 +19,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import discard, materialize, read_table
 
 TOPICS = 8
 TEMPER = 0.7  # targets where none are given: shares raised to this power
 BUDGET = 0.7  # share of all words that the sample holds in expectation
 SMALL = 100_000  # cells that are raked in the driver, and broadcast to the documents
 SALT = 32  # parts of a cell's documents where cells are joined by shuffle
-ROUNDS, TOLERANCE = 200, 1e-6  # the tolerance of raking by joins
+ROUNDS, TOLERANCE = 200, 1e-9
 HASH = 1_000_000_007
 AXES = {"source": "_s", "lang": "_l", "topic": "_t"}
 CELLS = "_s string, _l string, _t int, mix_weight double, mix_probability double, mix_gap double"
 
 
-def rake(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tol: float = 1e-9) -> tuple[np.ndarray, float]:
+def rake(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tol: float = TOLERANCE) -> tuple[np.ndarray, float]:
     """Shares of the cells whose marginals along each axis meet the targets, and the gap left.
 
     axes hold each cell's index per dimension; targets sum to 1 each. Cells without
@@ -138,13 +138,15 @@ def rake_large(cells: DataFrame, want: dict[str, DataFrame], budget: float, tota
     """The steps of rake() and calibrate() with cells as rows; only sums reach the driver."""
     want = {axis: materialize(x, "want") for axis, x in want.items()}
     state = cells.withColumn("share", F.col("w") / total)
-    gap = None
+    gap, held = None, []
     for _ in range(ROUNDS):
         for axis, x in want.items():
             have = state.groupBy(axis).agg(F.sum("share").alias("have"))
             factor = have.join(x, axis).select(axis, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("f"))
             state = state.join(factor, axis).withColumn("share", F.col("share") * F.col("f")).drop("f")
-        state = materialize(state, "raked")
+        last, state = held, materialize(state, "raked")
+        held = [state]
+        discard(*last)
         gaps = [state.groupBy(a).agg(F.sum("share").alias("have")).join(x, a).agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] for a, x in want.items()]
         gap = max(gaps)
         if gap < TOLERANCE:

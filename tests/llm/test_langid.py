@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,6 +97,36 @@ def test_sets_of_four_languages_and_slices(monkeypatch):
         assert x[2] == y[2] and np.allclose(x[3], y[3])
 
 
+def test_very_long_texts_by_their_different_words(monkeypatch):
+    m = langid.learn([("aba bab abba", "a"), ("cdc dcd cddc", "b"), ("efe fef effe", "c")])
+    texts = ["aba bab cdc " * 60, "efe " * 40 + "x" * 90, "aba", None, "bab dcd efe abba " * 50]
+    want = langid.infer(texts, *m)
+    monkeypatch.setattr(langid, "NUMBERS", 40)
+    for x, y in zip(langid.infer(texts, *m), want):
+        assert x[0] == y[0] and x[2] == y[2] and np.allclose(x[3], y[3], atol=1e-5) and abs(x[1] - y[1]) < 1e-5
+
+
+def test_memory_of_many_languages():
+    """A hundred languages and a text of 250 kB: less than 200 MB beside the model."""
+    rng = np.random.default_rng(8)
+    langs = [f"l{i:03}" for i in range(100)]
+    table = np.log(rng.dirichlet(np.ones(100), langid.BUCKETS)).astype(np.float32)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(50_000))
+    table[langid.trigrams(langid.words_of(text).encode())[0], 7] += 5
+    tracemalloc.start()
+    try:
+        assert [r[0] for r in langid.infer([text, text[:2000]], langs, table)] == ["l007"] * 2
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, languages=5)
+
+
 def test_counts_in_tasks_equal_counts_at_once(spark):
     rows = [(i, ("the cat \u00bd and dog %d" % i) if i % 2 else "der hund", "en" if i % 2 else "de") for i in range(60)] + [(99, None, "fr"), (98, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
