@@ -162,16 +162,6 @@ def forward_backward(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
 # --- analytic signal, wavelets, tapers ----------------------------------------
 
 
-def hilbert_phase(x: np.ndarray) -> np.ndarray:
-    n = len(x)
-    gain = np.zeros(n)
-    gain[0] = 1
-    gain[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        gain[n // 2] = 1
-    return np.angle(np.fft.ifft(np.fft.fft(x) * gain))
-
-
 def morlet_kernel(sr: float, f: float, n_cycles: float) -> np.ndarray:
     """Unit-energy wavelet of odd length."""
     sigma = n_cycles / (2 * np.pi * f)

@@ -1,4 +1,8 @@
-"""Synthetic recordings as DataFrames."""
+"""Synthetic recordings as DataFrames.
+
+Fixed values: the amplitudes, frequencies, widths and times of the waveforms below (rhythms,
+potentials, spindles, complexes, spikes) are those by which such recordings are known.
+"""
 
 from __future__ import annotations
 
