@@ -371,7 +371,9 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with spans of `text` replaced and n_chars, if there, set to the new length.
 
     All other columns and all rows stay as they are; null and empty texts stay null and
-    empty; texts of any length are searched whole; an empty table gives no rows.
+    empty; texts of any length are searched whole; of spans that overlap the first one's kind
+    stands for both, of two that start together the kind listed first; repeated rows are
+    redacted alike; columns of any name pass through; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

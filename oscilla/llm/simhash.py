@@ -184,7 +184,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, kept: int | None = None) -
 def deduplicate(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component.
 
-    Repeated rows of one doc_id are all kept or all dropped; rows with null doc_id stay.
+    Repeated rows of one doc_id are all kept or all dropped; rows with null doc_id stay. Null
+    and empty texts have the fingerprint of no words and are near each other; texts of any
+    length count whole; of equal texts the smallest doc_id stays; all columns stay as they
+    are, whatever their names; an empty table gives no rows.
     """
     near = near_duplicates(docs.select("doc_id", "text"), radius)
     losers = materialize(near.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "losers")
