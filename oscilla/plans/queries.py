@@ -614,4 +614,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sleep.sleep_metrics(sleep.sleep_stages(x, SR, 1).select("recording_id", "epoch", "stage"))
 
 
-query("sleep_report")(flagship)
+_rereferenced = SIGNAL_SQL.replace("sig AS (", "raw AS (") + ", sig AS (SELECT ch, label, s, v - avg(v) OVER (PARTITION BY s) AS v FROM raw)"
+_staged = ORACLES["sleep_stage"].replace(SIGNAL_SQL, _rereferenced)
+query("sleep_report", ORACLES["sleep_metrics"].replace(STAGES_SQL, f"st AS (SELECT epoch, stage FROM ({_staged}))"))(flagship)
