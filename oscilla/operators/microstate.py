@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_of, neighbours, runs
-from .ica import covariance, frames
+from .ica import collect_sums, covariance, frames
 
 BY = ["recording_id"]
 ROUNDS = 100
+HEAD = 1024  # peaks from the start, held by the driver for the signs
 
 
 def field_power(samples: DataFrame) -> DataFrame:
@@ -33,43 +34,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(axis=-1, keepdims=True)), 1e-10)
 
 
-def _sums(peaks: DataFrame, maps: np.ndarray, old: np.ndarray | None, first: np.ndarray | None) -> dict[int, tuple]:
-    """By state: first peak and its topography, or, given those, sums aligned to them; and the peaks whose state changed from old to maps.
-
-    Tasks hand on one row for each state, which is all that reaches the driver.
-    """
-    k, width = maps.shape
+def _firsts(peaks: DataFrame, maps: np.ndarray) -> dict[int, np.ndarray]:
+    """By state: the topography of its first peak. Tasks hand on one row for each state."""
+    width = maps.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, total, moved = {}, np.zeros((k, width)), np.zeros(k, dtype=np.int64)
+        best: dict[int, tuple] = {}
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             x = _unit(b.column(2).flatten().to_numpy().reshape(-1, width))
             own = np.abs(x @ maps.T).argmax(axis=1)
-            if old is not None:
-                moved += np.bincount(own[np.abs(x @ old.T).argmax(axis=1) != own], minlength=k)
             for j in np.unique(own).tolist():
-                at = np.flatnonzero(own == j)
-                if first is None:
-                    i = min(at.tolist(), key=keys.__getitem__)
-                    if j not in best or keys[i] < best[j][0]:
-                        best[j] = (keys[i], x[i])
-                else:
-                    total[j] += (x[at] * np.where(x[at] @ first[j] < 0, -1, 1)[:, None]).sum(axis=0)
-                    best[j] = (("", 0), total[j])
-        rows = [(j, *key, v.tolist(), int(moved[j])) for j, (key, v) in best.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(("state", "recording_id", "s", "x", "moved"), r)) for r in rows], SUMS)
-
-    parts = peaks.mapInArrow(run, "state int, recording_id string, s long, x array<double>, moved long")
-    if first is None:
-        got = parts.groupBy("state").agg(F.min_by("x", F.struct("recording_id", "s")).alias("x"), F.sum("moved").alias("moved"))
-    else:
-        each = parts.select("state", F.posexplode("x").alias("i", "v")).groupBy("state", "i").agg(F.sum("v").alias("v"))
-        got = each.groupBy("state").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"), F.lit(0).alias("moved"))
-    return {r["state"]: (np.array(r["x"]), r["moved"]) for r in got.collect()}
+                i = min(np.flatnonzero(own == j).tolist(), key=keys.__getitem__)
+                if j not in best or keys[i] < best[j][0]:
+                    best[j] = (keys[i], x[i])
+        yield pa.RecordBatch.from_pylist([{"state": j, "recording_id": key[0], "s": key[1], "x": v.tolist()} for j, (key, v) in best.items()], FIRSTS)
+
+    parts = peaks.mapInArrow(run, "state int, recording_id string, s long, x array<double>")
+    return {r["state"]: np.array(r["x"]) for r in parts.groupBy("state").agg(F.min_by("x", F.struct("recording_id", "s")).alias("x")).collect()}
+
 
+def _aligned(maps: np.ndarray, old: np.ndarray | None, first: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Of a batch of peaks: sums by state with the signs of first, then peaks by state, then how many changed their state from old."""
+    k, width = maps.shape
+
+    def fn(x: np.ndarray) -> np.ndarray:
+        x = _unit(x)
+        own = np.abs(x @ maps.T).argmax(axis=1)
+        moved = len(x) if old is None else np.count_nonzero(np.abs(x @ old.T).argmax(axis=1) != own)
+        x = x * np.where((x * first[own]).sum(axis=1) < 0, -1, 1)[:, None]
+        mine = own == np.arange(k)[:, None]
+        return np.concatenate([(mine.astype(float) @ x).ravel(), mine.sum(axis=1), [moved]])
+
+    return fn
 
-SUMS = pa.schema([("state", pa.int32()), ("recording_id", pa.string()), ("s", pa.int64()), ("x", pa.list_(pa.float64())), ("moved", pa.int64())])
+
+FIRSTS = pa.schema([("state", pa.int32()), ("recording_id", pa.string()), ("s", pa.int64()), ("x", pa.list_(pa.float64()))])
 
 
 def at_places(peaks: DataFrame, places: list[int]) -> DataFrame:
@@ -85,18 +85,27 @@ def at_places(peaks: DataFrame, places: list[int]) -> DataFrame:
 
 
 def kmeans_maps(peaks: DataFrame, k: int, seed: int = 42) -> np.ndarray:
-    """Maps of all peaks (recording_id, s, x): signs follow the first peak of a state; starts are k peaks drawn by place."""
-    drawn = np.random.default_rng(seed).choice(peaks.count(), k, replace=False).tolist()
-    keys = at_places(peaks, drawn)
-    maps = _unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
-    old = None
+    """Maps of all peaks (recording_id, s, x): signs follow the first peak of a state; starts are k peaks drawn by place.
+
+    A round is one pass over the peaks. The first peak of a state nearly always is one of the
+    first HEAD; for a state that has none there, a pass looks for it.
+    """
+    n = peaks.count()
+    drawn = np.random.default_rng(seed).choice(n, k, replace=False).tolist()
+    keys = at_places(peaks, [*drawn, *range(min(HEAD, n))])
+    held = _unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
+    maps, head, old = held[:k], held[k:], None
     for _ in range(ROUNDS):
-        firsts = _sums(peaks, maps, old, None)
-        if old is not None and not sum(moved for _, moved in firsts.values()):
+        own = np.abs(head @ maps.T).argmax(axis=1)
+        found = {j: head[(own == j).argmax()] for j in np.unique(own).tolist()}
+        if len(found) < k and n > len(head):
+            found = _firsts(peaks, maps) | found
+        first = np.array([found.get(j, maps[j]) for j in range(k)])
+        got = collect_sums(peaks, _aligned(maps, old, first), maps.size + k + 1)
+        if not got[-1]:
             break
-        first = np.array([firsts[j][0] if j in firsts else maps[j] for j in range(k)])
-        sums = _sums(peaks, maps, None, first)
-        old, maps = maps, np.array([_unit(sums[j][0] / max(np.sqrt((sums[j][0] ** 2).sum()), 1e-10)) if j in sums else maps[j] for j in range(k)])
+        sums, sizes = got[: maps.size].reshape(maps.shape), got[maps.size : -1]
+        old, maps = maps, np.where(sizes[:, None] > 0, _unit(sums), maps)
     return maps
 
 

@@ -446,3 +446,25 @@ def test_shapes_are_checked(spark):
     ):
         with pytest.raises(ValueError, match="continuous"):
             needs_whole(cut)
+
+
+def maps_by_hand(x, k, seed, rounds):
+    maps, old = x[np.random.default_rng(seed).choice(len(x), k, replace=False)], None
+    for _ in range(rounds):
+        own = np.abs(x @ maps.T).argmax(axis=1)
+        if old is not None and (own == old).all():
+            break
+        sums = [(m * np.where(m @ m[0] < 0, -1, 1)[:, None]).sum(axis=0) if len(m := x[own == j]) else maps[j] for j in range(k)]
+        maps, old = np.array([m / np.linalg.norm(m) for m in sums]), own
+    return maps
+
+
+@pytest.mark.parametrize("head", [1, 3, 1024])
+def test_kmeans_rounds_by_hand(spark, monkeypatch, head):
+    df = noise(spark, 1500, 4).persist()
+    x = peak_topographies(df)
+    monkeypatch.setattr(microstate, "HEAD", head)  # few: states whose first peak lies beyond the head
+    table, _ = microstate.microstates(df, 5, "kmeans", seed=7)
+    maps = table.toPandas().pivot(index="state", columns="ch", values="w").to_numpy()
+    assert len(x) > 400
+    assert np.allclose(maps, maps_by_hand(x, 5, 7, microstate.ROUNDS), atol=1e-9)
