@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -99,3 +101,17 @@ def length_of(samples: DataFrame, epochs: bool | None = None) -> int:
     if epochs is False and found["cut"]:
         raise ValueError("a continuous recording is needed, not epochs")
     return int(found["n"] or 0)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written to the folder of spark.checkpoint.dir, so that plans of many rounds stay short and lost executors lose nothing.
+
+    Where the session names no folder, one of the driver is used if it is the only machine; else it is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()

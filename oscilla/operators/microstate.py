@@ -6,16 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import block_of, neighbours, runs
+from ..functions.columns import block_of, checkpointed, neighbours, runs
 from .ica import collect_sums, covariance, frames
 
 BY = ["recording_id"]
 ROUNDS = 100
 HEAD = 1024  # peaks from the start, held by the driver for the signs
+TASK_PEAKS = 512  # least peaks of a task, on average
 
 
 def field_power(samples: DataFrame) -> DataFrame:
@@ -145,24 +145,23 @@ def microstates(samples: DataFrame, n_states: int = 4, method: str = "kmeans", m
     """(maps: state, ch, w; labels: recording_id, s, label, gfp)."""
     gfp = field_power(samples)
     top = peaks(gfp, min_gfp)
-    if top.count() < n_states:
-        top = gfp.orderBy(F.desc("gfp"), "s").limit(10 * n_states)
+    n = top.count()
+    if n < n_states:
+        top, n = gfp.orderBy(F.desc("gfp"), "s").limit(10 * n_states), 10 * n_states
     if method == "pca":
         cov, chans = covariance(samples.join(top.select(*BY, "s"), [*BY, "s"]))
         values, vectors = np.linalg.eigh(cov)
         maps = vectors[:, np.argsort(-values)[:n_states]].T
     elif method in ("kmeans", "aahc"):
-        rows = samples.join(top.select(*BY, "s"), [*BY, "s"]).groupBy(*BY, "s").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            chans = [e["ch"] for e in rows.first()["x"]]
-            every = rows.select(*BY, "s", F.transform("x", lambda e: e["v"]).alias("x"))
-            if method == "kmeans":
-                maps = kmeans_maps(every, n_states, seed)
-            else:  # every pair of clusters counts, so all peaks meet in one place
-                got = every.toArrow().sort_by([(c, "ascending") for c in (*BY, "s")])
-                maps = merge_maps(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(chans)), n_states)
-        finally:
-            rows.unpersist()
+        rows = samples.join(top.select(*BY, "s"), [*BY, "s"]).groupBy(*BY, "s").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("x"))
+        rows = checkpointed(rows.coalesce(n // TASK_PEAKS + 1))
+        chans = [e["ch"] for e in rows.first()["x"]]
+        every = rows.select(*BY, "s", F.transform("x", lambda e: e["v"]).alias("x"))
+        if method == "kmeans":
+            maps = kmeans_maps(every, n_states, seed)
+        else:  # every pair of clusters counts, so all peaks meet in one place
+            got = every.toArrow().sort_by([(c, "ascending") for c in (*BY, "s")])
+            maps = merge_maps(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(chans)), n_states)
     else:
         raise ValueError(f"unknown method {method!r}")
     table = samples.sparkSession.createDataFrame([(j + 1, int(c), float(maps[j, i])) for j in range(len(maps)) for i, c in enumerate(chans)], "state int, ch int, w double")
