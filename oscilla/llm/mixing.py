@@ -28,6 +28,8 @@ SMALL = 100_000  # cells that are raked in the driver, and broadcast to the docu
 SALT = 32  # parts of a cell's documents where cells are joined by shuffle
 ROUNDS, TOLERANCE = 200, 1e-9
 HASH = 1_000_000_007
+BATCH_ROWS = "spark.sql.inMemoryColumnarStorage.batchSize"
+BATCH = 64  # vectors of a cached batch: a task's reader keeps up to 100 batches, and each may have 4 MB
 AXES = {"source": "_s", "lang": "_l", "topic": "_t"}
 CELLS = "_s string, _l string, _t int, mix_weight double, mix_probability double, mix_gap double"
 
@@ -71,11 +73,15 @@ def fit_topics(rows: DataFrame) -> KMeansModel | None:
     texts = rows.where("mix_words > 0").select("_mix_vector")
     if texts.select(F.xxhash64(vector_to_array("_mix_vector"))).distinct().limit(TOPICS).count() < TOPICS:
         return None
+    conf = texts.sparkSession.conf
+    old = conf.get(BATCH_ROWS, None)
+    conf.set(BATCH_ROWS, str(BATCH))
     texts = texts.persist(StorageLevel.DISK_ONLY)  # else the fit holds them in executors' memory
     try:
         return KMeans(k=TOPICS, seed=7, maxIter=8, featuresCol="_mix_vector", predictionCol="mix_topic").fit(texts)
     finally:
         texts.unpersist()
+        conf.unset(BATCH_ROWS) if old is None else conf.set(BATCH_ROWS, old)
 
 
 def describe(docs: DataFrame) -> DataFrame:

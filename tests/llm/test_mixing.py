@@ -93,3 +93,18 @@ def test_absent_targets_are_errors_and_gaps_are_told(spark):
     torn = {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": {0: 1.0}}
     out = mixing.fit_mix(docs.withColumns({"mix_topic": F.lit(0), "mix_words": F.lit(2)}), torn)[0]
     assert out.first()["mix_gap"] > 0.1
+
+
+def test_cached_vectors_come_in_small_batches(spark, monkeypatch):
+    """A task's reader keeps up to 100 cached batches, so batches of the default size fill an executor."""
+    seen, old = [], spark.conf.get(mixing.BATCH_ROWS)
+
+    class Fit(mixing.KMeans):
+        def fit(self, texts):
+            seen.append(int(spark.conf.get(mixing.BATCH_ROWS)))
+            return super().fit(texts)
+
+    monkeypatch.setattr(mixing, "KMeans", Fit)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('a', id % 40, ' b', id % 7) AS text")
+    assert mixing.fit_topics(mixing.describe(docs)) is not None
+    assert seen == [mixing.BATCH] and spark.conf.get(mixing.BATCH_ROWS) == old
