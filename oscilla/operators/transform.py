@@ -2,8 +2,8 @@
 
 A transform of n = a * b samples is a matrix of a rows and b columns: tasks transform blocks
 of its columns, turn the results by the twiddle factors, exchange tiles, and transform blocks
-of rows. No task holds more than a block of columns or rows, TILE numbers or one line, and a
-trace of n samples needs lines of about sqrt(n).
+of rows. No task holds more than a block of columns or rows, TILE numbers of all sets of weights
+together or one line of each, and a trace of n samples needs lines of about sqrt(n).
 
 Lengths without a divisor near their root go by convolution with a chirp, and any other
 circular convolution (the quadrature signal) goes the same way: the product of two transforms
@@ -46,9 +46,13 @@ def factors(n: int) -> tuple[int, int] | None:
     return (a, n // a) if a * a * 16 >= n else None
 
 
-def lines(length: int, tile: int) -> int:
-    """Lines of a block."""
-    return max(1, tile // length)
+def lines(length: int, tile: int, matrices: int = 1) -> int:
+    """Lines of a block of so many matrices."""
+    return max(1, tile // (length * matrices))
+
+
+def sets_of(weights: Weights | None) -> int:
+    return 1 if weights is None else len(np.atleast_2d(weights(np.zeros(1, dtype=np.int64))))
 
 
 def tiles(t: pa.Table, columns: list[tuple[np.ndarray, ...]], first: int, n: int, per: int, block: int) -> pa.Table:
@@ -114,7 +118,7 @@ def spectrum(samples: DataFrame, n: int, low: int = 0, high: int | None = None,
         out = chirp(samples, n, low, high, weights, tile)
     else:
         a, b = ab
-        wide, tall = lines(a, tile), lines(b, tile)
+        wide, tall = lines(a, tile, sets_of(weights)), lines(b, tile)
 
         def columns(t: pa.Table) -> pa.Table:
             block = t["block"][0].as_py()
@@ -151,7 +155,7 @@ def convolution(samples: DataFrame, n: int, kernel: Weights, finish: Callable[[p
     m = 1 << max(2, (2 * n - 2).bit_length())
     a = 1 << (m.bit_length() - 1) // 2
     b = m // a
-    wide, tall, last = lines(a, tile), lines(b, tile), lines(a, tile)
+    wide, tall, last = lines(a, tile, sets_of(weights) + 1), lines(b, tile, 2), lines(a, tile)
 
     def columns(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()

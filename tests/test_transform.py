@@ -88,3 +88,18 @@ def test_many_tasks_and_epochs(spark):
     for e in range(2):
         g = rows[rows.epoch == e + 1]
         assert np.allclose(g.re + 1j * g.im, np.fft.rfft(x[e, :, 0]))
+
+
+@pytest.mark.parametrize("n", [960, 997])
+def test_blocks_hold_all_sets_of_weights(spark, n):
+    """A task's numbers are bounded over all sets of weights together, also where a chirp comes beside them."""
+    x, w = RNG.normal(size=(n, 1)), RNG.normal(size=(4, n))
+
+    def weights(t):
+        if 4 * len(t) > 256:
+            raise MemoryError("a block is too large")
+        return w[:, t]
+
+    got = bins(transform.spectrum(samples(spark, x), n, weights=weights, tile=256), 1)
+    for j in range(4):
+        assert np.allclose(got[1, j], np.fft.rfft(w[j] * x[:, 0]))
