@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TRACE
 
-TILE = 1 << 20  # numbers of a block of lines
+TILE = 1 << 18  # numbers of a block of lines; a task holds some 200 bytes for each
 KEYS = "recording_id string, epoch int, ch int, label string"
 # weights at samples t = 0, 1, …: (count of weights, number of samples), or a plain vector
 Weights = Callable[[np.ndarray], np.ndarray]

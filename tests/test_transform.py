@@ -1,6 +1,9 @@
 """Transforms of long traces over several tasks against transforms of whole arrays."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,15 @@ def test_blocks_hold_all_sets_of_weights(spark, n):
     got = bins(transform.spectrum(samples(spark, x), n, weights=weights, tile=256), 1)
     for j in range(4):
         assert np.allclose(got[1, j], np.fft.rfft(w[j] * x[:, 0]))
+
+
+def test_memory_of_a_block():
+    """Blocks of the default size stay small, so that many tasks fit an executor."""
+    size = 1 << 10
+    m = np.ones((size, transform.lines(size, transform.TILE)), dtype=complex)
+    keys = pa.table({"recording_id": ["r1"], "epoch": pa.array([None], pa.int32()), "ch": pa.array([1], pa.int32()), "label": ["Cz"]})
+    tracemalloc.start()
+    transform.tiles(keys, [(m,)], 0, size * size, size, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
