@@ -117,4 +117,4 @@ def test_memory_of_a_block():
     transform.tiles(keys, [(m,)], 0, size * size, size, 0)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 64 << 20
+    assert peak < 32 << 20
