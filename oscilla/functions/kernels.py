@@ -43,21 +43,21 @@ def fir_taps(kind: str, sr: float, low: float | None, high: float | None, taps:
 
 
 def convolve_valid(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Centred convolution where the taps fit, by FFT."""
-    n = len(x) + len(h) - 1
+    """Centred convolution along the last axis where the taps fit, by FFT."""
+    n = x.shape[-1] + len(h) - 1
     size = 1 << (n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[len(h) - 1 : len(x)]
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[..., len(h) - 1 : x.shape[-1]]
 
 
 def fir(x: np.ndarray, kind: str, sr: float, low: float | None = None, high: float | None = None, order: int | None = None) -> np.ndarray:
-    """Zero-phase filter of a whole trace, ends held."""
+    """Zero-phase filter of whole traces along the last axis, ends held."""
     if kind == "notch" and (low <= 0 or high >= sr / 2):
         return x
-    taps = fir_length(sr, high if kind == "lowpass" else low, len(x), order)
+    taps = fir_length(sr, high if kind == "lowpass" else low, x.shape[-1], order)
     if taps < 3:
         return x
     half = (taps - 1) // 2
-    return convolve_valid(np.pad(x, half, mode="edge"), fir_taps(kind, sr, low, high, taps))
+    return convolve_valid(np.pad(x, [*[(0, 0)] * (x.ndim - 1), (half, half)], mode="edge"), fir_taps(kind, sr, low, high, taps))
 
 
 # --- Butterworth --------------------------------------------------------------

@@ -468,3 +468,15 @@ def test_kmeans_rounds_by_hand(spark, monkeypatch, head):
     maps = table.toPandas().pivot(index="state", columns="ch", values="w").to_numpy()
     assert len(x) > 400
     assert np.allclose(maps, maps_by_hand(x, 5, 7, microstate.ROUNDS), atol=1e-9)
+
+
+def test_bands_of_many_trials(spark, monkeypatch):
+    """Blocks of trials, also of unequal ones, are filtered like each trial alone."""
+    monkeypatch.setattr(bci, "BLOCK", 300)
+    x = samples(spark, RNG.normal(size=(7, 100, 2)), epoch=True).where("epoch <> 3 OR s <= 80").cache()
+    got = {(r["epoch"], r["ch"], r["band"], r["s"]): r["v"] for r in bci._banded(x, 128, bci.BANDS, 100).collect()}
+    whole = x.toPandas().sort_values("s")
+    assert len(got) == 2 * len(whole)
+    for (epoch, ch), p in whole.groupby(["epoch", "ch"]):
+        for name, (a, b) in bci.BANDS.items():
+            assert np.allclose([got[epoch, ch, name, s] for s in p.s], kernels.fir(p.v.to_numpy(), "bandpass", 128, a, b))
