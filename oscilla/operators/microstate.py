@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_of, checkpointed, neighbours, runs
+from .agglomeration import TASK_ROWS, merge, unit
 from .ica import collect_sums, covariance, frames
 
 BY = ["recording_id"]
@@ -30,10 +31,6 @@ def peaks(gfp: DataFrame, min_gfp: float = 1) -> DataFrame:
     return g.where((F.col("gfp") > F.col("prev.gfp")) & (F.col("gfp") >= F.col("next.gfp")) & (F.col("gfp") > F.col("limit"))).select(*BY, "s", "gfp")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x**2).sum(axis=-1, keepdims=True)), 1e-10)
-
-
 def _firsts(peaks: DataFrame, maps: np.ndarray) -> dict[int, np.ndarray]:
     """By state: the topography of its first peak. Tasks hand on one row for each state."""
     width = maps.shape[1]
@@ -42,7 +39,7 @@ def _firsts(peaks: DataFrame, maps: np.ndarray) -> dict[int, np.ndarray]:
         best: dict[int, tuple] = {}
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            x = _unit(b.column(2).flatten().to_numpy().reshape(-1, width))
+            x = unit(b.column(2).flatten().to_numpy().reshape(-1, width))
             own = np.abs(x @ maps.T).argmax(axis=1)
             for j in np.unique(own).tolist():
                 i = min(np.flatnonzero(own == j).tolist(), key=keys.__getitem__)
@@ -59,7 +56,7 @@ def _aligned(maps: np.ndarray, old: np.ndarray | None, first: np.ndarray) -> Cal
     k, width = maps.shape
 
     def fn(x: np.ndarray) -> np.ndarray:
-        x = _unit(x)
+        x = unit(x)
         own = np.abs(x @ maps.T).argmax(axis=1)
         moved = len(x) if old is None else np.count_nonzero(np.abs(x @ old.T).argmax(axis=1) != own)
         x = x * np.where((x * first[own]).sum(axis=1) < 0, -1, 1)[:, None]
@@ -93,7 +90,7 @@ def kmeans_maps(peaks: DataFrame, k: int, seed: int = 42) -> np.ndarray:
     n = peaks.count()
     drawn = np.random.default_rng(seed).choice(n, k, replace=False).tolist()
     keys = at_places(peaks, [*drawn, *range(min(HEAD, n))])
-    held = _unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
+    held = unit(np.array([r["x"] for r in peaks.join(F.broadcast(keys), [*BY, "s"]).orderBy("place").collect()]))
     maps, head, old = held[:k], held[k:], None
     for _ in range(ROUNDS):
         own = np.abs(head @ maps.T).argmax(axis=1)
@@ -105,40 +102,40 @@ def kmeans_maps(peaks: DataFrame, k: int, seed: int = 42) -> np.ndarray:
         if not got[-1]:
             break
         sums, sizes = got[: maps.size].reshape(maps.shape), got[maps.size : -1]
-        old, maps = maps, np.where(sizes[:, None] > 0, _unit(sums), maps)
+        old, maps = maps, np.where(sizes[:, None] > 0, unit(sums), maps)
     return maps
 
 
-def merge_maps(topos: np.ndarray, k: int) -> np.ndarray:
-    """Agglomeration of the two most alike clusters until k are left; each cluster keeps its best later partner."""
-    x = _unit(topos)
-    n = len(x)
-    sums, sizes, centres = x.copy(), np.ones(n), x.copy()
-    alive = np.ones(n, dtype=bool)
-    best, mate = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
-
-    def seek(i: int) -> None:
-        row = np.abs(centres[i + 1 :] @ centres[i])
-        row[~alive[i + 1 :]] = -1
-        at = int(row.argmax()) if len(row) else 0
-        best[i], mate[i] = (row[at], i + 1 + at) if len(row) else (-1, 0)
-
-    for i in range(n):
-        seek(i)
-    for _ in range(n - k):
-        i = int(best.argmax())
-        j = int(mate[i])
-        sums[i] += sums[j] * (-1 if centres[i] @ centres[j] < 0 else 1)
-        sizes[i] += sizes[j]
-        alive[j], best[j] = False, -1
-        centres[i] = _unit(sums[i] / sizes[i])
-        lost = np.flatnonzero(alive & ((mate == i) | (mate == j)) & (best >= 0))
-        now = np.abs(centres[:i] @ centres[i])
-        better = np.flatnonzero(alive[:i] & ((now > best[:i]) | ((now == best[:i]) & (i < mate[:i]))))
-        best[better], mate[better] = now[better], i
-        for r in {i, *lost.tolist()}:
-            seek(r)
-    return centres[alive]
+def distinct(peaks: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(id, size, x): topographies of peaks (recording_id, s, x) in unit length, equal ones together, numbered in order of recording and s.
+
+    Equal topographies, whatever their sign, are as alike as can be, so agglomeration merges them
+    first. If fewer than k differ, as many copies as it leaves unmerged stay apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width = len(b.column(2)[0]) if b.num_rows else 1
+            x = unit(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+            sign = np.where(x[np.arange(len(x)), (x != 0).argmax(axis=1)] < 0, -1.0, 1.0)
+            s = b.column(1).to_numpy()
+            single = ~(np.abs((x**2).sum(axis=1) - 1) < 1e-6)  # without a direction, so like no other
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width, dtype=np.int32)), pa.array((x * sign[:, None]).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sign), x, pa.array(np.where(single, s, -1))], ["recording_id", "s", "sign", "x", "apart"])
+
+    spans = peaks.groupBy(*BY).agg(F.min("s").alias("_low"), (F.max("s") - F.min("s") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*BY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each recording
+    marked = peaks.mapInArrow(run, "recording_id string, s long, sign double, x array<double>, apart long")
+    marked = marked.join(spans.select(*BY, (before - F.col("_low")).alias("_add")), BY).withColumn("id", F.col("s") + F.col("_add"))
+    marked = marked.select("id", "sign", "x", F.when(F.col("apart") < 0, -1).otherwise(F.col("id")).alias("apart"))
+    alike = marked.groupBy("x", "apart").agg(F.min(F.struct("id", "sign")).alias("first"), F.count(F.lit(1)).cast("double").alias("size"))
+    clusters = checkpointed(alike.select("first.id", "size", F.transform("x", lambda v: v * F.col("first.sign") * F.col("size")).alias("x")).repartition(tasks))
+    lacking = k - clusters.count()
+    if lacking > 0:
+        copies = marked.join(alike.select("x", "apart", F.col("first.id").alias("_head")), ["x", "apart"]).where("id <> _head")
+        copies = copies.orderBy(F.desc("_head"), F.desc("id")).limit(lacking)
+        clusters = checkpointed(clusters.unionByName(copies.select("id", F.lit(1.0).alias("size"), F.transform("x", lambda v: v * F.col("sign")).alias("x"))))
+    return clusters
 
 
 def microstates(samples: DataFrame, n_states: int = 4, method: str = "kmeans", min_gfp: float = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +156,8 @@ def microstates(samples: DataFrame, n_states: int = 4, method: str = "kmeans", m
         every = rows.select(*BY, "s", F.transform("x", lambda e: e["v"]).alias("x"))
         if method == "kmeans":
             maps = kmeans_maps(every, n_states, seed)
-        else:  # every pair of clusters counts, so all peaks meet in one place
-            got = every.toArrow().sort_by([(c, "ascending") for c in (*BY, "s")])
-            maps = merge_maps(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(chans)), n_states)
+        else:
+            maps = merge(distinct(every, n_states, n // TASK_ROWS + 1), n_states)
     else:
         raise ValueError(f"unknown method {method!r}")
     table = samples.sparkSession.createDataFrame([(j + 1, int(c), float(maps[j, i])) for j in range(len(maps)) for i, c in enumerate(chans)], "state int, ch int, w double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from oscilla.functions import kernels
 from oscilla.functions.columns import SAMPLES
-from oscilla.operators import bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
+from oscilla.operators import agglomeration, bci, clinical, connectivity, epochs, erp, filtering, ica, microstate, plots, sleep, source, spatial, timefreq
 from oscilla.plans import queries
 from oscilla.plans.pipeline import preprocess
 from oscilla.sources import generators
@@ -354,6 +354,51 @@ def test_merged_maps_rest_on_all_peaks(spark):
     assert np.allclose(maps, centres[alive], atol=1e-9)
 
 
+def plain_merges(x, k):
+    sums, n = x.copy(), len(x)
+    centres, alive, like = x.copy(), np.ones(n, dtype=bool), np.triu(np.abs(x @ x.T), 1)
+    for _ in range(n - k):
+        i, j = np.unravel_index(int(like.argmax()), like.shape)
+        sums[i] += sums[j] * (-1 if centres[i] @ centres[j] < 0 else 1)
+        centres[i] = sums[i] / np.linalg.norm(sums[i])
+        alive[j] = False
+        like[j, :] = like[:, j] = -1
+        row = np.where(alive, np.abs(centres @ centres[i]), -1)
+        like[i, i + 1 :], like[:i, i] = row[i + 1 :], row[:i]
+    return centres[alive]
+
+
+@pytest.mark.parametrize("kind", ["noise", "groups", "few found"])
+def test_merges_in_tasks_are_the_plain_ones(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    if kind == "groups":  # one close group that its own centre takes in row by row
+        x[::2] = [3, 1, 0, 2, 0, 1] + 0.02 * rng.normal(size=(100, 6))
+        x *= rng.choice([-1, 1], size=(200, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    held, plain = [], agglomeration.merge_all
+    monkeypatch.setattr(agglomeration, "merge_all", lambda sums, sizes, k: held.append(len(sums)) or plain(sums, sizes, k))
+    for name, value in {"FINAL": 60, "PAIRS": 60, "FOUND": 100 if kind == "few found" else 800, "BLOCK": 50, "PROBES": 100}.items():
+        monkeypatch.setattr(agglomeration, name, value)
+    rows = spark.createDataFrame([("r1", i, v.tolist()) for i, v in enumerate(x)], "recording_id string, s long, x array<double>")
+    maps = agglomeration.merge(microstate.distinct(rows, 4, 3), 4)
+    assert len(held) == 1 and held[0] <= 60
+    assert np.allclose(maps, plain_merges(x, 4), atol=1e-9)
+
+
+def test_equal_topographies_merge_first(spark):
+    x = np.array([[3.0, 4, 0], [0, 0, 2], [-3, -4, 0], [0, 0, 2], [0, 0, 0], [0, 0, 0]])
+    rows = spark.createDataFrame([(r, i, v.tolist()) for r in ("r1", "r2") for i, v in enumerate(x, 1)], "recording_id string, s long, x array<double>")
+    got = [(r["id"], r["size"], r["x"]) for r in microstate.distinct(rows, 2, 2).orderBy("id").collect()]
+    assert [g[:2] for g in got] == [(0, 4), (1, 4), (4, 1), (5, 1), (10, 1), (11, 1)]
+    assert np.allclose(got[0][2], [2.4, 3.2, 0]) and np.allclose(got[1][2], [0, 0, 4])
+    few = rows.where("s < 5")
+    for k in (2, 3, 4):  # the last copies of the last topography are left
+        got = [(r["id"], r["x"]) for r in microstate.distinct(few, k, 2).orderBy("id").collect()]
+        assert [g[0] for g in got] == [[0, 1], [0, 1, 7], [0, 1, 5, 7]][k - 2]
+        assert np.allclose(agglomeration.merge(microstate.distinct(few, k, 2), k), [[0.6, 0.8, 0]] + [[0, 0, 1]] * (k - 1))
+
+
 @pytest.mark.parametrize("method", ["fastica", "jade", "infomax"])
 def test_components(spark, method):
     t = np.arange(1500) / 250
